@@ -1,10 +1,12 @@
 """Registered queries of this package, by name, and the SQL that DuckDB checks them with."""
 
-from tidemark.llm import line_dedup, mixing
+from tidemark.llm import bpe, line_dedup, mixing, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES = {
