@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) ->
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        size = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
         part = (np.cumsum(size) // max_bytes).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
