@@ -1,9 +1,12 @@
 """Registered queries of this package, by name, and the SQL that DuckDB checks them with."""
 
-from tidemark.llm import bpe, line_dedup, mixing, token_counts
+from tidemark.llm import bpe, html_extract, line_dedup, mixing, passage_dedup, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_quality": quality.op2_quality,
+    "op3_passage_dedup": passage_dedup.op3_passage_dedup,
+    "op4_html": html_extract.op4_html,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op9_bpe": bpe.op9_bpe,
