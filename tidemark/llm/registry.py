@@ -1,6 +1,6 @@
 """Registered queries of this package, by name, and the SQL that DuckDB checks them with."""
 
-from tidemark.llm import bpe, html_extract, line_dedup, mixing, passage_dedup, quality, token_counts
+from tidemark.llm import bpe, html_extract, line_dedup, mixing, multi_index, near_vectors, passage_dedup, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -8,7 +8,9 @@ QUERIES = {
     "op3_passage_dedup": passage_dedup.op3_passage_dedup,
     "op4_html": html_extract.op4_html,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_near_vectors": near_vectors.op6_near_vectors,
     "op7_mixing": mixing.op7_mixing,
+    "op8_multi_index": multi_index.op8_multi_index,
     "op9_bpe": bpe.op9_bpe,
 }
 
