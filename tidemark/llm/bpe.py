@@ -87,13 +87,13 @@ def encode_words(words: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.nd
     # every word is followed by a -1, which has no pair; so has the front
     raw = np.frombuffer(b"".join(words), dtype=np.uint8)
     length = np.array([len(w) for w in words], dtype=np.int64)
-    word = np.repeat(np.arange(len(words)), length)
-    at = np.arange(len(raw)) + word + 1
+    word = np.repeat(np.arange(len(words), dtype=np.int32), length)
+    at = np.arange(1, len(raw) + 1, dtype=np.int32) + word
     n = len(raw) + len(words) + 1
     sym = np.full(n, -1, dtype=np.int32)
     sym[at] = voc.byte_id[raw]
-    follow = np.arange(1, n + 1, dtype=np.int64)
-    before = np.arange(-1, n - 1, dtype=np.int64)
+    follow = np.arange(1, n + 1, dtype=np.int32)
+    before = np.arange(-1, n - 1, dtype=np.int32)
     rank = np.full(n, NONE, dtype=np.int32)
     rank[:-1] = voc.ranks(sym[:-1], sym[1:])
     index: dict[int, list[np.ndarray]] = {}
@@ -116,7 +116,7 @@ def encode_words(words: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.nd
                 index[r] = [group]
                 heapq.heappush(heap, r)
 
-    file(np.arange(n - 1))
+    file(np.flatnonzero(rank < NONE).astype(np.int32))
     while heap:
         r = heapq.heappop(heap)
         p = np.unique(np.concatenate(index.pop(r)))
@@ -139,7 +139,7 @@ def encode_words(words: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.nd
         rank[touched] = voc.ranks(sym[touched], sym[follow[touched]])
         file(touched)
     live = sym >= 0
-    inside = np.zeros(n, dtype=np.int64)
+    inside = np.zeros(n, dtype=np.int32)
     inside[at] = word
     return sym[live], np.bincount(inside[live], minlength=len(words))
 
@@ -147,7 +147,7 @@ def encode_words(words: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.nd
 class Encoder:
     """Encodes texts; remembers the pre-tokens it has met."""
 
-    def __init__(self, voc: Vocabulary, max_distinct: int = 400_000) -> None:
+    def __init__(self, voc: Vocabulary, max_distinct: int = 150_000) -> None:
         self.voc, self.max_distinct = voc, max_distinct
         self.clear()
 
@@ -158,10 +158,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.seen) > self.max_distinct:
             self.clear()
-        known, numbers, ends = len(self.seen), [], []
-        for text in texts:
-            numbers += self.seen.number(pre_tokens_with_special(text))
-            ends.append(len(numbers))
+        known = len(self.seen)
+        numbers = [np.array(self.seen.number(pre_tokens_with_special(text)), dtype=np.int32) for text in texts]
+        ends = np.cumsum([len(x) for x in numbers])
         new = self.seen.since(known)
         if new:
             ids, counts = encode_words([b"" if w == SPECIAL else w.encode() for w in new], self.voc)
@@ -169,9 +168,9 @@ class Encoder:
                 ids, counts = np.insert(ids, counts[:k].sum(), self.voc.special), counts + (np.arange(len(counts)) == k)
             self.flat = np.concatenate([self.flat, ids])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts)])
-        all_ids, word_ends = gather(self.flat, self.offsets, np.array(numbers, dtype=np.int64))
+        all_ids, word_ends = gather(self.flat, self.offsets, np.concatenate(numbers)) if len(numbers) else (self.flat[:0], [])
         all_ids, word_ends = all_ids.astype("<u4"), np.concatenate([[0], word_ends])
-        cuts = word_ends[np.concatenate([[0], ends]).astype(np.int64)]
+        cuts = word_ends[np.concatenate([[0], ends]).astype(np.int64)].astype(np.int64)
         return [all_ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
 
@@ -180,16 +179,29 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), values], names=[*(batch.schema.names[i] for i in keep), name])
 
 
-def encode(docs: DataFrame, path: str, out: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` in the binary column ``out``."""
+def decode_ids(value: bytes, voc: Vocabulary) -> str:
+    raw, _ = gather(voc.bytes, voc.offsets, np.frombuffer(value, dtype="<u4").astype(np.int64))
+    return raw.tobytes().decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, path: str, out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of ``text`` in the binary column ``out``, and what they decode to in ``decoded`` if named.
+
+    To decode in the same pass saves a second set of Python workers and the way of the ids there.
+    """
+    fresh = [T.StructField(out, T.BinaryType())] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    schema = T.StructType([*(f for f in docs.schema if f.name not in (out, decoded)), *fresh])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(path))
-        for batch in text_chunks(batches, 12 << 20):
+        voc = vocabulary(path)
+        encoder = Encoder(voc)
+        for batch in text_chunks(batches, 6 << 20):
             ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            yield _with_column(batch, out, pa.array(ids, pa.binary()))
+            batch = _with_column(batch, out, pa.array(ids, pa.binary()))
+            if decoded:
+                batch = _with_column(batch, decoded, pa.array((decode_ids(x, voc) for x in ids), pa.string()))
+            yield batch
 
-    schema = T.StructType([*(f for f in docs.schema if f.name != out), T.StructField(out, T.BinaryType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -199,10 +211,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for batch in batches:
-            texts = []
-            for value in batch.column(ids).to_pylist():
-                raw = None if value is None else gather(voc.bytes, voc.offsets, np.frombuffer(value, dtype="<u4").astype(np.int64))[0]
-                texts.append(None if raw is None else raw.tobytes().decode("utf-8", "replace"))
+            texts = [None if x is None else decode_ids(x, voc) for x in batch.column(ids).to_pylist()]
             yield _with_column(batch, out, pa.array(texts, pa.string()))
 
     schema = T.StructType([*(f for f in encoded.schema if f.name != out), T.StructField(out, T.StringType())])
@@ -210,8 +219,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    path = path or default_vocabulary()
-    both = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    both = encode(docs.select("doc_id", "text"), path or default_vocabulary(), decoded="decoded")
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
