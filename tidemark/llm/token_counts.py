@@ -125,23 +125,21 @@ def trie_counts(words: list[bytes], pieces: PieceTrie) -> np.ndarray:
     return counts
 
 
-def count_tokens(docs: DataFrame, path: str, max_distinct: int = 400_000) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, max_distinct: int = 150_000) -> DataFrame:
     """``(doc_id, n_tokens, n_pre_tokens)`` for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, seen, counts = piece_trie(path), Interner(), np.zeros(0, dtype=np.int64)
-        for batch in text_chunks(batches, 12 << 20):
+        for batch in text_chunks(batches, 6 << 20):
             if len(seen) > max_distinct:
                 seen, counts = Interner(), np.zeros(0, dtype=np.int64)
-            known, numbers, ends = len(seen), [], [0]
-            for text in batch.column("text").to_pylist():
-                numbers += seen.number(pre_tokens(text or ""))
-                ends.append(len(numbers))
+            known = len(seen)
+            numbers = [np.array(seen.number(pre_tokens(text or "")), dtype=np.int32) for text in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, numbers)])
             new = seen.since(known)
             if new:
                 counts = np.concatenate([counts, trie_counts([w.encode() for w in new], pieces)])
-            total = np.concatenate([[0], np.cumsum(counts[np.array(numbers, dtype=np.int64)])])
-            ends = np.array(ends)
+            total = np.concatenate([[0], np.cumsum(counts[np.concatenate(numbers)])])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(total[ends])), pa.array(np.diff(ends))], names=["doc_id", "n_tokens", "n_pre_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_pre_tokens long")
