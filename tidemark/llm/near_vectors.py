@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import partitions, skew_join, stored, table
+from tidemark.llm.shared import map_groups, skew_join, stored, table
 from tidemark.llm.vectors import matrix, unit, usable
 
 TABLES, FUNCTIONS, PROBES, BLOCK = 6, 2, 3, 1024
@@ -134,51 +134,17 @@ def _verify(group: dict[str, list], threshold: float) -> tuple[list, list, list]
 
 def linked_blocks(occ: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """``(a, b, n)``: vector a has n links found in one pair of blocks, and is in one component with b."""
-    n = partitions(occ.sparkSession)
     blocks = F.coalesce(F.col("n_blocks"), F.lit(1))
     occ = occ.withColumn("side", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     occ = occ.withColumn("lo", F.least("side", "_other")).withColumn("hi", F.greatest("side", "_other")).drop("_other", "n_blocks")
-    names = ["bucket", "lo", "hi", "side", "rep", "copies", "wide", "vector", "buckets"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(held)
-            held.clear()
-            keys = [whole.column(k).to_numpy() for k in names[:3]]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            out: tuple[list, list, list] = ([], [], [])
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(whole)]):
-                if b - a > 1:
-                    for to, new in zip(out, _verify(whole.slice(a, b - a).to_pydict(), threshold)):
-                        to += new
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "n"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held:  # a group may go on from one batch to the next: finish what ends in this one
-                last = tuple(held[-1].column(k)[-1].as_py() for k in names[:3])
-                same = np.all([batch.column(k).to_numpy() == v for k, v in zip(names[:3], last)], axis=0)
-                stop = batch.num_rows if same.all() else int(np.argmin(same))
-                held.append(batch.slice(0, stop))
-                if stop == batch.num_rows:
-                    continue
-                yield from done()
-                batch = batch.slice(stop)
-            keys = [batch.column(k).to_numpy() for k in names[:3]]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            if len(cuts):
-                held.append(batch.slice(0, int(cuts[-1])))
-                yield from done()
-                batch = batch.slice(int(cuts[-1]))
-            held.append(batch)
-        if held:
-            yield from done()
-
-    dealt = occ.select(*names).repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long, n long")
+    def work(group: pa.Table) -> dict[str, list] | None:
+        if len(group) < 2:
+            return None
+        a, b, n = _verify(group.to_pydict(), threshold)
+        return {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())} if a else None
+
+    return map_groups(occ.select("bucket", "lo", "hi", "side", "rep", "copies", "wide", "vector", "buckets"), ["bucket", "lo", "hi"], work, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> DataFrame:

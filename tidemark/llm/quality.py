@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.hashing import word_hashes, word_spans
 from tidemark.llm.shared import table, text_chunks
 
 WORDS = 64
@@ -45,25 +46,6 @@ for _b in range(256):
     _CLASS[6, _b] = _c in '!?"()-'
     _CLASS[7, _b] = _b >= 128
     _CLASS[8, _b] = _c == "\n"
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each word's bytes."""
-    power = np.empty(len(raw) + 1, dtype=np.uint64)
-    power[0] = 1
-    power[1:] = _MULT
-    np.multiply.accumulate(power, out=power)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(power[:-1] * (raw.astype(np.uint64) + np.uint64(1)), dtype=np.uint64)])
-    inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
-    back = np.empty(len(raw) + 1, dtype=np.uint64)
-    back[0] = 1
-    back[1:] = inverse
-    np.multiply.accumulate(back, out=back)
-    h = (sums[end] - sums[start]) * back[start]
-    h ^= h >> np.uint64(29)
-    return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def passage_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +53,7 @@ def passage_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = [t.encode() + b"\n" for t in texts]
     raw = np.frombuffer(b"".join(data), dtype=np.uint8)
     doc_end = np.cumsum([len(d) for d in data])
-    space = _SPACE[raw]
-    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    start, end = word_spans(raw)
     doc = np.searchsorted(doc_end, start, "right")
     nth = np.arange(len(start)) - np.searchsorted(doc, doc, "left")
     fresh = nth % WORDS == 0

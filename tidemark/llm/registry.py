@@ -1,6 +1,6 @@
 """Registered queries of this package, by name, and the SQL that DuckDB checks them with."""
 
-from tidemark.llm import bpe, html_extract, line_dedup, mixing, multi_index, near_vectors, passage_dedup, quality, token_counts
+from tidemark.llm import bpe, html_extract, line_dedup, mixing, multi_index, near_vectors, ngram_join, passage_dedup, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_multi_index": multi_index.op8_multi_index,
     "op9_bpe": bpe.op9_bpe,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLES = {

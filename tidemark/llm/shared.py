@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,3 +64,50 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     """
     tag = F.pmod(F.xxhash64(key), F.lit(1 << 20))
     return left.withColumn("_tag", tag).join(right.withColumn("_tag", tag), [key, "_tag"], how).drop("_tag")
+
+
+def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], dict[str, list] | None], schema: str) -> DataFrame:
+    """Run ``work`` on every group of equal integer ``keys``; groups must be of bounded size.
+
+    One shuffle and sort; a task streams its groups, so it holds one batch and one group at a time, and many small
+    groups cost no call into Python each.
+    """
+    n = partitions(df.sparkSession)
+
+    def cuts(t: pa.RecordBatch | pa.Table) -> list[int]:
+        columns = [t.column(k).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(k).to_numpy() for k in keys]
+        return (np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def results() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            edges = [0, *cuts(whole), len(whole)]
+            for a, b in zip(edges, edges[1:]):
+                out = work(whole.slice(a, b - a))
+                if out is not None:
+                    yield pa.RecordBatch.from_pydict(out)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = cuts(batch)
+            if held:  # the group that is held may go on here
+                goes_on = all(held[-1].column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in keys)
+                stop = (ends[0] if ends else batch.num_rows) if goes_on else 0
+                held.append(batch.slice(0, stop))
+                if stop == batch.num_rows:
+                    continue
+                yield from results()
+                batch, ends = batch.slice(stop), [e - stop for e in ends if e > stop]
+            if ends:
+                held.append(batch.slice(0, ends[-1]))
+                yield from results()
+                batch = batch.slice(ends[-1])
+            held.append(batch)
+        if held:
+            yield from results()
+
+    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
