@@ -8,14 +8,15 @@ is a necessary condition, so no link between different texts is lost, however th
 
 1. Tokens are ordered by how often they repeat, rare ones first, ties by hash.  Repeats are counted over all documents
    in windows of ``WINDOW`` tokens; the order decides cost only, never results.
-2. A set of n tokens can only link with sets that share one of its first n - ceil(percent * n / 100) + 1 tokens.  These
-   prefix postings are shuffled by token; tokens of one set only go.  Just documents with a shared prefix token are read
-   again, and have their whole sets made.
-3. Grouping: three rounds of min-hash bring similar sets together; groups are cut into chunks of ``CHUNK``, linked sets
-   of a chunk become one group, named after its smallest document, and only group heads go on to the next round.  A
-   third of all rows in one cluster of near copies thus shrinks by the size of a chunk in every round.
+2. Of sets that link, the first n - ceil(percent * n / 100) + l tokens of each have l in common at least, for l up to the
+   overlap that a link needs; here l is ``SLACK`` percent of n.  These prefix postings are shuffled by token, tokens of
+   one set only go, and so do documents with fewer shared prefix tokens than any link of theirs needs.  Just the
+   documents that are left are read again, and have their whole sets made.
+3. Grouping: rounds of min-hash bring similar sets together; groups are cut into chunks of ``CHUNK``, linked sets of a
+   chunk become one group, named after its smallest document, and only group heads go on to the next round.  A third of
+   all rows in one cluster of near copies thus shrinks by the size of a chunk in every round.
 4. Token-group matrix: (token, group) pairs of the tokens that more than one group holds.  A document asks each other
-   group with one of its prefix tokens and a fitting range of set sizes; groups and askers are cut into blocks.
+   group that has enough of its prefix tokens and a fitting range of set sizes; groups and askers are cut into blocks.
 5. Links between groups are contracted to components.
 
 Defined cases: A-Z count as a-z; fewer than k words are one shingle; null, empty and blank texts have none, and link
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
@@ -37,7 +38,22 @@ from tidemark.llm.hashing import digest, scramble, shingle_sets
 from tidemark.llm.shared import map_groups, partitions, skew_join, stored, table, text_chunks
 
 WINDOW, REPEATED, MAX_ORDERED = 2_000_000, 3, 200_000
-CHUNK, ROUNDS = 96, 3
+CHUNK, ROUNDS, SLACK = 96, 2, 3
+
+
+def at_least(n: int, percent: int) -> int:
+    """The smallest set, and overlap, that a set of n tokens can link with."""
+    return -(-n * percent // 100)
+
+
+def common_prefix(n: int) -> int:
+    """How many prefix tokens linked sets of n tokens and more have in common at least."""
+    return max(1, n * SLACK // 100)
+
+
+def needed(n: Column, percent: int) -> Column:
+    """How many prefix tokens a set of n tokens shares with any linked set: as many as the smallest partner must."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) * SLACK / 100))
 
 
 def repeated_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +99,9 @@ def repeated_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(tokens: np.ndarray, percent: int, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first tokens in the common order, as many as a partner cannot do without all of."""
+    """The first tokens in the common order: linked sets share ``common_prefix`` of them."""
     n = len(tokens)
-    size = n - -(-n * percent // 100) + 1
+    size = n - at_least(n, percent) + common_prefix(n)
     if len(often):
         at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
         weight = np.where(often[at] == tokens, counts[at], 0)
@@ -176,7 +192,7 @@ def chunk_groups(reps: list[int], tokens: list[bytes], percent: int) -> list[int
 def _grouping(sets: DataFrame, percent: int) -> DataFrame:
     """``(rep, grp)``: groups of similar sets after all rounds of min-hash."""
     label = sets.select("rep", F.col("rep").alias("grp"))
-    heads = sets
+    heads = sets.drop("tokens")
 
     def work(group: pa.Table) -> dict[str, list] | None:
         if len(group) < 2:
@@ -187,10 +203,10 @@ def _grouping(sets: DataFrame, percent: int) -> DataFrame:
         return {"rep": pa.array([a for a, _ in moved], pa.int64()), "head": pa.array([b for _, b in moved], pa.int64())} if moved else None
 
     for r in range(ROUNDS):
-        keyed = heads.select(F.col(f"m{r}").alias("m"), "rep", "tokens")
+        keyed = heads.select(F.col(f"m{r}").alias("m"), "rep")
         size = keyed.groupBy("m").count().where("count > 1").select("m", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-        dealt = skew_join(keyed, size, "m").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).drop("chunks")
-        moved = stored(map_groups(dealt, ["m", "chunk"], work, "rep long, head long").distinct(), "moved")
+        dealt = skew_join(keyed, size, "m").select("m", "rep", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
+        moved = stored(map_groups(dealt.join(sets.select("rep", "tokens"), "rep"), ["m", "chunk"], work, "rep long, head long").distinct(), "moved")
         label = skew_join(label, moved.withColumnRenamed("rep", "grp"), "grp", "left").select("rep", F.coalesce("head", "grp").alias("grp"))
         label = stored(label, "groups")
         heads = heads.join(moved.select("rep"), "rep", "left_anti")
@@ -199,13 +215,13 @@ def _grouping(sets: DataFrame, percent: int) -> DataFrame:
 
 def _group_links(postings: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``: pairs of different groups with a link between their members, found through the token-group matrix."""
-    known = label.join(sets.select("rep", "n"), "rep")
-    held = postings.join(known, "rep").select("token", "rep", "grp", "n")
+    held = postings.join(label, "rep").select("token", "rep", "grp", "n")
     shared = held.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     held = stored(skew_join(held, shared, "token"), "held")
     matrix = held.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("grp", "other")
     fits = (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100)
-    asks = stored(skew_join(held, matrix, "token").where((F.col("other") < F.col("grp")) & fits).select("rep", "grp", "other").distinct(), "asks")
+    met = skew_join(held, matrix, "token").where((F.col("other") < F.col("grp")) & fits).groupBy("rep", "grp", "other", "n").agg(F.count_distinct("token").alias("met"))
+    asks = stored(met.where(F.col("met") >= needed(F.col("n"), percent)).select("rep", "grp", "other"), "asks")
     # blocks: members of a group by CHUNK, askers of a group by CHUNK
     many = asks.groupBy("other").agg(F.ceil(F.count("*") / (4 * CHUNK)).cast("int").alias("ask_blocks"))
     size = label.withColumnRenamed("grp", "other").groupBy("other").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("member_blocks"))
@@ -236,11 +252,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     often, counts = repeated_tokens(docs, k)
     sketch = stored(_sketches(docs, k, percent, often, counts), "sketches")
     reps = sketch.where("signature IS NOT NULL AND doc_id IS NOT NULL").groupBy("signature").agg(F.min("doc_id").alias("rep"))
-    marks = sketch.select("doc_id", F.xxhash64("signature").alias("mark"), F.explode("prefix").alias("token")).where("doc_id IS NOT NULL").repartition(n_parts, "token")
-    shared = marks.groupBy("token").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("token")
-    postings = marks.join(shared, "token").select("token", "doc_id").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    postings = stored(postings.select("token", F.col("doc_id").alias("rep")), "postings")
-    asked = postings.select(F.col("rep").alias("doc_id")).distinct()
+    heads = sketch.select("doc_id", "n", "prefix").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    marks = heads.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n")).repartition(n_parts, "token")
+    shared = marks.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token")
+    postings = stored(marks.join(shared, "token").select("token", "rep", "n"), "postings")
+    asked = postings.groupBy(F.col("rep").alias("doc_id")).agg(F.count("*").alias("shared"), F.min("n").alias("n")).where(F.col("shared") >= needed(F.col("n"), percent)).select("doc_id")
     sets = stored(_whole_sets(docs.join(asked, "doc_id", "left_semi"), k), "sets")
     label = _grouping(sets, percent)
     joined = connected_components(_group_links(postings, sets, label, percent))
