@@ -70,8 +70,8 @@ def _running(df: DataFrame, group: list[str], bucket: str, order: list, value: s
 
 
 def fair_queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix", rows_per_bucket: int = 512) -> DataFrame:
-    """``docs`` without ``text`` but with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` for every row."""
-    sized = stored(docs.withColumn("size", word_count(F.col("text"))).drop("text"), "sized")
+    """``(doc_id, source, size, source_size, target, copies, taken)`` for every row of ``docs(doc_id, source, text)``."""
+    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
     targets = stored(source_targets(sized, weights, share, epochs).coalesce(1), "targets")
     largest, n_docs, words = targets.agg(F.max("n_docs"), F.sum("n_docs"), F.sum("source_size")).first()
     bits = lambda n: max(0, math.ceil(math.log2(max(1, (n or 0) / rows_per_bucket))))
@@ -120,10 +120,9 @@ def _last_within(copies: DataFrame, budget: float, epochs: int) -> Column:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: documents repeated as often as they are taken, in the columns of ``docs``."""
-    plan = fair_queue(docs.select("doc_id", "source", "text"), **options)
-    keys = ["doc_id"]
-    copies = plan.where("copies > 0").groupBy(*keys).agg(F.max("copies").cast("int").alias("_copies"))
-    return docs.join(copies, keys).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = fair_queue(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_taken")).agg(F.max("copies").cast("int").alias("_copies"))
+    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_taken")))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
