@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.clean import series
 from tidemark.functions.scalar import near
@@ -57,28 +58,36 @@ def signals(frame: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
-def greedy_picks(candidates: DataFrame, step: int) -> DataFrame:
-    """Of rows ``(symbol, idx)``, those taken when each pick shuts out the ``step`` - 1 rows after it.
+def with_picks(rows: DataFrame, wanted: str, step: int) -> DataFrame:
+    """``rows`` (with symbol and idx) and ``pick``: whether a row where ``wanted`` holds is taken, when each pick shuts out
+    the ``step`` - 1 rows after it.
 
-    A pick depends on the one before, so each symbol's candidates are walked in order; a task streams its sorted rows and
-    holds one number per symbol, however long a series is.
+    A pick depends on the one before, so each symbol's wanted rows are walked in order; a task streams its sorted rows
+    and holds one number, however long a series is.
     """
-    kind = candidates.schema["symbol"].dataType.simpleString()
+    schema = T.StructType([*rows.schema, T.StructField("pick", T.BooleanType())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, free = None, 0
         for batch in batches:
-            take, names, at = [], batch.column("symbol").to_pylist(), batch.column("idx").to_pylist()
-            for k, (s, i) in enumerate(zip(names, at)):
+            at = np.flatnonzero(batch.column(wanted).fill_null(False).to_numpy(zero_copy_only=False))
+            own = batch.filter(batch.column(wanted))
+            pick = np.zeros(batch.num_rows, dtype=bool)
+            for k, s, i in zip(at.tolist(), own.column("symbol").to_pylist(), own.column("idx").to_pylist()):
                 if s != symbol:
                     symbol, free = s, i
                 if i >= free:
-                    take.append(k)
+                    pick[k] = True
                     free = i + step
-            yield batch.take(pa.array(np.array(take, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pick)], names=[*batch.schema.names, "pick"])
+
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "idx").mapInArrow(walk, schema)
 
-    rows = candidates.select("symbol", F.col("idx").cast("long").alias("idx"))
-    return rows.repartition("symbol").sortWithinPartitions("symbol", "idx").mapInArrow(walk, f"symbol {kind}, idx long")
+
+def greedy_picks(candidates: DataFrame, step: int) -> DataFrame:
+    """Of rows ``(symbol, idx)``, those that are taken."""
+    rows = candidates.select("symbol", F.col("idx").cast("long").alias("idx"), F.lit(True).alias("wanted"))
+    return with_picks(rows, "wanted", step).where("pick").select("symbol", "idx")
 
 
 def greedy_picks_by_doubling(candidates: DataFrame, step: int) -> DataFrame:
@@ -102,25 +111,26 @@ def greedy_picks_by_doubling(candidates: DataFrame, step: int) -> DataFrame:
 def find_trades(frame: DataFrame, rule: Rule, drop_overwritten: bool = True) -> DataFrame:
     """``(symbol, id, trade_type, entry_ts, exit_ts, limit_ts, entry_idx, close_idx)``, a row per trade.
 
-    Picks are ``hold`` rows apart at least, so each row can close one trade at most: the last pick before it.  Trades
-    are then one aggregate over (symbol, pick).  Of exits on one row (the last of a series) the later trade's stays.
+    Picks are ``hold`` rows apart at least, so each row can close one trade at most: the last pick before it.  A row is
+    handed to the trade it can close and, if it is a pick, to its own; trades are then one aggregate over (symbol, pick).
+    The frame is computed once.  Of exits on one row (the last of a series) the later trade's stays.
     """
-    rows = signals(frame, rule)
-    picks = greedy_picks(rows.where("entry").select("symbol", "idx"), rule.step).withColumnRenamed("idx", "pick")
-    marked = rows.alias("r").join(picks.alias("p"), (F.col("r.symbol") == F.col("p.symbol")) & (F.col("r.idx") == F.col("p.pick")), "left").select("r.*", "p.pick")
-    opened = F.struct(F.col("pick").alias("idx"), "ts", (F.col("e0") * (1 - F.lit(rule.stop))).alias("stop"))
+    rows = with_picks(signals(frame, rule).drop("n"), "entry", rule.step)
+    opened = F.struct("idx", "ts", (F.col("e0") * (1 - F.lit(rule.stop))).alias("stop"))
     before = Window.partitionBy("symbol").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    held = marked.withColumn("own", F.last(F.when(F.col("pick").isNotNull(), opened), ignorenulls=True).over(before))
-    inside = held.where(F.col("own").isNotNull() & (F.col("idx") <= F.col("own.idx") + rule.hold))
+    held = rows.withColumn("last", F.last(F.when(F.col("pick"), opened), ignorenulls=True).over(before))
+    closing = F.when(F.col("idx") <= F.col("last.idx") + rule.hold, F.struct(F.col("last").alias("own"), F.lit(True).alias("inside")))
+    opening = F.when(F.col("pick"), F.struct(opened.alias("own"), F.lit(False).alias("inside")))
+    parts = held.withColumn("part", F.explode(F.array_compact(F.array(closing, opening)))).withColumns({"own": F.col("part.own"), "inside": F.col("part.inside")})
     at = F.struct("idx", "ts")
-    closing = inside.groupBy("symbol", F.col("own.idx").alias("pick")).agg(
-        F.min(F.when(F.col("exit"), at)).alias("x"), F.min(F.when(F.col("x0") < F.col("own.stop"), at)).alias("l"), F.max(at).alias("end")
+    both = parts.groupBy("symbol", F.col("own.idx").alias("pick")).agg(
+        F.max("own.ts").alias("entry_ts"),
+        F.min(F.when(F.col("inside") & F.col("exit"), at)).alias("x"),
+        F.min(F.when(F.col("inside") & (F.col("x0") < F.col("own.stop")), at)).alias("l"),
+        F.max(at).alias("end"),
     )
-    entries = marked.where("pick IS NOT NULL").select("symbol", "pick", F.col("ts").alias("entry_ts"))
-    both = entries.join(closing, ["symbol", "pick"], "left")
     stopped = F.col("l").isNotNull() & (F.col("x").isNull() | (F.col("l.idx") < F.col("x.idx")))
-    end = F.coalesce("x", "end", F.struct(F.col("pick").alias("idx"), F.col("entry_ts").alias("ts")))
-    out = both.withColumn("exit_at", F.when(~stopped, end)).withColumn("limit_at", F.when(stopped, F.col("l")))
+    out = both.withColumn("exit_at", F.when(~stopped, F.coalesce("x", "end"))).withColumn("limit_at", F.when(stopped, F.col("l")))
     if drop_overwritten:
         later = Window.partitionBy("symbol", F.coalesce("exit_at.idx", -F.col("pick") - 1)).orderBy(F.desc("pick"))
         out = out.withColumn("_place", F.row_number().over(later)).where(F.col("exit_at").isNull() | (F.col("_place") == 1))
