@@ -426,6 +426,11 @@ def greedy_entries(spark, sf_dir):
     return trades.greedy_picks(trades.signals(_rule_frame(spark, sf_dir), RULE).where("entry").select("symbol", "idx"), RULE.step)
 
 
+@query("T4_entries_by_doubling", f"WITH RECURSIVE {TRADE_SQL} SELECT symbol, idx FROM p")
+def entries_by_doubling(spark, sf_dir):
+    return trades.greedy_picks_by_doubling(trades.signals(_rule_frame(spark, sf_dir), RULE).where("entry").select("symbol", "idx"), RULE.step)
+
+
 @query("T5_exits", f"WITH RECURSIVE {TRADE_SQL} SELECT symbol, id, exit_ts FROM id WHERE exit_ts IS NOT NULL")
 def exits(spark, sf_dir):
     return _trades(spark, sf_dir).where("exit_ts IS NOT NULL").select("symbol", "id", "exit_ts")
