@@ -92,24 +92,50 @@ def test_mix_repeats_documents(spark):
     assert {r.doc_id: r["count"] for r in got} == {k: v for k, v in plan.items() if v}
 
 
+def passages(seed):
+    """Rows with shared passages at the ends of lines and inside them, and common short sentences."""
+    r = random.Random(seed)
+    sentence = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)).capitalize() + "."
+    shared = [" ".join(sentence(r.randint(5, 12)) for _ in range(7)) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        own = [sentence(r.randint(3, 12)) for _ in range(12)]
+        if i % 3 == 0:
+            own.insert(r.randrange(12), r.choice([*shared, shared[0].upper().replace(" ", "  ")]))
+        own.insert(r.randrange(12), "All rights are reserved here.")
+        rows.append((i, "".join(x + r.choice([" ", "\n", "\n\n"]) for x in own), "s"))
+    return [*rows, (90, None, "s"), (91, "", "s"), (92, shared[0] + "\n" + shared[0], "s"), (92, shared[0] + "\n" + shared[0], "s"), (None, shared[0], "s")]
+
+
 def test_passages_by_definition(spark):
-    r = random.Random(3)
-    shared = [" ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(60)) for _ in range(4)]
-    rows = [(i, "\n".join([f"own {i} " * 20, *r.sample([*shared, shared[0].upper().replace(" ", "  ")], 2), "short line"]), "s") for i in range(40)] + [(90, None, "s"), (91, "", "s"), (92, shared[0] + "\n" + shared[0], "s")]
-    got = passage_dedup.repeated_units(documents(spark, rows)).collect()
+    rows = passages(3)
+    got = passage_dedup.repeated_passages(documents(spark, rows)).collect()
     seen, wanted = {}, set()
     for i, t, _ in rows:
-        at = 0
-        for n, line in enumerate((t or "").split("\n")):
-            words = line.lower().split()
-            if len(words) >= 30:
-                if tuple(words) in seen:
-                    wanted.add((i, n, at, at + len(line), *seen[tuple(words)]))
-                else:
-                    seen[tuple(words)] = (i, n)
-            at += len(line) + 1
-    assert {(g.doc_id, g.unit, g.start, g.end, g.kept_doc_id, g.kept_unit) for g in got} == wanted and len(got) == len(wanted)
-    assert passage_dedup.units("a\n\nb  \n \nc", "paragraph", 1)[1][:3] == (1, 3, 6)
+        run, words, last = [], 0, None
+        if i is None or last == i:
+            continue
+        for m in [*re.finditer(r"[^\n]+?(?:[.!?](?=\s|$)|(?=\n|$))", t or ""), None]:
+            key = tuple(m[0].casefold().split()) if m else None
+            if m and len(key) < 4:
+                continue
+            first = seen.setdefault(key, (i, m.start())) if m else None
+            if m and first != (i, m.start()):
+                run.append((m.start() + len(m[0]) - len(m[0].lstrip()), m.end(), len(key), first[0]))
+                continue
+            if sum(x[2] for x in run) >= 30:
+                wanted.add((i, run[0][0], run[-1][1], sum(x[2] for x in run), len(run), run[0][3]))
+            run = []
+    assert {(g.doc_id, g.start, g.end, g.n_words, g.n_units, g.kept_doc_id) for g in got} == wanted and len(got) == len(wanted) > 12
+    rest = {r.doc_id: r.text for r in passage_dedup.without_passages(documents(spark, rows)).collect()}
+    for g in got:
+        assert next(t for i, t, _ in rows if i == g.doc_id)[g.start : g.end] not in rest[g.doc_id] or g.doc_id == 92
+    assert len(rest) == len({i for i, _, _ in rows}) and rest[90] is None and rest[1] == rows[1][1]
+
+
+@pytest.mark.parametrize(("kind", "places"), [("line", [(0, 5), (6, 11), (13, 18)]), ("paragraph", [(0, 11), (13, 18)]), ("sentence", [(0, 5), (6, 11), (13, 18)])])
+def test_units_keep_offsets(kind, places):
+    assert [u[1:3] for u in passage_dedup.units("a b c\nd e f\n\nG h i", kind, 3)] == places
 
 
 ODD_TEXTS = ["", " ", "\n\n  a", "aaaaaaaaaaa", "<|endoftext|>", "x<|endoftext|><|endoftext|> y<|endof", "é" * 50, "a" * 3000 + "b", "՘ Ᲊ \x1c\x1f  ١٢٣", "don't WE'LL 12 34 !!  \t end "]

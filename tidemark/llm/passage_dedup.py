@@ -1,16 +1,17 @@
-"""Exact removal of repeated lines or paragraphs, with the offsets of what goes.
+"""Exact removal of repeated passages, with the offsets of what goes.
 
-A text is cut into units (lines, or paragraphs between blank lines).  A unit is normalised: case folded, white space
-runs to one blank, ends trimmed.  Units of at least ``min_words`` words are compared over the whole corpus by a 128-bit
-digest; the occurrence with the lowest rank (doc_id, then position) stays, all others are reported for removal with
-their code point offsets in the original text.
+A text is cut into units: sentences, lines or paragraphs.  A unit is normalised (case folded, white space runs to one
+blank, ends trimmed) and hashed to 128 bits.  Over the whole corpus the occurrence of a unit with the lowest rank (doc_id,
+then place) stays and the rest are repeats.  Repeats that follow each other in a document make a passage; passages of
+``min_words`` words in such units and more are reported for removal with their code point offsets in the original text.  Units
+shorter than ``unit_words`` are too common to tell anything: they are not hashed, and go with a passage they lie in.
 
-Plan: units and digests are made in the scan; only (digest, doc_id, position, offsets) is shuffled.  First occurrences
-come from a partially aggregated minimum, so a passage that a third of all documents share is one row per task; the
-join back is one whose hot partitions adaptive execution can split.
+Plan: units and digests are made in the scan; digests, places and offsets are shuffled, texts are not.  First occurrences
+come from a partially aggregated minimum, so a passage that a third of all documents share is one row per task; the join
+back is one whose hot partitions adaptive execution can split.
 
-Defined cases: null and empty texts have no units; a unit repeated inside one document goes too; equal rows have equal
-ranks and are told apart by their offsets only, so a repeated row keeps what its twin keeps.
+Defined cases: null and empty texts have no units; a passage repeated inside one document goes too; rows without doc_id
+have no rank and take no part; rows that repeat a doc_id have equal ranks, so they keep what their twin keeps.
 """
 
 from __future__ import annotations
@@ -19,50 +20,74 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import skew_join, table, text_chunks
 
-SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
-MIN_WORDS = 30
+SEPARATORS = {"sentence": re.compile(r"(?<=[.!?])\s+|\n\s*"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
+UNIT_WORDS, MIN_WORDS = 4, 30
 
 
-def units(text: str, kind: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """``(number, start, end, digest)`` of the units that are long enough."""
-    out, start, number = [], 0, 0
-    cuts = [*((m.start(), m.end()) for m in SEPARATORS[kind].finditer(text)), (len(text), len(text))]
-    for end, after in cuts:
-        if end - start >= 2 * min_words - 1:
-            words = text[start:end].split()
-            if len(words) >= min_words:
-                out.append((number, start, end, hashlib.blake2b(" ".join(words).casefold().encode(), digest_size=16).digest()))
-        start, number = after, number + 1
+def units(text: str, kind: str = "sentence", unit_words: int = UNIT_WORDS) -> list[tuple[int, int, int, int, bytes]]:
+    """``(place, start, end, words, digest)`` of the units that are long enough; places count those only."""
+    out, start = [], 0
+    for m in [*SEPARATORS[kind].finditer(text), None]:
+        end = m.start() if m else len(text)
+        words = text[start:end].split()
+        if len(words) >= unit_words:
+            out.append((len(out), start, end, len(words), hashlib.blake2b(" ".join(words).casefold().encode(), digest_size=16).digest()))
+        start = m.end() if m else end
     return out
 
 
-def unit_table(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, unit, start, end, digest)``, a row per unit."""
+def unit_table(docs: DataFrame, kind: str = "sentence", unit_words: int = UNIT_WORDS) -> DataFrame:
+    """``(doc_id, place, start, end, words, high, low)``, a row per unit; high and low are the digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
-            rows = [(d, *u) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for u in units(t or "", kind, min_words)]
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "unit", "start", "end", "digest"])
-
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc_id long, unit int, start int, end int, digest binary")
-
-
-def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for every unit to remove: its place and offsets, and the place of the occurrence that stays."""
-    all_units = unit_table(docs, kind, min_words)
-    place = F.struct("doc_id", "unit")
-    firsts = all_units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n_occurrences")).where("first < last").drop("last")
-    back = skew_join(all_units, firsts, "digest").where(F.struct("doc_id", "unit") > F.col("first"))
-    return back.select("doc_id", "unit", "start", "end", F.hex("digest").alias("digest"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.unit").alias("kept_unit"), "n_occurrences")
+        for batch in text_chunks(batches, 4 << 20):
+            found = [units(t or "", kind, unit_words) for t in batch.column("text").to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            place, start, end, words, digest = zip(*[u for f in found for u in f]) if len(owner) else [()] * 5
+            halves = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2)
+            numbers = [pa.array(c, pa.int32()) for c in (place, start, end, words)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), *numbers, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "place", "start", "end", "words", "high", "low"])
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, place int, start int, end int, words int, high long, low long")
+
+
+def repeated_units(docs: DataFrame, kind: str = "sentence", unit_words: int = UNIT_WORDS) -> DataFrame:
+    """A row for every unit that repeats an earlier one: its place, offsets and words, and where the first one is."""
+    every = unit_table(docs, kind, unit_words)
+    place = F.struct("doc_id", "place")
+    firsts = every.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("high", F.col("low").alias("same"), "first")
+    back = skew_join(every, firsts, "high").where((F.col("low") == F.col("same")) & (F.struct("doc_id", "place") > F.col("first")))
+    return back.select("doc_id", "place", "start", "end", "words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.place").alias("kept_place"))
+
+
+def repeated_passages(docs: DataFrame, kind: str = "sentence", unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(doc_id, start, end, n_words, n_units, kept_doc_id)``: a row per passage to remove; ``kept_doc_id`` holds its first unit."""
+    run = F.col("place") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("place"))
+    rows = repeated_units(docs, kind, unit_words).distinct().withColumn("run", run)
+    passages = rows.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_units"), F.min_by("kept_doc_id", "place").alias("kept_doc_id")
+    )
+    return passages.where(F.col("n_words") >= min_words).drop("run")
+
+
+def without_passages(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the reported passages cut out of ``text``."""
+    cuts = repeated_passages(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    both = docs.join(cuts, "doc_id", "left")
+    n = F.size("_cuts")
+    from_ = lambda i: F.when(i == 0, 0).otherwise(F.element_at("_cuts", F.greatest(i, F.lit(1)))["end"])
+    to = lambda i: F.when(i == n, F.char_length("text")).otherwise(F.element_at("_cuts", F.least(i + 1, n))["start"])
+    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring("text", from_(i) + 1, to(i) - from_(i)))
+    return both.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))).select(*docs.columns)
 
 
 def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"))
