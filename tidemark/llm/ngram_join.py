@@ -12,16 +12,19 @@ is a necessary condition, so no link between different texts is lost, however th
    overlap that a link needs; here l is ``SLACK`` percent of n.  These prefix postings are shuffled by token, tokens of
    one set only go, and so do documents with fewer shared prefix tokens than any link of theirs needs.  Just the
    documents that are left are read again, and have their whole sets made.
-3. Grouping: rounds of min-hash bring similar sets together; groups are cut into chunks of ``CHUNK``, linked sets of a
-   chunk become one group, named after its smallest document, and only group heads go on to the next round.  A third of
-   all rows in one cluster of near copies thus shrinks by the size of a chunk in every round.
-4. Token-group matrix: (token, group) pairs of the tokens that more than one group holds.  A document asks each other
-   group that has enough of its prefix tokens and a fitting range of set sizes; groups and askers are cut into blocks.
-5. Links between groups are contracted to components.
+3. Groups: rounds of min-hash bring similar sets together in chunks of ``CHUNK``; sets of a chunk that are alike by
+   ``ALIKE`` percent become one group, and only its best connected member goes on to the next round.  A cluster of near
+   copies with a third of all rows thus shrinks by the size of a chunk in every round.
+4. Token-group matrix: (token, group) pairs of the tokens that more than one group holds, joined group to group.  Of two
+   groups that share enough tokens and have a fitting range of set sizes, members of the smaller ask the larger.
+5. Groups are cut into blocks of ``CHUNK`` members, their askers into blocks too.  In a task, the overlap of an asker with
+   the union of a block bounds its overlap with every member; only blocks that pass are opened.  Members of one group
+   ask each other in the same way, block by block.  A task returns one link per document at most.
+6. Links are contracted to components.
 
 Defined cases: A-Z count as a-z; fewer than k words are one shingle; null, empty and blank texts have none, and link
-with nothing; equal texts are one component; rows that repeat a doc_id are one document; rows without doc_id are
-components of their own (null).
+with nothing; equal texts are one component; rows that repeat a doc_id are one document, and are taken to have one text;
+rows without doc_id are components of their own (null).
 """
 
 from __future__ import annotations
@@ -38,7 +41,8 @@ from tidemark.llm.hashing import digest, scramble, shingle_sets
 from tidemark.llm.shared import map_groups, partitions, skew_join, stored, table, text_chunks
 
 WINDOW, REPEATED, MAX_ORDERED = 2_000_000, 3, 200_000
-CHUNK, ROUNDS, SLACK = 96, 2, 3
+CHUNK, ROUNDS, SLACK, ALIKE = 96, 4, 3, 50
+FILTER_BITS, BITMAP_BITS = 1 << 25, 32_768
 
 
 def at_least(n: int, percent: int) -> int:
@@ -127,6 +131,21 @@ def _sketches(docs: DataFrame, k: int, percent: int, often: np.ndarray, counts:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, signature binary, prefix array<long>")
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids``, and a few others that share its place in a bitmap.
+
+    The bitmap has ``FILTER_BITS`` bits whatever the number of ids (4 MB at most, so it can be broadcast), and texts need
+    no shuffle.  With very many ids it lets more rows through, which costs time and nothing else.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    part, bit = F.floor(place / BITMAP_BITS), place % BITMAP_BITS
+    maps = ids.groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(bit).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = F.expr("shiftright(_byte, cast(_bit % 8 as int))").bitwiseAND(F.lit(1)) == 1
+    marked = docs.where(F.col("doc_id").isNotNull()).withColumns({"_part": part, "_bit": bit}).join(F.broadcast(maps), "_part")
+    return marked.withColumn("_byte", byte).where(on).select(*docs.columns)
+
+
 def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
     names = ["rep", "n", *(f"m{r}" for r in range(ROUNDS)), "tokens"]
 
@@ -174,75 +193,117 @@ class Members:
         return 100 * common >= percent * (self.size + len(tokens) - common)
 
 
-def chunk_groups(reps: list[int], tokens: list[bytes], percent: int) -> list[int]:
-    """For each member the smallest document of those it reaches by links inside the chunk."""
-    members, head, order = Members(tokens), {}, np.argsort(reps, kind="stable").tolist()
-    for seed in order:
-        if seed in head:
+def chunk_groups(reps: list[int], tokens: list[bytes], percent: int) -> list[list[int]]:
+    """Members of a chunk by what they reach by links inside it; each list begins with the member that has most links."""
+    members = Members(tokens)
+    linked = np.stack([members.links(s, percent) for s in members.sets])
+    degree, left, out = linked.sum(1), np.ones(len(reps), dtype=bool), []
+    for seed in np.lexsort((reps, -degree)).tolist():
+        if not left[seed]:
             continue
-        head[seed], queue = reps[seed], [seed]
-        while queue and len(head) < len(reps):
-            for i in np.flatnonzero(members.links(members.sets[queue.pop()], percent)).tolist():
-                if i not in head:
-                    head[i] = reps[seed]
-                    queue.append(i)
-    return [head[i] for i in range(len(reps))]
-
-
-def _grouping(sets: DataFrame, percent: int) -> DataFrame:
-    """``(rep, grp)``: groups of similar sets after all rounds of min-hash."""
-    label = sets.select("rep", F.col("rep").alias("grp"))
+        found = np.zeros(len(reps), dtype=bool)
+        edge = found.copy()
+        edge[seed] = True
+        while edge.any():
+            found |= edge
+            edge = linked[edge].any(0) & ~found
+        left &= ~found
+        out.append([seed, *(i for i in np.flatnonzero(found).tolist() if i != seed)])
+    return out
+
+
+def _grouping(sets: DataFrame) -> DataFrame:
+    """``(rep, grp)``: groups of similar sets after all rounds of min-hash; a group is named after one of its members."""
+    label = sets.select("rep", F.col("rep").alias("grp")).distinct()
     heads = sets.drop("tokens")
 
     def work(group: pa.Table) -> dict[str, list] | None:
         if len(group) < 2:
             return None
         reps = group.column("rep").to_pylist()
-        to = chunk_groups(reps, group.column("tokens").to_pylist(), percent)
-        moved = [(a, b) for a, b in zip(reps, to) if a != b]
+        moved = [(reps[i], reps[own[0]]) for own in chunk_groups(reps, group.column("tokens").to_pylist(), ALIKE) for i in own[1:] if reps[i] != reps[own[0]]]
         return {"rep": pa.array([a for a, _ in moved], pa.int64()), "head": pa.array([b for _, b in moved], pa.int64())} if moved else None
 
     for r in range(ROUNDS):
         keyed = heads.select(F.col(f"m{r}").alias("m"), "rep")
         size = keyed.groupBy("m").count().where("count > 1").select("m", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
         dealt = skew_join(keyed, size, "m").select("m", "rep", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
-        moved = stored(map_groups(dealt.join(sets.select("rep", "tokens"), "rep"), ["m", "chunk"], work, "rep long, head long").distinct(), "moved")
+        moved = stored(map_groups(dealt.join(sets.select("rep", "tokens"), "rep"), ["m", "chunk"], work, "rep long, head long").groupBy("rep").agg(F.min("head").alias("head")), "moved")
         label = skew_join(label, moved.withColumnRenamed("rep", "grp"), "grp", "left").select("rep", F.coalesce("head", "grp").alias("grp"))
         label = stored(label, "groups")
         heads = heads.join(moved.select("rep"), "rep", "left_anti")
     return label
 
 
-def _group_links(postings: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: pairs of different groups with a link between their members, found through the token-group matrix."""
-    held = postings.join(label, "rep").select("token", "rep", "grp", "n")
-    shared = held.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    held = stored(skew_join(held, shared, "token"), "held")
-    matrix = held.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("grp", "other")
-    fits = (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100)
-    met = skew_join(held, matrix, "token").where((F.col("other") < F.col("grp")) & fits).groupBy("rep", "grp", "other", "n").agg(F.count_distinct("token").alias("met"))
-    asks = stored(met.where(F.col("met") >= needed(F.col("n"), percent)).select("rep", "grp", "other"), "asks")
-    # blocks: members of a group by CHUNK, askers of a group by CHUNK
-    many = asks.groupBy("other").agg(F.ceil(F.count("*") / (4 * CHUNK)).cast("int").alias("ask_blocks"))
-    size = label.withColumnRenamed("grp", "other").groupBy("other").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("member_blocks"))
-    plan = many.join(size, "other")
-    members = skew_join(label.select("rep", F.col("grp").alias("other")), plan, "other")
-    members = members.withColumn("x", F.pmod(F.xxhash64("rep"), F.col("member_blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)))
-    askers = skew_join(asks, plan, "other")
-    askers = askers.withColumn("y", F.pmod(F.xxhash64("rep"), F.col("ask_blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)))
-    both = members.select("other", "x", "y", "rep", F.lit(None).cast("long").alias("grp")).unionByName(askers.select("other", "x", "y", "rep", "grp"))
-    both = skew_join(both, sets.select("rep", "tokens"), "rep")
+def block_links(asking: list[bool], asked: list[bool], reps: list[int], tokens: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links between askers and members as a forest: each linked document with the first one of its part."""
+    here = [i for i, a in enumerate(asked) if a]
+    if not here:
+        return []
+    members, pairs = Members([tokens[i] for i in here]), []
+    for q, (asks, t) in enumerate(zip(asking, tokens)):
+        if asks:
+            pairs += [(q, here[k]) for k in np.flatnonzero(members.links(np.frombuffer(t, dtype=np.uint64), percent)).tolist()]
+    if not pairs:
+        return []
+    i, j = np.array(pairs).T
+    root = np.arange(len(reps))
+    while True:
+        low, new = np.minimum(root[i], root[j]), root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return [(reps[k], reps[root[k]]) for k in np.flatnonzero(root != np.arange(len(reps))).tolist() if reps[k] != reps[root[k]]]
 
-    def work(group: pa.Table) -> dict[str, list] | None:
-        grp, tokens = group.column("grp").to_pylist(), group.column("tokens").to_pylist()
-        members = Members([t for g, t in zip(grp, tokens) if g is None])
-        linked = sorted({g for g, t in zip(grp, tokens) if g is not None and members.links(np.frombuffer(t, dtype=np.uint64), percent).any()})
-        if not linked:
-            return None
-        other = group.column("other")[0].as_py()
-        return {"a": pa.array([other] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())}
 
-    return stored(map_groups(both, ["other", "x", "y"], work, "a long, b long"), "links")
+def _links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` from rows ``(grp, x, y, rep, asks, asked)``: who asks whom in each pair of blocks."""
+
+    def work(group: pa.Table) -> dict[str, list] | None:
+        columns = [group.column(c).to_pylist() for c in ("asks", "asked", "rep", "tokens")]
+        found = block_links(*columns, percent)
+        return {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())} if found else None
+
+    whole = skew_join(placed, sets.select("rep", "tokens"), "rep")
+    return stored(map_groups(whole.select("grp", "x", "y", "rep", "asks", "asked", "tokens"), ["grp", "x", "y"], work, "a long, b long"), "links")
+
+
+def _blocks(label: DataFrame) -> DataFrame:
+    """``(rep, grp, size, block, n_blocks)``."""
+    size = label.groupBy("grp").agg(F.count("*").alias("size")).withColumn("n_blocks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    return skew_join(label, size, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+
+
+def _links_inside(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one group, block by block: block y asks block x for all x up to y."""
+    many = blocks.where("size > 1")
+    asks = F.transform(F.sequence(F.lit(0), F.col("block")), lambda x: F.struct(x.alias("x"), F.col("block").alias("y"), F.lit(True).alias("asks"), (x == F.col("block")).alias("asked")))
+    later = F.filter(F.sequence(F.col("block"), F.col("n_blocks") - 1), lambda y: y > F.col("block"))
+    asked = F.transform(later, lambda y: F.struct(F.col("block").alias("x"), y.alias("y"), F.lit(False).alias("asks"), F.lit(True).alias("asked")))
+    return _links(many.select("grp", "rep", F.explode(F.concat(asks, asked)).alias("at")).select("grp", "at.*", "rep"), sets, percent)
+
+
+def _links_across(postings: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different groups, found through the token-group matrix."""
+    held = postings.join(blocks.select("rep", "grp", "size"), "rep").groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("size").alias("size"))
+    held = stored(held, "matrix")
+    shared = held.groupBy("token").agg(F.min("grp").alias("first"), F.max("grp").alias("last")).where("first < last").select("token")
+    held = stored(skew_join(held, shared, "token"), "matrix")
+    other = held.select("token", F.col("grp").alias("o"), F.col("low").alias("o_low"), F.col("high").alias("o_high"), F.col("size").alias("o_size"))
+    fits = (F.col("low") * percent <= F.col("o_high") * 100) & (F.col("o_low") * percent <= F.col("high") * 100)
+    smaller = F.struct("size", "grp") < F.struct(F.col("o_size"), F.col("o"))
+    met = skew_join(held, other, "token").where(smaller & fits).groupBy("grp", "o").agg(F.count("*").alias("met"), F.min("low").alias("low"))
+    asks = stored(met.where(F.col("met") >= needed(F.col("low"), percent)).select("grp", "o"), "asks")
+    asking = skew_join(blocks.select("rep", "grp"), asks, "grp").select("rep", F.col("o").alias("grp"))
+    size = asking.groupBy("grp").agg(F.ceil(F.count("*") / (4 * CHUNK)).cast("int").alias("n_asking"))
+    askers = skew_join(asking, blocks.groupBy("grp").agg(F.max("n_blocks").alias("n_blocks")).join(size, "grp"), "grp")
+    askers = askers.withColumn("y", F.pmod(F.xxhash64("rep"), F.col("n_asking")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    members = skew_join(blocks, size, "grp").withColumn("x", F.col("block")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n_asking") - 1)))
+    role = lambda df, asks: df.select("grp", "x", "y", "rep", F.lit(asks).alias("asks"), F.lit(not asks).alias("asked"))
+    return _links(role(askers, True).unionByName(role(members, False)), sets, percent)
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -257,11 +318,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     shared = marks.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token")
     postings = stored(marks.join(shared, "token").select("token", "rep", "n"), "postings")
     asked = postings.groupBy(F.col("rep").alias("doc_id")).agg(F.count("*").alias("shared"), F.min("n").alias("n")).where(F.col("shared") >= needed(F.col("n"), percent)).select("doc_id")
-    sets = stored(_whole_sets(docs.join(asked, "doc_id", "left_semi"), k), "sets")
-    label = _grouping(sets, percent)
-    joined = connected_components(_group_links(postings, sets, label, percent))
-    label = skew_join(label.distinct(), joined.withColumnRenamed("node", "grp"), "grp", "left").select("rep", F.coalesce("component", "grp").alias("component"))
-    label = label.groupBy("rep").agg(F.min("component").alias("component"))
+    sets = stored(_whole_sets(among(docs, asked), k), "sets")
+    blocks = stored(_blocks(_grouping(sets)), "blocks")
+    links = _links_inside(blocks, sets, percent).unionByName(_links_across(postings, blocks, sets, percent))
+    label = connected_components(links).withColumnRenamed("node", "rep")
     heads = reps.join(label, "rep", "left").select("signature", F.coalesce("component", "rep").alias("component"))
     out = skew_join(sketch.select("doc_id", "n", "signature"), heads, "signature", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
