@@ -1,11 +1,9 @@
-import math
 import random
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import SparkSession
-
-START = datetime(2024, 1, 1)
+from series_help import START
 
 
 @pytest.fixture(scope="session")
@@ -28,13 +26,3 @@ def frame(spark):
         return spark.createDataFrame(rows, "symbol string, ts timestamp, " + ", ".join(f"{c} double" for c in columns))
 
     return make
-
-
-def values(df, column, symbol="a"):
-    """One column of one symbol in order of time; NaN as None."""
-    out = [r[column] for r in df.where(f"symbol = '{symbol}'").orderBy("ts").collect()]
-    return [None if isinstance(v, float) and math.isnan(v) else v for v in out]
-
-
-def alike(got, wanted):
-    return len(got) == len(wanted) and all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9 * (1 + abs(b))) for a, b in zip(got, wanted))

@@ -2,7 +2,7 @@ from datetime import timedelta
 
 import pandas as pd
 import pytest
-from conftest import START, values
+from series_help import START, values
 
 from tidemark.operators import align, select
 

@@ -4,7 +4,7 @@ import statistics
 
 import numpy as np
 import pytest
-from conftest import alike, values
+from series_help import alike, values
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import START
+from series_help import START
 from pyspark.sql import functions as F
 
 from tidemark.operators import trades
