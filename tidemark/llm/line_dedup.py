@@ -4,13 +4,15 @@ Every text is split at newlines.  A line's key is the line without ASCII white s
 lower case.  Keys of at least ``min_chars`` code points that occur in two documents or more keep their lines in the
 smallest document only.  The operator returns bitmaps, not texts.
 
-Plan: distinct long keys of each document become 128-bit hashes inside the scan (no shuffle); the rows
-``(hash, doc_id)`` are range-partitioned with a secondary sort by document, so one very common line is spread over
-neighbouring partitions; each partition streams its runs into first and last document and a second, partially
-aggregated step joins runs that cross a boundary.  Only keys with two documents go back to the rows they drop.
+Plan: lines become 128-bit hashes inside the scan; the rows ``(hash, doc_id, place)`` are range-partitioned by hash with
+a secondary sort by document and place, so one very common line is spread over neighbouring partitions.  Each partition
+streams its runs into first and last document, and a second, partially aggregated step joins runs that cross a border.
+Only keys of two documents go back to the rows they drop.  A document's dropped places become its bitmap: stretches of
+kept lines.  Texts are not shuffled for that; they meet their bitmaps when the caller asks for what is left of them.
 
 Defined cases: a null or empty text is one empty line; repeated lines inside one document all stay or all go;
-rows that share a ``doc_id`` are one document as far as "two documents" is concerned, and each keeps its own row;
+rows that share a ``doc_id`` are one document as far as "two documents" is concerned, and each keeps its own row and
+bitmap (rows are told apart by a hash of the text);
 rows with a null ``doc_id`` pass through untouched.  Extra columns are ignored by the operator.
 """
 
@@ -38,58 +40,50 @@ def _hash(key: Column, min_chars: int) -> Column:
     return F.when(F.char_length(key) >= min_chars, F.unhex(F.md5(key.cast("binary"))))
 
 
-def _line_hashes(text: Column, min_chars: int) -> Column:
-    return F.transform(_lines(text), lambda x: _hash(line_key(x), min_chars))
+def _text_mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def first_occurrences(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """``(doc_id, drop)``: per document the hashes of lines that an earlier document holds; documents without any are absent."""
+def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+    """``(doc_id, mark, place, n_lines)``: a row per line that an earlier document holds; places count from 0."""
     n = partitions(docs.sparkSession)
-    own = (
-        docs.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.explode(F.array_compact(F.array_distinct(_line_hashes(F.col("text"), min_chars)))).alias("h"))
-        .repartitionByRange(n, "h", "doc_id")
-        .sortWithinPartitions("h", "doc_id")
-    )
+    hashes = F.transform(_lines(F.col("text")), lambda x: _hash(line_key(x), min_chars))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _text_mark(F.col("text")).alias("mark"), F.size(_lines(F.col("text"))).alias("n_lines"), F.posexplode(hashes).alias("place", "h"))
+    own = rows.where(F.col("h").isNotNull()).repartitionByRange(n, "h", "doc_id", "place").sortWithinPartitions("h", "doc_id", "place")
     firsts = own.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    return skew_join(own, firsts, "h").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
+    return skew_join(own, firsts, "h").where("doc_id > first").select("doc_id", "mark", "place", "n_lines")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """``(doc_id, n_lines, n_dropped, runs)`` for documents that lose lines.
+    """``(doc_id, mark, n_lines, n_dropped, keep)`` for documents that lose lines.
 
-    ``runs`` is the run-length form of the keep bitmap: lengths of alternating kept and dropped stretches, kept first.
+    ``keep`` is the bitmap in run-length form: start and length of every stretch of lines that stay.
     """
-    hit = docs.select("doc_id", "text").join(first_occurrences(docs, min_chars), "doc_id")
-    bits = hit.select("doc_id", F.transform(_line_hashes(F.col("text"), min_chars), lambda h: ~F.coalesce(F.array_contains("drop", h), F.lit(False))).alias("keep"))
-    return _with_runs(bits).select("doc_id", F.size("keep").cast("long").alias("n_lines"), F.size(F.filter("keep", lambda k: ~k)).cast("long").alias("n_dropped"), "runs")
-
-
-def _with_runs(bits: DataFrame) -> DataFrame:
-    """Starts of stretches in ``keep``, then the differences between them; a bitmap that begins with a dropped line has a first run of 0."""
-    n = F.size("keep")
-    starts = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.element_at("keep", i) != F.element_at("keep", i + 1))
-    inner = F.when(n > 1, starts).otherwise(F.array().cast("array<int>"))
-    edges = F.concat(F.when(F.element_at("keep", 1), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(0))), inner, F.array(n))
-    return bits.withColumn("_edges", edges).withColumn(
-        "runs", F.transform(F.sequence(F.lit(2), F.size("_edges")), lambda i: F.element_at("_edges", i) - F.element_at("_edges", i - 1))
-    )
+    gone = dropped_lines(docs, min_chars).groupBy("doc_id", "mark").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_set("place")).alias("gone"))
+    last = F.size("gone") - 1
+    before = lambda x, i: (i == 0) | (F.get("gone", i - 1) != x - 1)
+    after = lambda x, i: (i == last) | (F.get("gone", i + 1) != x + 1)
+    gone = gone.withColumns({"from": F.filter("gone", before), "to": F.filter("gone", after)})
+    start = lambda j: F.coalesce(F.get("to", j - 1) + 1, F.lit(0))
+    stretch = lambda j: F.struct(start(j).alias("start"), (F.coalesce(F.get("from", j), F.col("n_lines")) - start(j)).alias("length"))
+    keep = F.filter(F.transform(F.sequence(F.lit(0), F.size("to")), stretch), lambda r: r["length"] > 0)
+    return gone.select("doc_id", "mark", F.col("n_lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), keep.alias("keep"))
 
 
 def kept_text(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and the text that is left in ``text``; every other column stays as it is."""
-    marked = docs.join(first_occurrences(docs, min_chars).withColumnRenamed("drop", "_drop"), "doc_id", "left")
+    bitmaps = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("n_dropped").alias("_n"), F.col("keep").alias("_keep"))
+    both = docs.join(bitmaps, (F.col("doc_id") == F.col("_doc")) & (_text_mark(F.col("text")) == F.col("_mark")), "left")
     lines = _lines(F.col("text"))
-    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drop", _hash(line_key(x), min_chars)), F.lit(False)))
-    touched = F.col("_drop").isNotNull()
-    out = marked.withColumn("_stays", F.when(touched, stays))
-    return out.withColumns(
+    left = F.flatten(F.transform("_keep", lambda r: F.slice(lines, r["start"] + 1, r["length"])))
+    out = both.withColumns(
         {
             "n_lines": F.size(lines).cast("long"),
-            "n_dropped": F.when(touched, F.size(lines) - F.size("_stays")).otherwise(0).cast("long"),
-            "text": F.when(touched, F.array_join("_stays", "\n")).otherwise(F.coalesce("text", F.lit(""))),
+            "n_dropped": F.coalesce("_n", F.lit(0).cast("long")),
+            "text": F.when(F.col("_doc").isNotNull(), F.array_join(left, "\n")).otherwise(F.coalesce("text", F.lit(""))),
         }
-    ).drop("_drop", "_stays")
+    )
+    return out.drop("_doc", "_mark", "_n", "_keep")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
