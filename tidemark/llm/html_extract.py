@@ -174,8 +174,10 @@ def _example(html: str) -> tuple[list[tuple[str, ...]], list[int], list[int]]:
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES, max_nodes: int = MAX_NODES) -> TreeModel:
     """A model from ``LABELLED`` and at most ``sample`` pages of at most ``max_nodes`` elements that mark their article."""
-    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).where(F.length("html") < 40 * max_nodes)
-    chosen = marked.orderBy(F.xxhash64("html"), "html").select("html").limit(sample).collect()
+    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).where(F.length("html") < 40 * max_nodes).withColumn("h", F.xxhash64("html"))
+    # the least hashes first, as numbers; then just their pages come to the driver, copies once
+    least = [r.h for r in marked.groupBy("h").count().orderBy("h").select("h").limit(sample).collect()]
+    chosen = marked.where(F.col("h") <= least[-1]).select("html").distinct().orderBy("html").collect() if least else []
     examples = [_example(h) for h in LABELLED] * 3 + [e for e in (_example(r.html) for r in chosen) if len(e[0]) <= max_nodes]
     return TreeModel().fit(examples)
 
