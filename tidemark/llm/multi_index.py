@@ -5,8 +5,8 @@ sample; a row's cell is its pair of centroids, and every row is indexed.  A quer
 distance to both centroids, with a heap, until the cells hold ``visit`` of all rows; their entries are reranked by
 the exact Euclidean distance.
 
-Work is cut into blocks: cells are gathered into buckets of about ``bucket_rows`` rows, a larger cell is spread over
-several; queries are cut into blocks of ``query_rows``; a task holds one of each and returns ten rows per query.  What
+Work is cut into blocks: cells are gathered into buckets of ``bucket_rows`` rows at most (two buckets a partition, of 512
+to 32,768 rows), a larger cell is spread over several; queries are cut into blocks of ``query_rows``; a task holds one of each and returns ten rows per query.  What
 the driver holds is the codebooks and the k * k cell sizes.
 
 The vectors of the given tables are close to uniform on a sphere of 64 dimensions, where no index can skip much: on
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import partitions, stored, table
 from tidemark.llm.vectors import matrix, usable
 
-K, VISIT, SAMPLE, TOP = 32, 0.5, 10_000, 10
+K, VISIT, SAMPLE, TOP = 32, 0.5, 8_000, 10
 
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ def nearest(q: np.ndarray, x: np.ndarray, allowed: np.ndarray, ids: np.ndarray,
         yield i, pick[best], exact[best]
 
 
-def search(vectors: DataFrame, is_query, top: int = TOP, k: int = K, visit: float = VISIT, sample: int = SAMPLE, bucket_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, is_query, top: int = TOP, k: int = K, visit: float = VISIT, sample: int = SAMPLE, bucket_rows: int | None = None, query_rows: int = 1024) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the nearest rows found for every row of ``vectors`` where ``is_query`` holds."""
     spark = vectors.sparkSession
     n_parts = partitions(spark)
@@ -96,9 +96,11 @@ def search(vectors: DataFrame, is_query, top: int = TOP, k: int = K, visit: floa
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1)).select("query_id", "rank", "vec_id", "score")
     d, n_rows = widths["d"], widths["count"]
     rows = rows.where(F.size("embedding") == d)
+    bucket_rows = bucket_rows or min(32768, max(512, n_rows // (2 * n_parts)))
     half = (d + 1) // 2
-    # at most ``sample`` vectors, chosen by a hash of the id
-    fitted = np.stack([np.array(r.embedding, dtype=np.float64) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(sample).collect()])
+    # about ``sample`` vectors, chosen by a hash of the id, and never more than twice as many
+    chosen = rows if n_rows <= sample else rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)) < sample)
+    fitted = np.stack([np.array(r.embedding, dtype=np.float64) for r in sorted(chosen.select("vec_id", "embedding").limit(2 * sample).collect(), key=lambda r: (r.vec_id, str(r.embedding)))])
     k = max(1, min(k, len(fitted) // 8))
     books = [codebook(fitted[:, :half], k), codebook(fitted[:, half:] if d > half else np.zeros((len(fitted), 1)), k)]
     parts = lambda x: (x[:, :half], x[:, half:] if d > half else np.zeros((len(x), 1)))
