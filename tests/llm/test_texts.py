@@ -133,6 +133,38 @@ def test_passages_by_definition(spark):
     assert len(rest) == len({i for i, _, _ in rows}) and rest[90] is None and rest[1] == rows[1][1]
 
 
+def test_runs_that_begin_inside_sentences_and_of_short_sentences(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    inner = " ".join(word() + "." * (k % 17 == 16) for k in range(50))
+    short = " ".join(word() + ".!!" for _ in range(150))
+    texts = {}
+    for i in range(40):
+        own = [word() for _ in range(r.randint(60, 120))]
+        at = r.randrange(5, 50)
+        texts[i] = " ".join([*own[:at], inner, *own[at:]] if i % 4 == 0 else own)
+    texts |= {50: short, 51: short, 52: "x " * 200, 53: short.upper().replace(" ", "\n"), 54: "", 55: "a b c"}
+    found = passage_dedup.repeated_runs(documents(spark, [(i, t, "s") for i, t in texts.items()])).collect()
+    first, wanted = {}, {}  # by brute force: words of each document that lie in a run of 50 that an earlier document has
+    covered = {}
+    for size, marks in ((50, wanted), (4, covered)):
+        first.clear()
+        for i, t in texts.items():
+            words = t.casefold().split()
+            for k in range(len(words) - size + 1):
+                if first.setdefault(tuple(words[k : k + size]), i) != i:
+                    marks.setdefault(i, set()).update(range(k, k + size))
+    got = {g.doc_id for g in found}
+    assert set(wanted) == {4, 8, 12, 16, 20, 24, 28, 32, 36, 51, 53} and got == {*wanted, 52}
+    for g in found:
+        words = texts[g.doc_id][: g.start].split(), texts[g.doc_id][g.start : g.end].split()
+        assert g.n_words == len(words[1]) >= 30
+        if g.doc_id != 52:  # nothing but repeated words goes
+            assert set(range(len(words[0]), len(words[0]) + g.n_words)) <= covered[g.doc_id]
+    rest = {x.doc_id: x.text for x in passage_dedup.without_passages(documents(spark, [(i, t, "s") for i, t in texts.items()]), passage_dedup.repeated_runs).collect()}
+    assert rest[50] == short and rest[51] == rest[53] == "" and 30 <= len(rest[52].split()) < 60 and rest[1] == texts[1]
+
+
 @pytest.mark.parametrize(("kind", "places"), [("line", [(0, 5), (6, 11), (13, 18)]), ("paragraph", [(0, 11), (13, 18)]), ("sentence", [(0, 5), (6, 11), (13, 18)])])
 def test_units_keep_offsets(kind, places):
     assert [u[1:3] for u in passage_dedup.units("a b c\nd e f\n\nG h i", kind, 3)] == places

@@ -6,12 +6,17 @@ then place) stays and the rest are repeats.  Repeats that follow each other in a
 ``min_words`` words in such units and more are reported for removal with their code point offsets in the original text.  Units
 shorter than ``unit_words`` are too common to tell anything: they are not hashed, and go with a passage they lie in.
 
+Sentences alone miss passages that begin or end inside one, and texts of very short ones.  ``repeated_runs``, which the
+query runs, adds windows of ``min_words`` words: of every ``sure - min_words + 1`` windows in a row the one with the lowest
+hash, and the first and last of a text.  What is chosen depends on the words in it alone, so a run of ``sure`` words that
+repeats holds a chosen window that repeats, wherever it begins.  Windows and sentences that meet make one passage.
+
 Plan: units and digests are made in the scan; digests, places and offsets are shuffled, texts are not.  First occurrences
 come from a partially aggregated minimum, so a passage that a third of all documents share is one row per task; the join
 back is one whose hot partitions adaptive execution can split.
 
 Defined cases: null and empty texts have no units; a passage repeated inside one document goes too; rows without doc_id
-have no rank and take no part; rows that repeat a doc_id have equal ranks, so they keep what their twin keeps.
+have no rank and take no part; rows that repeat a doc_id have equal ranks, so they keep what their twin keeps; of a run that repeats by overlapping itself, the part clear of the first occurrence goes.
 """
 
 from __future__ import annotations
@@ -28,7 +33,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import skew_join, table, text_chunks
 
 SEPARATORS = {"sentence": re.compile(r"(?<=[.!?])\s+|\n\s*"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
-UNIT_WORDS, MIN_WORDS = 4, 30
+UNIT_WORDS, MIN_WORDS, SURE_WORDS = 4, 30, 50
+#: White space as ``str.split`` reads it, by code point.
+SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
+KNOWN_WORDS = 1 << 20
 
 
 def units(text: str, kind: str = "sentence", unit_words: int = UNIT_WORDS) -> list[tuple[int, int, int, int, bytes]]:
@@ -78,9 +86,101 @@ def repeated_passages(docs: DataFrame, kind: str = "sentence", unit_words: int =
     return passages.where(F.col("n_words") >= min_words).drop("run")
 
 
-def without_passages(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the reported passages cut out of ``text``."""
-    cuts = repeated_passages(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+class WordHashes(dict):
+    """64-bit hashes of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = out = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return out
+
+
+def _factors(n: int, seed: int) -> np.ndarray:
+    """``n`` odd 64-bit numbers, the same for every text (splitmix64)."""
+    z = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))) | np.uint64(1)
+
+
+def spans(text: str, hashes: WordHashes, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, sure: int = SURE_WORDS) -> tuple[np.ndarray, ...] | None:
+    """``(word, words, after, start, end, high, low)`` of the sentences and chosen windows of a text, or None.
+
+    ``word`` counts all words of the text; ``after`` is where the long sentence before ends (a window's own ``word``).
+    """
+    inside = ~SPACE[np.minimum(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), len(SPACE) - 1)]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begin, close = edges[::2], edges[1::2]
+    n = len(begin)
+    if n < unit_words:
+        return None
+    h = np.fromiter(map(hashes.__getitem__, [w.casefold() for w in text.split()]), dtype=np.uint64, count=n)
+
+    cuts = np.unique(np.searchsorted(begin, [0, *(m.end() for m in SEPARATORS["sentence"].finditer(text)), len(text)]))
+    size = np.diff(cuts)
+    place = np.arange(n) - np.repeat(cuts[:-1], size)
+    long = np.flatnonzero(size >= unit_words)
+    sums = [np.add.reduceat(h * _factors(int(size.max()), seed)[place], cuts[:-1])[long] for seed in (1, 2)]
+    word, words = cuts[:-1][long], size[long]
+    after = np.concatenate([word[:1], (word + words)[:-1]])
+
+    m, w = n - min_words + 1, sure - min_words + 1
+    if m > 0:
+        first = np.correlate(h, _factors(min_words, 1), "valid")
+        lowest = np.lib.stride_tricks.sliding_window_view(first, min(m, w)).argmin(axis=1)
+        chosen = np.unique(np.concatenate([[0], lowest + np.arange(len(lowest)), [m - 1]]))
+        second = (np.lib.stride_tricks.sliding_window_view(h, min_words)[chosen] * _factors(min_words, 2)).sum(axis=1, dtype=np.uint64)
+        word, words, after = np.concatenate([word, chosen]), np.concatenate([words, np.full(len(chosen), min_words)]), np.concatenate([after, chosen])
+        sums = [np.concatenate([sums[0], first[chosen]]), np.concatenate([sums[1], second])]
+    return word, words, after, begin[word], close[word + words - 1], sums[0].view(np.int64), sums[1].view(np.int64)
+
+
+def span_table(docs: DataFrame, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, sure: int = SURE_WORDS) -> DataFrame:
+    """``(doc_id, word, words, after, start, end, high, low)``, a row per sentence and chosen window."""
+    names = ["word", "words", "after", "start", "end", "high", "low"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in text_chunks(batches, 4 << 20):
+            found = [spans(t or "", hashes, unit_words, min_words, sure) for t in batch.column("text").to_pylist()]
+            some = [f for f in found if f is not None]
+            if not some:
+                continue
+            owner = np.repeat(np.arange(len(found)), [0 if f is None else len(f[0]) for f in found])
+            columns = [pa.array(np.concatenate(c), pa.int64() if k > 4 else pa.int32()) for k, c in enumerate(zip(*some))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), *columns], names=["doc_id", *names])
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, word int, words int, after int, start int, end int, high long, low long")
+
+
+def repeated_runs(docs: DataFrame, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, sure: int = SURE_WORDS) -> DataFrame:
+    """As ``repeated_passages``, from sentences and windows: runs of ``sure`` words that repeat are found wherever they begin.
+
+    ``n_words`` are all words between start and end, and ``n_units`` the sentences and windows that repeat there.
+    """
+    if not 0 < unit_words <= min_words <= sure:
+        raise ValueError("0 < unit_words <= min_words <= sure")
+    every = span_table(docs, unit_words, min_words, sure)
+    at = F.struct("doc_id", "word")
+    firsts = every.groupBy("high", "low").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("high", F.col("low").alias("same"), "first")
+    clear = (F.col("doc_id") > F.col("first.doc_id")) | (F.col("word") >= F.col("first.word") + F.col("words"))
+    back = skew_join(every, firsts, "high").where((F.col("low") == F.col("same")) & (at > F.col("first")) & clear)
+    rows = back.select("doc_id", "word", "words", "after", "start", "end", F.col("first.doc_id").alias("kept_doc_id")).distinct()
+    order = Window.partitionBy("doc_id").orderBy("word", "words", "after", "kept_doc_id")
+    reach = F.max(F.col("word") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("apart", F.coalesce(F.col("after") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(order))
+    passages = rows.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("n_words"), F.count("*").alias("n_units"),
+        F.min_by("kept_doc_id", F.struct("word", "words", "kept_doc_id")).alias("kept_doc_id"), F.sum("words").alias("hashed"),
+    )
+    return passages.where(F.col("hashed") >= min_words).drop("run", "hashed")
+
+
+def without_passages(docs: DataFrame, find=repeated_passages, **options) -> DataFrame:
+    """``docs`` with the passages that ``find`` reports cut out of ``text``."""
+    cuts = find(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     both = docs.join(cuts, "doc_id", "left")
     n = F.size("_cuts")
     from_ = lambda i: F.when(i == 0, 0).otherwise(F.element_at("_cuts", F.greatest(i, F.lit(1)))["end"])
@@ -90,4 +190,4 @@ def without_passages(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_runs(table(spark, sf_dir, "documents"))
