@@ -655,6 +655,12 @@ def published_frames(spark, sf_dir):
     return rounded(spark.read.parquet(paths["bars"]).where("symbol <= 40").select("symbol", "ts", "close"))
 
 
+@query("K5_published_bars", f"WITH {BARS} SELECT symbol, ts, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume FROM bars")
+def published_bars(spark, sf_dir):
+    paths = sinks.publish({"bars": supplier_bars(spark, sf_dir)}, live.scratch(spark))
+    return rounded(spark.read.parquet(paths["bars"]).select("symbol", "ts", "open", "high", "low", "close", "volume"))
+
+
 @query("K2_published_trades", f"WITH RECURSIVE {RESULT_SQL} SELECT 'trades' AS name, count(*) AS n_rows FROM id UNION ALL SELECT 'boxes', count(*) FROM id UNION ALL SELECT 'results', count(*) FROM r UNION ALL SELECT 'summary', count(DISTINCT symbol) FROM r")
 def published_trades(spark, sf_dir):
     out = trades.back_test(_rule_frame(spark, sf_dir), RULE, supplier_bars(spark, sf_dir))
