@@ -36,8 +36,28 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.live_source(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
 
 
-def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
+#: Rows of a micro-batch at most, where an operator takes a symbol's rows of a batch at once.
+BATCH_ROWS = 500_000
+
+
+def ordered_stream(spark: SparkSession, sf_dir: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """The events as a stream in order of time, in micro-batches of at most ``rows`` rows, however large the table is.
+
+    The rows are dealt by ranges of time and written as files whose names are in order of time; a batch takes as many
+    files as hold ``rows`` rows if each were as large as the largest.
+    """
+    events, folder = spark.read.parquet(f"{sf_dir}/events.parquet"), f"{scratch(spark)}/in"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(parts, -(-events.count() // rows)))
+    events.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.option("maxRecordsPerFile", rows).parquet(folder)
+    live.in_name_order(spark, folder)
+    files = spark.read.schema(events.schema).parquet(folder).groupBy(F.col("_metadata.file_name")).count()
+    largest = files.agg(F.max("count")).first()[0] or rows
+    return live.live_source(spark, folder, events.schema, maxFilesPerTrigger=str(max(1, rows // largest)))
+
+
+def _ticks(spark: SparkSession, sf_dir: str, stream=events_stream) -> DataFrame:
+    return stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
 
 
 LIVE_RULE = trades.Rule(("value", "level"), 2.0, ("value", "goal"), 0.5, 0.5, 25)
@@ -65,12 +85,12 @@ def st3_row_wise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st4_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.use_rocksdb(spark)
-    return replayed(live.live_rolling(_ticks(spark, sf_dir), "value", 14)).select("symbol", "ts", F.round("x", 4).alias("x"), F.round("value", 4).alias("value"))
+    return replayed(live.live_rolling(_ticks(spark, sf_dir, ordered_stream), "value", 14)).select("symbol", "ts", F.round("x", 4).alias("x"), F.round("value", 4).alias("value"))
 
 
 def st5_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.use_rocksdb(spark)
-    return replayed(live.live_trades(with_signals(_ticks(spark, sf_dir)), LIVE_RULE))
+    return replayed(live.live_trades(with_signals(_ticks(spark, sf_dir, ordered_stream)), LIVE_RULE))
 
 
 def st6_newest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,20 @@ def live_source(spark: SparkSession, path: str, schema: StructType | str, format
     return spark.readStream.format(format).schema(schema).options(**options).load(path)
 
 
+def in_name_order(spark: SparkSession, folder: str) -> None:
+    """Set the times of a folder's Parquet files in order of their names; a stream takes files in order of their times."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda: sorted([(f.getPath().getName(), f.getModificationTime(), f.getPath()) for f in fs.listStatus(hadoop) if f.getPath().getName().endswith(".parquet")], key=lambda f: f[0])
+    files = names()
+    start = max((t for _, t, _ in files), default=0)
+    for i, (_, _, path) in enumerate(files):
+        fs.setTimes(path, start + 1000 * i, -1)
+    times = [t for _, t, _ in names()]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise OSError(f"{folder}: this storage keeps no times that are set")
+
+
 def run_live(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, seconds: float | None = None, mode: str = "append") -> StreamingQuery:
     """Poll every interval for a duration; without an interval take what is there and end."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A symbol's rows of one micro-batch; the source bounds them (``plans/live.py: ordered_stream``)."""
     rows = pd.concat(list(batches))
     return rows.sort_values("ts", kind="stable")
 
@@ -26,10 +28,10 @@ class Rolling(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         kept = [r[0] for r in self.last.get()]
         rows = _in_order(rows)
-        series = pd.Series([*kept, *rows.x.tolist()], dtype="float64")
+        series = pd.Series(np.concatenate([np.array(kept, dtype="float64"), rows.x.to_numpy(dtype="float64")]))
         window = series.rolling(self.n, min_periods=self.n)
         out = {"mean": window.mean, "std": lambda: window.std().fillna(0.0) if self.n > 1 else series * 0.0}[self.kind]()
-        self.last.put([(v,) for v in series.tolist()[-(self.n - 1) :]] if self.n > 1 else [])
+        self.last.put([(v,) for v in series.iloc[-(self.n - 1) :].tolist()] if self.n > 1 else [])
         yield pd.DataFrame({"symbol": rows.symbol.to_numpy(), "ts": rows.ts.to_numpy(), "x": rows.x.to_numpy(), "value": out.to_numpy()[len(kept) :]})
 
     def close(self) -> None:
