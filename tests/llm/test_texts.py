@@ -50,6 +50,21 @@ def test_line_dedup_by_definition(spark):
     assert line_dedup.kept_text(docs.limit(0)).count() == 0
 
 
+def test_folded_lines_are_equal_only_without_ascii_case(spark):
+    r = random.Random(3)
+    letters = "aAbBzZ@[`{ éÉçÇ×÷ßẞÀàŸÿµªİıſKΣσςЖж़अ가힣\uffee😀𐐀𐐨" + chr(0x7FF) + chr(0x800) + chr(0xC0) + chr(0x10FFFF)
+    texts = sorted({"".join(r.choice(letters) for _ in range(r.choice([1, 2, 3]))) for _ in range(6000)} | {chr(c) for c in range(0x80, 0x3000)})
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", line_dedup.folded(F.col("t")).alias("f")).collect()
+    plain = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    assert len({g.f for g in got}) == len({plain(g.t) for g in got}) == len({(g.f, plain(g.t)) for g in got})
+
+
+def test_one_line_over_many_ranges(spark):
+    rows = [(i, f"the very common line\nown line number {i}\n" + "the very common line\n" * (i % 3), "s") for i in range(500)]
+    got = line_dedup.kept_text(documents(spark, rows))
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == lines_by_definition(rows)
+
+
 def test_keep_bitmaps_agree_with_kept_texts(spark):
     docs = documents(spark, [(i, t, s) for i, t, s in ODD if i not in (5, 1)])
     kept = {r.doc_id: r for r in line_dedup.kept_text(docs).collect()}

@@ -4,54 +4,71 @@ Every text is split at newlines.  A line's key is the line without ASCII white s
 lower case.  Keys of at least ``min_chars`` code points that occur in two documents or more keep their lines in the
 smallest document only.  The operator returns bitmaps, not texts.
 
-Plan: lines become 128-bit hashes inside the scan; the rows ``(hash, doc_id, place)`` are range-partitioned by hash with
-a secondary sort by document and place, so one very common line is spread over neighbouring partitions.  Each partition
-streams its runs into first and last document, and a second, partially aggregated step joins runs that cross a border.
-Only keys of two documents go back to the rows they drop.  A document's dropped places become its bitmap: stretches of
-kept lines.  Texts are not shuffled for that; they meet their bitmaps when the caller asks for what is left of them.
-
-Defined cases: a null or empty text is one empty line; repeated lines inside one document all stay or all go;
-rows that share a ``doc_id`` are one document as far as "two documents" is concerned, and each keeps its own row and
-bitmap (rows are told apart by a hash of the text);
-rows with a null ``doc_id`` pass through untouched.  Extra columns are ignored by the operator.
+Plan: one scan turns lines into 128-bit hashes of their keys and stores the rows ``(hash, doc_id, place)``.  Those small
+rows are range-partitioned by hash, document and place, so one very common line is spread over neighbouring partitions,
+and sorted; a running first document is streamed along each run of equal hashes.  A run may cross a border only with the
+first or last hash of a partition: for these, two a partition at most, the first document is looked up in a small table.
+A document's dropped places become its bitmap: stretches of kept lines.  Texts are not shuffled for that; they meet their
+bitmaps when the caller asks for what is left of them.
+
+Defined cases: a null or empty text is one empty line; very long lines and texts are taken whole; repeated lines inside
+one document all stay or all go; rows that share a ``doc_id`` are one document as far as "two documents" is concerned,
+and each keeps its own row and bitmap (rows are told apart by a hash of the text); rows with a null ``doc_id`` pass through
+untouched; an empty table gives an empty result.  Other columns are passed on as they are, but for ``n_lines`` and
+``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import partitions, skew_join, table
+from tidemark.llm.shared import partitions, stored, table
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS = " \t\n\x0b\x0c\r"
+HASH = ["h1", "h2"]
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.trim(line, F.lit(ENDS)), UPPER, LOWER)
+def folded(x: Column) -> Column:
+    """A text that two lines have in common just if they are equal with A-Z in lower case.
+
+    The bytes are read as Latin-1 and put in lower case.  That changes A-Z, and first bytes of two-byte characters to those
+    of longer ones; as the number of bytes that follow stays, different characters stay different.  It takes half the
+    time of a translation of 26 letters.
+    """
+    return F.lower(F.decode(x.cast("binary"), "ISO-8859-1"))
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hash(key: Column, min_chars: int) -> Column:
-    """128 bits as a binary value; null for keys that are too short to count."""
-    return F.when(F.char_length(key) >= min_chars, F.unhex(F.md5(key.cast("binary"))))
-
-
 def _text_mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def hashed_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+    """``(h1, h2, doc_id, mark, place, n_lines)`` of the lines whose key counts; places count from 0."""
+    text = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _text_mark(F.col("text")).alias("mark"), _lines(F.col("text")).alias("lines"))
+    # the outer form: an array is never empty here, and the plain one would split every text twice to make sure of that
+    rows = text.select("doc_id", "mark", F.size("lines").alias("n_lines"), F.posexplode_outer("lines").alias("place", "line"))
+    rows = rows.withColumn("line", F.trim("line", F.lit(ENDS))).where(F.char_length("line") >= min_chars).withColumn("line", folded(F.col("line")))
+    return rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "mark", "place", "n_lines")
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """``(doc_id, mark, place, n_lines)``: a row per line that an earlier document holds; places count from 0."""
-    n = partitions(docs.sparkSession)
-    hashes = F.transform(_lines(F.col("text")), lambda x: _hash(line_key(x), min_chars))
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _text_mark(F.col("text")).alias("mark"), F.size(_lines(F.col("text"))).alias("n_lines"), F.posexplode(hashes).alias("place", "h"))
-    own = rows.where(F.col("h").isNotNull()).repartitionByRange(n, "h", "doc_id", "place").sortWithinPartitions("h", "doc_id", "place")
-    firsts = own.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    return skew_join(own, firsts, "h").where("doc_id > first").select("doc_id", "mark", "place", "n_lines")
+    order = [*HASH, "doc_id", "place"]
+    rows = stored(hashed_lines(docs, min_chars), "lines")
+    dealt = stored(rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    run = Window.partitionBy("part", *HASH).orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, 0)
+    streamed = dealt.withColumn("first", F.first("doc_id").over(run))
+    # two rows a partition at most, so they can be broadcast whatever the size of the tables
+    ends = dealt.groupBy("part").agg(F.min(F.struct(*HASH)).alias("low"), F.max(F.struct(*HASH)).alias("high"))
+    ends = ends.select(F.explode(F.array("low", "high")).alias("h")).select("h.*").distinct()
+    crossing = dealt.join(F.broadcast(ends), HASH).groupBy(*HASH).agg(F.min("doc_id").alias("over_all"))
+    gone = streamed.join(F.broadcast(crossing), HASH, "left").where(F.col("doc_id") > F.coalesce("over_all", "first"))
+    return gone.select("doc_id", "mark", "place", "n_lines")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -70,17 +87,24 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return gone.select("doc_id", "mark", F.col("n_lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), keep.alias("keep"))
 
 
+def _left(text: Column, keep: Column) -> Column:
+    """The lines of the stretches ``keep``, joined again; texts and bitmaps are walked once, side by side."""
+    end = lambda i: F.coalesce(F.get(keep, i - 1)["start"] + F.get(keep, i - 1)["length"], F.lit(0))
+    times = lambda bit, n: F.array_repeat(F.lit(bit), n.cast("int"))
+    bits = F.transform(keep, lambda r, i: F.concat(times(False, r["start"] - end(i)), times(True, r["length"])))
+    return F.array_join(F.zip_with(_lines(text), F.flatten(bits), lambda line, bit: F.when(bit, line)), "\n")
+
+
 def kept_text(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and the text that is left in ``text``; every other column stays as it is."""
     bitmaps = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("n_dropped").alias("_n"), F.col("keep").alias("_keep"))
     both = docs.join(bitmaps, (F.col("doc_id") == F.col("_doc")) & (_text_mark(F.col("text")) == F.col("_mark")), "left")
-    lines = _lines(F.col("text"))
-    left = F.flatten(F.transform("_keep", lambda r: F.slice(lines, r["start"] + 1, r["length"])))
+    text = F.coalesce("text", F.lit(""))
     out = both.withColumns(
         {
-            "n_lines": F.size(lines).cast("long"),
+            "n_lines": F.size(_lines(F.col("text"))).cast("long"),
             "n_dropped": F.coalesce("_n", F.lit(0).cast("long")),
-            "text": F.when(F.col("_doc").isNotNull(), F.array_join(left, "\n")).otherwise(F.coalesce("text", F.lit(""))),
+            "text": F.when(F.col("_doc").isNull(), text).otherwise(_left(text, F.col("_keep"))),
         }
     )
     return out.drop("_doc", "_mark", "_n", "_keep")
