@@ -1,10 +1,12 @@
+import math
+import random
 from datetime import timedelta
 
 import pandas as pd
 import pytest
 from series_help import START, values
 
-from tidemark.operators import align, select
+from tidemark.operators import align, long_series, select
 
 
 def timed(spark, rows, column="v"):
@@ -13,8 +15,6 @@ def timed(spark, rows, column="v"):
 
 @pytest.mark.parametrize("minutes", [None, 7])
 def test_asof_equals_merge_asof(spark, minutes):
-    import random
-
     r = random.Random(5)
     left = [(s, m, float(m)) for s in "ab" for m in sorted(r.sample(range(300), 60))]
     right = [(s, m, r.choice([None, 1.0 * m])) for s in "ab" for m in sorted(r.sample(range(300), 25))]
@@ -49,6 +49,31 @@ def test_finest_timeline_is_master(spark):
         align.align_asof([(timed(spark, []), "v", "E0"), (timed(spark, []), "v", "X0")], timedelta(1))
 
 
+NAN = float("nan")
+
+
+def test_nan_is_a_value(spark, frame):
+    df = frame({"a": [1.0, None, NAN, 4.0]})
+    assert [r.ts.day for r in select.without_nulls(df).orderBy("ts").collect()] == [1, 3, 4]
+    left = timed(spark, [("a", m, 0.0) for m in (1, 3, 5)], "x")
+    right = timed(spark, [("a", 0, 1.0), ("a", 2, NAN), ("a", 4, None)])
+    got = [r.v for r in align.asof_backward(left, right, ["v"]).orderBy("ts").collect()]
+    assert got[0] == 1.0 and math.isnan(got[1]) and math.isnan(got[2])
+    both = align.align_asof([(left, "x", "E0"), (right, "v", "X0")], timedelta(minutes=3)).orderBy("ts").collect()
+    assert [r.X0 for r in both][0] == 1.0 and all(math.isnan(r.X0) for r in both[1:])
+
+
+@pytest.mark.parametrize("minutes", [None, 7])
+@pytest.mark.parametrize("size", [3, 1000])
+def test_asof_of_long_series_is_the_same(spark, minutes, size):
+    r = random.Random(6)
+    left = timed(spark, [(s, m, float(m)) for s in "ab" for m in sorted(r.sample(range(300), 60))], "x")
+    right = timed(spark, [(s, m, r.choice([None, 1.0 * m])) for s in "ab" for m in sorted(r.sample(range(300), 25))])
+    tolerance = None if minutes is None else timedelta(minutes=minutes)
+    a, b = (sorted((x.symbol, x.ts, x.x, x.v) for x in f.collect()) for f in (align.asof_backward(left, right, ["v"], tolerance), long_series.asof_backward(left, right, ["v"], tolerance, size)))
+    assert str(a) == str(b) and len(a) == 120
+
+
 def test_missing_field_is_an_error(frame):
     with pytest.raises(ValueError, match="no such"):
         select.pull(frame({"a": [1.0]}), "close")

@@ -33,3 +33,36 @@ def test_small_batches_change_no_result(spark, monkeypatch):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{DATA}/events.parquet')")
     assert same(cut[0], con.execute(plans.ORACLES["ST4_live_rolling"]).df())
+
+
+def test_upserts_write_changes_only(spark, tmp_path):
+    path, keys = f"file://{tmp_path}/table", ["k"]
+    sink = live.upsert_into(path, keys, merge_every=3)
+    rows = {}
+    for number in range(7):
+        batch = {(number * 2 + i) % 5: number for i in range(2)}
+        rows |= batch
+        df = spark.createDataFrame(list(batch.items()), "k long, v long")
+        sink(df, number)
+        if number == 4:
+            sink(df, number)  # a batch that is run again
+        assert spark.read.parquet(f"{path}/version={number}").count() == 2
+        assert {r.k: r.v for r in live.newest(spark, path, keys).collect()} == rows
+    assert spark.read.parquet(f"{path}/whole=5").count() == 5
+
+
+def test_rolling_returns(spark, tmp_path):
+    import math
+
+    x = [10.0, 11.0, 0.0, 12.0, 13.0, 12.5, 14.0, 13.0]
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "symbol string, i int, x double").selectExpr("symbol", "timestamp_seconds(i) AS ts", "x")
+    for part in range(3):
+        rows.where(f"unix_seconds(ts) BETWEEN {3 * part} AND {3 * part + 2}").coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
+    live.use_rocksdb(spark)
+    r = [None] + [math.log(b / a) if a > 0 and b > 0 else None for a, b in zip(x, x[1:])]
+    for kind, wanted in (("log_return", r), ("return", [None, None] + [abs(a - b) / math.sqrt(2) * math.sqrt(252) if a is not None and b is not None else None for a, b in zip(r[1:], r[2:])])):
+        out = []
+        stream = live.live_source(spark, f"{tmp_path}/in/*", rows.schema, maxFilesPerTrigger="1")
+        live.run_live(live.live_rolling(stream, "x", 2, kind), lambda df, _: out.extend(df.collect()), f"{tmp_path}/{kind}")
+        got = [v.value for v in sorted(out, key=lambda v: v.ts)]
+        assert all((a is None or a != a) == (b is None) and (b is None or abs(a - b) < 1e-9) for a, b in zip(got, wanted)), (got, wanted)

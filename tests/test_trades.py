@@ -1,4 +1,5 @@
 import random
+from datetime import timedelta
 
 import pytest
 from series_help import START
@@ -56,6 +57,40 @@ def test_doubling_gives_the_same_picks(spark):
         assert sorted(trades.greedy_picks(df, step).collect()) == sorted(trades.greedy_picks_by_doubling(df, step).collect())
 
 
+def test_trades_by_doubling_are_the_same(frame):
+    df = frame({"a": rows_of(1, 120), "b": rows_of(2, 60), "c": rows_of(3, 1)}, ("p", "q", "x", "y"))
+    for entry, exit, stop, hold in RULES[:3]:
+        rule = trades.Rule(("p", "q"), entry, ("x", "y"), exit, stop, hold)
+        a, b = (sorted(map(str, trades.find_trades(df, rule, picks=p).collect())) for p in ("walk", "doubling"))
+        assert a == b and a
+    with pytest.raises(ValueError):
+        trades.find_trades(df, rule, picks="other")
+
+
+@pytest.mark.parametrize("how", ["exact", "position", "asof"])
+def test_trades_over_two_frames(frame, how):
+    rows = rows_of(5, 80)
+    whole = frame({"a": rows}, ("p", "q", "x", "y"))
+    one, two = whole.select("symbol", "ts", "p", "x"), whole.select("symbol", "ts", "q", "y")
+    rule = trades.Rule(("one.p", "two.q"), 3.0, ("one.x", "two.y"), 1.0, 0.1, 9)
+    joined, own = trades.over_frames({"one": one, "two": two}, rule, how, timedelta(0) if how == "asof" else None)
+    got = sorted((t.entry_idx, t.close_idx) for t in trades.find_trades(joined, own).collect())
+    wanted = scan(rows, trades.Rule(("p", "q"), 3.0, ("x", "y"), 1.0, 0.1, 9))
+    if how != "asof":  # an as-of join leaves out nulls of a column before it carries values
+        assert got == sorted((e, li if x is None else x) for e, x, li in wanted)
+    assert got and joined.columns == ["symbol", "ts", "E0", "E1", "X0", "X1"]
+    paired, _ = trades.over_frames({"one": one, "two": two.withColumn("symbol", F.lit("b"))}, rule, "position", pair="a/b")
+    assert {r.symbol for r in paired.collect()} == {"a/b"} and paired.count() == 80
+    with pytest.raises(ValueError, match="no such column"):
+        trades.over_frames({"one": one}, rule)
+
+
+def test_long_lists_of_deltas_are_cut(spark):
+    results = spark.createDataFrame([("a", i, float(i)) for i in range(1, 8)] + [("b", 1, 5.0)], "symbol string, trade_no int, delta double")
+    got = {(r.symbol, r.chunk): r.deltas for r in trades.delta_lists(results, 3).collect()}
+    assert got == {("a", 0): [1.0, 2.0, 3.0], ("a", 1): [4.0, 5.0, 6.0], ("a", 2): [7.0], ("b", 0): [5.0]}
+
+
 def test_rules_are_checked():
     for bad in ((("p",), ("x",), 1), (("p", "q"), (), 1), (("p", "q"), ("x",), -1)):
         with pytest.raises(ValueError):

@@ -7,11 +7,14 @@ Fills run inside buckets and are then carried over the small table of bucket end
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import finite
 from tidemark.functions.storage import checkpointed
+from tidemark.operators.select import without_nulls
 
 
 def with_index(df: DataFrame, parts: int | None = None) -> DataFrame:
@@ -70,6 +73,29 @@ def bucketed_volatility(df: DataFrame, x: str, out: str, n: int, size: int) -> D
     return bucketed(df, make, size, n - 1)
 
 
+def bucketed_carry(df: DataFrame, x: str, out: str, size: int) -> DataFrame:
+    """The last value of ``x`` at or before each row that is not null: inside buckets first, then from the buckets before."""
+    rows = df.withColumn("bucket", F.floor(F.col("idx") / size))
+    ends = rows.groupBy("symbol", "bucket").agg(F.max_by(x, F.when(F.col(x).isNotNull(), F.col("idx"))).alias("_end"))
+    past = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("symbol", "bucket", F.last("_end", ignorenulls=True).over(past).alias("_past"))
+    own = F.last(x, ignorenulls=True).over(Window.partitionBy("symbol", "bucket").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_own", own).join(ends, ["symbol", "bucket"]).withColumn(out, F.coalesce("_own", "_past")).drop("bucket", "_own", "_past")
+
+
+def asof_backward(master: DataFrame, other: DataFrame, columns: list[str], tolerance: timedelta | None = None, size: int = 1_000_000) -> DataFrame:
+    """As ``align.asof_backward``, for few and very long series: both sides are dealt by time and carried in buckets of ``size`` rows."""
+    value = F.struct(F.col("ts").alias("at"), *columns)
+    left = master.select("symbol", F.struct("ts", F.lit(1).alias("side"), F.lit(None).cast(other.select(value.alias("v")).schema["v"].dataType).alias("value")).alias("ts"), F.struct(*master.columns).alias("_row"))
+    right = without_nulls(other.select("symbol", "ts", *columns), *columns).select("symbol", F.struct("ts", F.lit(0).alias("side"), value.alias("value")).alias("ts"))
+    both = with_index(left.unionByName(right, allowMissingColumns=True)).withColumn("_value", F.col("ts.value"))
+    seen = bucketed_carry(both, "_value", "_seen", size).where("ts.side = 1")
+    if tolerance is not None:
+        limit = F.make_dt_interval(secs=F.lit(tolerance.total_seconds()))
+        seen = seen.withColumn("_seen", F.when(F.col("ts.ts") - F.col("_seen.at") <= limit, F.col("_seen")))
+    return seen.select("_row.*", *[F.col(f"_seen.{c}").alias(c) for c in columns])
+
+
 def bucketed_repair(df: DataFrame, x: str, out: str, size: int) -> DataFrame:
     """Null and non-finite values repaired as in whole series: inside buckets first, then from the buckets beside them."""
     rows = df.withColumn("bucket", F.floor(F.col("idx") / size)).withColumn("_f", finite(F.col(x)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,8 @@ def closed(trades: DataFrame) -> DataFrame:
 
 
 def without_nulls(df: DataFrame, *columns: str) -> DataFrame:
-    return df.na.drop(subset=list(columns) or None)
+    """Rows without a null in the columns (all, if none is named); NaN is a value and stays."""
+    return df.where(reduce(and_, [F.col(c).isNotNull() for c in columns or df.columns], F.lit(True)))
 
 
 def matching(df: DataFrame, column: str, needle: str) -> DataFrame:

@@ -8,7 +8,8 @@ together (exit) or its first exit column is under the stop (limit); failing that
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import timedelta
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from tidemark.functions.clean import series
 from tidemark.functions.scalar import near
 from tidemark.functions.storage import checkpointed
-from tidemark.operators.align import open_prices
+from tidemark.operators.align import align_asof, align_exact, align_position, open_prices
 
 TRADES = "symbol, id, entry_ts, exit_ts, limit_ts"
 
@@ -108,14 +109,50 @@ def greedy_picks_by_doubling(candidates: DataFrame, step: int) -> DataFrame:
         jump = jump.alias("a").join(jump.alias("b"), (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.to") == F.col("b.idx"))).select("a.symbol", "a.idx", "b.to")
 
 
-def find_trades(frame: DataFrame, rule: Rule, drop_overwritten: bool = True) -> DataFrame:
+def over_frames(frames: dict[str, DataFrame], rule: Rule, how: str = "exact", tolerance: timedelta | None = None, pair: str | None = None) -> tuple[DataFrame, Rule]:
+    """One frame and its rule from a rule whose columns lie in several frames, named "frame.column".
+
+    ``how``: "exact" joins equal times, "asof" carries values forward on the finest timeline within ``tolerance``,
+    "position" sets row i beside row i.  Frames of one symbol each, of different symbols, are joined under the name ``pair``.
+    """
+    if pair is not None:
+        frames = {name: df.withColumn("symbol", F.lit(pair)) for name, df in frames.items()}
+    found = []
+    for side, columns in (("E", rule.entry), ("X", rule.exit)):
+        for i, name in enumerate(columns):
+            frame, _, column = name.partition(".")
+            if frame not in frames or column not in frames[frame].columns:
+                raise ValueError(f"no such column: {name}")
+            found.append((frames[frame], column, f"{side}{i}"))
+    if how == "asof":
+        if tolerance is None:
+            raise ValueError("an as-of join takes a tolerance")
+        joined = align_asof(found, tolerance)
+    else:
+        joined = {"exact": align_exact, "position": align_position}[how](found)
+    names = [alias for _, _, alias in found]
+    k = len(rule.entry)
+    return joined, replace(rule, entry=tuple(names[:k]), exit=tuple(names[k:]))
+
+
+def find_trades(frame: DataFrame, rule: Rule, drop_overwritten: bool = True, picks: str = "walk") -> DataFrame:
     """``(symbol, id, trade_type, entry_ts, exit_ts, limit_ts, entry_idx, close_idx)``, a row per trade.
 
     Picks are ``hold`` rows apart at least, so each row can close one trade at most: the last pick before it.  A row is
     handed to the trade it can close and, if it is a pick, to its own; trades are then one aggregate over (symbol, pick).
     The frame is computed once.  Of exits on one row (the last of a series) the later trade's stays.
+
+    ``picks``: "walk" streams each symbol's rows through one task, for many symbols; "doubling" spreads the choice of entries
+    over all tasks, for few symbols with very long series.
     """
-    rows = with_picks(signals(frame, rule).drop("n"), "entry", rule.step)
+    if picks == "doubling":
+        rows = checkpointed(signals(frame, rule).drop("n"))
+        taken = greedy_picks_by_doubling(rows.where("entry").select("symbol", "idx"), rule.step).withColumn("pick", F.lit(True))
+        rows = rows.join(taken, ["symbol", "idx"], "left").withColumn("pick", F.coalesce("pick", F.lit(False)))
+    elif picks == "walk":
+        rows = with_picks(signals(frame, rule).drop("n"), "entry", rule.step)
+    else:
+        raise ValueError(f"no way to pick entries: {picks}")
     opened = F.struct("idx", "ts", (F.col("e0") * (1 - F.lit(rule.stop))).alias("stop"))
     before = Window.partitionBy("symbol").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     held = rows.withColumn("last", F.last(F.when(F.col("pick"), opened), ignorenulls=True).over(before))
@@ -182,11 +219,10 @@ def trade_summary(results: DataFrame) -> DataFrame:
     return by.select("symbol", "total_trades", rate.alias("win_rate"), (F.col("win") / F.col("total_trades")).alias("avg_win_per_1000"), (F.col("loss") / F.col("total_trades")).alias("avg_loss_per_1000"))
 
 
-def delta_lists(results: DataFrame, most: int = 100_000) -> DataFrame:
-    """``(symbol, deltas)`` in order of entry, for symbols of at most ``most`` trades; longer ones are read from the rows."""
-    short = results.groupBy("symbol").count().where(F.col("count") <= most).select("symbol")
-    rows = results.join(short, "symbol", "left_semi")
-    return rows.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_no", "delta"))), lambda x: x["delta"]).alias("deltas"))
+def delta_lists(results: DataFrame, size: int = 100_000) -> DataFrame:
+    """``(symbol, chunk, deltas)`` in order of entry: a list for every ``size`` trades of a symbol, so no list outgrows a row."""
+    chunk = F.floor((F.col("trade_no") - 1) / size).alias("chunk")
+    return results.groupBy("symbol", chunk).agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_no", "delta"))), lambda x: x["delta"]).alias("deltas"))
 
 
 def trade_boxes(trades: DataFrame, base: DataFrame, stop: float) -> DataFrame:
@@ -209,7 +245,7 @@ def trade_boxes(trades: DataFrame, base: DataFrame, stop: float) -> DataFrame:
 
 
 def back_test(frame: DataFrame, rule: Rule, base: DataFrame) -> dict[str, DataFrame]:
-    """Trades, their boxes, their results and the summary, from one plan of trades; typed and empty where there are none."""
-    trades = find_trades(frame, rule)
+    """Trades, their boxes, their results and the summary, from trades that are found once and stored; typed and empty where there are none."""
+    trades = checkpointed(find_trades(frame, rule))
     results = trade_results(trades, base)
     return {"trades": trade_table(trades), "boxes": trade_boxes(trades, base, rule.stop), "results": results, "summary": trade_summary(results)}

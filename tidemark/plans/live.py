@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import storage
 from tidemark.functions.scalar import near
 from tidemark.operators import calc, trades
 from tidemark.streaming import live
@@ -15,8 +13,7 @@ from tidemark.streaming import live
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the storage that the cluster shares."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/live-{uuid.uuid4().hex}"
+    return storage.scratch(spark, "live")
 
 
 def replayed(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -75,17 +72,23 @@ def st1_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st2_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = live.live_bars(events_stream(spark, sf_dir), "event_type", "ts", "value", tiebreak=("event_id",))
-    return replayed(bars, "complete").select("symbol", "ts", *[F.round(c, 4).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    return replayed(bars, "complete").select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
 def st3_row_wise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ticks(spark, sf_dir).withColumns({"twice": calc.product(["value", 2]), "less": calc.difference("value", "10"), "part": calc.quotient("value", 4)})
-    return replayed(rows).select("event_id", *[F.round(c, 4).alias(c) for c in ("twice", "less", "part")])
+    return replayed(rows).select("event_id", "twice", "less", "part")
 
 
 def st4_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.use_rocksdb(spark)
-    return replayed(live.live_rolling(_ticks(spark, sf_dir, ordered_stream), "value", 14)).select("symbol", "ts", F.round("x", 4).alias("x"), F.round("value", 4).alias("value"))
+    return replayed(live.live_rolling(_ticks(spark, sf_dir, ordered_stream), "value", 14)).select("symbol", "ts", "x", F.round("value", 4).alias("value"))
+
+
+def st4_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly volatility of log returns, row by row."""
+    live.use_rocksdb(spark)
+    return replayed(live.live_rolling(_ticks(spark, sf_dir, ordered_stream), "value", 14, "return")).select("symbol", "ts", "x", F.round("value", 4).alias("value"))
 
 
 def st5_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,17 +101,37 @@ def st6_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     last = _ticks(spark, sf_dir).groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
     live.run_live(last, live.upsert_into(f"{folder}/table", ["symbol"]), f"{folder}/checkpoint", mode="update")
-    return live.newest(spark, f"{folder}/table").select("symbol", "ts", F.round("value", 4).alias("value"))
+    return live.newest(spark, f"{folder}/table", ["symbol"]).select("symbol", "ts", "value")
 
 
-QUERIES = {"ST1_live_source": st1_source, "ST2_live_bars": st2_bars, "ST3_live_row_wise": st3_row_wise, "ST4_live_rolling": st4_rolling, "ST5_live_trades": st5_trades, "ST6_upserts": st6_newest}
+QUERIES = {"ST1_live_source": st1_source, "ST2_live_bars": st2_bars, "ST3_live_row_wise": st3_row_wise, "ST4_live_rolling": st4_rolling, "ST4_live_returns": st4_returns, "ST5_live_trades": st5_trades, "ST6_upserts": st6_newest}
 
 ORACLES = {
     "ST1_live_source": "SELECT event_type AS symbol, ts, value, event_id FROM events",
-    "ST2_live_bars": """SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, round(arg_min(value, row(ts, event_id)), 4) AS open, round(max(value), 4) AS high,
-      round(min(value), 4) AS low, round(arg_max(value, row(ts, event_id)), 4) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2""",
-    "ST3_live_row_wise": "SELECT event_id, round(value * 2, 4) AS twice, round(value - 10, 4) AS less, round(value / 4, 4) AS part FROM events",
-    "ST4_live_rolling": """SELECT event_type AS symbol, ts, round(value, 4) AS x, round(CASE WHEN row_number() OVER w >= 14 THEN avg(value) OVER r END, 4) AS value
+    "ST2_live_bars": """SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high,
+      min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2""",
+    "ST3_live_row_wise": "SELECT event_id, value * 2 AS twice, value - 10 AS less, value / 4 AS part FROM events",
+    "ST4_live_rolling": """SELECT event_type AS symbol, ts, value AS x, round(CASE WHEN row_number() OVER w >= 14 THEN avg(value) OVER r END, 4) AS value
       FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts), r AS (PARTITION BY event_type ORDER BY ts ROWS 13 PRECEDING)""",
-    "ST6_upserts": "SELECT event_type AS symbol, max(ts) AS ts, round(arg_max(value, ts), 4) AS value FROM events GROUP BY 1",
+    "ST4_live_returns": """WITH r AS (
+        SELECT event_type AS symbol, ts, value AS x, CASE WHEN value > 0 AND lag(value) OVER w > 0 THEN ln(value / lag(value) OVER w) END AS r FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)
+      ) SELECT symbol, ts, x, round(CASE WHEN count(r) OVER n = 14 THEN stddev_samp(r) OVER n * sqrt(252) END, 4) AS value FROM r WINDOW n AS (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING)""",
+    "ST5_live_trades": """WITH RECURSIVE s AS MATERIALIZED (
+        SELECT event_type AS symbol, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, abs(value - 10) <= 2 AS ent, abs(value - 20) <= 0.5 AS ext FROM events
+      ), c AS MATERIALIZED (
+        SELECT symbol, idx, min(idx) OVER (PARTITION BY symbol ORDER BY idx RANGE BETWEEN 25 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s WHERE ent
+      ), p AS (
+        SELECT symbol, min(idx) AS idx FROM c GROUP BY symbol
+        UNION ALL
+        SELECT c.symbol, c.nxt FROM p JOIN c ON c.symbol = p.symbol AND c.idx = p.idx WHERE c.nxt IS NOT NULL
+      ), o AS (
+        SELECT p.symbol, p.idx AS pick, s.ts AS entry_ts, s.value * 0.5 AS stop FROM p JOIN s USING (symbol, idx)
+      ), k AS (
+        SELECT o.symbol, o.pick, o.entry_ts, min(CASE WHEN s.ext OR (s.idx = o.pick + 25 AND NOT s.value < o.stop) THEN s.idx END) AS x, min(CASE WHEN s.value < o.stop THEN s.idx END) AS l
+        FROM o JOIN s ON s.symbol = o.symbol AND s.idx > o.pick AND s.idx <= o.pick + 25 GROUP BY ALL
+      )
+      SELECT k.symbol, k.entry_ts, a.ts AS exit_ts, b.ts AS limit_ts FROM k
+      LEFT JOIN s a ON a.symbol = k.symbol AND a.idx = k.x AND (k.l IS NULL OR k.x <= k.l) LEFT JOIN s b ON b.symbol = k.symbol AND b.idx = k.l AND (k.x IS NULL OR k.l < k.x)
+      WHERE k.x IS NOT NULL OR k.l IS NOT NULL""",
+    "ST6_upserts": "SELECT event_type AS symbol, max(ts) AS ts, arg_max(value, ts) AS value FROM events GROUP BY 1",
 }

@@ -29,17 +29,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles to 4 places: sums in windows differ in their last digits between engines."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, *only: str, places: int = 4) -> DataFrame:
+    """Doubles (all, or those named) to ``places``: sums, fits and logarithms differ in their last digits between engines.
 
+    Values that no sum went into are compared as they are.  Rounds the scaled double half away from zero, as the SQL side
+    does; ``functions.round`` rounds its decimal form, which is another value where a price ends in a 5.
+    """
 
-def _calc(name: str, make: Callable[[], Column | dict[str, Column]], sql: str, source=supplier_bars, with_: str = BARS + ", " + INDEXED, frm: str = "ix") -> None:
-    """A query that adds calculated columns to the keys."""
+    scale = 10.0**places
+
+    def near(c: str) -> Column:
+        x = F.col(c)
+        whole = F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale + F.lit(0.0)
+        return F.when(F.abs(x) < 1e12, whole).otherwise(x).alias(c)
+
+    return df.select(*[near(c) if t == "double" and (c in only or not only) else F.col(c) for c, t in df.dtypes])
+
+
+def _calc(name: str, make: Callable[[], Column | dict[str, Column]], sql: str, source=supplier_bars, with_: str = BARS + ", " + INDEXED, frm: str = "ix", exact: bool = True) -> None:
+    """A query that adds calculated columns to the keys; ``exact`` ones are compared unrounded."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         columns = made if isinstance(made := make(), dict) else {"value": made}
-        return rounded(source(spark, sf_dir).withColumns(columns).select("symbol", "ts", *columns))
+        out = source(spark, sf_dir).withColumns(columns).select("symbol", "ts", *columns)
+        return out if exact else rounded(out)
 
     query(name, f"WITH {with_} SELECT symbol, ts, {sql} FROM {frm}")(run)
 
@@ -56,14 +69,14 @@ VOL = f"CASE WHEN idx >= 13 THEN stddev_samp(close) {rows(14)} ELSE 0 END"
 
 # ---- flagship -------------------------------------------------------------------------------------------------------
 
-FLAGSHIP = f"""WITH {EVENT_BARS} SELECT symbol, ts, open, close, round(open - close, 4) AS change,
+FLAGSHIP = f"""WITH {EVENT_BARS} SELECT symbol, ts, open, close, open - close AS change,
   round(CASE WHEN row_number() {W} >= 14 THEN avg(close) {rows(14)} END, 4) AS average FROM ebars"""
 
 
 @query("flagship", FLAGSHIP)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = select.pull(event_bars(spark, sf_dir), "open", "close")
-    return rounded(calc.run_calcs(bars, [calc.Calc("DIFFERENCE", ("open", "close"), "change"), calc.Calc("SMA", ("close", "14"), "average")]))
+    return rounded(calc.run_calcs(bars, [calc.Calc("DIFFERENCE", ("open", "close"), "change"), calc.Calc("SMA", ("close", "14"), "average")]), "average")
 
 
 # ---- sources --------------------------------------------------------------------------------------------------------
@@ -101,9 +114,9 @@ def source_alias(spark, sf_dir):
     return _sources(spark, sf_dir).scan("orders", first="19960101", last="19961231", ts="o_orderdate").select("o_orderkey", "o_totalprice")
 
 
-@query("S6_fundamentals", f"WITH {FUNDAMENTALS} SELECT symbol, filed_ts, round(eps, 4) AS eps, round(outstanding_shares, 4) AS outstanding_shares FROM fundamentals")
+@query("S6_fundamentals", f"WITH {FUNDAMENTALS} SELECT symbol, filed_ts, eps, outstanding_shares FROM fundamentals")
 def fundamentals_scan(spark, sf_dir):
-    return rounded(fundamentals(spark, sf_dir))
+    return fundamentals(spark, sf_dir)
 
 
 @query("S7_source_options", "SELECT count(*) AS n_rows, round(sum(o_totalprice), 2) AS total FROM orders")
@@ -112,50 +125,50 @@ def source_options(spark, sf_dir):
     return read.agg(F.count("*").alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("S8_bars", f"WITH {BARS} SELECT symbol, ts, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume FROM bars")
+@query("S8_bars", f"WITH {BARS} SELECT symbol, ts, open AS open, high AS high, low AS low, close AS close, volume AS volume FROM bars")
 def bars(spark, sf_dir):
-    return rounded(supplier_bars(spark, sf_dir))
+    return supplier_bars(spark, sf_dir)
 
 
 # ---- projections, filters, cleaning ---------------------------------------------------------------------------------
 
 
-@query("P1_pull", f"WITH {BARS} SELECT symbol, ts, round(open, 4) AS open, round(volume, 4) AS volume FROM bars")
+@query("P1_pull", f"WITH {BARS} SELECT symbol, ts, open AS open, volume AS volume FROM bars")
 def pull(spark, sf_dir):
-    return rounded(select.pull(supplier_bars(spark, sf_dir), "open", "volume"))
+    return select.pull(supplier_bars(spark, sf_dir), "open", "volume")
 
 
-@query("P2_calcs_on_calcs", f"WITH {BARS} SELECT symbol, ts, round(high - low, 4) AS spread, round((high - low) * 2, 4) AS twice FROM bars")
+@query("P2_calcs_on_calcs", f"WITH {BARS} SELECT symbol, ts, (high - low) AS spread, ((high - low) * 2) AS twice FROM bars")
 def calcs_on_calcs(spark, sf_dir):
     wanted = [calc.Calc("MULTIPLY", ("spread", "2"), "twice"), calc.Calc("DIFFERENCE", ("high", "low"), "spread")]
-    return rounded(calc.run_calcs(supplier_bars(spark, sf_dir), wanted).select("symbol", "ts", "spread", "twice"))
+    return calc.run_calcs(supplier_bars(spark, sf_dir), wanted).select("symbol", "ts", "spread", "twice")
 
 
 FIN = "CASE WHEN close IS NOT NULL AND isfinite(close) THEN close END"
 _gap = dict(source=gapped_bars, with_=BARS + ", " + GAPPED, frm="gapped")
 _calc(
     "P3_repair", lambda: clean.repaired(F.col("close")),
-    f"round(coalesce(last_value({FIN} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), "
-    f"first_value({FIN} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0), 4) AS value", **_gap,
+    f"coalesce(last_value({FIN} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), "
+    f"first_value({FIN} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS value", **_gap,
 )
 CARRIED = (
     "coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), "
     "first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
 )
-_calc("P4_fill", lambda: clean.filled(F.col("close")), f"round(CASE WHEN isfinite({CARRIED}) THEN {CARRIED} ELSE 0 END, 4) AS value", **_gap)
+_calc("P4_fill", lambda: clean.filled(F.col("close")), f"CASE WHEN isfinite({CARRIED}) THEN {CARRIED} ELSE 0 END AS value", **_gap)
 
 
-@query("P5_strict_double", "SELECT l_suppkey AS symbol, l_linenumber::DOUBLE AS l_linenumber, round(l_quantity, 4) AS l_quantity FROM lineitem")
+@query("P5_strict_double", "SELECT l_suppkey AS symbol, l_linenumber::DOUBLE AS l_linenumber, l_quantity AS l_quantity FROM lineitem")
 def strict_double(spark, sf_dir):
-    return rounded(clean.strict_double(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol"), "l_linenumber", "l_quantity"), ["l_linenumber", "l_quantity"]))
+    return clean.strict_double(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol"), "l_linenumber", "l_quantity"), ["l_linenumber", "l_quantity"])
 
 
-@query("P6_to_double", "SELECT event_id::DOUBLE AS event_id, round(value, 4) AS value FROM events")
+@query("P6_to_double", "SELECT event_id::DOUBLE AS event_id, value AS value FROM events")
 def to_double(spark, sf_dir):
-    return rounded(clean.to_double(table(spark, sf_dir, "events").select("event_id", "value"), ["event_id"]))
+    return clean.to_double(table(spark, sf_dir, "events").select("event_id", "value"), ["event_id"])
 
 
-_calc("P7_literals", lambda: calc.difference("close", "50"), "round(close - 50, 4) AS value")
+_calc("P7_literals", lambda: calc.difference("close", "50"), "(close - 50) AS value")
 _calc("P8_proximity", lambda: scalar.near([F.col("open"), F.col("close"), F.col("low")], 100.0), "coalesce(abs(open - close) <= 100 AND abs(close - low) <= 100, false) AS value")
 RULE = trades.Rule(("close", "average"), 40.0, ("open", "average"), 30.0, 0.1, 10)
 
@@ -164,38 +177,44 @@ def _rule_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplier_bars(spark, sf_dir).withColumn("average", calc.moving_average("close", 14))
 
 
-# The trade rule in SQL: candidates, the greedy chain as a recursive walk along "next candidate", then closes.
-TRADE_SQL = f"""{BARS}, {INDEXED}, f AS (
-  SELECT *, {SMA} AS average FROM ix
-), s AS (
-  SELECT *, coalesce(abs(close - average) <= 40, false) AS ent, coalesce(abs(open - average) <= 30, false) AS ext FROM f
-), c AS (
-  SELECT symbol, idx, min(idx) OVER (PARTITION BY symbol ORDER BY idx RANGE BETWEEN 10 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s WHERE ent
+
+
+def trade_sql(frame: str, entry: str, exit: str, e0: str = "close", x0: str = "open", hold: int = 10, keep: float = 0.9) -> str:
+    """The trade rule in SQL over ``frame``, CTEs that end in ``f(symbol, ts, idx, n, ...)``: candidates, the greedy chain as
+    a recursive walk along "next candidate", then closes."""
+    return f"""{frame}, s AS MATERIALIZED (
+  SELECT *, coalesce({entry}, false) AS ent, coalesce({exit}, false) AS ext FROM f
+), c AS MATERIALIZED (
+  SELECT symbol, idx, min(idx) OVER (PARTITION BY symbol ORDER BY idx RANGE BETWEEN {max(hold, 1)} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s WHERE ent
 ), p AS (
   SELECT symbol, min(idx) AS idx FROM c GROUP BY symbol
   UNION ALL
   SELECT c.symbol, c.nxt FROM p JOIN c ON c.symbol = p.symbol AND c.idx = p.idx WHERE c.nxt IS NOT NULL
 ), o AS (
-  SELECT p.symbol, p.idx AS pick, e.ts AS entry_ts, e.close * 0.9 AS stop, e.n FROM p JOIN s e ON e.symbol = p.symbol AND e.idx = p.idx
+  SELECT p.symbol, p.idx AS pick, e.ts AS entry_ts, e.{e0} * {keep} AS stop, e.n FROM p JOIN s e ON e.symbol = p.symbol AND e.idx = p.idx
 ), k AS (
-  SELECT o.symbol, o.pick, o.entry_ts, o.n, min(CASE WHEN s.ext THEN s.idx END) AS x, min(CASE WHEN s.open < o.stop THEN s.idx END) AS l
-  FROM o LEFT JOIN s ON s.symbol = o.symbol AND s.idx > o.pick AND s.idx <= o.pick + 10 GROUP BY ALL
+  SELECT o.symbol, o.pick, o.entry_ts, o.n, min(CASE WHEN s.ext THEN s.idx END) AS x, min(CASE WHEN s.{x0} < o.stop THEN s.idx END) AS l
+  FROM o LEFT JOIN s ON s.symbol = o.symbol AND s.idx > o.pick AND s.idx <= o.pick + {hold} GROUP BY ALL
 ), m AS (
   SELECT *, l IS NOT NULL AND (x IS NULL OR l < x) AS stopped FROM k
 ), z AS (
-  SELECT *, CASE WHEN NOT stopped THEN coalesce(x, least(pick + 10, n - 1)) END AS xi, CASE WHEN stopped THEN l END AS li FROM m
+  SELECT *, CASE WHEN NOT stopped THEN coalesce(x, least(pick + {hold}, n - 1)) END AS xi, CASE WHEN stopped THEN l END AS li FROM m
 ), y AS (
   SELECT *, row_number() OVER (PARTITION BY symbol, coalesce(xi, -pick - 1) ORDER BY pick DESC) AS place FROM z
 ), t AS (
   SELECT y.symbol, y.entry_ts, a.ts AS exit_ts, b.ts AS limit_ts, y.pick AS entry_idx, coalesce(y.xi, y.li) AS close_idx
-  FROM y LEFT JOIN ix a ON a.symbol = y.symbol AND a.idx = y.xi LEFT JOIN ix b ON b.symbol = y.symbol AND b.idx = y.li
+  FROM y LEFT JOIN s a ON a.symbol = y.symbol AND a.idx = y.xi LEFT JOIN s b ON b.symbol = y.symbol AND b.idx = y.li
   WHERE xi IS NULL OR place = 1
 ), id AS (
   SELECT *, sha256(symbol || '#' || epoch_us(entry_ts)) AS id FROM t
 )"""
+
+
+_RULE_FRAME = f"{BARS}, {INDEXED}, f AS (SELECT *, {SMA} AS average FROM ix)"
+TRADE_SQL = trade_sql(_RULE_FRAME, "abs(close - average) <= 40", "abs(open - average) <= 30")
 RESULT_SQL = TRADE_SQL + """, r AS (
   SELECT i.symbol, i.id, i.entry_ts, row_number() OVER (PARTITION BY i.symbol ORDER BY i.entry_ts, i.id) AS trade_no,
-         q.open - coalesce(e.open, 0) AS delta, coalesce(e.open, 0) AS entry_open, i.limit_ts IS NOT NULL AS stopped
+         q.open - coalesce(e.open, 0) AS delta, q.open AS close_open, coalesce(e.open, 0) AS entry_open, i.limit_ts IS NOT NULL AS stopped
   FROM id i LEFT JOIN bars e ON e.symbol = i.symbol AND e.ts = i.entry_ts JOIN bars q ON q.symbol = i.symbol AND q.ts = coalesce(i.exit_ts, i.limit_ts)
 )"""
 
@@ -219,25 +238,25 @@ def closed(spark, sf_dir):
     return select.closed(_trades(spark, sf_dir)).select("symbol", "id")
 
 
-@query("P11_text_filter", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('5'))")
+@query("P11_text_filter", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('Plate'))")
 def text_filter(spark, sf_dir):
-    return select.matching(table(spark, sf_dir, "part"), "p_name", "5").select("p_partkey", "p_name")
+    return select.matching(table(spark, sf_dir, "part"), "p_name", "Plate").select("p_partkey", "p_name")
 
 
-@query("P12_rename", f'WITH {BARS} SELECT symbol, ts, round(close, 4) AS "E0" FROM bars')
+@query("P12_rename", f'WITH {BARS} SELECT symbol, ts, close AS "E0" FROM bars')
 def rename(spark, sf_dir):
-    return rounded(select.as_series(supplier_bars(spark, sf_dir), "close", "E0"))
+    return select.as_series(supplier_bars(spark, sf_dir), "close", "E0")
 
 
-@query("P13_drop_nulls", f"WITH {BARS}, {GAPPED} SELECT symbol, ts, round(open, 4) AS open FROM gapped WHERE close IS NOT NULL")
+@query("P13_drop_nulls", f"WITH {BARS}, {GAPPED} SELECT symbol, ts, open AS open FROM gapped WHERE close IS NOT NULL")
 def drop_nulls(spark, sf_dir):
-    return rounded(select.without_nulls(gapped_bars(spark, sf_dir)).select("symbol", "ts", "open"))
+    return select.without_nulls(gapped_bars(spark, sf_dir)).select("symbol", "ts", "open")
 
 
-@query("P14_any_value", f"WITH {BARS}, {INDEXED}, a AS (SELECT symbol, ts, {SMA} AS x, lag(close, 20) {W} AS y FROM ix) SELECT symbol, ts, round(x, 4) AS x, round(y, 4) AS y FROM a WHERE coalesce(x, y) IS NOT NULL")
+@query("P14_any_value", f"WITH {BARS}, {INDEXED}, a AS (SELECT symbol, ts, {SMA} AS x, lag(close, 20) {W} AS y FROM ix) SELECT symbol, ts, round(x, 4) AS x, y AS y FROM a WHERE coalesce(x, y) IS NOT NULL")
 def any_value(spark, sf_dir):
     both = supplier_bars(spark, sf_dir).select("symbol", "ts", calc.moving_average("close").alias("x"), F.lag("close", 20).over(clean.series()).alias("y"))
-    return rounded(select.with_any(both, "x", "y"))
+    return rounded(select.with_any(both, "x", "y"), "x")
 
 
 @query("P15_shorten", "SELECT doc_id, CASE WHEN length(text) > 48 THEN text[1:48] || '…' ELSE text END AS text FROM documents")
@@ -248,35 +267,36 @@ def shorten(spark, sf_dir):
 # ---- calculations ---------------------------------------------------------------------------------------------------
 
 _calc("C1_constant", lambda: calc.constant("50"), "50.0::DOUBLE AS value")
-_calc("C2_difference", lambda: calc.difference("open", "close"), "round(open - close, 4) AS value")
-_calc("C3_differences", lambda: calc.differences(["open", "high", "low", "close"], "d"), "round(open - high, 4) AS d_0, round(high - low, 4) AS d_1, round(low - close, 4) AS d_2")
-_calc("C4_sum", lambda: calc.total(["open", "close", "high"]), "round(open + close + high, 4) AS value")
-_calc("C5_product", lambda: calc.product(["close", "volume"]), "round(close * volume, 4) AS value")
-_calc("C6_quotient", lambda: calc.quotient("close", F.col("open") - F.col("close")), "round(CASE WHEN open - close <> 0 THEN close / (open - close) END, 4) AS value")
-_calc("C7_sma", lambda: calc.moving_average("close"), f"round({SMA}, 4) AS value")
+_calc("C2_difference", lambda: calc.difference("open", "close"), "(open - close) AS value")
+_calc("C3_differences", lambda: calc.differences(["open", "high", "low", "close"], "d"), "(open - high) AS d_0, (high - low) AS d_1, (low - close) AS d_2")
+_calc("C4_sum", lambda: calc.total(["open", "close", "high"]), "(open + close + high) AS value")
+_calc("C5_product", lambda: calc.product(["close", "volume"]), "(close * volume) AS value")
+_calc("C6_quotient", lambda: calc.quotient("close", F.col("open") - F.col("close")), "CASE WHEN open - close <> 0 THEN close / (open - close) END AS value")
+_calc("C7_sma", lambda: calc.moving_average("close"), f"round({SMA}, 4) AS value", exact=False)
 _D = f"WITH {BARS}, {INDEXED}, a AS (SELECT *, {SMA} AS m FROM ix) SELECT symbol, ts, "
-_calc("C8_sma_delayed", lambda: calc.moving_average("close", align="delayed"), "1")
+_calc("C8_sma_delayed", lambda: calc.moving_average("close", align="delayed"), "1", exact=False)
 ORACLES["C8_sma_delayed"] = _D + f"round(lag(m, 7) {W}, 4) AS value FROM a"
-_calc("C9_sma_centered", lambda: calc.moving_average("close", align="centered", fill=0.0), "1")
+_calc("C9_sma_centered", lambda: calc.moving_average("close", align="centered", fill=0.0), "1", exact=False)
 ORACLES["C9_sma_centered"] = _D + f"round(coalesce(lead(m, 7) {W}, 0), 4) AS value FROM a"
 
 
-@query("C8_sma_wrapped", f"WITH {BARS}, {INDEXED}, a AS (SELECT *, {SMA} AS m FROM ix) SELECT x.symbol, x.ts, round(y.m, 4) AS value FROM a x LEFT JOIN a y ON x.symbol = y.symbol AND x.idx = (y.idx + 7) % y.n")
+@query("C8_sma_wrapped", f"WITH {BARS}, {INDEXED}, a AS (SELECT *, {SMA} AS m FROM ix) SELECT x.symbol, x.ts, round(y.m, 4) AS value FROM a x LEFT JOIN (SELECT symbol, (idx + 7) % n AS idx, m FROM a) y ON x.symbol = y.symbol AND x.idx = y.idx")
 def sma_wrapped(spark, sf_dir):
     return rounded(calc.wrapped_average(supplier_bars(spark, sf_dir), "close", "value").select("symbol", "ts", "value"))
 
 
-_calc("C10_volatility", lambda: calc.volatility("close"), f"round({VOL}, 4) AS value")
+_calc("C10_volatility", lambda: calc.volatility("close"), f"round({VOL}, 4) AS value", exact=False)
 _V = f"WITH {BARS}, {INDEXED}, a AS (SELECT *, {VOL} AS v FROM ix) SELECT symbol, ts, "
 for _name, _op, _scale in (("C11_bands", "VOLATILITY", 0.5), ("C12_double_volatility", "DOUBLE_VOLATILITY", 1.0)):
 
-    @query(_name, _V + f"round(v, 4) AS v, round(close * (1 + {_scale} * v), 4) AS v_pos, round(close * (1 - {_scale} * v), 4) AS v_neg FROM a")
+    @query(_name, _V + f"round(v, 4) AS v, round(close * (1 + {_scale} * v), 2) AS v_pos, round(close * (1 - {_scale} * v), 2) AS v_neg FROM a")
     def band_query(spark, sf_dir, _op=_op):
-        return rounded(calc.run_calcs(supplier_bars(spark, sf_dir), [calc.Calc(_op, ("close",), "v")]).select("symbol", "ts", "v", "v_pos", "v_neg"))
+        out = calc.run_calcs(supplier_bars(spark, sf_dir), [calc.Calc(_op, ("close",), "v")]).select("symbol", "ts", "v", "v_pos", "v_neg")
+        return rounded(rounded(out, "v"), "v_pos", "v_neg", places=2)  # bands of 1e7 and more have 4 places of noise
 
 
 LOG = f"CASE WHEN close > 0 AND lag(close) {W} > 0 THEN ln(close / lag(close) {W}) END"
-_calc("C13_log_return", lambda: calc.log_return("close"), f"round({LOG}, 4) AS value")
+_calc("C13_log_return", lambda: calc.log_return("close"), f"round({LOG}, 4) AS value", exact=False)
 _R = f"WITH {BARS}, {INDEXED}, a AS (SELECT *, {LOG} AS r FROM ix), b AS (SELECT *, CASE WHEN count(r) {rows(14)} = 14 THEN stddev_samp(r) {rows(14)} * sqrt(252) END AS v FROM a) SELECT symbol, ts, "
 
 
@@ -298,9 +318,9 @@ def regression(spark, sf_dir):
     return rounded(calc.linear_regression(supplier_bars(spark, sf_dir), "close", "value").select("symbol", "ts", "value"))
 
 
-@query("C17_coefficients", _FIT + " SELECT symbol, round(a, 4) AS intercept, round(b, 4) AS slope, round(y0, 4) AS first_value, n FROM c")
+@query("C17_coefficients", _FIT + " SELECT symbol, round(a, 4) AS intercept, round(b, 4) AS slope, y0 AS first_value, n FROM c")
 def coefficients(spark, sf_dir):
-    return rounded(calc.line_coefficients(supplier_bars(spark, sf_dir), "close"))
+    return rounded(calc.line_coefficients(supplier_bars(spark, sf_dir), "close"), "intercept", "slope")
 
 
 @query("C18_flat_line", f"WITH {EVENT_BARS} SELECT symbol, 7.0::DOUBLE AS intercept, 0.0::DOUBLE AS slope FROM ebars GROUP BY symbol")
@@ -313,7 +333,7 @@ def relative_line(spark, sf_dir):
     return rounded(calc.linear_regression(supplier_bars(spark, sf_dir), "close", "value", relative=True).select("symbol", "ts", "value"))
 
 
-_calc("C20_index_weighted", lambda: calc.index_weighted("close"), "round(idx * close, 4) AS value")
+_calc("C20_index_weighted", lambda: calc.index_weighted("close"), "(idx * close) AS value")
 
 
 @query("C21_series_sum", f"WITH {BARS} SELECT symbol, round(sum(close), 4) AS total FROM bars GROUP BY symbol")
@@ -321,7 +341,7 @@ def series_sum(spark, sf_dir):
     return rounded(calc.series_sums(supplier_bars(spark, sf_dir), "close"))
 
 
-_calc("C22_index_line", lambda: calc.index_line(2.0, 0.5), "round(2 + 0.5 * idx, 4)::DOUBLE AS value")
+_calc("C22_index_line", lambda: calc.index_line(2.0, 0.5), "(2 + 0.5 * idx)::DOUBLE AS value")
 
 
 @query("C23_calc_waves", f"WITH {BARS}, {INDEXED}, a AS (SELECT *, {SMA} AS m FROM ix), b AS (SELECT *, coalesce(m, first_value(m IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS f FROM a) SELECT symbol, ts, round(m, 4) AS m, round(close - f, 4) AS d, round((close - f) + f, 4) AS s FROM b")
@@ -351,16 +371,16 @@ HBARS = EVENT_BARS.replace("ebars AS", "hbars AS").replace("date_trunc('day'", "
 DAY = timedelta(days=1)
 
 
-@query("J1_align_exact", f"WITH {EVENT_BARS}, {HBARS} SELECT e.symbol, e.ts, round(e.close, 4) AS day_close, round(h.close, 4) AS hour_close, round(e.open, 4) AS day_open FROM ebars e JOIN hbars h ON e.symbol = h.symbol AND e.ts = h.ts")
+@query("J1_align_exact", f"WITH {EVENT_BARS}, {HBARS} SELECT e.symbol, e.ts, e.close AS day_close, h.close AS hour_close, e.open AS day_open FROM ebars e JOIN hbars h ON e.symbol = h.symbol AND e.ts = h.ts")
 def align_exact(spark, sf_dir):
     day = event_bars(spark, sf_dir)
-    return rounded(align.align_exact([(day, "close", "day_close"), (_hours(spark, sf_dir), "close", "hour_close"), (day, "open", "day_open")]))
+    return align.align_exact([(day, "close", "day_close"), (_hours(spark, sf_dir), "close", "hour_close"), (day, "open", "day_open")])
 
 
-@query("J2_asof", f"WITH {BARS}, {FUNDAMENTALS} SELECT b.symbol, b.ts, round(b.close, 4) AS close, round(CASE WHEN b.ts - f.filed_ts <= INTERVAL 30 DAY THEN f.eps END, 4) AS eps FROM bars b ASOF LEFT JOIN fundamentals f ON b.symbol = f.symbol AND b.ts >= f.filed_ts")
+@query("J2_asof", f"WITH {BARS}, {FUNDAMENTALS} SELECT b.symbol, b.ts, b.close AS close, CASE WHEN b.ts - f.filed_ts <= INTERVAL 30 DAY THEN f.eps END AS eps FROM bars b ASOF LEFT JOIN fundamentals f ON b.symbol = f.symbol AND b.ts >= f.filed_ts")
 def asof(spark, sf_dir):
     filed = fundamentals(spark, sf_dir).withColumnRenamed("filed_ts", "ts")
-    return rounded(align.asof_backward(supplier_bars(spark, sf_dir).select("symbol", "ts", "close"), filed, ["eps"], timedelta(days=30)))
+    return align.asof_backward(supplier_bars(spark, sf_dir).select("symbol", "ts", "close"), filed, ["eps"], timedelta(days=30))
 
 
 STEPS = "s AS (SELECT symbol, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY symbol ORDER BY ts) AS step FROM bars), p AS (SELECT symbol, step, row_number() OVER (PARTITION BY symbol ORDER BY step) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM s WHERE step > 0)"
@@ -376,29 +396,29 @@ def unique_rows(spark, sf_dir):
     return align.unique_times(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate"))
 
 
-@query("J5_align_asof", f'WITH {EVENT_BARS}, {HBARS} SELECT h.symbol, h.ts, round(e.close, 4) AS "E0", round(h.close, 4) AS "X0" FROM hbars h ASOF LEFT JOIN ebars e ON e.symbol = h.symbol AND h.ts >= e.ts')
+@query("J5_align_asof", f'WITH {EVENT_BARS}, {HBARS} SELECT h.symbol, h.ts, e.close AS "E0", h.close AS "X0" FROM hbars h ASOF LEFT JOIN ebars e ON e.symbol = h.symbol AND h.ts >= e.ts')
 def align_asof(spark, sf_dir):
-    return rounded(align.align_asof([(event_bars(spark, sf_dir), "close", "E0"), (_hours(spark, sf_dir), "close", "X0")], DAY))
+    return align.align_asof([(event_bars(spark, sf_dir), "close", "E0"), (_hours(spark, sf_dir), "close", "X0")], DAY)
 
 
 _PAIR = f"WITH {BARS}, {EVENT_BARS}"
 
 
-@query("J6_align_position", f"WITH {BARS}, {INDEXED} SELECT a.symbol, a.ts, round(a.close, 4) AS x, round(b.high, 4) AS y FROM ix a JOIN ix b USING (symbol, idx)")
+@query("J6_align_position", f"WITH {BARS}, {INDEXED} SELECT a.symbol, a.ts, a.close AS x, b.high AS y FROM ix a JOIN ix b USING (symbol, idx)")
 def align_position(spark, sf_dir):
-    return rounded(align.align_position([(supplier_bars(spark, sf_dir), "close", "x"), (supplier_bars(spark, sf_dir), "high", "y")]))
+    return align.align_position([(supplier_bars(spark, sf_dir), "close", "x"), (supplier_bars(spark, sf_dir), "high", "y")])
 
 
-@query("J7_open_lookup", f"WITH RECURSIVE {TRADE_SQL} SELECT i.symbol, i.id, round(b.open, 4) AS entry_open FROM id i LEFT JOIN bars b ON b.symbol = i.symbol AND b.ts = i.entry_ts")
+@query("J7_open_lookup", f"WITH RECURSIVE {TRADE_SQL} SELECT i.symbol, i.id, b.open AS entry_open FROM id i LEFT JOIN bars b ON b.symbol = i.symbol AND b.ts = i.entry_ts")
 def open_lookup(spark, sf_dir):
     prices = align.open_prices(supplier_bars(spark, sf_dir)).select("symbol", F.col("ts").alias("entry_ts"), F.col("open").alias("entry_open"))
-    return rounded(_trades(spark, sf_dir).join(prices, ["symbol", "entry_ts"], "left").select("symbol", "id", "entry_open"))
+    return _trades(spark, sf_dir).join(prices, ["symbol", "entry_ts"], "left").select("symbol", "id", "entry_open")
 
 
-@query("J9_append", f"WITH {BARS} SELECT symbol, ts, round(close, 4) AS close, round(volume, 4) AS volume FROM bars")
+@query("J9_append", f"WITH {BARS} SELECT symbol, ts, close AS close, volume AS volume FROM bars")
 def append(spark, sf_dir):
     b = supplier_bars(spark, sf_dir)
-    return rounded(align.append_by_position(b.select("symbol", "ts", "close"), b.select("symbol", "ts", "volume"), "volume"))
+    return align.append_by_position(b.select("symbol", "ts", "close"), b.select("symbol", "ts", "volume"), "volume")
 
 
 # ---- trades ---------------------------------------------------------------------------------------------------------
@@ -416,9 +436,9 @@ def exit_signal(spark, sf_dir):
     return trades.signals(_rule_frame(spark, sf_dir), RULE).select("symbol", "ts", "exit")
 
 
-@query("T3_stop_level", SIGNALS + "round(close * 0.9, 4) AS stop_level FROM f")
+@query("T3_stop_level", SIGNALS + "(close * 0.9) AS stop_level FROM f")
 def stop_level(spark, sf_dir):
-    return rounded(trades.signals(_rule_frame(spark, sf_dir), RULE).select("symbol", "ts", (F.col("e0") * (1 - F.lit(RULE.stop))).alias("stop_level")))
+    return trades.signals(_rule_frame(spark, sf_dir), RULE).select("symbol", "ts", (F.col("e0") * (1 - F.lit(RULE.stop))).alias("stop_level"))
 
 
 @query("T4_greedy_entries", f"WITH RECURSIVE {TRADE_SQL} SELECT symbol, idx FROM p")
@@ -446,13 +466,19 @@ def close_index(spark, sf_dir):
     return _trades(spark, sf_dir).select("symbol", "entry_idx", "close_idx")
 
 
-@query("T8_overwritten", f"WITH RECURSIVE {TRADE_SQL} SELECT symbol, pick AS entry_idx, coalesce(xi, li) AS close_idx FROM y WHERE xi IS NOT NULL AND place > 1")
+#: Enters wherever an average is there and closes by its hold alone, so a last trade on a last row meets the one before.
+ALWAYS = trades.Rule(("close", "average"), 1e9, ("open", "average"), -1.0, 1.0, 10)
+_ALWAYS_SQL = trade_sql(_RULE_FRAME, "abs(close - average) <= 1e9", "abs(open - average) <= -1", keep=0.0)
+
+
+@query("T8_overwritten", f"WITH RECURSIVE {_ALWAYS_SQL} SELECT symbol, pick AS entry_idx, coalesce(xi, li) AS close_idx FROM y WHERE xi IS NOT NULL AND place > 1")
 def overwritten(spark, sf_dir):
-    every, kept = trades.find_trades(_rule_frame(spark, sf_dir), RULE, drop_overwritten=False), _trades(spark, sf_dir)
+    every = trades.find_trades(_rule_frame(spark, sf_dir), ALWAYS, drop_overwritten=False)
+    kept = trades.find_trades(_rule_frame(spark, sf_dir), ALWAYS)
     return every.join(kept, "id", "left_anti").select("symbol", "entry_idx", "close_idx")
 
 
-@query("T9_markers", f"WITH RECURSIVE {TRADE_SQL}, u AS (SELECT symbol, entry_ts AS ts, id AS entry, NULL AS exit, NULL AS limit_ FROM id UNION ALL SELECT symbol, exit_ts, NULL, id, NULL FROM id UNION ALL SELECT symbol, limit_ts, NULL, NULL, id FROM id) SELECT symbol, ts, max(entry) AS entry, max(exit) AS exit, max(limit_) AS \"limit\" FROM u WHERE ts IS NOT NULL GROUP BY symbol, ts")
+@query("T9_markers", f"WITH RECURSIVE {TRADE_SQL}, u AS (SELECT symbol, entry_ts AS ts, id AS entry, NULL::VARCHAR AS exit, NULL::VARCHAR AS limit_ FROM id UNION ALL SELECT symbol, exit_ts, NULL::VARCHAR, id, NULL::VARCHAR FROM id UNION ALL SELECT symbol, limit_ts, NULL::VARCHAR, NULL::VARCHAR, id FROM id) SELECT symbol, ts, max(entry) AS entry, max(exit) AS exit, max(limit_) AS \"limit\" FROM u WHERE ts IS NOT NULL GROUP BY symbol, ts")
 def marker_table(spark, sf_dir):
     return trades.markers(_trades(spark, sf_dir))
 
@@ -467,9 +493,9 @@ def trade_ids(spark, sf_dir):
     return _trades(spark, sf_dir).groupBy("symbol").agg(F.count_distinct("id").alias("n_ids"), F.max("id").alias("last_id"))
 
 
-@query("T12_trade_results", f"WITH RECURSIVE {RESULT_SQL} SELECT symbol, id, trade_no, entry_ts, round(delta, 4) AS delta, round(entry_open, 4) AS entry_open, stopped FROM r")
+@query("T12_trade_results", f"WITH RECURSIVE {RESULT_SQL} SELECT symbol, id, trade_no, entry_ts, delta AS delta, entry_open AS entry_open, stopped FROM r")
 def trade_results(spark, sf_dir):
-    return rounded(_results(spark, sf_dir))
+    return _results(spark, sf_dir)
 
 
 SUMMARY = """ SELECT symbol, count(*) AS total_trades,
@@ -491,13 +517,15 @@ def win_rate(spark, sf_dir):
 @query("T15_deltas", f"WITH RECURSIVE {RESULT_SQL} SELECT symbol, count(*)::INT AS n, round(list_sum(list(delta ORDER BY trade_no)[1:5]), 4) AS first_five FROM r GROUP BY symbol")
 def deltas(spark, sf_dir):
     lists = trades.delta_lists(_results(spark, sf_dir))
-    return rounded(lists.select("symbol", F.size("deltas").alias("n"), F.aggregate(F.slice("deltas", 1, 5), F.lit(0.0), lambda a, x: a + x).alias("first_five")))
+    five = F.aggregate(F.slice("deltas", 1, 5), F.lit(0.0), lambda a, x: a + x)
+    by = lists.groupBy("symbol").agg(F.sum(F.size("deltas")).cast("int").alias("n"), F.max(F.when(F.col("chunk") == 0, five)).alias("first_five"))
+    return rounded(by)
 
 
-@query("T16_boxes", f"WITH RECURSIVE {RESULT_SQL} SELECT symbol, id, epoch_ms(entry_ts)::DOUBLE AS x_left, round(entry_open + delta, 4) AS top, round(entry_open, 4) AS middle, round(entry_open * 0.9, 4) AS floor FROM r")
+@query("T16_boxes", f"WITH RECURSIVE {RESULT_SQL} SELECT symbol, id, epoch_ms(entry_ts)::DOUBLE AS x_left, close_open AS top, entry_open AS middle, (entry_open * 0.9) AS floor FROM r")
 def boxes(spark, sf_dir):
     out = trades.trade_boxes(_trades(spark, sf_dir), supplier_bars(spark, sf_dir), RULE.stop)
-    return rounded(out.select("symbol", "id", F.col("profit_box")[0]["x"].alias("x_left"), F.col("profit_box")[0]["y"].alias("top"), F.col("stop_box")[0]["y"].alias("middle"), F.col("stop_box")[2]["y"].alias("floor")))
+    return out.select("symbol", "id", F.col("profit_box")[0]["x"].alias("x_left"), F.col("profit_box")[0]["y"].alias("top"), F.col("stop_box")[0]["y"].alias("middle"), F.col("stop_box")[2]["y"].alias("floor"))
 
 
 @query("T17_trade_type", f"WITH RECURSIVE {TRADE_SQL} SELECT 'option_call' AS trade_type, count(*) AS n FROM id")
@@ -506,10 +534,53 @@ def trade_type(spark, sf_dir):
     return trades.find_trades(_rule_frame(spark, sf_dir), rule).groupBy("trade_type").agg(F.count("*").alias("n"))
 
 
-@query("T18_base_frame", f"WITH RECURSIVE {RESULT_SQL} SELECT symbol, id, round(delta, 4) AS delta FROM r")
+@query("T18_base_frame", f"WITH RECURSIVE {RESULT_SQL} SELECT symbol, id, delta AS delta FROM r")
 def base_frame(spark, sf_dir):
     out = trades.back_test(_rule_frame(spark, sf_dir), RULE, base=supplier_bars(spark, sf_dir))
-    return rounded(out["results"].select("symbol", "id", "delta"))
+    return out["results"].select("symbol", "id", "delta")
+
+
+#: Entry and exit take columns of two frames: hours beside the last day's average.
+TWO = trades.Rule(("hour.close", "day.average"), 1.0, ("hour.open", "day.open"), 0.5, 0.5, 20)
+_TWO_SQL = trade_sql(
+    f"""{EVENT_BARS}, {HBARS}, d AS (
+  SELECT symbol, ts, open, CASE WHEN row_number() {W} >= 3 THEN avg(close) {rows(3)} END AS average FROM ebars
+), j AS (
+  SELECT h.symbol, h.ts, h.close AS e0, h.open AS x0, a.average AS e1, b.open AS x1
+  FROM hbars h ASOF LEFT JOIN (SELECT * FROM d WHERE average IS NOT NULL) a ON a.symbol = h.symbol AND h.ts >= a.ts ASOF LEFT JOIN d b ON b.symbol = h.symbol AND h.ts >= b.ts
+), f AS MATERIALIZED (
+  SELECT j.symbol, j.ts, e0, x0, CASE WHEN h.ts - a.ts <= INTERVAL 1 DAY THEN e1 END AS e1, CASE WHEN h.ts - b.ts <= INTERVAL 1 DAY THEN x1 END AS x1,
+         row_number() OVER (PARTITION BY j.symbol ORDER BY j.ts) - 1 AS idx, count(*) OVER (PARTITION BY j.symbol) AS n
+  FROM j JOIN hbars h USING (symbol, ts) ASOF LEFT JOIN (SELECT symbol, ts FROM d WHERE average IS NOT NULL) a ON a.symbol = h.symbol AND h.ts >= a.ts ASOF LEFT JOIN d b ON b.symbol = h.symbol AND h.ts >= b.ts
+)""",
+    "abs(e0 - e1) <= 1", "abs(x0 - x1) <= 0.5", "e0", "x0", 20, 0.5,
+)
+
+
+@query("T19_two_frames", f"WITH RECURSIVE {_TWO_SQL} SELECT symbol, id, entry_ts, exit_ts, limit_ts FROM id")
+def two_frames(spark, sf_dir):
+    day = event_bars(spark, sf_dir).withColumn("average", calc.moving_average("close", 3))
+    frame, rule = trades.over_frames({"hour": _hours(spark, sf_dir), "day": day}, TWO, "asof", DAY)
+    return trades.trade_table(trades.find_trades(frame, rule))
+
+
+#: Two tickers in frames of their own, and a constant level, as one pair.
+PAIR = trades.Rule(("a.close", "b.close"), 5.0, ("a.average", "b.level"), 3.0, 0.15, 5)
+_PAIR_SQL = trade_sql(
+    f"""{EVENT_BARS}, g AS (SELECT *, CASE WHEN row_number() {W} >= 2 THEN avg(close) {rows(2)} END AS average FROM ebars), f AS MATERIALIZED (
+  SELECT 'click/view' AS symbol, a.ts, a.close AS e0, b.close AS e1, a.average AS x0, 10.0::DOUBLE AS x1, row_number() OVER (ORDER BY a.ts) - 1 AS idx, count(*) OVER () AS n
+  FROM g a JOIN g b ON a.ts = b.ts WHERE a.symbol = 'click' AND b.symbol = 'view'
+)""",
+    "abs(e0 - e1) <= 5", "abs(x0 - x1) <= 3", "e0", "x0", 5, 0.85,
+)
+
+
+@query("T20_pair_trades", f"WITH RECURSIVE {_PAIR_SQL} SELECT symbol, id, entry_ts, exit_ts, limit_ts FROM id")
+def pair_trades(spark, sf_dir):
+    of = lambda symbol: event_bars(spark, sf_dir).where(F.col("symbol") == symbol)
+    frames = {"a": of("click").withColumn("average", calc.moving_average("close", 2)), "b": of("view").withColumn("level", calc.constant("10"))}
+    frame, rule = trades.over_frames(frames, PAIR, "exact", pair="click/view")
+    return trades.trade_table(trades.find_trades(frame, rule))
 
 
 @query("J8_assembled_trades", f"WITH RECURSIVE {TRADE_SQL} SELECT symbol, id, entry_ts, coalesce(exit_ts, limit_ts) AS close_ts FROM id")
@@ -519,23 +590,23 @@ def assembled(spark, sf_dir):
 
 # ---- charts ---------------------------------------------------------------------------------------------------------
 
-LINES = "SELECT 'open' AS series, 'line' AS kind, symbol, ts, round(open, 4) AS y FROM bars UNION ALL SELECT 'close', 'line', symbol, ts, round(close, 4) FROM bars"
-CANDLES = "SELECT 'candles' AS series, 'candle' AS kind, symbol, ts, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close FROM bars"
+LINES = "SELECT 'open' AS series, 'line' AS kind, symbol, ts, open AS y FROM bars UNION ALL SELECT 'close', 'line', symbol, ts, close FROM bars"
+CANDLES = "SELECT 'candles' AS series, 'candle' AS kind, symbol, ts, open AS open, high AS high, low AS low, close AS close FROM bars"
 
 
 @query("G1_lines", f"WITH {BARS} {LINES}")
 def lines(spark, sf_dir):
-    return rounded(charts.line(supplier_bars(spark, sf_dir), "open", "close"))
+    return charts.line(supplier_bars(spark, sf_dir), "open", "close")
 
 
 @query("G2_candles", f"WITH {BARS} {CANDLES}")
 def candles(spark, sf_dir):
-    return rounded(charts.candle(supplier_bars(spark, sf_dir)))
+    return charts.candle(supplier_bars(spark, sf_dir))
 
 
-@query("G3_bars", f"WITH {BARS} SELECT 'volume' AS series, 'bar' AS kind, symbol, ts, round(volume, 4) AS y FROM bars")
+@query("G3_bars", f"WITH {BARS} SELECT 'volume' AS series, 'bar' AS kind, symbol, ts, volume AS y FROM bars")
 def bar_chart(spark, sf_dir):
-    return rounded(charts.bar(supplier_bars(spark, sf_dir), "volume"))
+    return charts.bar(supplier_bars(spark, sf_dir), "volume")
 
 
 @query("G4_labels", f"WITH {BARS}, {INDEXED} SELECT symbol, idx::INT AS idx, epoch_ms(ts) AS label FROM ix")
@@ -548,25 +619,25 @@ def _chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.stack(charts.line(b, "open", "close"), charts.candle(b))
 
 
-@query("G5_bounds", f"WITH {BARS} SELECT round(least(min(open), min(close), min(low)) - 25, 4) AS y_min, round(greatest(max(open), max(close), max(high), 0) + 25, 4) AS y_max FROM bars")
+@query("G5_bounds", f"WITH {BARS} SELECT least(min(open), min(close), min(low)) - 25 AS y_min, greatest(max(open), max(close), max(high), 0) + 25 AS y_max FROM bars")
 def bounds(spark, sf_dir):
-    return rounded(charts.bounds(_chart(spark, sf_dir)))
+    return charts.bounds(_chart(spark, sf_dir))
 
 
-@query("G6_trade_rects", f"WITH RECURSIVE {TRADE_SQL} SELECT i.symbol, i.id, CASE WHEN i.exit_ts IS NOT NULL THEN 'green_rect' ELSE 'red_rect' END AS kind, i.entry_ts AS x_start, coalesce(i.exit_ts, i.limit_ts) AS x_end, round(b.close, 4) AS strike FROM id i JOIN bars b ON b.symbol = i.symbol AND b.ts = i.entry_ts")
+@query("G6_trade_rects", f"WITH RECURSIVE {TRADE_SQL} SELECT i.symbol, i.id, CASE WHEN i.exit_ts IS NOT NULL THEN 'green_rect' ELSE 'red_rect' END AS kind, i.entry_ts AS x_start, coalesce(i.exit_ts, i.limit_ts) AS x_end, b.close AS strike FROM id i JOIN bars b ON b.symbol = i.symbol AND b.ts = i.entry_ts")
 def trade_rects(spark, sf_dir):
     marked = trades.markers(_trades(spark, sf_dir)).join(supplier_bars(spark, sf_dir).select("symbol", "ts", "close"), ["symbol", "ts"])
-    return rounded(charts.trade_rects(marked))
+    return charts.trade_rects(marked)
 
 
-@query("G7_candle_bodies", f"WITH {BARS} SELECT symbol, ts, round(least(open, close), 4) AS box_low, round(greatest(open, close), 4) AS box_high, round((open + close) / 2, 4) AS box_mid, close >= open AS up FROM bars")
+@query("G7_candle_bodies", f"WITH {BARS} SELECT symbol, ts, least(open, close) AS box_low, greatest(open, close) AS box_high, ((open + close) / 2) AS box_mid, close >= open AS up FROM bars")
 def candle_bodies(spark, sf_dir):
-    return rounded(charts.candle_bodies(supplier_bars(spark, sf_dir)))
+    return charts.candle_bodies(supplier_bars(spark, sf_dir))
 
 
 @query("G8_stacked", f"WITH {BARS} SELECT *, NULL::DOUBLE AS open, NULL::DOUBLE AS high, NULL::DOUBLE AS low, NULL::DOUBLE AS close FROM ({LINES}) UNION ALL SELECT series, kind, symbol, ts, NULL, open, high, low, close FROM ({CANDLES})")
 def stacked(spark, sf_dir):
-    return rounded(_chart(spark, sf_dir))
+    return _chart(spark, sf_dir)
 
 
 # ---- aggregates, sorting, paging, scalars ---------------------------------------------------------------------------
@@ -583,9 +654,9 @@ def fit_sums(spark, sf_dir):
     return rounded(rows.groupBy("symbol").agg(F.count("close").alias("n"), F.sum("i").alias("sum_x"), F.sum("close").alias("sum_y"), F.regr_r2("close", "i").alias("r2")))
 
 
-@query("A3_ranges", f"WITH {BARS} SELECT symbol, round(greatest(max(open), max(high)), 4) AS top, round(least(min(close), min(low)), 4) AS bottom FROM bars GROUP BY symbol")
+@query("A3_ranges", f"WITH {BARS} SELECT symbol, greatest(max(open), max(high)) AS top, least(min(close), min(low)) AS bottom FROM bars GROUP BY symbol")
 def ranges(spark, sf_dir):
-    return rounded(supplier_bars(spark, sf_dir).groupBy("symbol").agg(F.greatest(F.max("open"), F.max("high")).alias("top"), F.least(F.min("close"), F.min("low")).alias("bottom")))
+    return supplier_bars(spark, sf_dir).groupBy("symbol").agg(F.greatest(F.max("open"), F.max("high")).alias("top"), F.least(F.min("close"), F.min("low")).alias("bottom"))
 
 
 @query("A6_distinct_rows", "SELECT DISTINCT o_custkey, o_orderpriority FROM orders")
@@ -593,9 +664,9 @@ def distinct_rows(spark, sf_dir):
     return align.unique_times(table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority"))
 
 
-@query("O1_time_order", f"WITH {EVENT_BARS} SELECT symbol, ts, round(close, 4) AS close FROM ebars ORDER BY symbol, ts")
+@query("O1_time_order", f"WITH {EVENT_BARS} SELECT symbol, ts, close AS close FROM ebars ORDER BY symbol, ts")
 def time_order(spark, sf_dir):
-    return rounded(view.in_time_order(event_bars(spark, sf_dir).select("symbol", "ts", "close")))
+    return view.in_time_order(event_bars(spark, sf_dir).select("symbol", "ts", "close"))
 
 
 @query("A4_wins", f"WITH RECURSIVE {RESULT_SQL} SELECT symbol, count(*) FILTER (delta > 0) AS won, count(*) FILTER (delta < 0) AS lost FROM r GROUP BY symbol")
@@ -603,10 +674,10 @@ def wins(spark, sf_dir):
     return _results(spark, sf_dir).groupBy("symbol").agg(F.count_if(F.col("delta") > 0).alias("won"), F.count_if(F.col("delta") < 0).alias("lost"))
 
 
-@query("O2_sorted_page", f"WITH {BARS} SELECT symbol, ts, round(close, 4) AS close FROM bars ORDER BY bars.close DESC NULLS LAST, symbol, ts LIMIT 50 OFFSET 100")
+@query("O2_sorted_page", f"WITH {BARS} SELECT symbol, ts, close AS close FROM bars ORDER BY bars.close DESC NULLS LAST, symbol, ts LIMIT 50 OFFSET 100")
 def sorted_page(spark, sf_dir):
     b = supplier_bars(spark, sf_dir).select("symbol", "ts", "close")
-    return rounded(view.page(view.sort_by(b, "close", True, ("symbol", "ts")), 2, 50))
+    return view.page(view.sort_by(b, "close", True, ("symbol", "ts")), 2, 50)
 
 
 @query("O3_page_after", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 100")
@@ -614,9 +685,9 @@ def page_after(spark, sf_dir):
     return view.page_after(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 1000, 100)
 
 
-@query("O4_preview", f"WITH {EVENT_BARS} SELECT symbol, ts, round(close, 4) AS close FROM ebars ORDER BY symbol, ts LIMIT 40")
+@query("O4_preview", f"WITH {EVENT_BARS} SELECT symbol, ts, close AS close FROM ebars ORDER BY symbol, ts LIMIT 40")
 def preview(spark, sf_dir):
-    return rounded(view.preview(view.in_time_order(event_bars(spark, sf_dir).select("symbol", "ts", "close"))))
+    return view.preview(view.in_time_order(event_bars(spark, sf_dir).select("symbol", "ts", "close")))
 
 
 @query("O5_table_view", "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name::VARCHAR), '7') ORDER BY c_custkey DESC NULLS LAST LIMIT 25 OFFSET 25")
@@ -637,7 +708,7 @@ def time_forms(spark, sf_dir):
     return e.select("event_id", n(F.unix_millis("t"), "bigint").alias("from_ms"), n(F.unix_seconds("t").cast("int"), "int").alias("from_s"), n(F.to_date("t"), "date").alias("from_date"))
 
 
-_calc("D3_finite", lambda: scalar.finite(F.col("close")), f"round({FIN}, 4) AS value", **_gap)
+_calc("D3_finite", lambda: scalar.finite(F.col("close")), f"{FIN} AS value", **_gap)
 
 
 @query("D5_contains", "SELECT o_orderkey, contains(lower(o_totalprice::VARCHAR), '9') AS has FROM orders WHERE o_orderpriority IS NOT NULL")
@@ -649,16 +720,17 @@ def contains(spark, sf_dir):
 # ---- sinks ----------------------------------------------------------------------------------------------------------
 
 
-@query("K1_published_frames", f"WITH {BARS} SELECT symbol, ts, round(close, 4) AS close FROM bars WHERE symbol <= 40")
+@query("K1_published_frames", f"WITH {BARS}, {EVENT_BARS} SELECT 'bars' AS frame, symbol::VARCHAR AS symbol, ts, close FROM bars UNION ALL SELECT 'events', symbol, ts, close FROM ebars")
 def published_frames(spark, sf_dir):
-    paths = sinks.publish({"bars": supplier_bars(spark, sf_dir)}, live.scratch(spark))
-    return rounded(spark.read.parquet(paths["bars"]).where("symbol <= 40").select("symbol", "ts", "close"))
+    paths = sinks.publish({"bars": supplier_bars(spark, sf_dir), "events": event_bars(spark, sf_dir)}, live.scratch(spark))
+    read = [spark.read.parquet(paths[name]).select(F.lit(name).alias("frame"), F.col("symbol").cast("string").alias("symbol"), "ts", "close") for name in paths]
+    return read[0].unionByName(read[1])
 
 
-@query("K5_published_bars", f"WITH {BARS} SELECT symbol, ts, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume FROM bars")
+@query("K5_published_bars", f"WITH {BARS} SELECT symbol, ts, open AS open, high AS high, low AS low, close AS close, volume AS volume FROM bars")
 def published_bars(spark, sf_dir):
     paths = sinks.publish({"bars": supplier_bars(spark, sf_dir)}, live.scratch(spark))
-    return rounded(spark.read.parquet(paths["bars"]).select("symbol", "ts", "open", "high", "low", "close", "volume"))
+    return spark.read.parquet(paths["bars"]).select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
 @query("K2_published_trades", f"WITH RECURSIVE {RESULT_SQL} SELECT 'trades' AS name, count(*) AS n_rows FROM id UNION ALL SELECT 'boxes', count(*) FROM id UNION ALL SELECT 'results', count(*) FROM r UNION ALL SELECT 'summary', count(DISTINCT symbol) FROM r")
@@ -671,7 +743,7 @@ def published_trades(spark, sf_dir):
 @query("K3_published_chart", f"WITH {BARS} {CANDLES}")
 def published_chart(spark, sf_dir):
     paths = sinks.publish({"chart": charts.candle(supplier_bars(spark, sf_dir))}, live.scratch(spark))
-    return rounded(spark.read.parquet(paths["chart"]).drop("symbol_bucket"))
+    return spark.read.parquet(paths["chart"]).drop("symbol_bucket")
 
 
 @query("K4_no_trades", f"WITH {BARS} SELECT symbol, '' AS id, ts AS entry_ts, ts AS exit_ts, ts AS limit_ts FROM bars WHERE close < 0")
@@ -698,6 +770,34 @@ def long_average(spark, sf_dir):
     return rounded(out.select("l_orderkey", "l_linenumber", "idx", "value"))
 
 
+_ORDER = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
+_ONE_GAPPED = f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, CASE WHEN l_orderkey % 3 <> 0 AND l_partkey % 7 <> 0 THEN l_extendedprice / l_quantity END AS x FROM lineitem)
+  SELECT l_orderkey, l_linenumber, coalesce(last_value(x IGNORE NULLS) OVER ({_ORDER} ROWS UNBOUNDED PRECEDING), first_value(x IGNORE NULLS) OVER ({_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS value FROM s"""
+
+
+@query("L2_long_series_volatility", _ONE.replace("avg(", "stddev_samp(") + " SELECT l_orderkey, l_linenumber, idx, round(CASE WHEN idx >= 13 THEN m ELSE 0 END, 4) AS value FROM s")
+def long_volatility(spark, sf_dir):
+    out = long_series.bucketed_volatility(_one_series(spark, sf_dir), "close", "value", 14, 5000)
+    return rounded(out.select("l_orderkey", "l_linenumber", "idx", "value"))
+
+
+@query("L3_long_series_repair", _ONE_GAPPED)
+def long_repair(spark, sf_dir):
+    rows = _one_series(spark, sf_dir).withColumn("x", F.when((F.col("l_orderkey") % 3 != 0) & (F.col("ts.l_partkey") % 7 != 0), F.col("close")))
+    return long_series.bucketed_repair(rows, "x", "value", 5000).select("l_orderkey", "l_linenumber", "value")
+
+
+@query("L4_long_series_asof", f"WITH {BARS}, {FUNDAMENTALS} SELECT b.symbol, b.ts, b.close AS close, CASE WHEN b.ts - f.filed_ts <= INTERVAL 30 DAY THEN f.eps END AS eps FROM bars b ASOF LEFT JOIN fundamentals f ON b.symbol = f.symbol AND b.ts >= f.filed_ts")
+def long_asof(spark, sf_dir):
+    filed = fundamentals(spark, sf_dir).withColumnRenamed("filed_ts", "ts")
+    return long_series.asof_backward(supplier_bars(spark, sf_dir).select("symbol", "ts", "close"), filed, ["eps"], timedelta(days=30), 200)
+
+
+@query("L5_long_series_trades", f"WITH RECURSIVE {TRADE_SQL} SELECT symbol, id, entry_ts, exit_ts, limit_ts FROM id")
+def long_trades(spark, sf_dir):
+    return trades.trade_table(trades.find_trades(_rule_frame(spark, sf_dir), RULE, picks="doubling"))
+
+
 # ---- streams --------------------------------------------------------------------------------------------------------
 
 QUERIES |= live.QUERIES

@@ -34,7 +34,8 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     sold = lines.select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     by = sold.groupBy(F.col("l_suppkey").alias("symbol"), F.date_trunc("month", "o_orderdate").alias("month"))
-    figures = by.agg(F.date_trunc("day", F.max("o_orderdate")).alias("filed_ts"), (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("eps"), F.sum("l_quantity").alias("outstanding_shares"))
+    cents = F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))  # exact, so the order of the rows does not matter
+    figures = by.agg(F.date_trunc("day", F.max("o_orderdate")).alias("filed_ts"), (cents.cast("double") / F.sum("l_quantity")).alias("eps"), F.sum("l_quantity").alias("outstanding_shares"))
     return figures.select("symbol", "filed_ts", "eps", "outstanding_shares")
 
 
@@ -56,8 +57,8 @@ GAPPED = """gapped AS (
   FROM bars)"""
 
 FUNDAMENTALS = """fundamentals AS (
-  SELECT l_suppkey AS symbol, date_trunc('day', max(o_orderdate))::TIMESTAMP AS filed_ts, sum(l_extendedprice) / sum(l_quantity) AS eps, sum(l_quantity) AS outstanding_shares
+  SELECT l_suppkey AS symbol, date_trunc('day', max(o_orderdate))::TIMESTAMP AS filed_ts, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / sum(l_quantity) AS eps, sum(l_quantity) AS outstanding_shares
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_suppkey, date_trunc('month', o_orderdate))"""
 
-INDEXED = """ix AS (
+INDEXED = """ix AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY symbol) AS n FROM bars)"""

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.functions.scalar import parse_day
-
 
 def ohlc_bars(ticks: DataFrame, symbol: str | Column, ts: str | Column, price: str | Column, every: str = "day", tiebreak: tuple[str, ...] = (), volume: str | Column | None = None) -> DataFrame:
     """One bar per symbol and interval: first, highest, lowest and last price, and the volume (number of ticks without one).
@@ -26,16 +25,21 @@ def ohlc_bars(ticks: DataFrame, symbol: str | Column, ts: str | Column, price: s
 
 def in_days(df: DataFrame, first: str | None, last: str | None, ts: str = "ts") -> DataFrame:
     """Rows from midnight of ``first`` to midnight of ``last``, both YYYYMMDD and both included; a day that is none is an error."""
-    day = {d: df.sparkSession.range(1).select(parse_day(F.lit(d))).first()[0] for d in {first, last} - {None}}
-    wrong = [d for d, t in day.items() if t is None]
-    if wrong:
-        raise ValueError(f"not a day: {', '.join(wrong)}")
     for d, keep in ((first, F.col(ts).__ge__), (last, F.col(ts).__le__)):
         if d is not None:
-            df = df.where(keep(F.lit(day[d]).cast(df.schema[ts].dataType)))
+            df = df.where(keep(F.lit(_midnight(d)).cast(df.schema[ts].dataType)))
     return df
 
 
+def _midnight(day: str) -> str:
+    try:
+        if len(day) != 8 or not (day.isascii() and day.isdigit()):
+            raise ValueError
+        return f"{date(int(day[:4]), int(day[4:6]), int(day[6:])).isoformat()} 00:00:00"
+    except ValueError:
+        raise ValueError(f"not a day: {day}") from None
+
+
 def of_symbols(df: DataFrame, symbols: Iterable | None, symbol: str = "symbol") -> DataFrame:
     return df if symbols is None else df.where(F.col(symbol).isin(list(symbols)))
 

@@ -6,6 +6,7 @@ Row-wise calculations need nothing here: the functions of the batch side work on
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,10 +65,13 @@ def live_bars(ticks: DataFrame, symbol: str, ts: str, price: str, every: str = "
 
 
 def live_rolling(df: DataFrame, x: str, n: int = PERIOD, kind: str = "mean") -> DataFrame:
-    """``(symbol, ts, x, value)``: rolling mean ("mean") or sample deviation with 0 before n rows ("std"), row by row.
+    """``(symbol, ts, x, value)``, row by row: rolling mean ("mean"), sample deviation with 0 before n rows ("std"), log
+    return ("log_return"), or yearly deviation of n log returns, null unless all are there ("return").
 
     Rows of a symbol must come in order of time from batch to batch; inside a batch they are sorted.
     """
+    if kind not in ("mean", "std", "log_return", "return"):
+        raise ValueError(f"no rolling calculation {kind}")
     symbol = df.schema["symbol"].dataType.simpleString()
     rows = df.select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.col(x).cast("double").alias("x"))
     return rows.groupBy("symbol").transformWithStateInPandas(Rolling(n, kind), f"symbol {symbol}, ts timestamp, x double, value double", "Append", "None")
@@ -84,39 +88,47 @@ def live_trades(signals: DataFrame, rule: Rule) -> DataFrame:
     return rows.groupBy("symbol").transformWithStateInPandas(OpenTrade(rule.stop, rule.hold), f"symbol {symbol}, entry_ts timestamp, exit_ts timestamp, limit_ts timestamp", "Append", "None")
 
 
-def upsert_into(path: str, keys: list[str], notify: Callable[[int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the newest version of every key in a Parquet table and says which batch is out.
+def upsert_into(path: str, keys: list[str], notify: Callable[[int], None] | None = None, merge_every: int = 16) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the newest version of every key in Parquet tables and says which batch is out.
 
-    Each batch writes a new version of the table beside the last one and readers use the newest complete version, so a
-    batch that is run again leaves the same table.
+    A batch writes its changed rows alone, as ``version=N``; every ``merge_every`` batches all rows so far are written
+    together as ``whole=N``, after which older folders are not read any more.  Only complete folders count, so a batch
+    that is run again leaves the same table.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark, to = batch.sparkSession, f"{path.rstrip('/')}/version={number}"
-        last = _versions(spark, path, number)
-        if last is not None:
-            batch = batch.unionByName(spark.read.parquet(f"{path.rstrip('/')}/version={last}").join(batch.select(*keys), keys, "left_anti"))
-        batch.write.mode("overwrite").parquet(to)
+        spark, base = batch.sparkSession, path.rstrip("/")
+        batch.write.mode("overwrite").parquet(f"{base}/version={number}")
+        if number % merge_every == merge_every - 1:
+            newest(spark, path, keys, number).write.mode("overwrite").parquet(f"{base}/whole={number}")
         if notify:
             notify(number)
 
     return sink
 
 
-def _versions(spark: SparkSession, path: str, before: int | None = None) -> int | None:
-    """The newest complete version, of those before a number if one is given."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    done = [f.getPath() for f in fs.listStatus(hadoop) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    numbers = [int(p.getName().partition("=")[2]) for p in done]
-    return max([n for n in numbers if before is None or n < before], default=None)
-
-
-def newest(spark: SparkSession, path: str) -> DataFrame:
-    """The table that ``upsert_into`` keeps."""
-    version = _versions(spark, path)
-    if version is None:
+def _complete(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Numbers of the complete folders by kind."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[str, list[int]] = {"version": [], "whole": []}
+    if files.exists(path_of(path)):
+        for f in files.listStatus(path_of(path)):
+            kind, _, number = f.getPath().getName().partition("=")
+            if kind in out and files.exists(path_of(f.getPath(), "_SUCCESS")):
+                out[kind].append(int(number))
+    return out
+
+
+def newest(spark: SparkSession, path: str, keys: list[str], upto: int | None = None) -> DataFrame:
+    """The table that ``upsert_into`` keeps: the row of the latest batch for every key."""
+    found = _complete(spark, path)
+    last = lambda numbers: [n for n in numbers if upto is None or n <= upto]
+    whole = max(last(found["whole"]), default=-1)
+    parts = [(whole, f"{path.rstrip('/')}/whole={whole}")] * (whole >= 0) + [(n, f"{path.rstrip('/')}/version={n}") for n in sorted(last(found["version"])) if n > whole]
+    if not parts:
         raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path.rstrip('/')}/version={version}")
+    rows = [spark.read.parquet(p).select("*", F.lit(n).alias("_batch")) for n, p in parts]
+    names = [c for c in rows[0].columns if c != "_batch"]
+    every = reduce(DataFrame.unionByName, rows)
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*names), "_batch").alias("_row")).select("_row.*")

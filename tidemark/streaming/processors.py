@@ -17,7 +17,7 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class Rolling(StatefulProcessor):
-    """Keeps the last n values of a symbol."""
+    """Keeps as many of a symbol's last values as a window looks back on."""
 
     def __init__(self, n: int, kind: str) -> None:
         self.n, self.kind = n, kind
@@ -30,8 +30,16 @@ class Rolling(StatefulProcessor):
         rows = _in_order(rows)
         series = pd.Series(np.concatenate([np.array(kept, dtype="float64"), rows.x.to_numpy(dtype="float64")]))
         window = series.rolling(self.n, min_periods=self.n)
-        out = {"mean": window.mean, "std": lambda: window.std().fillna(0.0) if self.n > 1 else series * 0.0}[self.kind]()
-        self.last.put([(v,) for v in series.iloc[-(self.n - 1) :].tolist()] if self.n > 1 else [])
+        if self.kind == "mean":
+            out = window.mean()
+        elif self.kind == "std":
+            out = window.std().fillna(0.0) if self.n > 1 else series * 0.0
+        else:
+            both = (series > 0) & (series.shift() > 0)
+            returns = np.log((series / series.shift()).where(both))
+            out = returns if self.kind == "log_return" else returns.rolling(self.n, min_periods=self.n).std() * np.sqrt(252)
+        back = self.n - 1 if self.kind in ("mean", "std") else 1 if self.kind == "log_return" else self.n
+        self.last.put([(v,) for v in series.iloc[-back:].tolist()] if back else [])
         yield pd.DataFrame({"symbol": rows.symbol.to_numpy(), "ts": rows.ts.to_numpy(), "x": rows.x.to_numpy(), "value": out.to_numpy()[len(kept) :]})
 
     def close(self) -> None:
