@@ -223,13 +223,29 @@ def test_token_counts_by_definition(spark):
 
     r = random.Random(1)
     texts = ODD_TEXTS[:-3] + ["".join(r.choice("the an in g. ") for _ in range(r.randint(1, 80))) for _ in range(200)]
+    texts += ["".join(r.choice("thequickan") for _ in range(n)) for n in (255, 256, 257, 3000)] + ["a" * 5000, "é" * 700, "word " * 20_000]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(9000, None, "s")]
-    got = {g.doc_id: (g.n_tokens, g.n_pre_tokens) for g in token_counts.count_tokens(documents(spark, rows), path).collect()}
+    docs = documents(spark, rows).withColumn("n_tokens", F.lit("clash")).withColumn("n_pre_tokens", F.lit(1))
+    got = {g.doc_id: (g.n_tokens, g.n_pre_tokens) for g in token_counts.count_tokens(docs, path).collect()}
+    assert token_counts.count_tokens(docs.limit(0), path).count() == 0
+    again = token_counts.count_tokens(documents(spark, [(None, "a b", "s"), (1, "a b", "s"), (1, "a b", "s"), (1, "c", "s")]), path).collect()
+    assert sorted((g.doc_id or 0, g.n_tokens, g.n_pre_tokens) for g in again) == [(0, 2, 2), (1, 1, 1), (1, 2, 2), (1, 2, 2)]
     for i, t, _ in rows:
         words = [w.encode() for w in pretokens.pre_tokens(t or "")]
         assert got[i] == (sum(map(count, words)), len(words))
 
 
+def test_token_counts_of_a_very_long_word():
+    import time
+
+    pieces = token_counts.piece_trie(token_counts.default_ranks())
+    r = random.Random(1)
+    word = "".join(r.choice("etaoinshrdlu") for _ in range(300_000)).encode()
+    began = time.time()
+    whole = token_counts.trie_counts([word, b"the"], pieces)
+    assert whole[1] == 1 and 60_000 < whole[0] < 300_000 and time.time() - began < 20  # in proportion to its length
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     got = quality.classify(docs.unionByName(documents(spark, [(-1, None, None), (-2, "", None), (-3, "x" * 100_000, None)])), labels).select("doc_id", "held_out", "score", "predicted").toPandas()

@@ -6,11 +6,17 @@ distinct prefix, the best forward score of a segmentation into vocabulary pieces
 path carried beside it.  Terminal nodes give the pre-token its count, and a document's count is the sum over its
 pre-tokens.  Nothing is shuffled.
 
+A level is one pass over all nodes of a depth, which pays where many words are that long.  Beyond ``LEVELS`` bytes words
+share no prefixes worth a pass each: there the same recursion runs along one word at a time, over the vocabulary's trie.
+It starts from the word's first byte, so it needs nothing of the levels before.
+
 Scores are Zipf weights of a public rank file: a piece of rank r has log-probability -log(r + 1) up to a constant per
 piece, in whole micro-nats, so sums are exact and equal in any order.  Of equal scores the segmentation with fewer
 pieces counts.  All 256 single bytes are pieces, so every text has a segmentation.
 
-Defined cases: null and empty texts have no tokens.
+Defined cases: null and empty texts have no tokens; texts of any length are counted whole, also one long word without
+blanks; rows that repeat, with one doc_id or several, are counted row by row; a null doc_id is passed on; an empty table
+gives an empty result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from tidemark.llm.pretokens import Interner, pre_tokens
 from tidemark.llm.shared import table, text_chunks
 
 LOWEST = -(1 << 60)
+LEVELS = 256
 
 
 def default_ranks() -> str:
@@ -63,6 +70,17 @@ class PieceTrie:
         self.next = np.array([step[k] for k in self.keys.tolist()], dtype=np.int64)
         self.score = np.array(score, dtype=np.int64)
         self.longest = max(map(len, pieces))
+        self.scores = scores
+        self._steps: list[dict[int, tuple[int, int]]] | None = None
+
+    def steps(self) -> list[dict[int, tuple[int, int]]]:
+        """Per state the next state and its score for each byte, for walks along one word."""
+        if self._steps is None:
+            out: list[dict[int, tuple[int, int]]] = [{} for _ in range(len(self.score))]
+            for key, to in zip(self.keys.tolist(), self.next.tolist()):
+                out[key >> 8][key & 255] = (to, int(self.score[to]))
+            self._steps = out
+        return self._steps
 
     def advance(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """Next states, -1 where there is none."""
@@ -76,8 +94,40 @@ def piece_trie(path: str) -> PieceTrie:
     return PieceTrie(piece_scores(path))
 
 
+def word_count(word: bytes, pieces: PieceTrie) -> int:
+    """Number of pieces in the best segmentation of one long word; what is held are the places a piece can still reach."""
+    steps, n, width = pieces.steps(), len(word), pieces.longest + 1
+    worst = (LOWEST, 0)
+    best = [worst] * width  # a ring: best score and, of equal ones, the fewest pieces (as a negative number)
+    best[0] = (0, 0)
+    for start in range(n):
+        at = start % width
+        score, used = best[at]
+        best[at] = worst
+        state, place = 0, start
+        while place < n:
+            step = steps[state].get(word[place])
+            if step is None:
+                break
+            state, gain = step
+            place += 1
+            if gain > LOWEST:
+                found = (score + gain, used - 1)
+                slot = place % width
+                if found > best[slot]:
+                    best[slot] = found
+    return -best[n % width][1]
+
+
 def trie_counts(words: list[bytes], pieces: PieceTrie) -> np.ndarray:
     """Number of pieces in the best segmentation of each word."""
+    long = [i for i, w in enumerate(words) if len(w) > LEVELS]
+    if long:
+        counts = np.zeros(len(words), dtype=np.int64)
+        counts[long] = [word_count(words[i], pieces) for i in long]
+        short = [i for i, w in enumerate(words) if len(w) <= LEVELS]
+        counts[short] = trie_counts([words[i] for i in short], pieces)
+        return counts
     order = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int64)
     length = np.array([len(words[i]) for i in order], dtype=np.int64)
     flat = np.frombuffer(b"".join(words[i] for i in order), dtype=np.uint8)
