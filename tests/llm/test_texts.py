@@ -75,8 +75,9 @@ def test_keep_bitmaps_agree_with_kept_texts(spark):
         assert (r.n_lines, r.n_dropped) == (len(lines), len(lines) - len(left)) and r.n_dropped > 0
 
 
-@pytest.mark.parametrize("which", ["odd", "many", "empty", "no words"])
-def test_mixing_equals_sql(spark, which):
+@pytest.mark.parametrize(("which", "level"), [("odd", 12), ("many", 12), ("many", 1), ("many", 2), ("empty", 12), ("no words", 12)])
+def test_mixing_equals_sql(spark, monkeypatch, which, level):
+    monkeypatch.setattr(mixing, "LEVEL_BITS", level)
     r = random.Random(2)
     rows = {
         "odd": ODD[:6] + [(20, "w " * 50, "e"), (21, "w", "e")], "empty": [], "no words": [(1, None, None), (2, " ", "a")],
@@ -103,10 +104,23 @@ def test_mixing_equals_sql(spark, which):
 def test_mix_repeats_documents(spark):
     rows = [(i, "w " * 10, "ab"[i % 2]) for i in range(40)] + [(None, "w w", "a")]
     plan = {r.doc_id: r.copies for r in mixing.fair_queue(documents(spark, rows)).collect()}
-    got = mixing.mixed(documents(spark, rows)).groupBy("doc_id").count().collect()
+    got = mixing.mixed(documents(spark, rows).withColumn("copies", F.lit("clash"))).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {k: v for k, v in plan.items() if v}
 
 
+def test_mix_of_rows_that_repeat_a_document(spark):
+    r = random.Random(4)
+    rows = [(i % 30, "w " * r.randint(1, 30) + f"x{i % 45}", "abc"[i % 3]) for i in range(120)] + [(7, "w w w", "a")] * 5 + [(None, "n n", None)] * 3
+    docs = documents(spark, rows)
+    queued = mixing.fair_queue(docs).collect()
+    got = mixing.mixed(docs).groupBy("doc_id", "source", F.xxhash64("text").alias("mark")).count().collect()
+    wanted = {}
+    for q in queued:
+        if q.copies:
+            wanted[q.doc_id, q.source, q.mark] = wanted.get((q.doc_id, q.source, q.mark), 0) + q.copies
+    assert {(g.doc_id, g.source, g.mark): g["count"] for g in got} == wanted
+
+
 def passages(seed):
     """Rows with shared passages at the ends of lines and inside them, and common short sentences."""
     r = random.Random(seed)

@@ -4,14 +4,16 @@ Each document may be taken up to ``epochs`` times.  A source's documents are shu
 finish time is the number of source words served up to and including it, divided by the source's target.  All copies
 are ordered by finish time over all sources and taken while the running total stays within the budget.
 
-Both running totals are distributed: hash (or time) intervals get their sums from a partial aggregate, the small table
-of interval sums is accumulated by a window, and each interval is then accumulated on its own.  Intervals are so many
-that each holds about ``rows_per_bucket`` rows, whatever the size of the source, so a source with a third of all rows
-is spread like any other.
+Both running totals are distributed: hash (or time) intervals get their sums from a partial aggregate, interval sums are
+accumulated level by level, 4,096 intervals at a time, and each interval is then accumulated on its own.  Intervals are so
+many that each holds about ``rows_per_bucket`` rows, whatever the size of the source, so a source with a third of all rows
+is spread like any other, and no window of any level grows with the tables.  The one table that a single task sees whole is
+that of the sources, a row each: water filling needs all of them in order.
 
 Defined cases: a null text has size 0; null sources are a source of their own, ordered last; documents of size 0 are
-taken zero words; ties of hash and finish time go by doc_id; an empty table gives an empty result.  Rows that repeat
-a doc_id are separate documents with the same place in the order.
+taken zero words; texts of any length are counted whole; ties of hash and finish time go by doc_id; an empty table gives an
+empty result.  Rows that repeat a doc_id are separate documents with the same place in the order, each with a fate of its
+own.  Columns other than doc_id, source and text are passed on by ``mixed`` and ignored by ``fair_queue``.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ def shuffle_key(seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
+def _mark() -> Column:
+    return F.xxhash64(F.col("text")).alias("mark")
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """``(source, source_size, n_docs, target)``: one row per source.
 
@@ -57,27 +63,47 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return by.select("source", "source_size", "n_docs", F.coalesce(F.least("limit", level * F.col("weight")), "limit").alias("target"))
 
 
-def _running(df: DataFrame, group: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
+LEVEL_BITS = 12
+
+
+def _past(sums: DataFrame, group: list[str], bits: int) -> DataFrame:
+    """``sums(group, bucket, sum)`` with ``past``, the sum of all buckets of the group before; buckets are below 2 ** bits.
+
+    Windows hold 2 ** LEVEL_BITS buckets at most: longer ranges are cut into coarser buckets, whose own past comes first.
+    """
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    if bits <= LEVEL_BITS:
+        return sums.withColumn("past", F.coalesce(F.sum("sum").over(before(*group)), F.lit(0)))
+    sums = sums.withColumn("coarse", F.shiftright("bucket", LEVEL_BITS))
+    coarse = sums.groupBy(*group, F.col("coarse").alias("bucket")).agg(F.sum("sum").alias("sum"))
+    coarse = _past(coarse, group, bits - LEVEL_BITS).drop("sum")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in group] + [F.col("a.coarse") == F.col("b.bucket")]
+    both = sums.withColumn("inner", F.coalesce(F.sum("sum").over(before(*group, "coarse")), F.lit(0))).alias("a").join(coarse.alias("b"), on=same)
+    return both.select(*[F.col(f"a.{k}") for k in [*group, "bucket", "sum"]], (F.col("a.inner") + F.col("b.past")).alias("past"))
+
+
+def _running(df: DataFrame, group: list[str], bits: int, order: list, value: str, out: str) -> DataFrame:
     """Running total of ``value`` in ``group``: totals of the buckets before, plus the running total inside the bucket."""
-    keys = [*group, bucket]
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
-    past = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    sums = sums.withColumn("_past", F.sum("_sum").over(past.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
+    keys = [*group, "bucket"]
+    sums = _past(df.groupBy(*keys).agg(F.sum(value).alias("sum")), group, bits)
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    both = df.alias("a").join(sums.alias("b"), on=same).select("a.*", "b._past")
+    both = df.alias("a").join(sums.alias("b"), on=same).select("a.*", "b.past")
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(out, F.coalesce("_past", F.lit(0)) + F.sum(value).over(inside)).drop("_past")
+    return both.withColumn(out, F.col("past") + F.sum(value).over(inside)).drop("past")
 
 
 def fair_queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix", rows_per_bucket: int = 512) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies, taken)`` for every row of ``docs(doc_id, source, text)``."""
-    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
+    """``(doc_id, source, mark, size, source_size, target, copies, taken)`` for every row of ``docs(doc_id, source, text)``.
+
+    ``mark`` is a hash of the text, which tells rows that repeat a doc_id apart.
+    """
+    sized = stored(docs.select("doc_id", "source", _mark(), word_count(F.col("text")).alias("size")), "sized")
     targets = stored(source_targets(sized, weights, share, epochs).coalesce(1), "targets")
     largest, n_docs, words = targets.agg(F.max("n_docs"), F.sum("n_docs"), F.sum("source_size")).first()
     bits = lambda n: max(0, math.ceil(math.log2(max(1, (n or 0) / rows_per_bucket))))
     n_slots = 2 ** bits((n_docs or 0) * epochs)
     sized = sized.withColumn("r", shuffle_key(seed)).withColumn("bucket", F.shiftright("r", HASH_BITS - bits(largest)))
-    queued = _running(sized, ["source"], "bucket", ["r", "doc_id", "size"], "size", "served")
+    queued = _running(sized, ["source"], bits(largest), ["r", "doc_id", "size"], "size", "served")
     queued = queued.alias("q").join(targets.alias("t"), F.col("q.source").eqNullSafe(F.col("t.source"))).select("q.*", "t.source_size", "t.target")
     queued = stored(queued.drop("bucket"), "queued")
 
@@ -99,14 +125,22 @@ def fair_queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 def _last_within(copies: DataFrame, budget: float, epochs: int) -> Column:
     """The place of the last copy, in global order, up to which the running total stays within the budget.
 
-    The order is cut into ranges of finish time (slots).  Sums of the slots say in which one the budget ends; only that
-    slot is sorted.  A literal row is returned: it is one value, however many copies there are.
+    The order is cut into ranges of finish time (slots).  Sums of the slots say in which one the budget ends, found from
+    coarse ranges of slots down to fine ones, 4,096 at a time; only that slot is sorted.  A literal row is returned: it is one
+    value, however many copies there are.
     """
-    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    sums = copies.groupBy("slot").agg(F.sum("size").alias("words")).withColumn("past", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    end = sums.where(F.col("past") <= budget).agg(F.max(F.struct("slot", "past")).alias("end")).first()["end"]
-    if end is None:
+    sums = stored(copies.groupBy("slot").agg(F.sum("size").alias("words")), "slots")
+    top = sums.agg(F.max("slot").alias("slot")).first()["slot"]
+    if top is None:
         return F.lit(None)
+    shift, slot, past = LEVEL_BITS * ((max(1, top).bit_length() - 1) // LEVEL_BITS), None, 0
+    while shift >= 0:
+        inside = sums if slot is None else sums.where(F.shiftright("slot", shift + LEVEL_BITS) == slot)
+        level = inside.groupBy(F.shiftright("slot", shift).alias("bucket")).agg(F.sum("words").alias("sum"))
+        level = _past(level.withColumn("all", F.lit(0)), ["all"], LEVEL_BITS).withColumn("past", F.col("past") + F.lit(past))
+        end = level.where(F.col("past") <= budget).agg(F.max(F.struct("bucket", "past")).alias("end")).first()["end"]
+        slot, past, shift = end["bucket"], end["past"], shift - LEVEL_BITS
+    end = {"slot": slot, "past": past}
     order = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     inside = copies.where(F.col("slot") == end["slot"]).withColumn("total", F.sum("size").over(order) + F.lit(end["past"]))
     row = inside.where(F.col("total") <= budget).agg(F.max("place").alias("place")).first()["place"]
@@ -120,9 +154,14 @@ def _last_within(copies: DataFrame, budget: float, epochs: int) -> Column:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: documents repeated as often as they are taken, in the columns of ``docs``."""
-    copies = fair_queue(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_taken")).agg(F.max("copies").cast("int").alias("_copies"))
-    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_taken")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    same = ["doc_id", "mark", "source"]
+    twin = lambda *order: F.row_number().over(Window.partitionBy(*[f"_{k}" for k in same]).orderBy(*order))
+    copies = fair_queue(docs, **options).select(*[F.col(k).alias(f"_{k}") for k in same], F.col("copies").cast("int").alias("_copies"))
+    copies = copies.withColumn("_twin", twin(F.desc("_copies"))).where("_copies > 0").toDF(*[f"{c}_" for c in copies.columns], "_twin_")
+    every = docs.withColumns({"_doc_id": F.col("doc_id"), "_mark": F.xxhash64("text"), "_source": F.col("source")})
+    every = every.withColumn("_twin", twin("n_chars" if "n_chars" in docs.columns else "doc_id"))
+    both = every.join(copies, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in ("_doc_id", "_mark", "_source", "_twin")])
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies_")))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
