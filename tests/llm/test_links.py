@@ -59,6 +59,26 @@ def test_near_vectors_by_brute_force(spark, block):
     assert all(g.kept == (k == g.component_id) for k, g in got.items())
 
 
+@pytest.mark.parametrize("d", [64, 256, 768])
+def test_near_vectors_at_the_threshold(spark, d):
+    r = np.random.default_rng(d)
+    rows = []
+    for i in range(1000 if d < 100 else 300):  # pairs just above the threshold, which are the hardest to find
+        x, z = r.normal(size=(2, d))
+        x /= np.linalg.norm(x)
+        z -= (z @ x) * x
+        z /= np.linalg.norm(z)
+        rows += [(2 * i, x), (2 * i + 1, 0.9001 * x + np.sqrt(1 - 0.9001**2) * z)]
+    got = {g.vec_id: g.n_links for g in near_vectors.near_duplicates(vectors(spark, rows, "double")).collect()}
+    assert all(n <= 1 for n in got.values()) and np.mean(list(got.values())) >= 0.99
+
+
+def test_functions_and_tables_follow_size_and_dimension():
+    assert [near_vectors.functions_for(64, n) for n in (1000, 10**6, 10**9)] == [2, 3, 4]
+    few, more = near_vectors.tables_for(64, 2, 0.9), near_vectors.tables_for(64, 3, 0.9)
+    assert few < more < near_vectors.MAX_TABLES and few < near_vectors.tables_for(256, 2, 0.9)
+
+
 BAD = [(1000, None), (1001, [0.0] * 4), (1002, [float("nan")] + [1.0] * 3), (1003, [1.0, None, 0, 0]), (1004, []), (1005, [float("inf")] * 4)]
 
 
@@ -68,6 +88,8 @@ def test_near_vectors_odd_rows(spark):
     wanted = [(1, 4, 1, True), (2, 4, 1, False), (3, 0, 3, True), (4, 4, 1, False), (4, 4, 1, False), (5, 4, 1, False), (6, 0, 6, True)] + [(k, 0, k, True) for k, _ in BAD]
     assert got == wanted
     assert near_vectors.near_duplicates(vectors(spark, [])).count() == 0
+    long = [(i, np.random.default_rng(i % 2).normal(size=5000)) for i in range(4)]
+    assert sorted(r.n_links for r in near_vectors.near_duplicates(vectors(spark, long).withColumn("bucket", F.lit("clash"))).collect()) == [1, 1, 1, 1]
 
 
 def test_hadamard_keeps_lengths():
