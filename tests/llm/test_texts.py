@@ -306,16 +306,47 @@ def test_main_text_of_given_pages(spark):
         assert got[p.page_id] == (article_by_tags(p.html), len(article_by_tags(p.html)))
 
 
-def test_main_text_of_other_layouts(spark):
-    rows = [
-        (1, "u", None), (2, "u", ""), (3, "u", "plain words only, without any markup at all"), (4, "u", "<p>cut <b"),
-        (5, None, '<html><body><div class="navbar"><a href="/">x</a></div><article><h1>T &amp; U</h1><p>One  two\n three, which is a sentence.<br>four</p><div class="cookie-notice">We use cookies, you know.</div><p>Last paragraph &lt;here&gt;, with words in it.</p></article><div class="comments"><p>A reader says that this is a fine text.</p></div><aside>More to read, over there.</aside><script>var a = "<p>no</p>"</script></body></html>'),
-        (6, "u", "<div>" * 3000 + "deep text that goes on for a while, as it should" + "</div>" * 3000),
-    ]
+LONG = "A sentence of the article that is long enough to be one, and says what there is to say about it."
+THREAD = "".join(f'<div class="m"><em>{who}</em><p>{what}</p></div>' for who, what in [("Ida", "I liked it."), ("Jon", "Me too, and I will read it again."), ("Kim", "No, thanks.")])
+LAYOUTS = {
+    "null": (None, ""), "empty": ("", ""), "plain": ("plain words only, without any markup at all", "plain words only, without any markup at all"), "cut": ("<p>cut <b", "cut"),
+    "known parts": (
+        '<html><body><div class="navbar"><a href="/">x</a></div><article><h1>T &amp; U</h1><p>One  two\n three, which is a sentence.<br>four</p><div class="cookie-notice">We use cookies, you know.</div><p>Last paragraph &lt;here&gt;, with words in it.</p></article><div class="comments"><p>A reader says that this is a fine text.</p></div><aside>More to read, over there.</aside><script>var a = "<p>no</p>"</script></body></html>',
+        "T & U\nOne two three, which is a sentence. four\nLast paragraph <here>, with words in it.",
+    ),
+    "deep": ("<div>" * 3000 + "deep text that goes on for a while, as it should" + "</div>" * 3000, "deep text that goes on for a while, as it should"),
+    "less deep": ("<div>" * 300 + "A sentence." + "</div>" * 300, "A sentence."),
+    "bare body": (f"<html><body><p>{LONG}</p><p>Short one.</p></body></html>", f"{LONG}\nShort one."),
+    "bare paragraphs": (f"<p>{LONG}<p>{LONG}", f"{LONG}\n{LONG}"),
+    "no landmarks": (f'<body><div><a href="/">Home</a> <a href="/a">About</a></div><div><h1>Name of it</h1><p>{LONG}</p><p>{LONG}</p></div></body>', f"Name of it\n{LONG}\n{LONG}"),
+    "thread after the article": (f'<body><article><h1>N</h1><p>{LONG}</p></article><div id="thread">{THREAD}</div></body>', f"N\n{LONG}"),
+    "thread in the article": (f'<body><article><h1>N</h1><p>{LONG}</p><p>{LONG}</p><div id="thread">{THREAD}</div></article></body>', f"N\n{LONG}\n{LONG}"),
+    "thread without landmarks": (f'<body><div id="a"><h1>N</h1><p>{LONG}</p><p>{LONG}</p></div><div id="thread">{THREAD}</div></body>', f"N\n{LONG}\n{LONG}"),
+    "formula": (f"<body><article><p>{LONG} It is <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here.</p><object data='f'><p>{LONG}</p></object></article></body>", f"{LONG} It is x=1 here.\n{LONG}"),
+    "parts": (f'<body><main><section class="s"><h2>One</h2><p>{LONG}</p><p>{LONG}</p></section><section class="s"><h2>Two</h2><p>{LONG}</p><p>{LONG}</p></section></main></body>', "\n".join(["One", LONG, LONG, "Two", LONG, LONG])),
+    "inner notices": (f'<body><div class="topbar"><a href="/">x</a></div><article><h1>N</h1><p>{LONG}</p><div class="newsletter-signup"><p>Letters from us, every week.</p></div><p>Short.</p><section class="related-posts"><h3>More</h3><ul><li><a href="/o">Other</a></li></ul></section></article></body>', f"N\n{LONG}\nShort."),
+    "form and advert": (f'<body><nav><ul><li><a href="/">a</a></li></ul></nav><article><p>{LONG}</p><form><label>Mail</label><input value="no"></form><div class="advert">Buy this, it is cheap.</div><p>{LONG}</p></article><footer>End</footer></body>', f"{LONG}\n{LONG}"),
+}
+
+
+@pytest.fixture(scope="module")
+def layouts(spark):
+    given = spark.read.parquet(f"{DATA}/pages.parquet")
+    rows = [(i, "u", html) for i, (html, _) in enumerate(LAYOUTS.values())]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
-    assert got[1] == got[2] == "" and len(got) == 6
-    assert got[5] == "T & U\nOne two three, which is a sentence. four\nLast paragraph <here>, with words in it."
+    found = html_extract.extract(pages, html_extract.train(given))
+    return {r.page_id: r for r in found.collect()}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_main_text_of_other_layouts(layouts, name):
+    got = layouts[list(LAYOUTS).index(name)]
+    assert got.text == LAYOUTS[name][1] and got.n_chars == len(got.text) and got.url == "u"
+
+
+def test_main_text_of_no_pages_and_of_repeated_ones(spark):
+    pages = spark.createDataFrame([(1, None, "<p>a b"), (1, None, "<p>a b"), (None, "v", "<p>a b")], "page_id long, url string, html string")
+    assert [r.text for r in html_extract.extract(pages).collect()] == ["a b"] * 3
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 

@@ -1,17 +1,21 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every element is a binary variable: content or not.  Its own potential is log-linear in its name, the words of its
-class, id and role, its amount of text and its share of linked text; potentials on parent and child couple them.
-Sum-product messages go up and down the tree and give exact content marginals in two passes.  The weights are trained
-by gradient ascent on the likelihood of labelled pages, for which the same messages give the expected counts.
+class, id and role, its amount of text (its own and with all below it), its share of linked text, whether it is one of several
+siblings that look alike (as reader comments do), whether it lies outside the page's article landmark, and whether the page is
+bare, without links, names or landmarks; potentials on parent and child couple them.  Sum-product messages go up and down the tree and give exact content marginals in two passes.
+The weights are trained by gradient ascent on the likelihood of labelled pages, for which the same messages give the
+expected counts.
 
 Labelled pages: a bounded sample of the table's own pages that mark their article with HTML landmarks, labelled by those
-landmarks, and ``LABELLED``, hand-labelled layouts that the sample may lack.  Every page is extracted whole, in the task
-that reads it; nothing is shuffled.
+landmarks, and ``LABELLED``, hand-labelled layouts that the sample may lack, such as pages without any landmark.  Every page is
+extracted whole, in the task that reads it; nothing is shuffled.
 
 Defined cases: null and empty pages give empty text; broken and cut markup is read as far as it goes, an unfinished tag
-at the end is dropped; text outside any element counts as content of the root.  Scripts, styles and form values are
-never text.
+at the end is dropped; text outside any element belongs to the root, which is content where the page is plain text.  Scripts,
+styles and form values are never text; formulas and the fallback text of embedded objects are.  Very long and deeply nested
+pages are read whole; rows that repeat are extracted each; an empty table gives an empty result; columns besides
+page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +42,11 @@ BOILERPLATE = frozenset(
 CONTENT = frozenset("article articlebody body content entry main page post story text".split())
 #: Elements whose role is plain from the name; others fall under "other".
 NAMED = frozenset("a article aside b blockquote body button div dl em fieldset figure footer form h1 h2 h3 h4 h5 h6 head header html i img input label li main nav ol p pre section span strong table td th tr ul".split())
+#: Elements and names of which show that a page has other parts than its text.
+SIDE = frozenset("a nav footer aside header form button iframe dialog menu".split())
+#: Elements of which several with one class may be comments, teasers or parts of a text.
+ALIKE = frozenset("div section article li blockquote tr td dl".split())
+_KIND = re.compile(r"""(?:^|\s)class\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 NOT_CONTENT = frozenset("nav footer aside header form head script style button noscript template iframe title dialog menu".split())
 
 LABELLED = [
@@ -46,43 +55,96 @@ LABELLED = [
     '<body><div id="nav"><ul><li><a href="/1">A</a></li><li><a href="/2">B</a></li></ul></div><div class="ad">Buy this thing now, it is cheap and good.</div><article data-content="1"><header data-content="0"><p>By A. Writer, today</p></header><h2>Name of the piece</h2><p>Words, words and words, all of which are the article itself.</p><aside data-content="0"><p>Read more of our other stories, they are good.</p></aside><p>Closing words of the article, in one more paragraph.</p><footer data-content="0"><p>Filed under things</p></footer></article><footer><p>All rights reserved by the owner.</p></footer></body>',
     '<body><div class="banner">Sale ends soon, all must go</div><div class="post" data-content="1"><h1>Post</h1><div class="entry"><p>Body text of the post is here, for reading.</p><pre>code = 1</pre><table><tr><td>Cell one</td><td>Cell two</td></tr></table></div><div class="share" data-content="0"><a href="/t">Tell</a> <a href="/f">Send</a></div></div><div class="related"><p>You may also like these posts by others.</p></div><div class="newsletter"><form><p>Sign up for letters from us, every week.</p></form></div></body>',
     '<body><nav><a href="/">Start</a></nav><article data-content="1"><h1>H</h1><p>One.</p><p>Two words.</p><p><b>Bold opening of a paragraph</b> and then the rest of it.</p><section><h2>Part</h2><p>More text in the part.</p></section><div class="ad" data-content="0">An advert in the middle of it all.</div><p>The end.</p></article><div class="comments"><ol><li><p>First reader comment with some words.</p></li></ol></div><footer>&copy; all of us</footer></body>',
+    # without landmarks: plain fragments, wrappers, and parts that only their place and shape tell apart
+    '<body data-content="1"><p>This page is nothing but its own text, in some paragraphs.</p><p>Here is the second one, with more words than the first, for those who read on.</p><p>End.</p></body>',
+    '<html><body data-content="1"><h1>Notes</h1><p>A short page of notes.</p><ul><li>First note of the list</li><li>Second note of it</li></ul></body></html>',
+    '<body><div data-content="1"><div><div><div><div>Text that stands alone within many wrappers, and goes on for more than a line or two.</div></div></div></div></div></body>',
+    '<body><div><a href="/">Start</a> <a href="/n">News</a> <a href="/c">Contact</a></div><div data-content="1"><h2>A piece of news</h2><p>Its first paragraph says what it is about, in a sentence or two that are long enough.</p><p>Its second one adds what was left out of the first, with a good many words.</p></div><div>Copyright by the owner</div></body>',
+    '<body><div id="top"><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul></div><div id="x" data-content="1"><p>Words of the text, as many as it takes to tell the story to its end.</p><p>And some more of them, so that it is a story.</p></div><div id="y"><div class="z"><b>Ann</b><p>I do not agree with this.</p></div><div class="z"><b>Bob</b><p>But I do, and for good reasons.</p></div><div class="z"><b>Cid</b><p>Thanks for writing.</p></div></div></body>',
+    '<body><article data-content="1"><h1>Story</h1><p>The story begins here, with a sentence of some length, as stories do.</p><p>It ends there, after a few more words.</p><div id="q" data-content="0"><div class="k"><i>Dee</i><p>What a fine story, I read it twice.</p></div><div class="k"><i>Eli</i><p>Too long for me.</p></div><div class="k"><i>Fay</i><p>More of these, please, every week.</p></div></div></article></body>',
+    '<body><main data-content="1"><section class="part"><h2>Part one</h2><p>The first part of a long text, which has several parts that look alike, and each of them has paragraphs of a good length.</p><p>This is one of those, with enough words to count as long in any case.</p></section><section class="part"><h2>Part two</h2><p>The second part of that text, which looks like the first, as parts of a text should, and is about as long as it.</p><p>A closing paragraph, also with a fair number of words in it.</p></section></main><div id="r"><div class="s">Seen by Gus</div><div class="s">Seen by Hal</div></div></body>',
+    '<body><article data-content="1"><h2>Sums</h2><p>The sum is <math><mi>a</mi><mo>+</mo><mi>b</mi></math> for short.</p><figure><img src="p.png"><figcaption>A picture of it</figcaption></figure><dl><dt>Term</dt><dd>What it means</dd></dl></article><p>Posted in sums</p></body>',
+    '<body><article data-content="1"><h2>On things</h2><p>Things are many, and this is about some of them, in a few sentences.</p><div class="notice" data-content="0">We changed our terms, please read them.</div><p>One thing is this.</p><div class="promo-box" data-content="0"><p>Get two for one, this week alone.</p></div><p>Another one is that, and so it goes on.</p><div class="comments" data-content="0"><p>I have more things.</p></div></article></body>',
+    '<body><main data-content="1"><p>A page with its message first.</p><div class="cookie-bar" data-content="0">This page sets cookies.</div><p>It ends here.</p><div class="share-links" data-content="0">Tell a friend</div></main></body>',
+    '<p data-content="1">A fragment</p>',
+    '<p data-content="1">One.</p><p data-content="1">Two <i>words</i>.</p>',
     '<body><table><tr><td class="menu"><a href="/a">a</a><br><a href="/b">b</a></td><td class="story" data-content="1"><h1>Old page</h1><p>Text in a table layout, as it used to be done long ago.</p><p>Another paragraph of it.</p></td></tr></table></body>',
 ]
 
 
+#: Pages without any markup: their root is content.
+PLAIN = ["Nothing but words, as a text file has them.", "A first line of plain text, which is followed by others.\nA second line.\nAnd a third one, longer than both, so that it is a text of some length in all."]
+
+
 def _names(attrs: str) -> set[str]:
     return {w for m in dom.NAMING.finditer(attrs) for w in re.split(r"[^a-z]+", m[1].lower()) if w}
 
 
+def _bin(size: int) -> str:
+    return "0" if not size else "short" if size < 25 else "middle" if size < 120 else "long"
+
+
 def features(page: dom.Page) -> list[tuple[str, ...]]:
     """Names of the features that are on, per element."""
     n = len(page.tag)
-    size, linked = [0] * n, [0] * n
+    own, linked = [0] * n, [0] * n
     in_link = [False] * n
+    alike: dict[tuple[int, str, str], list[int]] = {}
     for k in range(1, n):
         in_link[k] = page.tag[k] == "a" or in_link[page.parent[k]]
+        if page.attrs[k] and page.tag[k] in ALIKE:
+            shape = _KIND.search(page.attrs[k])
+            if shape:
+                alike.setdefault((page.parent[k], page.tag[k], shape[1]), []).append(k)
     for k, piece in page.stream:
         if piece:
             c = len(piece.strip())
-            size[k] += c
+            own[k] += c
             if in_link[k]:
                 linked[k] += c
+    size = own[:]
     for k in range(n - 1, 0, -1):
         size[page.parent[k]] += size[k]
         linked[page.parent[k]] += linked[k]
+    one_of = [""] * n
+    for group in alike.values():
+        if len(group) > 1:
+            kind = "few words" if sum(size[k] for k in group) < 160 * len(group) else "many words"
+            for k in group:
+                one_of[k] = kind
+    mark = "main" if "main" in page.tag else "article"
+    inside = [False] * n
+    marked = mark in page.tag
+    beside = [False] * n  # within an element that is named as a part beside the text, and holds less than half of the page
+    bare = not any(tag in SIDE or attrs and _names(attrs) for tag, attrs in zip(page.tag, page.attrs))
     out = []
     for k in range(n):
         tag, attrs = page.tag[k], page.attrs[k]
-        f = ["bias", "tag:" + (tag if tag in NAMED else "h" if tag in NAMED else "none" if tag in NOT_CONTENT else "other")]
+        f = ["bias", "tag:" + (tag if tag in NAMED else "h3" if tag in ("h4", "h5", "h6") else "none" if tag in NOT_CONTENT else "other")]
+        if k:
+            up = page.parent[k]
+            inside[k] = inside[up] or tag == mark
+            beside[k] = beside[up]
+            one_of[k] = one_of[k] or one_of[up]
+        if marked and not inside[k]:
+            f.append("outside")
+        if bare:
+            f.append("bare")
+        if one_of[k]:
+            f.append("one of several:" + one_of[k])
         if attrs:
             names = _names(attrs)
             if names & BOILERPLATE:
                 f.append("named:boilerplate")
+                beside[k] = beside[k] or not names & CONTENT and 2 * size[k] < size[0]
             if names & CONTENT:
                 f.append("named:content")
             if dom.HIDDEN.search(attrs):
                 f.append("hidden")
-        f.append("size:0" if not size[k] else "size:short" if size[k] < 25 else "size:middle" if size[k] < 120 else "size:long")
+        if beside[k]:
+            f.append("beside")
+        f.append("size:" + _bin(size[k]))
+        f.append("own:" + _bin(own[k]))
         if size[k]:
             share = linked[k] / size[k]
             f.append("links:none" if not share else "links:some" if share < 0.4 else "links:most")
@@ -153,14 +215,14 @@ class TreeModel:
 
 
 def labels_of(page: dom.Page) -> list[int]:
-    """Labels from data-content marks and HTML landmarks, inherited from parents."""
+    """Labels from data-content marks and HTML landmarks, inherited from parents; names of classes play no part."""
     out = [0] * len(page.tag)
     for k in range(1, len(page.tag)):
         mark = dom.LABEL.search(page.attrs[k])
         tag = page.tag[k]
         if mark:
             out[k] = int(mark[1])
-        elif tag in NOT_CONTENT or _names(page.attrs[k]) & BOILERPLATE:
+        elif tag in NOT_CONTENT:
             out[k] = 0
         else:
             out[k] = 1 if tag in ("article", "main") else out[page.parent[k]]
@@ -172,13 +234,18 @@ def _example(html: str) -> tuple[list[tuple[str, ...]], list[int], list[int]]:
     return features(page), page.parent, labels_of(page)
 
 
+def hand_labelled() -> list[tuple[list[tuple[str, ...]], list[int], list[int]]]:
+    plain = [dom.read(text) for text in PLAIN]
+    return [_example(h) for h in LABELLED] * 2 + [(features(p), p.parent, [1] * len(p.parent)) for p in plain] * 2
+
+
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES, max_nodes: int = MAX_NODES) -> TreeModel:
     """A model from ``LABELLED`` and at most ``sample`` pages of at most ``max_nodes`` elements that mark their article."""
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).where(F.length("html") < 40 * max_nodes).withColumn("h", F.xxhash64("html"))
     # the least hashes first, as numbers; then just their pages come to the driver, copies once
     least = [r.h for r in marked.groupBy("h").count().orderBy("h").select("h").limit(sample).collect()]
     chosen = marked.where(F.col("h") <= least[-1]).select("html").distinct().orderBy("html").collect() if least else []
-    examples = [_example(h) for h in LABELLED] * 3 + [e for e in (_example(r.html) for r in chosen) if len(e[0]) <= max_nodes]
+    examples = hand_labelled() + [e for e in (_example(r.html) for r in chosen) if len(e[0]) <= max_nodes]
     return TreeModel().fit(examples)
 
 
