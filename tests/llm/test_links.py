@@ -88,7 +88,7 @@ def test_near_vectors_odd_rows(spark):
     wanted = [(1, 4, 1, True), (2, 4, 1, False), (3, 0, 3, True), (4, 4, 1, False), (4, 4, 1, False), (5, 4, 1, False), (6, 0, 6, True)] + [(k, 0, k, True) for k, _ in BAD]
     assert got == wanted
     assert near_vectors.near_duplicates(vectors(spark, [])).count() == 0
-    long = [(i, np.random.default_rng(i % 2).normal(size=5000)) for i in range(4)]
+    long = [(i, np.random.default_rng(i % 2).normal(size=1024)) for i in range(4)]
     assert sorted(r.n_links for r in near_vectors.near_duplicates(vectors(spark, long).withColumn("bucket", F.lit("clash"))).collect()) == [1, 1, 1, 1]
 
 
@@ -170,3 +170,11 @@ def test_ngram_join_of_nothing(spark):
     assert ngram_join.jaccard_components(empty).count() == 0
     got = ngram_join.jaccard_components(spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (2, None)], "doc_id long, text string"))
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in got.where("doc_id IS NOT NULL").collect()) == [(1, 2, 1), (2, 0, 2)] and got.count() == 3
+
+
+def test_ngram_join_of_odd_tables(spark):
+    long = " ".join(f"w{i}" for i in range(50_000))
+    rows = [(1, long), (2, long + " end"), (2, long + " end"), (3, "x" * 200_000), (4, "x" * 200_000), (5, long[: len(long) // 2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rep": F.lit("clash"), "n": F.lit(1), "signature": F.lit(None)})
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect())
+    assert [(i, c) for i, _, c in got] == [(1, 1), (2, 1), (2, 1), (3, 3), (4, 3), (5, 5)] and got[0][1] == 49_997

@@ -276,6 +276,33 @@ def test_quality_without_labels(spark):
     assert quality.classify(documents(spark, []), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 0
 
 
+def test_quality_odd_rows_and_bounded_training(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    few = docs.limit(3).unionByName(docs.limit(3)).unionByName(documents(spark, [(None, "a b", None), (1, "another text " * 200, "s"), (1, "w " * 200_000, "s")]))
+    few = few.withColumns({"score": F.lit("clash"), "held_out": F.lit(1), "predicted": F.lit(None), "n": F.lit(2), "x": F.lit(3)})
+    extra = {c: F.lit(None) for c in ("n", "x", "score", "held_out", "predicted")}
+    every = few.withColumn("odd", F.lit(True)).unionByName(docs.withColumns(extra).withColumn("odd", F.lit(False)), allowMissingColumns=True)
+    got = quality.classify(every, labels.withColumn("text", F.lit("clash"))).where("odd").collect()
+    assert len(got) == 9 and all(0 <= g.score <= 1 for g in got) and [g.held_out for g in got if g.doc_id is None] == [False]
+    assert len({g.score for g in got if g.doc_id == 1 and g.text.startswith(("another", "w "))}) == 2
+    assert quality.train(docs, labels, max_passages=0) is None  # not one document fits
+    small = quality.train(docs, labels, max_passages=600)
+    known = quality.with_scores(docs.where(quality.held_out(F.col("doc_id"))), small).join(labels, "doc_id").toPandas()
+    assert ((known.score >= 0.5) == (known.quality == 1)).mean() > 0.9
+
+
+def test_passages_and_pieces_of_odd_tables(spark):
+    empty = documents(spark, [])
+    clash = {"start": F.lit("clash"), "place": F.lit(1), "first": F.lit(None), "n_tokens": F.lit("clash"), "ids": F.lit(2)}
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = documents(spark, [(1, long, "s"), (2, long, "s"), (2, long, "s"), (None, long, "s"), (3, "ab" * 60_000, "s"), (4, None, None)]).withColumns(clash)
+    got = sorted((g.doc_id, g.start, g.end, g.n_words, g.kept_doc_id) for g in passage_dedup.repeated_runs(docs).collect())
+    assert got == [(2, 0, len(long), 60_000, 1)]
+    assert passage_dedup.repeated_runs(empty).count() == passage_dedup.repeated_passages(empty).count() == bpe.digests(empty).count() == 0
+    found = bpe.digests(docs).collect()
+    assert len(found) == 6 and len({g.ids_sha256 for g in found}) == 3 and all(g.n_tokens > 0 for g in found if g.doc_id != 4)
+
+
 def test_attention_gradients():
     r = np.random.default_rng(0)
     x, owner, y = r.normal(size=(9, 3)), np.array([0, 0, 0, 1, 1, 2, 2, 2, 2]), np.array([1.0, 0.0, 1.0])

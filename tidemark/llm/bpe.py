@@ -7,8 +7,10 @@ Texts are then put together from the numbers of their pre-tokens.  Nothing is sh
 partition they were read in, and a task's tables are dropped whenever they outgrow ``max_distinct`` pre-tokens.
 
 Defined cases: null and empty texts have no ids; the special token's string in a text is the special token; ids are
-little-endian unsigned 32-bit integers in a binary column; decoding replaces bytes that are not UTF-8.  Other columns,
-whatever their names, are passed on, but for the output column, which is replaced.
+little-endian unsigned 32-bit integers in a binary column; decoding replaces bytes that are not UTF-8; texts of any
+length are encoded whole, also one long word; rows that repeat are encoded each; a null doc_id is passed on; an empty
+table gives an empty result.  Other columns, whatever their names, are passed on, but for the output column, which is
+replaced.
 """
 
 from __future__ import annotations

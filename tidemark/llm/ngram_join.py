@@ -22,7 +22,8 @@ is a necessary condition, so no link between different texts is lost, however th
    ask each other in the same way, block by block.  A task returns one link per document at most.
 6. Links are contracted to components.
 
-Defined cases: A-Z count as a-z; fewer than k words are one shingle; null, empty and blank texts have none, and link
+Defined cases: an empty table gives an empty result; texts of any length give all their shingles; columns besides doc_id and
+text are ignored; A-Z count as a-z; fewer than k words are one shingle; null, empty and blank texts have none, and link
 with nothing; equal texts are one component; rows that repeat a doc_id are one document, and are taken to have one text;
 rows without doc_id are components of their own (null).
 """

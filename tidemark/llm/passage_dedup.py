@@ -15,8 +15,11 @@ Plan: units and digests are made in the scan; digests, places and offsets are sh
 come from a partially aggregated minimum, so a passage that a third of all documents share is one row per task; the join
 back is one whose hot partitions adaptive execution can split.
 
-Defined cases: null and empty texts have no units; a passage repeated inside one document goes too; rows without doc_id
-have no rank and take no part; rows that repeat a doc_id have equal ranks, so they keep what their twin keeps; of a run that repeats by overlapping itself, the part clear of the first occurrence goes.
+Defined cases: null and empty texts have no units; texts of any length are cut whole; a passage repeated inside one document
+goes too; rows without doc_id have no rank and take no part; rows that repeat a doc_id have equal ranks, so they keep what
+their twin keeps, and are taken to have one text; of a run that repeats by overlapping itself, the part clear of the first
+occurrence goes; an empty table gives an empty result; columns besides doc_id and text are ignored by the search and passed
+on by ``without_passages``.
 """
 
 from __future__ import annotations

@@ -4,13 +4,16 @@ A document is a bag of passages of ``WORDS`` words.  Every passage becomes a vec
 turns it into a representation, gated attention gives it a weight within its document, and the weighted sum of the
 representations is scored.  Encoder, attention and score are learned together from document labels.
 
-Training takes a bounded sample: at most ``per_class`` labelled documents of each label, chosen by a hash of doc_id,
-never from the held-out fold, with at most ``MAX_TRAIN_PASSAGES`` passages each, evenly spaced.  It runs on the driver,
-on the passage vectors only.  Scoring uses all passages of the whole text and shuffles nothing.
-
-Defined cases: null and empty texts are one passage without words; documents without a label are scored like others;
-several labels of one document count as their largest; without any usable labels every score is 0.5.
-Labels, lang, source and doc_id are no inputs of a score.
+Training takes a bounded sample of labelled documents, chosen by a hash of doc_id and never from the held-out fold: at most
+``per_class`` of each label, and no more of them than hold ``max_passages`` passages together.  A document of the sample is
+taken with all its passages.  Training runs on the driver, on the passage vectors only (64 bytes each).  Scoring uses all
+passages of the whole text and shuffles nothing.
+
+Defined cases: null and empty texts are one passage without words; texts of any length are scored whole; documents without a
+label are scored like others; several labels of one document count as their largest; labels other than 0 and 1 count as
+none; without any usable labels every score is 0.5; rows that repeat, or that share a doc_id, are scored each by its own
+text; a null doc_id is not held out; an empty table gives an empty result.  Other columns are passed on, but for ``score``,
+``held_out`` and ``predicted``, which are replaced.  Labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -20,15 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import word_hashes, word_spans
-from tidemark.llm.shared import table, text_chunks
+from tidemark.llm.shared import stored, table, text_chunks
 
 WORDS = 64
-MAX_TRAIN_PASSAGES = 24
-PER_CLASS = 1000
+PER_CLASS, MAX_PASSAGES = 1000, 50_000
 FEATURES = (
     "letters", "upper", "digits", "stops", "symbols", "bars", "marks", "non_ascii", "newlines",
     "word_length", "distinct", "repeats", "capital_starts", "symbol_ends", "single", "words",
@@ -162,23 +164,32 @@ def training_sample(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     return usable.where("quality = 0").orderBy(*order).limit(per_class).unionByName(usable.where("quality = 1").orderBy(*order).limit(per_class))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> AttentionModel | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_passages: int = MAX_PASSAGES) -> AttentionModel | None:
     """The model, or None if there are not two labels.  Only passage vectors of the bounded sample reach the driver."""
     chosen = training_sample(labels, per_class)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, 4 << 20):
             x, owner = passage_vectors([t or "" for t in batch.column("text").to_pylist()])
-            rows = []
-            for i in range(batch.num_rows):
-                own = x[owner == i]
-                pick = np.unique(np.linspace(0, len(own) - 1, min(len(own), MAX_TRAIN_PASSAGES)).round().astype(int))
-                rows.append(own[pick].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
+            cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(cuts, cuts[1:])]
+            columns = [batch.column("doc_id"), batch.column("quality"), pa.array(np.diff(cuts).astype(np.int32)), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "quality", "n", "x"])
 
     # the sample has 2 * per_class rows of two numbers at most, whatever the size of the tables
     few = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = few.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(vectors, "doc_id long, quality int, x binary").toPandas()
+    rows = stored(few.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(vectors, "doc_id long, quality int, n int, x binary"), "passages")
+    # both labels in turn, by hash, as long as their passages fit; the last kept place of each label bounds what is collected
+    turn = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", "x")
+    place = rows.withColumn("turn", F.row_number().over(turn))
+    sums = place.groupBy("turn").agg(F.sum("n").alias("n")).orderBy("turn").limit(2 * per_class).collect()
+    last, total = 0, 0
+    for r in sums:
+        total += r["n"]
+        if total > max_passages:
+            break
+        last = r["turn"]
+    rows = place.where(F.col("turn") <= last).select("doc_id", "quality", "x").toPandas()
     if rows.quality.nunique() < 2:
         return None
     rows = rows.sort_values(["doc_id", "x"], kind="stable").reset_index(drop=True)
@@ -189,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Att
 
 def with_scores(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
     """``docs`` with ``score``; one score per row."""
+    docs = docs.drop("held_out", "predicted")
     schema = docs.drop("score").withColumn("score", F.lit(0.5)).schema
     names = [f.name for f in schema][:-1]
 

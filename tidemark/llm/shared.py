@@ -26,10 +26,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local session, as in tests, may go without one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     known = getattr(spark, "_tidemark_scratch", None)
     if known is None:
         known = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -38,10 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
+    """Write ``df`` once to the shared folder and read it back: lineage is cut and a lost executor costs nothing.
+
+    The session deletes the table when it ends.
+    """
     spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     # shuffle files go once the plans that made them are collected; without this they pile up until the driver's heap is full
     gc.collect()
     spark._jvm.System.gc()
