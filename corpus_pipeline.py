@@ -1,12 +1,15 @@
 """A training corpus from raw documents: quality, line dedup, near-duplicate removal, mixing, tokenisation.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the next
-stage's documents.  All stages but the last return the columns of documents.
+stage's documents.  All stages but the last return the columns of documents, extra ones included, whatever their names.
+
+Every stage gives an empty result for an empty table and takes texts of any length whole.  What it does with nulls, ties and
+rows that repeat is said at each stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import digests
@@ -20,30 +23,56 @@ from tidemark.llm.shared import stored, table
 SHINGLE, PERCENT = 5, 80
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """``docs`` with columns of these names under others, and the columns that bring the old names back."""
+    away = {c: f"_own_{c}" for c in names if c in docs.columns}
+    return docs.withColumnsRenamed(away), [F.col(away.get(c, c)).alias(c) for c in docs.columns]
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier accepts, as they are.
+
+    A null text is scored as an empty one; rows that repeat, or share a doc_id, are judged each by its own text; without two
+    labels to learn from nothing reaches the threshold, and nothing is kept.
+    """
+    docs, back = _aside(docs, "score", "held_out", "predicted")
+    return classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*back)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier one holds."""
-    return kept_text(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """All documents, without lines that a smaller doc_id holds; ``n_chars`` is counted anew.
+
+    A null text becomes an empty one; rows without doc_id stay as they are; rows that share a doc_id count as one document,
+    so lines they have in common stay in each; a document may be left with an empty text, and stays.
+    """
+    docs, back = _aside(docs, "n_lines", "n_dropped")
+    return kept_text(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component of near copies."""
-    heads = jaccard_components(docs, SHINGLE, PERCENT).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))
-    return docs.alias("d").join(heads.alias("h"), same, "left_semi").select(*docs.columns)
+    """The smallest document of each component of near copies.
+
+    Texts without words link with nothing and stay; rows without doc_id are in no component and stay; of rows with one
+    doc_id and one text a single one stays, and rows with one doc_id and several texts are one document, of which each
+    text stays.
+    """
+    heads = jaccard_components(docs, SHINGLE, PERCENT).where("component_id = doc_id").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").withColumn("_mark", F.xxhash64("text"))
+    known = known.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy("_mark"))).where("_place = 1")
+    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, twice at most.
+
+    Null sources are a source of their own; documents without words are taken or not by their place like others; rows that
+    repeat are documents of their own, each with its own number of copies.
+    """
     return mixed(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix."""
+    """Token counts and digests of every row of the mix; a null or empty text has no tokens, rows that repeat come each."""
     return digests(docs)
 
 
