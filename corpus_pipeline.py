@@ -56,10 +56,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     doc_id and one text a single one stays, and rows with one doc_id and several texts are one document, of which each
     text stays.
     """
-    heads = jaccard_components(docs, SHINGLE, PERCENT).where("component_id = doc_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").withColumn("_mark", F.xxhash64("text"))
-    known = known.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy("_mark"))).where("_place = 1")
-    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    heads = jaccard_components(docs, SHINGLE, PERCENT).where("component_id = doc_id").select(F.col("doc_id").alias("id")).distinct()
+    known = docs.where("doc_id IS NOT NULL").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    one = F.row_number().over(Window.partitionBy("id", "mark").orderBy("mark"))
+    known = known.join(heads, "id", "left_semi").select("row", one.alias("place")).where("place = 1").select("row.*")
+    return known.unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
