@@ -97,17 +97,16 @@ def _left(text: Column, keep: Column) -> Column:
 
 def kept_text(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and the text that is left in ``text``; every other column stays as it is."""
-    bitmaps = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("n_dropped").alias("_n"), F.col("keep").alias("_keep"))
-    both = docs.join(bitmaps, (F.col("doc_id") == F.col("_doc")) & (_text_mark(F.col("text")) == F.col("_mark")), "left")
-    text = F.coalesce("text", F.lit(""))
-    out = both.withColumns(
-        {
-            "n_lines": F.size(_lines(F.col("text"))).cast("long"),
-            "n_dropped": F.coalesce("_n", F.lit(0).cast("long")),
-            "text": F.when(F.col("_doc").isNull(), text).otherwise(_left(text, F.col("_keep"))),
-        }
-    )
-    return out.drop("_doc", "_mark", "_n", "_keep")
+    bitmaps = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias("id"), "mark", F.col("n_dropped").alias("gone"), "keep")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), _text_mark(F.col("text")).alias("mark"))
+    text = F.coalesce("row.text", F.lit(""))
+    new = {
+        "text": F.when(F.col("keep").isNull(), text).otherwise(_left(text, F.col("keep"))),
+        "n_lines": F.size(_lines(F.col("row.text"))).cast("long"),
+        "n_dropped": F.coalesce("gone", F.lit(0).cast("long")),
+    }
+    old = [new["text"].alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.join(bitmaps, ["id", "mark"], "left").select(*old, new["n_lines"].alias("n_lines"), new["n_dropped"].alias("n_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,13 +155,13 @@ def _last_within(copies: DataFrame, budget: float, epochs: int) -> Column:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: documents repeated as often as they are taken, in the columns of ``docs``."""
     same = ["doc_id", "mark", "source"]
-    twin = lambda *order: F.row_number().over(Window.partitionBy(*[f"_{k}" for k in same]).orderBy(*order))
-    copies = fair_queue(docs, **options).select(*[F.col(k).alias(f"_{k}") for k in same], F.col("copies").cast("int").alias("_copies"))
-    copies = copies.withColumn("_twin", twin(F.desc("_copies"))).where("_copies > 0").toDF(*[f"{c}_" for c in copies.columns], "_twin_")
-    every = docs.withColumns({"_doc_id": F.col("doc_id"), "_mark": F.xxhash64("text"), "_source": F.col("source")})
-    every = every.withColumn("_twin", twin("n_chars" if "n_chars" in docs.columns else "doc_id"))
-    both = every.join(copies, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in ("_doc_id", "_mark", "_source", "_twin")])
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies_")))).select(*docs.columns)
+    twin = lambda *order: F.row_number().over(Window.partitionBy(*same).orderBy(*order)).alias("twin")
+    copies = fair_queue(docs, **options).select(*same, F.col("copies").cast("int").alias("copies"))
+    copies = copies.select("*", twin(F.desc("copies"))).where("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", _mark(), "source")
+    rows = rows.select("*", twin("doc_id"))
+    both = rows.alias("r").join(copies.alias("c"), [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*same, "twin"]])
+    return both.select("r.row", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("copy")).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
