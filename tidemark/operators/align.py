@@ -30,7 +30,7 @@ def _grouped(series: list[Series]) -> list[tuple[DataFrame, list[tuple[str, str]
 def align_exact(series: list[Series]) -> DataFrame:
     """``(symbol, ts, aliases)`` at the times that all series share."""
     parts = [df.select("symbol", "ts", *[F.col(c).cast("double").alias(a) for c, a in columns]) for df, columns in _grouped(series)]
-    return reduce(lambda a, b: a.join(b, ["symbol", "ts"]), parts)
+    return reduce(lambda a, b: a.join(b, ["symbol", "ts"]), parts).select("symbol", "ts", *[a for _, _, a in series])
 
 
 def align_position(series: list[Series]) -> DataFrame:
