@@ -72,9 +72,10 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     """Equi-join on ``key`` in a shape whose hot partitions adaptive execution can split.
 
     It splits a join only if both sides were shuffled for that join.  An aggregated side comes partitioned by ``key``
-    already, so a second join key, derived from the first, asks for a shuffle of its (small) result.
+    already, so a second join key, derived from the first, asks for a shuffle of its (small) result.  One bit does: wider
+    ones only make the shuffled rows longer.
     """
-    tag = F.pmod(F.xxhash64(key), F.lit(1 << 20))
+    tag = F.pmod(F.xxhash64(key), F.lit(2)).cast("byte")
     return left.withColumn("_tag", tag).join(right.withColumn("_tag", tag), [key, "_tag"], how).drop("_tag")
 
 
