@@ -39,7 +39,7 @@ SEPARATORS = {"sentence": re.compile(r"(?<=[.!?])\s+|\n\s*"), "line": re.compile
 UNIT_WORDS, MIN_WORDS, SURE_WORDS = 4, 30, 50
 #: White space as ``str.split`` reads it, by code point.
 SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 17
 
 
 def units(text: str, kind: str = "sentence", unit_words: int = UNIT_WORDS) -> list[tuple[int, int, int, int, bytes]]:
