@@ -24,6 +24,7 @@ on by ``without_passages``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ SEPARATORS = {"sentence": re.compile(r"(?<=[.!?])\s+|\n\s*"), "line": re.compile
 UNIT_WORDS, MIN_WORDS, SURE_WORDS = 4, 30, 50
 #: White space as ``str.split`` reads it, by code point.
 SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
-KNOWN_WORDS = 1 << 17
+KNOWN_FACTORS = 1 << 12
 
 
 def units(text: str, kind: str = "sentence", unit_words: int = UNIT_WORDS) -> list[tuple[int, int, int, int, bytes]]:
@@ -89,36 +90,51 @@ def repeated_passages(docs: DataFrame, kind: str = "sentence", unit_words: int =
     return passages.where(F.col("n_words") >= min_words).drop("run")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, made when first asked for."""
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """The last steps of splitmix64."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = out = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        return out
+@functools.lru_cache(maxsize=8)
+def _table(n: int, seed: int) -> np.ndarray:
+    return _mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def _factors(n: int, seed: int) -> np.ndarray:
-    """``n`` odd 64-bit numbers, the same for every text (splitmix64)."""
-    z = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (z ^ (z >> np.uint64(31))) | np.uint64(1)
+    """The first ``n`` of a row of odd 64-bit numbers, the same for every text; a short row is kept."""
+    return _table(KNOWN_FACTORS, seed)[:n] if n <= KNOWN_FACTORS else _table.__wrapped__(n, seed)
 
 
-def spans(text: str, hashes: WordHashes, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, sure: int = SURE_WORDS) -> tuple[np.ndarray, ...] | None:
+def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points (0 for white space), begins and ends of the words of ``text``."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    inside = ~SPACE[np.minimum(points, len(SPACE) - 1)]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    return (points + np.uint32(1)) * inside, edges[::2], edges[1::2]
+
+
+def _word_hashes(points: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: sums of code points times the factor of their place, then mixed."""
+    points = points[begin[0] :]
+    starts = begin - begin[0]
+    size = np.diff(starts, append=len(points))
+    place = np.arange(len(points)) - np.repeat(starts, size)
+    return _mixed(np.add.reduceat(points * _factors(int(size.max()), 3)[place], starts))
+
+
+def spans(text: str, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, sure: int = SURE_WORDS) -> tuple[np.ndarray, ...] | None:
     """``(word, words, after, start, end, high, low)`` of the sentences and chosen windows of a text, or None.
 
     ``word`` counts all words of the text; ``after`` is where the long sentence before ends (a window's own ``word``).
     """
-    inside = ~SPACE[np.minimum(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), len(SPACE) - 1)]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    begin, close = edges[::2], edges[1::2]
+    _, begin, close = _words(text)
     n = len(begin)
     if n < unit_words:
         return None
-    h = np.fromiter(map(hashes.__getitem__, [w.casefold() for w in text.split()]), dtype=np.uint64, count=n)
+    # folding keeps the number of words, though a letter may become several
+    h = _word_hashes(*_words(text.casefold())[:2])
 
     cuts = np.unique(np.searchsorted(begin, [0, *(m.end() for m in SEPARATORS["sentence"].finditer(text)), len(text)]))
     size = np.diff(cuts)
@@ -144,9 +160,8 @@ def span_table(docs: DataFrame, unit_words: int = UNIT_WORDS, min_words: int = M
     names = ["word", "words", "after", "start", "end", "high", "low"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in text_chunks(batches, 4 << 20):
-            found = [spans(t or "", hashes, unit_words, min_words, sure) for t in batch.column("text").to_pylist()]
+            found = [spans(t or "", unit_words, min_words, sure) for t in batch.column("text").to_pylist()]
             some = [f for f in found if f is not None]
             if not some:
                 continue
