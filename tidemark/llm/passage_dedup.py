@@ -40,6 +40,7 @@ SEPARATORS = {"sentence": re.compile(r"(?<=[.!?])\s+|\n\s*"), "line": re.compile
 UNIT_WORDS, MIN_WORDS, SURE_WORDS = 4, 30, 50
 #: White space as ``str.split`` reads it, by code point.
 SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
+SENTENCE_END = np.array([chr(i) in ".!?" for i in range(128)])
 KNOWN_FACTORS = 1 << 12
 
 
@@ -107,21 +108,32 @@ def _factors(n: int, seed: int) -> np.ndarray:
     return _table(KNOWN_FACTORS, seed)[:n] if n <= KNOWN_FACTORS else _table.__wrapped__(n, seed)
 
 
-def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points (0 for white space), begins and ends of the words of ``text``."""
-    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    inside = ~SPACE[np.minimum(points, len(SPACE) - 1)]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    return (points + np.uint32(1)) * inside, edges[::2], edges[1::2]
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
-def _word_hashes(points: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def _edges(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of words."""
+    inside = np.zeros(len(points) + 2, dtype=bool)
+    np.logical_not(SPACE[np.minimum(points, len(SPACE) - 1)], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _word_hashes(points: np.ndarray, begin: np.ndarray, close: np.ndarray) -> np.ndarray:
     """64-bit hashes of words: sums of code points times the factor of their place, then mixed."""
-    points = points[begin[0] :]
-    starts = begin - begin[0]
-    size = np.diff(starts, append=len(points))
-    place = np.arange(len(points)) - np.repeat(starts, size)
-    return _mixed(np.add.reduceat(points * _factors(int(size.max()), 3)[place], starts))
+    size = close - begin
+    starts = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(starts, size)
+    letters = points[place + np.repeat(begin, size)] + np.uint32(1)
+    return _mixed(np.add.reduceat(letters * _factors(int(size.max()), 3)[place], starts))
+
+
+def _sentences(points: np.ndarray, begin: np.ndarray, close: np.ndarray) -> np.ndarray:
+    """The words that begin a sentence, as SEPARATORS cuts them, and the number of words."""
+    ends = np.flatnonzero(SENTENCE_END[np.minimum(points[close[:-1] - 1], 127)]) + 1
+    lines = np.searchsorted(begin, np.flatnonzero(points == 10))
+    return np.unique(np.concatenate([[0], ends, lines, [len(begin)]]))
 
 
 def spans(text: str, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, sure: int = SURE_WORDS) -> tuple[np.ndarray, ...] | None:
@@ -129,14 +141,16 @@ def spans(text: str, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, s
 
     ``word`` counts all words of the text; ``after`` is where the long sentence before ends (a window's own ``word``).
     """
-    _, begin, close = _words(text)
+    points = _points(text)
+    begin, close = _edges(points)
     n = len(begin)
     if n < unit_words:
         return None
-    # folding keeps the number of words, though a letter may become several
-    h = _word_hashes(*_words(text.casefold())[:2])
+    # folding keeps the number of words, and their places too unless a letter becomes several
+    folded = _points(text.casefold())
+    h = _word_hashes(folded, *((begin, close) if len(folded) == len(points) else _edges(folded)))
 
-    cuts = np.unique(np.searchsorted(begin, [0, *(m.end() for m in SEPARATORS["sentence"].finditer(text)), len(text)]))
+    cuts = _sentences(points, begin, close)
     size = np.diff(cuts)
     place = np.arange(n) - np.repeat(cuts[:-1], size)
     long = np.flatnonzero(size >= unit_words)
