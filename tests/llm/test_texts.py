@@ -352,6 +352,16 @@ LAYOUTS = {
     "formula": (f"<body><article><p>{LONG} It is <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here.</p><object data='f'><p>{LONG}</p></object></article></body>", f"{LONG} It is x=1 here.\n{LONG}"),
     "parts": (f'<body><main><section class="s"><h2>One</h2><p>{LONG}</p><p>{LONG}</p></section><section class="s"><h2>Two</h2><p>{LONG}</p><p>{LONG}</p></section></main></body>', "\n".join(["One", LONG, LONG, "Two", LONG, LONG])),
     "inner notices": (f'<body><div class="topbar"><a href="/">x</a></div><article><h1>N</h1><p>{LONG}</p><div class="newsletter-signup"><p>Letters from us, every week.</p></div><p>Short.</p><section class="related-posts"><h3>More</h3><ul><li><a href="/o">Other</a></li></ul></section></article></body>', f"N\n{LONG}\nShort."),
+    "classed list": (f'<body><article><h1>N</h1><p>{LONG}</p><ul><li class="item">One point that is short.</li><li class="item">Another point.</li></ul><p>{LONG}</p></article></body>', f"N\n{LONG}\nOne point that is short.\nAnother point.\n{LONG}"),
+    "classed list at the end": (f'<body><article><h1>N</h1><p>{LONG}</p><ul><li class="item"><b>One</b> is short.</li><li class="item"><b>Two</b> too.</li></ul></article></body>', f"N\n{LONG}\nOne is short.\nTwo too."),
+    "classed quotes": (f'<body><article><p>{LONG}</p><blockquote class="q">It rains.</blockquote><blockquote class="q">It does not.</blockquote><p>{LONG}</p></article></body>', f"{LONG}\nIt rains.\nIt does not.\n{LONG}"),
+    "classed rows": (f'<body><article><p>{LONG}</p><table><tr class="r"><td>1</td><td>2</td></tr><tr class="r"><td>3</td><td>4</td></tr></table><p>{LONG}</p></article></body>', f"{LONG}\n1 2\n3 4\n{LONG}"),
+    "steps": ('<body><article><section class="step"><h2>Step 1</h2><p>Mix the flour.</p></section><section class="step"><h2>Step 2</h2><p>Bake the bread.</p></section></article></body>', "Step 1\nMix the flour.\nStep 2\nBake the bread."),
+    "steps in a page with a menu": (f'<body><nav><a href="/">x</a></nav><article><h1>N</h1><p>{LONG}</p><div class="step"><h3>One</h3><p>Mix it.</p></div><div class="step"><h3>Two</h3><p>Bake it.</p></div></article></body>', f"N\n{LONG}\nOne\nMix it.\nTwo\nBake it."),
+    "one item and a short quote": (f'<body><nav><a href="/">x</a></nav><article><p>{LONG}</p><ul><li>One.</li></ul><blockquote><p>Yes.</p></blockquote><p>{LONG}</p></article></body>', f"{LONG}\nOne.\nYes.\n{LONG}"),
+    "links in the text": (f'<body><nav><a href="/">x</a></nav><article><p><a href="/l">{LONG}</a></p><p>{LONG}</p><ol><li><a href="/m">Here</a></li><li><a href="/n">There</a></li></ol><figure><img src="i"><figcaption>Seen from above</figcaption></figure></article></body>', f"{LONG}\n{LONG}\nHere\nThere\nSeen from above"),
+    "right column": (f'<body><div id="a"><h1>N</h1><p>{LONG}</p><p>{LONG}</p></div><div class="right"><h3>More</h3><p>Some other things to see here.</p></div></body>', f"N\n{LONG}\n{LONG}"),
+    "long comments": (f'<body><article><h1>N</h1><p>{LONG}</p><p>{LONG}</p><div>' + "".join(f'<div class="m"><b>{who}</b><p>{LONG} {LONG}</p></div>' for who in ("Ida", "Jon")) + "</div></article></body>", f"N\n{LONG}\n{LONG}"),
     "form and advert": (f'<body><nav><ul><li><a href="/">a</a></li></ul></nav><article><p>{LONG}</p><form><label>Mail</label><input value="no"></form><div class="advert">Buy this, it is cheap.</div><p>{LONG}</p></article><footer>End</footer></body>', f"{LONG}\n{LONG}"),
 }
 

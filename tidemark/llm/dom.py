@@ -78,7 +78,7 @@ def read(html: str) -> Page:
         page.attrs.append(m[3])
         if name in BLOCK:
             page.stream.append((k, None))
-        if name == "br":
+        if name in ("br", "td", "th"):  # cells of a row stay apart
             page.stream.append((stack[-1], " "))
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
             continue

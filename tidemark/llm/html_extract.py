@@ -2,8 +2,8 @@
 
 Every element is a binary variable: content or not.  Its own potential is log-linear in its name, the words of its
 class, id and role, its amount of text (its own and with all below it), its share of linked text, whether it is one of several
-siblings that look alike (as reader comments do), whether it lies outside the page's article landmark, and whether the page is
-bare, without links, names or landmarks; potentials on parent and child couple them.  Sum-product messages go up and down the tree and give exact content marginals in two passes.
+signed siblings that look alike and end the text (as reader comments do), whether it lies outside the page's article landmark,
+and whether the page is bare, without links, names or landmarks; potentials on parent and child couple them.  Sum-product messages go up and down the tree and give exact content marginals in two passes.
 The weights are trained by gradient ascent on the likelihood of labelled pages, for which the same messages give the
 expected counts.
 
@@ -41,11 +41,17 @@ BOILERPLATE = frozenset(
 )
 CONTENT = frozenset("article articlebody body content entry main page post story text".split())
 #: Elements whose role is plain from the name; others fall under "other".
-NAMED = frozenset("a article aside b blockquote body button div dl em fieldset figure footer form h1 h2 h3 h4 h5 h6 head header html i img input label li main nav ol p pre section span strong table td th tr ul".split())
+NAMED = frozenset("a article aside b blockquote body button div dd dl dt em fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header html i img input label li main nav ol p pre section span strong table td th tr ul".split())
 #: Elements and names of which show that a page has other parts than its text.
 SIDE = frozenset("a nav footer aside header form button iframe dialog menu".split())
-#: Elements of which several with one class may be comments, teasers or parts of a text.
-ALIKE = frozenset("div section article li blockquote tr td dl".split())
+#: Names that tell where on the screen a part stands.
+PLACE = frozenset("left rail right side".split())
+#: Elements of which several with one class may be comments; items, rows, terms and quotes are parts of a text.
+ALIKE = frozenset("div section article".split())
+#: Elements that may hold the name of a writer or a time, and the longest such text.
+SIGNING, SIGNED_BY = frozenset("a b cite em i small span strong time".split()), 40
+#: Elements that show, where they follow, that the text goes on.
+GOES_ON = frozenset("p h1 h2 h3 blockquote pre table ul ol".split())
 _KIND = re.compile(r"""(?:^|\s)class\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 NOT_CONTENT = frozenset("nav footer aside header form head script style button noscript template iframe title dialog menu".split())
 
@@ -66,6 +72,15 @@ LABELLED = [
     '<body><article data-content="1"><h2>Sums</h2><p>The sum is <math><mi>a</mi><mo>+</mo><mi>b</mi></math> for short.</p><figure><img src="p.png"><figcaption>A picture of it</figcaption></figure><dl><dt>Term</dt><dd>What it means</dd></dl></article><p>Posted in sums</p></body>',
     '<body><article data-content="1"><h2>On things</h2><p>Things are many, and this is about some of them, in a few sentences.</p><div class="notice" data-content="0">We changed our terms, please read them.</div><p>One thing is this.</p><div class="promo-box" data-content="0"><p>Get two for one, this week alone.</p></div><p>Another one is that, and so it goes on.</p><div class="comments" data-content="0"><p>I have more things.</p></div></article></body>',
     '<body><main data-content="1"><p>A page with its message first.</p><div class="cookie-bar" data-content="0">This page sets cookies.</div><p>It ends here.</p><div class="share-links" data-content="0">Tell a friend</div></main></body>',
+    # lists, tables, quotes and steps with a class, as parts of a text; columns beside it
+    '<body><nav><a href="/">Home</a></nav><article data-content="1"><h1>Four things</h1><p>There are four things to say about this, and they follow in the order of their weight.</p><ul><li class="item">One point that is short.</li><li class="item">And one more of them.</li></ul><ol class="steps"><li class="step">Open it.</li><li class="step">Close it.</li></ol><p>That was all of it, as far as anybody knows by now.</p></article></body>',
+    '<body><article data-content="1"><h1>Quotes</h1><p>Two people were asked what they think of it, and both of them gave an answer.</p><blockquote class="q">It is good.</blockquote><blockquote class="q">It is not.</blockquote><p>So there is no one answer to this.</p><blockquote><p>Yes.</p></blockquote></article><div class="footer">Some words by the owner</div></body>',
+    '<body><nav><a href="/">x</a></nav><main data-content="1"><h1>Figures</h1><table class="t"><tr class="r"><td class="c">One</td><td class="c">1</td></tr><tr class="r"><td class="c">Two</td><td class="c">2</td></tr></table><dl><dt class="d">Term</dt><dd class="d">What it means</dd></dl><p>All of these are figures of last year, or of the year before it.</p></main></body>',
+    '<body><article data-content="1"><section class="step"><h2>Step 1</h2><p>Mix the flour.</p></section><section class="step"><h2>Step 2</h2><p>Add some water.</p></section><section class="step"><h2>Step 3</h2><p>Bake.</p></section></article></body>',
+    '<body><div id="m" data-content="1"><h1>How to</h1><div class="s"><b>Step 1.</b><p>Take this.</p></div><div class="s"><b>Step 2.</b><p>And that.</p></div><p>Now it is done, and can be used for a long time without any further work.</p></div><div class="right"><h3>Look</h3><p>Other things that may be of use to you.</p><ul><li><a href="/o">One</a></li></ul></div></body>',
+    '<body><div class="wrap"><div class="left"><p>Find us in the city, near the old bridge.</p></div><div class="middle" data-content="1"><h1>News</h1><p>There is some news to tell, which takes a sentence or two of middling length.</p><p>And here is the second one of these.</p></div></div></body>',
+    '<body><article data-content="1"><h1>Long talk</h1><p>A text that many people have read, and which some of them have written about below.</p><div data-content="0"><div><span>Leo</span><div>I read the whole of it last night and could not stop, although I had to get up early, so thank you for that, and please go on in the same way for as long as you can, as many of us wait for it.</div></div><div><span>Mia</span><div>There is one thing in it that I do not agree with, and that is the end of it, which comes far too soon, so that many things are left open that a reader wants to know by then.</div></div></div></article></body>',
+    '<body><nav><ul><li><a href="/">Start</a></li><li><a href="/n">News</a></li></ul></nav><article data-content="1"><h1>Links of the week</h1><p>These are worth a look, and each of them says something that was not said before.</p><ul><li><a href="/p">A first page</a></li><li><a href="/q">A second page</a></li></ul><p><a href="/r">This whole sentence leads to another page, as a paragraph may do now and then.</a></p><figure><img src="f.png"><figcaption>What is seen here</figcaption></figure></article><div class="links"><a href="/s">Imprint</a> <a href="/t">Contact</a></div></body>',
     '<p data-content="1">A fragment</p>',
     '<p data-content="1">One.</p><p data-content="1">Two <i>words</i>.</p>',
     '<body><table><tr><td class="menu"><a href="/a">a</a><br><a href="/b">b</a></td><td class="story" data-content="1"><h1>Old page</h1><p>Text in a table layout, as it used to be done long ago.</p><p>Another paragraph of it.</p></td></tr></table></body>',
@@ -84,6 +99,39 @@ def _bin(size: int) -> str:
     return "0" if not size else "short" if size < 25 else "middle" if size < 120 else "long"
 
 
+def _signed(page: dom.Page, size: list[int], group: dict[tuple[int, str, str], list[int]]) -> set[int]:
+    """Elements that look like reader comments: two or more siblings with one name and one class, each of which begins with a
+    short signature (a name, a time) and has words of its own beside it, where nothing of a text follows them."""
+    n = len(page.tag)
+    last = list(range(n))  # the last element below each
+    for k in range(n - 1, 0, -1):
+        last[page.parent[k]] = max(last[page.parent[k]], last[k])
+    first: dict[int, tuple[int, str]] = {}  # the element of the first words below each, and these words
+    for k, piece in page.stream:
+        words = piece and piece.strip()
+        if words:
+            at = k
+            while at >= 0 and at not in first:
+                first[at] = (k, words)
+                at = page.parent[at]
+    goes_on = 0  # the last element that is part of a text
+    off = [False] * n
+    for k in range(1, n):
+        off[k] = off[page.parent[k]] or page.tag[k] in NOT_CONTENT or bool(page.attrs[k] and _names(page.attrs[k]) & BOILERPLATE)
+        if page.tag[k] in GOES_ON and size[k] and not off[k]:
+            goes_on = k
+
+    def signed(k: int) -> bool:
+        by, words = first.get(k, (k, ""))
+        return by != k and page.tag[by] in SIGNING and len(words) <= SIGNED_BY and words[-1] not in ".:;?!" and size[k] > size[by]
+
+    out = set()
+    for members in group.values():
+        if len(members) > 1 and goes_on <= last[members[-1]] and all(map(signed, members)):
+            out.update(members)
+    return out
+
+
 def features(page: dom.Page) -> list[tuple[str, ...]]:
     """Names of the features that are on, per element."""
     n = len(page.tag)
@@ -92,10 +140,9 @@ def features(page: dom.Page) -> list[tuple[str, ...]]:
     alike: dict[tuple[int, str, str], list[int]] = {}
     for k in range(1, n):
         in_link[k] = page.tag[k] == "a" or in_link[page.parent[k]]
-        if page.attrs[k] and page.tag[k] in ALIKE:
+        if page.tag[k] in ALIKE:
             shape = _KIND.search(page.attrs[k])
-            if shape:
-                alike.setdefault((page.parent[k], page.tag[k], shape[1]), []).append(k)
+            alike.setdefault((page.parent[k], page.tag[k], shape[1] if shape else ""), []).append(k)
     for k, piece in page.stream:
         if piece:
             c = len(piece.strip())
@@ -106,16 +153,12 @@ def features(page: dom.Page) -> list[tuple[str, ...]]:
     for k in range(n - 1, 0, -1):
         size[page.parent[k]] += size[k]
         linked[page.parent[k]] += linked[k]
-    one_of = [""] * n
-    for group in alike.values():
-        if len(group) > 1:
-            kind = "few words" if sum(size[k] for k in group) < 160 * len(group) else "many words"
-            for k in group:
-                one_of[k] = kind
+    signed = _signed(page, size, {shape: group for shape, group in alike.items() if len(group) > 1})
+    comment = [k in signed for k in range(n)]
     mark = "main" if "main" in page.tag else "article"
     inside = [False] * n
     marked = mark in page.tag
-    beside = [False] * n  # within an element that is named as a part beside the text, and holds less than half of the page
+    beside = [False] * n  # within an element that is named as a part beside the text, or by its place, and holds less than half of the page
     bare = not any(tag in SIDE or attrs and _names(attrs) for tag, attrs in zip(page.tag, page.attrs))
     out = []
     for k in range(n):
@@ -125,13 +168,13 @@ def features(page: dom.Page) -> list[tuple[str, ...]]:
             up = page.parent[k]
             inside[k] = inside[up] or tag == mark
             beside[k] = beside[up]
-            one_of[k] = one_of[k] or one_of[up]
+            comment[k] = comment[k] or comment[up]
         if marked and not inside[k]:
             f.append("outside")
         if bare:
             f.append("bare")
-        if one_of[k]:
-            f.append("one of several:" + one_of[k])
+        if comment[k]:
+            f.append("signed")
         if attrs:
             names = _names(attrs)
             if names & BOILERPLATE:
@@ -139,6 +182,9 @@ def features(page: dom.Page) -> list[tuple[str, ...]]:
                 beside[k] = beside[k] or not names & CONTENT and 2 * size[k] < size[0]
             if names & CONTENT:
                 f.append("named:content")
+            elif names & PLACE:
+                f.append("named:place")
+                beside[k] = beside[k] or 2 * size[k] < size[0]
             if dom.HIDDEN.search(attrs):
                 f.append("hidden")
         if beside[k]:
@@ -147,7 +193,7 @@ def features(page: dom.Page) -> list[tuple[str, ...]]:
         f.append("own:" + _bin(own[k]))
         if size[k]:
             share = linked[k] / size[k]
-            f.append("links:none" if not share else "links:some" if share < 0.4 else "links:most")
+            f.append("links:none" if not share else "links:some" if share < 0.4 else "links:most inside" if inside[k] else "links:most")
         out.append(tuple(f))
     return out
 
