@@ -291,6 +291,18 @@ def test_quality_odd_rows_and_bounded_training(spark):
     assert ((known.score >= 0.5) == (known.quality == 1)).mean() > 0.9
 
 
+def test_quality_passes_over_what_does_not_fit_and_learns_words(spark):
+    r = random.Random(8)
+    text = lambda bad: " ".join(r.choice(["blue", "green", "grey", "brown", "gold", "pink"] + (["spam", "scam"] if bad else ["corn", "wool"])) for _ in range(80))
+    rows = [(i, text(i % 2), "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, quality int")
+    docs = documents(spark, rows)
+    first = quality.training_sample(labels).where("quality = 0").orderBy(F.xxhash64("doc_id")).first().doc_id
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == first, F.lit("word " * 64_000)).otherwise(F.col("text")))
+    got = quality.with_scores(docs.where(quality.held_out(F.col("doc_id"))), quality.train(docs, labels, max_passages=900)).toPandas()
+    assert len(got) > 50 and ((got.score >= 0.5) == (got.doc_id % 2 == 0)).mean() > 0.95
+
+
 def test_passages_and_pieces_of_odd_tables(spark):
     empty = documents(spark, [])
     clash = {"start": F.lit("clash"), "place": F.lit(1), "first": F.lit(None), "n_tokens": F.lit("clash"), "ids": F.lit(2)}

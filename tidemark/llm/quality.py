@@ -1,12 +1,13 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``WORDS`` words.  Every passage becomes a vector of text statistics, an encoder layer
-turns it into a representation, gated attention gives it a weight within its document, and the weighted sum of the
+A document is a bag of passages of ``WORDS`` words.  Every passage becomes a vector of text statistics and of the shares of
+its words that fall into each of ``BUCKETS`` hash buckets, an encoder layer turns it into a representation, gated attention gives it a weight within its document, and the weighted sum of the
 representations is scored.  Encoder, attention and score are learned together from document labels.
 
 Training takes a bounded sample of labelled documents, chosen by a hash of doc_id and never from the held-out fold: at most
-``per_class`` of each label, and no more of them than hold ``max_passages`` passages together.  A document of the sample is
-taken with all its passages.  Training runs on the driver, on the passage vectors only (64 bytes each).  Scoring uses all
+``per_class`` of each label, and no more of them than hold ``max_passages`` passages together; a document that would not fit
+is passed over for the next ones.  A document of the sample is taken with all its passages.  Training runs on the driver, on
+the passage vectors only (4 bytes a number).  Scoring uses all
 passages of the whole text and shuffles nothing.
 
 Defined cases: null and empty texts are one passage without words; texts of any length are scored whole; documents without a
@@ -31,6 +32,7 @@ from tidemark.llm.shared import stored, table, text_chunks
 
 WORDS = 64
 PER_CLASS, MAX_PASSAGES = 1000, 50_000
+BUCKETS = 32
 FEATURES = (
     "letters", "upper", "digits", "stops", "symbols", "bars", "marks", "non_ascii", "newlines",
     "word_length", "distinct", "repeats", "capital_starts", "symbol_ends", "single", "words",
@@ -51,7 +53,7 @@ for _b in range(256):
 
 
 def passage_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """One row of ``FEATURES`` per passage, and the number of the text it belongs to."""
+    """One row of ``FEATURES`` and word buckets per passage, and the number of the text it belongs to."""
     data = [t.encode() + b"\n" for t in texts]
     raw = np.frombuffer(b"".join(data), dtype=np.uint8)
     doc_end = np.cumsum([len(d) for d in data])
@@ -62,7 +64,7 @@ def passage_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     passage = np.cumsum(fresh) - 1
     n = int(fresh.sum())
     owner, begin = doc[fresh], start[fresh]
-    out = np.zeros((n + len(texts), len(FEATURES)), dtype=np.float64)
+    out = np.zeros((n + len(texts), len(FEATURES) + BUCKETS), dtype=np.float64)
     if n:
         stop = np.concatenate([begin[1:], [len(raw)]])
         size = np.maximum(1, stop - begin)
@@ -86,6 +88,8 @@ def passage_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out[:n, 13] = mean(_CLASS[4][last] | _CLASS[6][last])
         out[:n, 14] = mean(end - start == 1)
         out[:n, 15] = words / WORDS
+        bucket = (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+        out[:n, 16:] = np.bincount(passage * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS) / words[:, None]
     bare = np.setdiff1d(np.arange(len(texts)), owner)  # texts without words: one passage of zeros
     out = out[: n + len(bare)]
     owner = np.concatenate([owner, bare]).astype(np.int64)
@@ -179,21 +183,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_pa
     # the sample has 2 * per_class rows of two numbers at most, whatever the size of the tables
     few = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = stored(few.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(vectors, "doc_id long, quality int, n int, x binary"), "passages")
-    # both labels in turn, by hash, as long as their passages fit; the last kept place of each label bounds what is collected
+    # both labels in turn, by hash; who does not fit any more is passed over
     turn = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", "x")
     place = rows.withColumn("turn", F.row_number().over(turn))
-    sums = place.groupBy("turn").agg(F.sum("n").alias("n")).orderBy("turn").limit(2 * per_class).collect()
-    last, total = 0, 0
-    for r in sums:
-        total += r["n"]
-        if total > max_passages:
-            break
-        last = r["turn"]
-    rows = place.where(F.col("turn") <= last).select("doc_id", "quality", "x").toPandas()
-    if rows.quality.nunique() < 2:
+    sizes = place.where(F.col("turn") <= per_class).select("turn", "quality", "n").collect()  # 2 * per_class rows of three numbers at most
+    taken, total = [], 0
+    for r in sorted(sizes):
+        if total + r.n <= max_passages:
+            total += r.n
+            taken.append((r.quality, r.turn))
+    if len({q for q, _ in taken}) < 2:
         return None
+    chosen = docs.sparkSession.createDataFrame(taken, "quality int, turn int")
+    rows = place.join(F.broadcast(chosen), ["quality", "turn"], "left_semi").select("doc_id", "quality", "x").toPandas()
     rows = rows.sort_values(["doc_id", "x"], kind="stable").reset_index(drop=True)
-    bags = [np.frombuffer(b, dtype=np.float32).reshape(-1, len(FEATURES)).astype(np.float64) for b in rows.x]
+    bags = [np.frombuffer(b, dtype=np.float32).reshape(-1, len(FEATURES) + BUCKETS).astype(np.float64) for b in rows.x]
     owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     return fit(np.concatenate(bags), owner, rows.quality.to_numpy(dtype=np.float64))
 
