@@ -2,12 +2,13 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import whitening
+from tidemark.llm import quality, quality_rules, whitening
 
 DATA = "/root/testdata/sf0.001"
 
@@ -69,3 +70,73 @@ def test_whitening_without_variance_and_of_nothing(spark):
     # a deviation beyond 64 bits is null, those of the same fit that are not are there
     far = whitening.whitened(vectors(spark, [(1, [3e9]), (2, [0.0])])).toPandas()
     assert far.deviation.isna().all() and sorted(far.whitened.round(9)) == [-1.0, 1.0]
+
+
+def counts_by_definition(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    runs = {}
+    for i in range(len(words) - 4):
+        runs.setdefault(tuple(words[i : i + 5]), []).append(i)
+    covered = {j for at in runs.values() if len(at) > 1 for i in at for j in range(i, i + 5)}
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    return {
+        "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len(covered), "n_lines": len(lines), "n_upper": len(re.findall("[A-Z]", text)), "n_digits": len(re.findall("[0-9]", text)), "n_marks": len(re.findall("[!?]", text)),
+        "n_single": sum(len(w) == 1 for w in words), "n_distinct": len(set(words)),
+    }
+
+
+def test_counts_by_definition():
+    r = random.Random(5)
+    pool = ["a", "b", "cc", "Été", "|", "x#y", "漢字", "A1!", "\u00a0", "\U0001f600"]
+    texts = ["", " \n\t", "a b c d e a b c d e", "a b c d e f a b c d e", "one\none\n\n\n one\none \none", "x" * 70_000]
+    texts += ["".join(r.choice(pool[: r.choice([2, 4, 10])]) + r.choice([" ", " ", "\n", "\t", "\r\n", "\x0b"]) for _ in range(r.choice([3, 9, 40, 400]))) for _ in range(300)]
+    got = quality_rules.counts([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        assert {c: int(got[c][i]) for c in quality_rules.COUNTS} == counts_by_definition(t), t[:80]
+
+
+def test_rules_on_held_out_documents(spark):
+    data = DATA.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    got = quality_rules.op11_quality_rules(spark, data).toPandas()
+    texts = docs.toPandas()
+    assert sorted(got.doc_id) == sorted(texts.doc_id)
+    both = got.merge(texts, on="doc_id")
+    for r in both.itertuples():
+        wanted = counts_by_definition(r.text or "")
+        assert {c: getattr(r, c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} == {c: wanted[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
+    held = docs.where(quality.held_out(F.col("doc_id"))).select("doc_id").toPandas()
+    known = got.merge(labels.toPandas(), on="doc_id").merge(held, on="doc_id")
+    known = known[~known.base_failed]
+    assert len(known) > 50 and (known.kept == (known.quality == 1)).mean() > 0.95
+
+
+def test_lists_are_learned_and_emitted_in_order(spark):
+    r = np.random.default_rng(2)
+    x = r.uniform(0, 1, (3000, 3))
+    bad = ((x[:, 0] > 0.8) & (x[:, 1] <= 0.5)) | (x[:, 2] > 0.9)
+    noisy = bad ^ (r.uniform(0, 1, 3000) < 0.01)
+    names = ["upper", "digits", "marks"]
+    rules = quality_rules.learn(x, noisy, names)
+    found = np.zeros(3000, dtype=bool)
+    for rule in rules:
+        found |= rule.covers(x, names)
+    assert (found == bad).mean() > 0.98 and {t.share for rule in rules for t in rule.thresholds} == set(names)
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "i long, upper double, digits double, marks double")
+    kept = {v.i: v.kept for v in df.select("i", quality_rules.verdict(rules).alias("kept")).collect()}
+    assert [not kept[i] for i in range(3000)] == found.tolist()
+    text = df.select(quality_rules.verdict(rules).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("CASE WHEN") == 1 and str(rules[0])
+    assert quality_rules.learn(x, np.zeros(3000, dtype=bool), names) == []
+
+
+def test_rules_of_odd_tables(spark):
+    schema = "doc_id long, text string, n_words string, kept int, upper string"
+    rows = [(1, None, "clash", 1, "u"), (1, "", "clash", 1, "u"), (None, "w " * 9, "c", 0, None), (2, " ".join(f"w{i}" for i in range(10)), "c", 0, None), (2, " ".join(f"w{i}" for i in range(10)), "c", 0, None), (3, "v " * 300_000, "c", None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality_rules.judge(docs, none).collect()
+    assert sorted((g.n_words, g.base_failed, g.kept) for g in got) == [(0, True, False), (0, True, False), (9, True, False), (10, False, True), (10, False, True), (300_000, True, False)]
+    assert quality_rules.judge(docs.limit(0), spark.createDataFrame([(1, 1), (1, 0), (2, 7)], "doc_id long, quality int")).count() == 0
