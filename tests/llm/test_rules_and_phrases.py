@@ -4,11 +4,12 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, quality_rules, whitening
+from tidemark.llm import phrases, quality, quality_rules, whitening
 
 DATA = "/root/testdata/sf0.001"
 
@@ -140,3 +141,56 @@ def test_rules_of_odd_tables(spark):
     got = quality_rules.judge(docs, none).collect()
     assert sorted((g.n_words, g.base_failed, g.kept) for g in got) == [(0, True, False), (0, True, False), (9, True, False), (10, False, True), (10, False, True), (300_000, True, False)]
     assert quality_rules.judge(docs.limit(0), spark.createDataFrame([(1, 1), (1, 0), (2, 7)], "doc_id long, quality int")).count() == 0
+
+
+def phrases_by_definition(rows, least, longest, top):
+    total, f = {}, {}
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] = total.get(lang, 0) + len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    key = (lang, tuple(words[i : i + k]))
+                    f[key] = f.get(key, 0) + 1
+    some = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    out = {}
+    for (lang, words), a in some.items():
+        cuts = [(10**6 * a * a // (f[lang, words[:k]] * f[lang, words[k:]]), k, f[lang, words[:k]], f[lang, words[k:]]) for k in range(1, len(words))]
+        inside = any(w != words and len(w) > len(words) and any(w[i : i + len(words)] == words for i in range(len(w))) and 100 * b >= 50 * a for (other, w), b in some.items() if other == lang)
+        if not inside:
+            score, _, l, r = min(cuts)
+            out.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), l, r))
+    return sorted((lang, i + 1, p.decode(), -a, l, r, total[lang], -s) for lang, found in out.items() for i, (s, a, p, l, r) in enumerate(sorted(found)[:top]))
+
+
+@pytest.mark.parametrize(("longest", "shards", "held"), [(3, 4, 4_000_000), (4, 3, 50), (2, 1, 50)])
+def test_phrases_by_definition(spark, monkeypatch, longest, shards, held):
+    monkeypatch.setattr(phrases, "HELD", held)
+    r = random.Random(4)
+    pool = ["the", "The", "of", "new", "york", "city", "été", "漢", "a#b", "\u00a0", "x" * 300]
+    rows = [(None, None), ("", "en"), ("one two", None), ("w " * 3000, "long")]
+    for _ in range(150):
+        words = [r.choice(pool[: r.choice([4, 7, 11])]) for _ in range(r.choice([1, 5, 40]))]
+        rows.append(("".join(w + r.choice([" ", " ", " ", "\t", "  ", ". ", ",", "\n", "\r"]) for w in words), r.choice(["en", "en", "de", None])))
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumns({c: F.lit("clash") for c in ("phrase", "h", "n", "shard", "size")}).repartition(5)
+    got = [tuple(x) for x in phrases.collocations(docs, 6, longest, 25, shards).collect()]
+    assert sorted(got) == phrases_by_definition(rows, 6, longest, 25) and len(got) > 30
+
+
+def test_phrases_equal_sql_and_of_nothing(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    got = phrases.op13_phrases(spark, DATA).toPandas()
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(con.execute(phrases.ORACLE).fetchall()) and len(got) > 50
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    assert phrases.collocations(docs).count() == 0
+
+
+def test_scores_pass_64_bits(spark):
+    text = ("a b " * 2000 + ". ") * 1000  # 2,000,000 of each: the product of the counts has 13 digits, times a million 19
+    got = phrases.collocations(spark.createDataFrame([(text, "x")] * 3, "text string, lang string"), longest=2).collect()
+    a, b = 6_000_000, 6_000_000 - 3000
+    assert [(g.phrase, g.a, g.l, g.r, g.score) for g in got] == [("a b", a, a, a, 10**6), ("b a", b, a, a, 10**6 * b * b // (a * a))]
