@@ -38,10 +38,10 @@ from tidemark.llm.hashing import LOWER, MULT, scramble, word_hashes
 from tidemark.llm.shared import skew_join, stored, table, text_chunks
 
 LEAST, LONGEST, TOP, SHARDS = 10, 3, 2000, 4
-#: Bits of a filter (32 MB), and of the pieces that the session's bitmap functions make.
-FILTER_BITS, BITMAP_BITS = 1 << 28, 32768
-#: Phrases that a task holds before it counts them.
-HELD = 4_000_000
+#: Bits of a filter (16 MB), and of the pieces that the session's bitmap functions make.
+FILTER_BITS, BITMAP_BITS = 1 << 27, 32768
+#: Phrases that a task holds before it counts them, and bytes of text that it takes apart at once (a longer text stays whole).
+HELD, CHUNK = 3_000_000, 1 << 20
 ENDS = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 APART = ENDS | np.isin(np.arange(256), list(b" \t"))
 
@@ -54,7 +54,7 @@ class Words:
         self.raw = LOWER[np.frombuffer(b"".join(data) + b" ", dtype=np.uint8)]
         edge = np.diff(np.concatenate([[True], APART[self.raw], [True]]).astype(np.int8))
         self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.piece = np.cumsum(ENDS[self.raw], dtype=np.int64)[self.start]
+        self.piece = np.cumsum(ENDS[self.raw], dtype=np.int32)[self.start]
         self.doc = np.searchsorted(np.cumsum([len(d) for d in data]), self.start, "right")
         seeds = {lang: int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little") for lang in set(langs)}
         seed = np.array([seeds[lang] for lang in langs], dtype=np.uint64)
@@ -131,7 +131,7 @@ def local_counts(texts: DataFrame, hashes: Callable[[Words, np.ndarray], list[tu
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "h", "n"])
             held.clear()
 
-        for batch in text_chunks(batches, 4 << 20):
+        for batch in text_chunks(batches, CHUNK):
             words, own = _read(batch), batch.column("shard").to_numpy()
             shard = own[words.doc]
             for at, h in hashes(words, shard):
@@ -199,7 +199,7 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards:
             held.clear()
             return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in out.columns], names=names)
 
-        for batch in text_chunks(batches, 4 << 20):
+        for batch in text_chunks(batches, CHUNK):
             words, lang = _read(batch), batch.column("lang")
             each = np.bincount(words.doc, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([lang, pa.nulls(batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows, dtype=np.int32)), pa.array(each.astype(np.int64))], names=names)
