@@ -41,7 +41,9 @@ LEAST, LONGEST, TOP, SHARDS = 10, 3, 2000, 4
 #: Bits of a filter (16 MB), and of the pieces that the session's bitmap functions make.
 FILTER_BITS, BITMAP_BITS = 1 << 27, 32768
 #: Phrases that a task holds before it counts them, and bytes of text that it takes apart at once (a longer text stays whole).
-HELD, CHUNK = 3_000_000, 1 << 20
+HELD, CHUNK = 1_000_000, 1 << 19
+#: Rows of a batch that a task gives back.
+GIVEN = 65_536
 ENDS = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 APART = ENDS | np.isin(np.arange(256), list(b" \t"))
 
@@ -128,7 +130,9 @@ def local_counts(texts: DataFrame, hashes: Callable[[Words, np.ndarray], list[tu
         def counted() -> Iterator[pa.RecordBatch]:
             for shard, parts in sorted(held.items()):
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "h", "n"])
+                for i in range(0, len(h), GIVEN):
+                    own = [pa.array(np.full(len(h[i : i + GIVEN]), shard, dtype=np.int32)), pa.array(h[i : i + GIVEN].view(np.int64)), pa.array(n[i : i + GIVEN].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(own, names=["shard", "h", "n"])
             held.clear()
 
         for batch in text_chunks(batches, CHUNK):
@@ -165,6 +169,7 @@ def candidates(texts: DataFrame, least: int, longest: int, shards: int) -> DataF
             return [(at[both], h[both])]
 
         level = stored(local_counts(texts, longer, support), "local")
+        known.shared.destroy()
         union = union.unionByName(level)
     return union.select("h").distinct()
 
@@ -190,14 +195,13 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards:
         held: list[tuple[np.ndarray, pa.Table]] = []
         size = 0
 
-        def merged() -> pa.RecordBatch:
+        def merged() -> Iterator[pa.RecordBatch]:
             h = np.concatenate([k for k, _ in held])
             rows = pa.concat_tables([t for _, t in held])
             _, first, group = np.unique(h, return_index=True, return_inverse=True)
             n = np.bincount(group, weights=rows.column("n").to_numpy()).astype(np.int64)  # below 2^53, so exact
-            out = rows.take(pa.array(first)).set_column(3, "n", pa.array(n)).combine_chunks()
             held.clear()
-            return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in out.columns], names=names)
+            yield from rows.take(pa.array(first)).set_column(3, "n", pa.array(n)).to_batches(GIVEN)
 
         for batch in text_chunks(batches, CHUNK):
             words, lang = _read(batch), batch.column("lang")
@@ -213,13 +217,15 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards:
                     held.append((h, pa.Table.from_arrays(columns, names=names)))
                     size += len(at)
             if size >= HELD // 4:
-                yield merged()
+                yield from merged()
                 size = 0
         if held:
-            yield merged()
+            yield from merged()
 
     rows = texts.drop("shard").mapInArrow(run, "lang string, phrase string, size int, n long").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-    return stored(rows.where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
+    out = stored(rows.where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
+    wanted.shared.destroy()
+    return out
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS, inside_percent: int = 50) -> DataFrame:
