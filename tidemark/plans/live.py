@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import storage
 from tidemark.functions.scalar import near
 from tidemark.operators import calc, trades
+from tidemark.sources import polled
+from tidemark.sources.bars import records_from_json
 from tidemark.streaming import live
 
 
@@ -57,6 +59,31 @@ def _ticks(spark: SparkSession, sf_dir: str, stream=events_stream) -> DataFrame:
     return stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
 
 
+def replies_of_events(spark: SparkSession, sf_dir: str) -> str:
+    """The events as a service would reply: a folder per type, files by day, a record a line."""
+    folder = f"{scratch(spark)}/replies"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    records = events.select(F.to_json(F.struct("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")).alias("value"), F.col("event_type").alias("ticker"), F.to_date("ts").alias("poll"))
+    records.write.partitionBy("ticker", "poll").text(folder)
+    return folder
+
+
+def st1_polled(spark: SparkSession, sf_dir: str, every: str = "500 milliseconds", seconds: float = 2) -> DataFrame:
+    """Replies polled every interval for a duration; the query then starts again from its checkpoint and takes the rest."""
+    polled.use_polled(spark)
+    replies, folder = replies_of_events(spark, sf_dir), scratch(spark)
+    stream = lambda **o: spark.readStream.format(polled.FORMAT).options(path=replies, **o).load()
+    rows = lambda df: records_from_json(df.select("ticker", "reply"), "reply", "event_id bigint, at bigint, value double").select(F.col("ticker").alias("symbol"), F.timestamp_micros("at").alias("ts"), "value", "event_id")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    live.run_live(rows(stream(filesPerTrigger="3")), sink, f"{folder}/checkpoint", every, seconds)
+    last = rows(stream())
+    live.run_to_end(last, sink, f"{folder}/checkpoint")
+    return spark.read.schema(last.schema).parquet(f"{folder}/out").select(*last.columns)
+
+
 LIVE_RULE = trades.Rule(("value", "level"), 2.0, ("value", "goal"), 0.5, 0.5, 25)
 
 
@@ -104,10 +131,11 @@ def st6_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.newest(spark, f"{folder}/table", ["symbol"]).select("symbol", "ts", "value")
 
 
-QUERIES = {"ST1_live_source": st1_source, "ST2_live_bars": st2_bars, "ST3_live_row_wise": st3_row_wise, "ST4_live_rolling": st4_rolling, "ST4_live_returns": st4_returns, "ST5_live_trades": st5_trades, "ST6_upserts": st6_newest}
+QUERIES = {"ST1_live_source": st1_source, "ST1_polled_source": st1_polled, "ST2_live_bars": st2_bars, "ST3_live_row_wise": st3_row_wise, "ST4_live_rolling": st4_rolling, "ST4_live_returns": st4_returns, "ST5_live_trades": st5_trades, "ST6_upserts": st6_newest}
 
 ORACLES = {
     "ST1_live_source": "SELECT event_type AS symbol, ts, value, event_id FROM events",
+    "ST1_polled_source": "SELECT event_type AS symbol, ts, value, event_id FROM events",
     "ST2_live_bars": """SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high,
       min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2""",
     "ST3_live_row_wise": "SELECT event_id, value * 2 AS twice, value - 10 AS less, value / 4 AS part FROM events",

@@ -12,8 +12,8 @@ from tidemark.functions import clean, scalar
 from tidemark.operators import align, calc, charts, long_series, select, trades, view
 from tidemark.plans import live
 from tidemark.plans.tables import BARS, EVENT_BARS, FUNDAMENTALS, GAPPED, INDEXED, event_bars, fundamentals, gapped_bars, supplier_bars, table
-from tidemark.sources import sinks
-from tidemark.sources.bars import Source, Sources, records_from_json
+from tidemark.sources import polled, sinks
+from tidemark.sources.bars import Source, Sources, ohlc_bars, records_from_json, records_without_schema
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +94,14 @@ def price_scan(spark, sf_dir):
     return _sources(spark, sf_dir).scan("ticks", ["click", "view"], symbol="event_type").select("event_id", "ts", "event_type", "value")
 
 
+@query("S1_polled_replies", "SELECT event_type AS ticker, event_id, value FROM events WHERE event_type IN ('click', 'view')")
+def polled_replies(spark, sf_dir):
+    """Polled replies as a table: other tickers are not read, fields and types are those of the replies."""
+    polled.use_polled(spark)
+    replies = spark.read.format(polled.FORMAT).option("path", live.replies_of_events(spark, sf_dir)).load()
+    return records_without_schema(replies.where(F.col("ticker").isin("click", "view")).select("ticker", "reply"), "reply").select("ticker", "event_id", "value")
+
+
 @query("S2_date_range", "SELECT event_id, ts, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")
 def date_range(spark, sf_dir):
     return _sources(spark, sf_dir).scan("ticks", first="20240105", last="20240120").select("event_id", "ts", "value")
@@ -104,6 +112,12 @@ def json_records(spark, sf_dir):
     return records_from_json(table(spark, sf_dir, "events").select("event_id", "props"), "props", "k bigint")
 
 
+@query("S3_inferred_records", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events WHERE props IS NOT NULL")
+def inferred_records(spark, sf_dir):
+    """The fields of ``props`` and their types as the records have them: no schema is named."""
+    return records_without_schema(table(spark, sf_dir, "events").select("event_id", "props"), "props")
+
+
 @query("S4_several_sources", "SELECT 'ticks' AS source, count(*) AS n_rows FROM events UNION ALL SELECT 'orders', count(*) FROM orders")
 def several_sources(spark, sf_dir):
     return _sources(spark, sf_dir).together(["ticks", "orders"]).groupBy("source").agg(F.count("*").alias("n_rows"))
@@ -280,7 +294,12 @@ _calc("C9_sma_centered", lambda: calc.moving_average("close", align="centered",
 ORACLES["C9_sma_centered"] = _D + f"round(coalesce(lead(m, 7) {W}, 0), 4) AS value FROM a"
 
 
-@query("C8_sma_wrapped", f"WITH {BARS}, {INDEXED}, a AS (SELECT *, {SMA} AS m FROM ix) SELECT x.symbol, x.ts, round(y.m, 4) AS value FROM a x LEFT JOIN (SELECT symbol, (idx + 7) % n AS idx, m FROM a) y ON x.symbol = y.symbol AND x.idx = y.idx")
+_WRAPPED = f"""WITH {BARS}, {INDEXED}, a AS (SELECT *, {SMA} AS m FROM ix), l AS (
+  SELECT symbol, list(ts ORDER BY idx) AS t, list(round(m, 4) ORDER BY idx) AS v, count(*) - 7 % count(*) AS k FROM a GROUP BY symbol
+) SELECT symbol, unnest(t) AS ts, unnest(list_concat(v[k + 1 :], v[: k])) AS value FROM l"""
+
+
+@query("C8_sma_wrapped", _WRAPPED)
 def sma_wrapped(spark, sf_dir):
     return rounded(calc.wrapped_average(supplier_bars(spark, sf_dir), "close", "value").select("symbol", "ts", "value"))
 
@@ -404,9 +423,23 @@ def align_asof(spark, sf_dir):
 _PAIR = f"WITH {BARS}, {EVENT_BARS}"
 
 
-@query("J6_align_position", f"WITH {BARS}, {INDEXED} SELECT a.symbol, a.ts, a.close AS x, b.high AS y FROM ix a JOIN ix b USING (symbol, idx)")
+def _even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of users with even numbers, clicks from the second day on: another frame, with other lengths."""
+    some = table(spark, sf_dir, "events").where("user_id % 2 = 0 AND (event_type <> 'click' OR day(ts) > 1)")
+    return ohlc_bars(some, "event_type", "ts", "value", "day", ("event_id",))
+
+
+_EVEN = EVENT_BARS.replace("ebars AS", "evens AS").replace("FROM events)", "FROM events WHERE user_id % 2 = 0 AND (event_type <> 'click' OR day(ts) > 1))")
+_POSITION = f"""WITH {EVENT_BARS}, {_EVEN}, a AS (
+  SELECT symbol, list(ts ORDER BY ts) AS t, list(close ORDER BY ts) AS x, count(*) AS n FROM ebars GROUP BY symbol
+), b AS (
+  SELECT symbol, list(high ORDER BY ts) AS y, list(volume ORDER BY ts) AS v, count(*) AS n FROM evens GROUP BY symbol
+)"""
+
+
+@query("J6_align_position", _POSITION + " SELECT symbol, unnest(t) AS ts, unnest(x) AS x, unnest(y) AS y FROM a JOIN b USING (symbol, n)")
 def align_position(spark, sf_dir):
-    return align.align_position([(supplier_bars(spark, sf_dir), "close", "x"), (supplier_bars(spark, sf_dir), "high", "y")])
+    return align.align_position([(event_bars(spark, sf_dir), "close", "x"), (_even(spark, sf_dir), "high", "y")])
 
 
 @query("J7_open_lookup", f"WITH RECURSIVE {TRADE_SQL} SELECT i.symbol, i.id, b.open AS entry_open FROM id i LEFT JOIN bars b ON b.symbol = i.symbol AND b.ts = i.entry_ts")
@@ -415,10 +448,9 @@ def open_lookup(spark, sf_dir):
     return _trades(spark, sf_dir).join(prices, ["symbol", "entry_ts"], "left").select("symbol", "id", "entry_open")
 
 
-@query("J9_append", f"WITH {BARS} SELECT symbol, ts, close AS close, volume AS volume FROM bars")
+@query("J9_append", _POSITION + " SELECT symbol, unnest(t) AS ts, unnest(x) AS close, unnest(list_resize(coalesce(v, []), a.n)) AS volume FROM a LEFT JOIN b USING (symbol)")
 def append(spark, sf_dir):
-    b = supplier_bars(spark, sf_dir)
-    return align.append_by_position(b.select("symbol", "ts", "close"), b.select("symbol", "ts", "volume"), "volume")
+    return align.append_by_position(event_bars(spark, sf_dir).select("symbol", "ts", "close"), _even(spark, sf_dir).select("symbol", "ts", "volume"), "volume")
 
 
 # ---- trades ---------------------------------------------------------------------------------------------------------
@@ -711,10 +743,9 @@ def time_forms(spark, sf_dir):
 _calc("D3_finite", lambda: scalar.finite(F.col("close")), f"{FIN} AS value", **_gap)
 
 
-@query("D5_contains", "SELECT o_orderkey, contains(lower(o_totalprice::VARCHAR), '9') AS has FROM orders WHERE o_orderpriority IS NOT NULL")
+@query("D5_contains", "SELECT o_orderkey, contains(lower(o_totalprice::VARCHAR), '9') AS has FROM orders")
 def contains(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderpriority IS NOT NULL")
-    return o.select("o_orderkey", scalar.contains_text(F.col("o_totalprice"), "9").alias("has"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalar.contains_text(F.col("o_totalprice"), "9").alias("has"))
 
 
 # ---- sinks ----------------------------------------------------------------------------------------------------------
@@ -733,11 +764,15 @@ def published_bars(spark, sf_dir):
     return spark.read.parquet(paths["bars"]).select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
-@query("K2_published_trades", f"WITH RECURSIVE {RESULT_SQL} SELECT 'trades' AS name, count(*) AS n_rows FROM id UNION ALL SELECT 'boxes', count(*) FROM id UNION ALL SELECT 'results', count(*) FROM r UNION ALL SELECT 'summary', count(DISTINCT symbol) FROM r")
+@query("K2_published_trades", f"WITH RECURSIVE {RESULT_SQL}, q AS ({SUMMARY}) SELECT i.symbol, i.id, i.entry_ts, i.exit_ts, i.limit_ts, r.trade_no, r.delta AS delta, r.entry_open AS middle, q.total_trades FROM id i JOIN r USING (symbol, id) JOIN q ON q.symbol = i.symbol")
 def published_trades(spark, sf_dir):
+    """Every published trade beside its published result, box and summary."""
     out = trades.back_test(_rule_frame(spark, sf_dir), RULE, supplier_bars(spark, sf_dir))
     paths = sinks.publish(out, live.scratch(spark))
-    return view.sizes({name: spark.read.schema(sinks.with_bucket(df).schema).parquet(paths[name]) for name, df in out.items()}).select("name", "n_rows")
+    read = {name: spark.read.schema(sinks.with_bucket(df).schema).parquet(paths[name]) for name, df in out.items()}
+    rows = read["trades"].select("symbol", "id", "entry_ts", "exit_ts", "limit_ts").join(read["results"].select("symbol", "id", "trade_no", "delta"), ["symbol", "id"])
+    rows = rows.join(read["boxes"].select("symbol", "id", F.col("stop_box")[0]["y"].alias("middle")), ["symbol", "id"])
+    return rows.join(read["summary"].select("symbol", "total_trades"), "symbol")
 
 
 @query("K3_published_chart", f"WITH {BARS} {CANDLES}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import date
@@ -92,3 +93,50 @@ def records_from_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     text = F.trim(F.col(column))
     array = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
     return df.select(*[c for c in df.columns if c != column], F.inline(F.from_json(array, f"array<struct<{schema}>>")))
+
+
+#: Types in the text of a variant's schema, at the places where a type stands; names that are no plain words are quoted there.
+_TYPES = re.compile(r"`(?:[^`]|``)*`|(?:(?<=: )|(?<=^)|(?<=ARRAY<))(?:OBJECT<|VARIANT\b|VOID\b|DECIMAL\(\d+,\d+\))")
+
+
+def _ddl(variant_schema: str) -> str:
+    def plain(m: re.Match) -> str:
+        found = m[0]
+        return found if found[0] == "`" else "STRUCT<" if found == "OBJECT<" else "DOUBLE" if found[0] == "D" else "STRING"
+
+    return _TYPES.sub(plain, variant_schema)
+
+
+def _records(df: DataFrame, column: str) -> DataFrame:
+    """``df`` and ``_record``, a row for each object in the column, as variants."""
+    v = F.try_parse_json(F.col(column).cast("string"))
+    many = F.expr("CASE WHEN schema_of_variant(_v) LIKE 'ARRAY<%' THEN try_variant_get(_v, '$', 'array<variant>') ELSE array(_v) END")
+    rows = df.withColumn("_v", v).withColumn("_record", F.explode(many)).drop("_v")
+    return rows.where(F.schema_of_variant("_record").startswith("OBJECT<"))
+
+
+def inferred_schema(df: DataFrame, column: str) -> str | None:
+    """The schema of all JSON records in a text column, as DDL; None where there are none.
+
+    One aggregation merges the types of all records, none is sampled.  Whole and other numbers make doubles; types that clash
+    otherwise, and fields that are always null, are texts.
+    """
+    found = _records(df, column).agg(F.schema_of_variant_agg("_record")).first()[0]
+    return _ddl(found) if found.startswith("OBJECT<") and found != "OBJECT<>" else None
+
+
+def records_without_schema(df: DataFrame, column: str, schema: str | None = None) -> DataFrame:
+    """The records of JSON arrays, or of single objects, in a text column, a row each, with the fields and types that they have.
+
+    Texts that are no JSON, nulls, and values that are no objects give no row; a field that a record lacks is null; nested
+    records are structs and lists arrays.  A field named as another column of ``df`` comes as ``<column>_<field>``.  ``schema``
+    is what ``inferred_schema`` gave before, for a stream or for the same replies again.
+    """
+    schema = schema or inferred_schema(df, column)
+    keep = [c for c in df.columns if c != column]
+    if schema is None:
+        return df.limit(0).select(*keep)
+    read = F.try_variant_get("_record", "$", schema).alias("_fields")
+    rows = _records(df, column).select(*keep, read)
+    names = rows.schema["_fields"].dataType.names
+    return rows.select(*keep, *[F.col("_fields").getField(n).alias(f"{column}_{n}" if n in keep else n) for n in names])

@@ -53,6 +53,25 @@ def run_live(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return query
 
 
+def run_to_end(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> int:
+    """Start a query from its checkpoint until a start finds nothing new; the number of batches.
+
+    A source without limits of its own takes one batch a start, and none after a batch that was cut off and is run again.
+    """
+    done = 0
+    while True:
+        before = done
+
+        def counted(batch: DataFrame, number: int) -> None:
+            nonlocal done
+            sink(batch, number)
+            done += 1
+
+        run_live(df, counted, checkpoint)
+        if done == before:
+            return done
+
+
 def live_bars(ticks: DataFrame, symbol: str, ts: str, price: str, every: str = "1 day", late: str = "1 hour", tiebreak: tuple[str, ...] = (), volume: str | Column | None = None) -> DataFrame:
     """Bars of tumbling windows; ticks that come later than ``late`` after the newest are left out."""
     size = F.lit(1) if volume is None else (F.col(volume) if isinstance(volume, str) else volume)
