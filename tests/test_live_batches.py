@@ -66,3 +66,22 @@ def test_rolling_returns(spark, tmp_path):
         live.run_live(live.live_rolling(stream, "x", 2, kind), lambda df, _: out.extend(df.collect()), f"{tmp_path}/{kind}")
         got = [v.value for v in sorted(out, key=lambda v: v.ts)]
         assert all((a is None or a != a) == (b is None) and (b is None or abs(a - b) < 1e-9) for a, b in zip(got, wanted)), (got, wanted)
+
+
+def test_late_rows_and_idle_symbols(spark, tmp_path):
+    """Rows in any order inside the watermark give what ordered rows give; later ones are left out, idle symbols start anew."""
+    from datetime import timedelta
+
+    live.use_rocksdb(spark)
+    batches = [[("a", 30), ("a", 10), ("b", 5)], [("a", 20), ("a", 40), ("b", 35)], [("a", 100)], [("a", 15), ("a", 95), ("b", 400)], [("end", 4000)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(s, t, float(t)) for s, t in rows], "symbol string, t int, x double").selectExpr("symbol", "timestamp_seconds(t) AS ts", "x").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    out = []
+    schema = spark.read.parquet(str(tmp_path / "in/0")).schema
+    stream = live.live_source(spark, f"{tmp_path}/in/*", schema, maxFilesPerTrigger="1")
+    rolling = live.live_rolling(stream, "x", 2, late=timedelta(seconds=25), idle=timedelta(seconds=200))
+    live.run_live(rolling, lambda df, _: out.extend(df.collect()), f"{tmp_path}/state")
+    got = {s: [(r.x, r.value) for r in sorted((r for r in out if r.symbol == s), key=lambda r: r.ts)] for s in ("a", "b")}
+    plain = lambda v: None if v is None or v != v else v
+    assert [(x, plain(v)) for x, v in got["a"]] == [(10, None), (20, 15.0), (30, 25.0), (40, 35.0), (95, 67.5), (100, 97.5)]  # 15 comes too late
+    assert [(x, plain(v)) for x, v in got["b"]] == [(5, None), (35, 20.0), (400, None)]  # forgotten between 35 and 400

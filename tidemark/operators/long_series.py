@@ -32,6 +32,92 @@ def with_index(df: DataFrame, parts: int | None = None) -> DataFrame:
     return dealt.withColumn("idx", own).join(offsets, ["symbol", "_part"]).withColumn("idx", F.col("idx") + F.col("_offset")).drop("_part", "_offset")
 
 
+def _dealt(df: DataFrame, parts: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_part`` and ``_own``, their place within it, and ``(symbol, _part, _offset)``, the rows of the series before."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(parts, "symbol", "ts").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("symbol").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("symbol", "_part").count().select("symbol", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    return dealt.withColumn("_own", F.row_number().over(Window.partitionBy("symbol", "_part").orderBy("ts")) - 1), offsets
+
+
+def _fit(rows: DataFrame, offsets: DataFrame, y: str) -> DataFrame:
+    """``(symbol, intercept, slope, first_value, n)`` from moments of the parts.
+
+    Each part gives count, means and centred sums of squares over its own places; a place in the series is the place in the
+    part and the rows before it, so a mean moves by these and centred sums stay.  Parts then merge by the distance of
+    their means from the common one, which keeps the figures as exact as those of one pass.
+    """
+    x, value = F.col("_own").cast("double"), F.col(y).cast("double")
+    known = F.when(value.isNotNull(), F.col("_own"))
+    own = rows.groupBy("symbol", "_part").agg(
+        F.count(value).alias("k"), F.regr_avgx(value, x).alias("mx"), F.regr_avgy(value, x).alias("my"), F.regr_sxx(value, x).alias("xx"), F.regr_sxy(value, x).alias("xy"), F.min_by(value, known).alias("y0")
+    )
+    own = own.join(offsets, ["symbol", "_part"]).withColumn("mx", F.col("mx") + F.col("_offset"))
+    k = F.sum("k")
+    whole = own.groupBy("symbol").agg(k.alias("n"), (F.sum(F.col("k") * F.col("mx")) / k).alias("x_"), (F.sum(F.col("k") * F.col("my")) / k).alias("y_"), F.min_by("y0", F.when(F.col("k") > 0, F.col("_part"))).alias("first_value"))
+    dx, dy = F.col("mx") - F.col("x_"), F.col("my") - F.col("y_")
+    both = own.select("symbol", "k", "mx", "my", "xx", "xy").join(whole, "symbol").groupBy("symbol", "n", "x_", "y_", "first_value")
+    sums = both.agg(F.sum(F.col("xx") + F.col("k") * dx * dx).alias("xx"), F.sum(F.col("xy") + F.col("k") * dx * dy).alias("xy"))
+    slope = F.coalesce(F.when(F.col("n") > 1, F.try_divide("xy", "xx")), F.lit(0.0))
+    level = F.when((F.col("n") > 1) & (F.col("xx") > 0), F.col("y_") - slope * F.col("x_"))
+    return sums.select("symbol", F.coalesce(level, "first_value", F.lit(0.0)).alias("intercept"), slope.alias("slope"), "first_value", "n")
+
+
+def line_coefficients(df: DataFrame, y: str, parts: int | None = None) -> DataFrame:
+    """As ``calc.line_coefficients``, for few and very long series: no window over a series, and no row number either."""
+    return _fit(*_dealt(df.select("symbol", "ts", y), parts), y)
+
+
+def linear_regression(df: DataFrame, y: str, out: str, relative: bool = False, parts: int | None = None) -> DataFrame:
+    """As ``calc.linear_regression``, for few and very long series."""
+    rows, offsets = _dealt(df, parts)
+    fit = _fit(rows, offsets, y).select("symbol", F.col("intercept").alias("_a"), F.col("slope").alias("_b"), F.col("first_value").alias("_y"))
+    # one row a symbol and part: the line in terms of a row's own place
+    lines = offsets.join(fit, "symbol").select("symbol", "_part", (F.col("_a") + F.col("_b") * F.col("_offset")).alias("_a"), "_b", "_y")
+    line = F.col("_a") + F.col("_b") * F.col("_own")
+    if relative:
+        line = F.try_divide(line, F.col("_y")) - 1
+    return rows.join(lines, ["symbol", "_part"]).withColumn(out, line).drop("_part", "_own", "_a", "_b", "_y")
+
+
+#: Bits of a value that one round of a selection settles, and bits of the values.
+DIGIT, BITS = 12, 60
+
+
+def selected(values: DataFrame, x: str, nth) -> DataFrame:
+    """``(symbol, x)``: of each symbol the value that ``nth(count)`` values come before, exactly.
+
+    Values are whole numbers from 0 up to 2^60.  Equal ones are counted first.  Each round counts the values that share the
+    digits found so far by their next digit, in partial sums, and finds the digit in which the place lies: five rounds
+    whatever the number of rows, of at most 4,096 sums a symbol each, and no task holds or sorts a symbol's values.
+    """
+    rows = checkpointed(values.select("symbol", F.col(x).cast("long").alias("_x")).groupBy("symbol", "_x").agg(F.count(F.lit(1)).alias("_n")))
+    found = rows.groupBy("symbol").agg(F.sum("_n").alias("_all")).select("symbol", nth(F.col("_all")).cast("long").alias("_k"), F.lit(0).cast("long").alias("_head"))
+    upto = Window.partitionBy("symbol").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
+    for shift in range(BITS - DIGIT, -1, -DIGIT):
+        here = rows.join(found, "symbol").where(F.shiftright("_x", shift + DIGIT) == F.col("_head"))
+        sums = here.groupBy("symbol", "_k", "_head", F.shiftright("_x", shift).bitwiseAND(F.lit((1 << DIGIT) - 1)).alias("_digit")).agg(F.sum("_n").alias("_n"))
+        sums = sums.withColumn("_past", F.sum("_n").over(upto)).where((F.col("_past") > F.col("_k")) & (F.col("_past") - F.col("_n") <= F.col("_k")))
+        found = checkpointed(sums.select("symbol", (F.col("_k") - F.col("_past") + F.col("_n")).alias("_k"), (F.shiftleft("_head", DIGIT) + F.col("_digit")).alias("_head")))
+    return found.select("symbol", F.col("_head").alias(x))
+
+
+def median_steps(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """As ``align.median_steps``, for few and very long series: steps inside range partitions and over their borders, then a
+    selection by counts."""
+    times = df.select("symbol", F.col("ts").cast("timestamp").alias("ts"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(times.where("ts IS NOT NULL").repartitionByRange(parts, "symbol", "ts").withColumn("_part", F.spark_partition_id()))
+    ends = dealt.groupBy("symbol", "_part").agg(F.max("ts").alias("_end"))
+    past = Window.partitionBy("symbol").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("symbol", "_part", F.max("_end").over(past).alias("_before"))
+    own = F.lag("ts").over(Window.partitionBy("symbol", "_part").orderBy("ts"))
+    rows = dealt.withColumn("_own", own).join(ends, ["symbol", "_part"])
+    step = F.unix_millis("ts") - F.unix_millis(F.coalesce("_own", "_before"))
+    return selected(rows.select("symbol", step.alias("step")).where("step > 0"), "step", lambda n: F.floor(n / 2))
+
+
 def with_halo(df: DataFrame, size: int, back: int, ahead: int = 0) -> DataFrame:
     """Rows with ``bucket`` and ``halo``; rows near a border come once more, as halo of the bucket beside it."""
     if max(back, ahead) > size:

@@ -7,6 +7,7 @@ together (exit) or its first exit column is under the stop (limit); failing that
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from datetime import timedelta
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from tidemark.functions.clean import series
 from tidemark.functions.scalar import near
 from tidemark.functions.storage import checkpointed
+from tidemark.operators import long_series
 from tidemark.operators.align import align_asof, align_exact, align_position, open_prices
 
 TRADES = "symbol, id, entry_ts, exit_ts, limit_ts"
@@ -50,11 +52,15 @@ class Rule:
         return max(self.hold, 1)
 
 
-def signals(frame: DataFrame, rule: Rule) -> DataFrame:
-    """``(symbol, ts, idx, n, entry, exit, e0, x0)``: both signals and the two prices that stops compare, for every row."""
+def signals(frame: DataFrame, rule: Rule, indexed: bool = False) -> DataFrame:
+    """``(symbol, ts, idx, n, entry, exit, e0, x0)``: both signals and the two prices that stops compare, for every row.
+
+    A frame that is ``indexed`` has its ``idx`` already; no window is laid over its series then, and ``n`` is left out.
+    """
     d = lambda names: [F.col(c).cast("double") for c in names]
+    place = [F.col("idx").cast("long").alias("idx")] if indexed else [(F.row_number().over(series()) - 1).cast("long").alias("idx"), F.count(F.lit(1)).over(Window.partitionBy("symbol")).alias("n")]
     return frame.select(
-        "symbol", "ts", (F.row_number().over(series()) - 1).cast("long").alias("idx"), F.count(F.lit(1)).over(Window.partitionBy("symbol")).alias("n"),
+        "symbol", "ts", *place,
         near(d(rule.entry), rule.within_entry).alias("entry"), near(d(rule.exit), rule.within_exit).alias("exit"), d(rule.entry)[0].alias("e0"), d(rule.exit)[0].alias("x0"),
     )
 
@@ -109,6 +115,52 @@ def greedy_picks_by_doubling(candidates: DataFrame, step: int) -> DataFrame:
         jump = jump.alias("a").join(jump.alias("b"), (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.to") == F.col("b.idx"))).select("a.symbol", "a.idx", "b.to")
 
 
+def greedy_picks_by_transitions(candidates: DataFrame, step: int, size: int = 100_000) -> DataFrame:
+    """The same picks for few very long series, in one pass: each bucket of ``size`` rows is a function of the first free row.
+
+    Where a bucket is entered with its first ``o`` rows shut out, 0 <= o < step, it is left with as many rows of the next one
+    shut out as its last pick says.  Buckets work these functions out apart from each other; one walk over them (a few
+    numbers a bucket) tells how each is entered; then all buckets pick at once.  No loop, and no task holds a series.
+    """
+    size = max(size, step)
+    symbol = candidates.schema["symbol"].dataType.simpleString()
+    rows = candidates.select("symbol", F.col("idx").cast("long").alias("idx"), F.floor(F.col("idx") / size).cast("long").alias("bucket"))
+
+    def function(part: pa.Table) -> pa.Table:
+        at = np.sort(part.column("idx").to_numpy()) - part.column("bucket")[0].as_py() * size
+        following = np.searchsorted(at, at + step).tolist()
+        leave = [0] * len(at)
+        for i in range(len(at) - 1, -1, -1):
+            leave[i] = leave[following[i]] if following[i] < len(at) else max(0, int(at[i]) + step - size)
+        few = int(np.searchsorted(at, step)) + 1  # who may come first, whatever is shut out
+        lists = [pa.array([v], pa.list_(pa.int64())) for v in (at[:few].tolist(), leave[:few])]
+        return pa.table([part.column("symbol")[:1], part.column("bucket")[:1], *lists], names=["symbol", "bucket", "first", "leave"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, shut, after = None, 0, 0
+        for batch in batches:
+            out = []
+            for s, b, first, leave in zip(*(batch.column(c).to_pylist() for c in ("symbol", "bucket", "first", "leave"))):
+                if s != known or b != after:  # a bucket without candidates lets all through
+                    shut = 0
+                out.append(shut)
+                k = bisect_left(first, shut)
+                known, after, shut = s, b + 1, leave[k] if k < len(first) else 0
+            yield pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("bucket"), pa.array(out, pa.int64())], names=["symbol", "bucket", "shut"])
+
+    def pick(part: pa.Table) -> pa.Table:
+        at, free, taken = np.sort(part.column("idx").to_numpy()), part.column("bucket")[0].as_py() * size + part.column("shut")[0].as_py(), []
+        while (k := int(np.searchsorted(at, free))) < len(at):
+            taken.append(int(at[k]))
+            free = taken[-1] + step
+        own = part.column("symbol")
+        return pa.table([own.take(pa.array([0] * len(taken), pa.int64())), pa.array(taken, pa.int64())], names=["symbol", "idx"])
+
+    functions = rows.groupBy("symbol", "bucket").applyInArrow(function, f"symbol {symbol}, bucket long, first array<long>, leave array<long>")
+    entered = functions.repartition("symbol").sortWithinPartitions("symbol", "bucket").mapInArrow(walk, f"symbol {symbol}, bucket long, shut long")
+    return rows.join(entered, ["symbol", "bucket"]).groupBy("symbol", "bucket").applyInArrow(pick, f"symbol {symbol}, idx long")
+
+
 def over_frames(frames: dict[str, DataFrame], rule: Rule, how: str = "exact", tolerance: timedelta | None = None, pair: str | None = None) -> tuple[DataFrame, Rule]:
     """One frame and its rule from a rule whose columns lie in several frames, named "frame.column".
 
@@ -135,7 +187,7 @@ def over_frames(frames: dict[str, DataFrame], rule: Rule, how: str = "exact", to
     return joined, replace(rule, entry=tuple(names[:k]), exit=tuple(names[k:]))
 
 
-def find_trades(frame: DataFrame, rule: Rule, drop_overwritten: bool = True, picks: str = "walk") -> DataFrame:
+def find_trades(frame: DataFrame, rule: Rule, drop_overwritten: bool = True, picks: str = "walk", size: int = 100_000) -> DataFrame:
     """``(symbol, id, trade_type, entry_ts, exit_ts, limit_ts, entry_idx, close_idx)``, a row per trade.
 
     Picks are ``hold`` rows apart at least, so each row can close one trade at most: the last pick before it.  A row is
@@ -143,9 +195,18 @@ def find_trades(frame: DataFrame, rule: Rule, drop_overwritten: bool = True, pic
     The frame is computed once.  Of exits on one row (the last of a series) the later trade's stays.
 
     ``picks``: "walk" streams each symbol's rows through one task, for many symbols; "doubling" spreads the choice of entries
-    over all tasks, for few symbols with very long series.
+    over all tasks, for few symbols with very long series; "transitions" spreads all work so: rows are numbered by ranges,
+    entries chosen and trades closed in buckets, and no window is laid over a series.
     """
-    if picks == "doubling":
+    opened = F.struct("idx", "ts", (F.col("e0") * (1 - F.lit(rule.stop))).alias("stop"))
+    last = F.last(F.when(F.col("pick"), opened), ignorenulls=True)
+    if picks == "transitions":
+        rows = checkpointed(signals(long_series.with_index(frame), rule, indexed=True))
+        taken = greedy_picks_by_transitions(rows.where("entry").select("symbol", "idx"), rule.step, size).withColumn("pick", F.lit(True))
+        rows = rows.join(taken, ["symbol", "idx"], "left").withColumn("pick", F.coalesce("pick", F.lit(False)))
+        # a pick closes within its hold, so a bucket looks that far back
+        held = long_series.bucketed(rows, lambda w: {"last": last.over(w.rowsBetween(Window.unboundedPreceding, -1))}, max(size, rule.hold), rule.hold)
+    elif picks == "doubling":
         rows = checkpointed(signals(frame, rule).drop("n"))
         taken = greedy_picks_by_doubling(rows.where("entry").select("symbol", "idx"), rule.step).withColumn("pick", F.lit(True))
         rows = rows.join(taken, ["symbol", "idx"], "left").withColumn("pick", F.coalesce("pick", F.lit(False)))
@@ -153,9 +214,9 @@ def find_trades(frame: DataFrame, rule: Rule, drop_overwritten: bool = True, pic
         rows = with_picks(signals(frame, rule).drop("n"), "entry", rule.step)
     else:
         raise ValueError(f"no way to pick entries: {picks}")
-    opened = F.struct("idx", "ts", (F.col("e0") * (1 - F.lit(rule.stop))).alias("stop"))
-    before = Window.partitionBy("symbol").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    held = rows.withColumn("last", F.last(F.when(F.col("pick"), opened), ignorenulls=True).over(before))
+    if picks != "transitions":
+        before = Window.partitionBy("symbol").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+        held = rows.withColumn("last", last.over(before))
     closing = F.when(F.col("idx") <= F.col("last.idx") + rule.hold, F.struct(F.col("last").alias("own"), F.lit(True).alias("inside")))
     opening = F.when(F.col("pick"), F.struct(opened.alias("own"), F.lit(False).alias("inside")))
     parts = held.withColumn("part", F.explode(F.array_compact(F.array(closing, opening)))).withColumns({"own": F.col("part.own"), "inside": F.col("part.inside")})
@@ -244,8 +305,16 @@ def trade_boxes(trades: DataFrame, base: DataFrame, stop: float) -> DataFrame:
     return rows.select("symbol", "id", box(high, low).alias("profit_box"), box(low, floor).alias("stop_box"))
 
 
-def back_test(frame: DataFrame, rule: Rule, base: DataFrame) -> dict[str, DataFrame]:
-    """Trades, their boxes, their results and the summary, from trades that are found once and stored; typed and empty where there are none."""
-    trades = checkpointed(find_trades(frame, rule))
+def back_test(
+    frame: DataFrame | dict[str, DataFrame], rule: Rule, base: DataFrame, picks: str = "walk", how: str = "exact", tolerance: timedelta | None = None, pair: str | None = None
+) -> dict[str, DataFrame]:
+    """Trades, their boxes, their results and the summary, from trades that are found once and stored; typed and empty where there are none.
+
+    Several frames by name are joined as ``over_frames`` says, for a rule with columns named "frame.column"; ``picks`` is
+    the way of ``find_trades``.
+    """
+    if isinstance(frame, dict):
+        frame, rule = over_frames(frame, rule, how, tolerance, pair)
+    trades = checkpointed(find_trades(frame, rule, picks=picks))
     results = trade_results(trades, base)
     return {"trades": trade_table(trades), "boxes": trade_boxes(trades, base, rule.stop), "results": results, "summary": trade_summary(results)}

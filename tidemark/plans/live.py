@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,18 @@ def ordered_stream(spark: SparkSession, sf_dir: str, rows: int = BATCH_ROWS) ->
     return live.live_source(spark, folder, events.schema, maxFilesPerTrigger=str(max(1, rows // largest)))
 
 
+def shuffled_stream(spark: SparkSession, sf_dir: str, batches: int = 8) -> DataFrame:
+    """The events as a stream in which each comes up to six hours too late, in batches, with a last row of no symbol far
+    ahead, behind which the watermark passes all others."""
+    events, folder = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), f"{scratch(spark)}/in"
+    end = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(6 * 3600))
+    rows = events.unionByName(end).withColumn("at", arrival)
+    rows.repartitionByRange(batches, "at").drop("at").write.parquet(folder)
+    live.in_name_order(spark, folder)
+    return live.live_source(spark, folder, rows.drop("at").schema, maxFilesPerTrigger="1")
+
+
 def _ticks(spark: SparkSession, sf_dir: str, stream=events_stream) -> DataFrame:
     return stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
 
@@ -118,6 +132,21 @@ def st4_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replayed(live.live_rolling(_ticks(spark, sf_dir, ordered_stream), "value", 14, "return")).select("symbol", "ts", "x", F.round("value", 4).alias("value"))
 
 
+LATE = timedelta(hours=7)
+
+
+def st4_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rolling mean of rows that come in another order than that of their times."""
+    live.use_rocksdb(spark)
+    out = live.live_rolling(_ticks(spark, sf_dir, shuffled_stream), "value", 14, late=LATE, idle=timedelta(days=20))
+    return replayed(out).where("symbol IS NOT NULL").select("symbol", "ts", "x", F.round("value", 4).alias("value"))
+
+
+def st5_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live.use_rocksdb(spark)
+    return replayed(live.live_trades(with_signals(_ticks(spark, sf_dir, shuffled_stream)), LIVE_RULE, LATE)).where("symbol IS NOT NULL")
+
+
 def st5_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.use_rocksdb(spark)
     return replayed(live.live_trades(with_signals(_ticks(spark, sf_dir, ordered_stream)), LIVE_RULE))
@@ -131,7 +160,7 @@ def st6_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.newest(spark, f"{folder}/table", ["symbol"]).select("symbol", "ts", "value")
 
 
-QUERIES = {"ST1_live_source": st1_source, "ST1_polled_source": st1_polled, "ST2_live_bars": st2_bars, "ST3_live_row_wise": st3_row_wise, "ST4_live_rolling": st4_rolling, "ST4_live_returns": st4_returns, "ST5_live_trades": st5_trades, "ST6_upserts": st6_newest}
+QUERIES = {"ST1_live_source": st1_source, "ST1_polled_source": st1_polled, "ST2_live_bars": st2_bars, "ST3_live_row_wise": st3_row_wise, "ST4_live_rolling": st4_rolling, "ST4_live_returns": st4_returns, "ST4_late_rows": st4_late, "ST5_late_rows": st5_late, "ST5_live_trades": st5_trades, "ST6_upserts": st6_newest}
 
 ORACLES = {
     "ST1_live_source": "SELECT event_type AS symbol, ts, value, event_id FROM events",
@@ -163,3 +192,4 @@ ORACLES = {
       WHERE k.x IS NOT NULL OR k.l IS NOT NULL""",
     "ST6_upserts": "SELECT event_type AS symbol, max(ts) AS ts, arg_max(value, ts) AS value FROM events GROUP BY 1",
 }
+ORACLES["ST4_late_rows"], ORACLES["ST5_late_rows"] = ORACLES["ST4_live_rolling"], ORACLES["ST5_live_trades"]

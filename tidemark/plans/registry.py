@@ -833,6 +833,45 @@ def long_trades(spark, sf_dir):
     return trades.trade_table(trades.find_trades(_rule_frame(spark, sf_dir), RULE, picks="doubling"))
 
 
+@query("T4_entries_by_transitions", f"WITH RECURSIVE {TRADE_SQL} SELECT symbol, idx FROM p")
+def entries_by_transitions(spark, sf_dir):
+    return trades.greedy_picks_by_transitions(trades.signals(_rule_frame(spark, sf_dir), RULE).where("entry").select("symbol", "idx"), RULE.step, 64)
+
+
+@query("L6_long_series_buckets", f"WITH RECURSIVE {TRADE_SQL} SELECT symbol, id, entry_ts, exit_ts, limit_ts FROM id")
+def long_trades_in_buckets(spark, sf_dir):
+    return trades.trade_table(trades.find_trades(_rule_frame(spark, sf_dir), RULE, picks="transitions", size=64))
+
+
+_ONE_FIT = _ONE + ", c AS (SELECT coalesce(regr_slope(close, idx), 0) AS b, coalesce(regr_intercept(close, idx), min(close)) AS a, count(close) AS n FROM s)"
+
+
+def _one_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one_series(spark, sf_dir).drop("idx")
+
+
+@query("L7_long_series_regression", _ONE_FIT + " SELECT l_orderkey, l_linenumber, round(b * idx + a, 4) AS value FROM s, c")
+def long_regression(spark, sf_dir):
+    return rounded(long_series.linear_regression(_one_rows(spark, sf_dir), "close", "value").select("l_orderkey", "l_linenumber", "value"))
+
+
+@query("L8_long_series_coefficients", _FIT + " SELECT symbol, round(a, 4) AS intercept, round(b, 4) AS slope, y0 AS first_value, n FROM c")
+def long_coefficients(spark, sf_dir):
+    return rounded(long_series.line_coefficients(supplier_bars(spark, sf_dir), "close"), "intercept", "slope")
+
+
+@query("L9_long_series_median_steps", """WITH t AS (SELECT ts, epoch_us(ts) // 1000 AS ms FROM events), s AS (SELECT ms - lag(ms) OVER (ORDER BY ts) AS step FROM t),
+  p AS (SELECT step, row_number() OVER (ORDER BY step) - 1 AS k, count(*) OVER () AS n FROM s WHERE step > 0) SELECT 'all' AS symbol, step FROM p WHERE k = n // 2""")
+def long_median_steps(spark, sf_dir):
+    """All events as one series."""
+    return long_series.median_steps(table(spark, sf_dir, "events").select(F.lit("all").alias("symbol"), "ts"))
+
+
+@query("L10_median_steps", f"WITH {BARS}, {STEPS} SELECT symbol, step FROM p WHERE k = n // 2")
+def selected_median_steps(spark, sf_dir):
+    return long_series.median_steps(supplier_bars(spark, sf_dir))
+
+
 # ---- streams --------------------------------------------------------------------------------------------------------
 
 QUERIES |= live.QUERIES

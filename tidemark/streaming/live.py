@@ -6,6 +6,7 @@ Row-wise calculations need nothing here: the functions of the batch side work on
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators.calc import PERIOD
 from tidemark.operators.trades import Rule
-from tidemark.streaming.processors import OpenTrade, Rolling
+from tidemark.streaming.processors import InTime, OpenTrade, Rolling
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -83,28 +84,42 @@ def live_bars(ticks: DataFrame, symbol: str, ts: str, price: str, every: str = "
     return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def live_rolling(df: DataFrame, x: str, n: int = PERIOD, kind: str = "mean") -> DataFrame:
+def _stateful(rows: DataFrame, processor, schema: str, late: timedelta | None, idle: timedelta | None) -> DataFrame:
+    """A processor over a symbol's rows: as they come, or in order of time behind a watermark."""
+    if late is None:
+        if idle is not None:
+            raise ValueError("symbols are forgotten by event time, which takes a watermark")
+        return rows.groupBy("symbol").transformWithStateInPandas(processor, schema, "Append", "None")
+    columns = dict(rows.dtypes)
+    behind = rows.withWatermark("ts", f"{late.total_seconds()} seconds").withColumn("at_us", F.unix_micros("ts"))
+    inner = InTime(processor, columns, None if idle is None else int(idle.total_seconds() * 1000))
+    return behind.groupBy("symbol").transformWithStateInPandas(inner, schema, "Append", "EventTime")
+
+
+def live_rolling(df: DataFrame, x: str, n: int = PERIOD, kind: str = "mean", late: timedelta | None = None, idle: timedelta | None = None) -> DataFrame:
     """``(symbol, ts, x, value)``, row by row: rolling mean ("mean"), sample deviation with 0 before n rows ("std"), log
     return ("log_return"), or yearly deviation of n log returns, null unless all are there ("return").
 
-    Rows of a symbol must come in order of time from batch to batch; inside a batch they are sorted.
+    Without ``late`` rows of a symbol must come in order of time from batch to batch; inside a batch they are sorted.  With
+    it they may come in any order, as late as that behind the newest; they come out once the watermark has passed them, and
+    later ones are left out.  A symbol without rows for ``idle`` is forgotten.
     """
     if kind not in ("mean", "std", "log_return", "return"):
         raise ValueError(f"no rolling calculation {kind}")
     symbol = df.schema["symbol"].dataType.simpleString()
     rows = df.select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.col(x).cast("double").alias("x"))
-    return rows.groupBy("symbol").transformWithStateInPandas(Rolling(n, kind), f"symbol {symbol}, ts timestamp, x double, value double", "Append", "None")
+    return _stateful(rows, Rolling(n, kind), f"symbol {symbol}, ts timestamp, x double, value double", late, idle)
 
 
-def live_trades(signals: DataFrame, rule: Rule) -> DataFrame:
+def live_trades(signals: DataFrame, rule: Rule, late: timedelta | None = None, idle: timedelta | None = None) -> DataFrame:
     """``(symbol, entry_ts, exit_ts, limit_ts)`` when a trade closes, from rows ``(symbol, ts, entry, exit, e0, x0)``.
 
     The batch rule looks forward only as far as its hold, so a state machine gives the same trades; one that is still
-    open stays open, where a batch closes it on the last row.
+    open stays open, where a batch closes it on the last row.  ``late`` and ``idle`` as in ``live_rolling``.
     """
     symbol = signals.schema["symbol"].dataType.simpleString()
     rows = signals.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "entry", "exit", "e0", "x0")
-    return rows.groupBy("symbol").transformWithStateInPandas(OpenTrade(rule.stop, rule.hold), f"symbol {symbol}, entry_ts timestamp, exit_ts timestamp, limit_ts timestamp", "Append", "None")
+    return _stateful(rows, OpenTrade(rule.stop, rule.hold), f"symbol {symbol}, entry_ts timestamp, exit_ts timestamp, limit_ts timestamp", late, idle)
 
 
 def upsert_into(path: str, keys: list[str], notify: Callable[[int], None] | None = None, merge_every: int = 16) -> Callable[[DataFrame, int], None]:

@@ -40,7 +40,10 @@ class Rolling(StatefulProcessor):
             out = returns if self.kind == "log_return" else returns.rolling(self.n, min_periods=self.n).std() * np.sqrt(252)
         back = self.n - 1 if self.kind in ("mean", "std") else 1 if self.kind == "log_return" else self.n
         self.last.put([(v,) for v in series.iloc[-back:].tolist()] if back else [])
-        yield pd.DataFrame({"symbol": rows.symbol.to_numpy(), "ts": rows.ts.to_numpy(), "x": rows.x.to_numpy(), "value": out.to_numpy()[len(kept) :]})
+        yield pd.DataFrame({"symbol": rows.symbol.to_numpy(), "ts": rows.ts.to_numpy(), "x": rows.x.to_numpy(dtype="float64"), "value": out.to_numpy()[len(kept) :]})
+
+    def forget(self) -> None:
+        self.last.clear()
 
     def close(self) -> None:
         pass
@@ -75,5 +78,80 @@ class OpenTrade(StatefulProcessor):
         frame = pd.DataFrame(out, columns=["symbol", "entry_ts", "exit_ts", "limit_ts"])
         yield frame.astype({c: "datetime64[ns]" for c in ("entry_ts", "exit_ts", "limit_ts")})
 
+    def forget(self) -> None:
+        self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class InTime(StatefulProcessor):
+    """Holds rows back until the watermark has passed them, then hands them in order of time to another processor.
+
+    Rows that come in any order inside the watermark give what ordered rows give; later ones are left out by the watermark.
+    A symbol without rows for ``idle`` milliseconds of event time is forgotten, and starts anew if it comes back, whichever
+    batch its rows are in.  Rows carry
+    ``at_us``, their time in microseconds, whatever the session's time zone.
+    """
+
+    def __init__(self, inner: StatefulProcessor, columns: dict[str, str], idle: int | None) -> None:
+        self.inner, self.columns, self.idle = inner, columns, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.inner.init(handle)
+        types = {"ts": "long"} | {c: t for c, t in self.columns.items() if c not in ("symbol", "ts", "at_us")}
+        self.names = list(types)
+        self.waiting = handle.getListState("waiting", "at_us long, " + ", ".join(f"{c} {t}" for c, t in types.items()))
+        self.newest = handle.getValueState("newest", "at long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            if not len(frame):
+                continue
+            first = int(frame["at_us"].min())
+            times = frame.ts.astype("datetime64[us]").astype("int64")
+            held = frame.assign(ts=times)[["at_us", *self.names]].astype(object)
+            self.waiting.appendList([tuple(None if v is None or v != v else v for v in r) for r in held.itertuples(index=False)])
+            self.handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: r[0])
+        ready = [r for r in rows if r[0] <= passed]
+        rest = rows[len(ready) :]
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            before = self.newest.get()[0] if self.newest.exists() else ready[0][0]
+            run: list[tuple] = []
+            for r in [*ready, None]:
+                if run and (r is None or self._gap(before, r[0])):
+                    yield from self._handed(key, run, timerValues)
+                    run = []
+                if r is not None:
+                    if self._gap(before, r[0]):
+                        self.inner.forget()
+                    run.append(r)
+                    before = r[0]
+            self.newest.update((before,))
+        if self.idle is not None and self.newest.exists():
+            newest = self.newest.get()[0]
+            if self._gap(newest, passed):
+                self.inner.forget()
+                self.newest.clear()
+            elif not rest:
+                self.handle.registerTimer(newest // 1000 + self.idle + 1)
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+
+    def _gap(self, before: int, at: int) -> bool:
+        return self.idle is not None and at - before >= self.idle * 1000
+
+    def _handed(self, key: Any, rows: list[tuple], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame = pd.DataFrame([r[1:] for r in rows], columns=self.names)
+        frame["ts"] = frame.ts.astype("datetime64[us]")
+        yield from self.inner.handleInputRows(key, iter([frame.assign(symbol=key[0])]), timerValues)
+
     def close(self) -> None:
         pass
