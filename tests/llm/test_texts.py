@@ -65,6 +65,14 @@ def test_one_line_over_many_ranges(spark):
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == lines_by_definition(rows)
 
 
+def test_lines_are_dealt_and_sorted_once(spark):
+    rows = line_dedup.hashed_lines(documents(spark, ODD + [(100 + i, "the one line that all of them hold", "s") for i in range(50)]))
+    heavy = line_dedup.heavy_hashes(rows, 4)
+    assert heavy.orderBy(F.desc("slices")).first().slices >= 10
+    plan = line_dedup.streamed_firsts(rows, heavy, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan and plan.count("Sort [") == 1
+
+
 def test_keep_bitmaps_agree_with_kept_texts(spark):
     docs = documents(spark, [(i, t, s) for i, t, s in ODD if i not in (5, 1)])
     kept = {r.doc_id: r for r in line_dedup.kept_text(docs).collect()}

@@ -5,9 +5,10 @@ lower case.  Keys of at least ``min_chars`` code points that occur in two docume
 smallest document only.  The operator returns bitmaps, not texts.
 
 Plan: one scan turns lines into 128-bit hashes of their keys and stores the rows ``(hash, doc_id, place)``.  Those small
-rows are range-partitioned by hash, document and place, so one very common line is spread over neighbouring partitions,
-and sorted; a running first document is streamed along each run of equal hashes.  A run may cross a border only with the
-first or last hash of a partition: for these, two a partition at most, the first document is looked up in a small table.
+rows are range-partitioned by hash and sorted once, by hash, document and place; a running first document is streamed along
+each run of equal hashes.  Hashes that hold more than a share of a partition are found by a sketch of bounded size; each
+is cut into slices by a salt, which comes after the hash in the range, and its first document is looked up in a small table
+of the least documents of these hashes.  The sketch decides where rows go and nothing else.
 A document's dropped places become its bitmap: stretches of kept lines.  Texts are not shuffled for that; they meet their
 bitmaps when the caller asks for what is left of them.
 
@@ -56,18 +57,34 @@ def hashed_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "mark", "place", "n_lines")
 
 
+#: A hash with more than one row in ``SHARE`` of a partition's is cut into slices.
+SHARE = 4
+
+
+def heavy_hashes(rows: DataFrame, parts: int) -> DataFrame:
+    """``(h1, slices)`` of hashes with many rows; ``SHARE * parts`` rows at most, found by one sketch per task."""
+    most = SHARE * parts
+    found = rows.agg(F.expr(f"approx_top_k(h1, {min(most, 100_000)}, {min(10 * most, 1_000_000)})").alias("top"), F.count(F.lit(1)).alias("n"))
+    each = found.select(F.explode("top").alias("t"), "n").where(F.col("t.count") * most > F.col("n"))
+    return each.select(F.col("t.item").alias("h1"), F.ceil(F.col("t.count") * most / F.col("n")).alias("slices"))
+
+
+def streamed_firsts(rows: DataFrame, heavy: DataFrame, parts: int) -> DataFrame:
+    """``rows`` with ``first``, the least document of their hash; of heavy hashes, of their slice."""
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "place"), F.col("slices")), F.lit(0))
+    dealt = rows.join(F.broadcast(heavy), "h1", "left").withColumn("salt", salt).drop("slices").repartitionByRange(parts, *HASH, "salt")
+    run = Window.partitionBy(*HASH, "salt").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn("first", F.first("doc_id").over(run))
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """``(doc_id, mark, place, n_lines)``: a row per line that an earlier document holds; places count from 0."""
-    order = [*HASH, "doc_id", "place"]
+    parts = partitions(docs.sparkSession)
     rows = stored(hashed_lines(docs, min_chars), "lines")
-    dealt = stored(rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranges")
-    run = Window.partitionBy("part", *HASH).orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, 0)
-    streamed = dealt.withColumn("first", F.first("doc_id").over(run))
-    # two rows a partition at most, so they can be broadcast whatever the size of the tables
-    ends = dealt.groupBy("part").agg(F.min(F.struct(*HASH)).alias("low"), F.max(F.struct(*HASH)).alias("high"))
-    ends = ends.select(F.explode(F.array("low", "high")).alias("h")).select("h.*").distinct()
-    crossing = dealt.join(F.broadcast(ends), HASH).groupBy(*HASH).agg(F.min("doc_id").alias("over_all"))
-    gone = streamed.join(F.broadcast(crossing), HASH, "left").where(F.col("doc_id") > F.coalesce("over_all", "first"))
+    heavy = stored(heavy_hashes(rows, parts), "heavy")
+    # a row for each heavy hash, so both tables can be broadcast whatever the size of the documents
+    least = rows.join(F.broadcast(heavy), "h1", "left_semi").groupBy(*HASH).agg(F.min("doc_id").alias("over_all"))
+    gone = streamed_firsts(rows, heavy, parts).join(F.broadcast(least), HASH, "left").where(F.col("doc_id") > F.coalesce("over_all", "first"))
     return gone.select("doc_id", "mark", "place", "n_lines")
 
 
