@@ -30,8 +30,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+    """``df`` written to the shared folder and read back.  The session's own folder of checkpoints is deleted when it ends."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
+    own = context.getCheckpointDir()  # a folder that Spark makes for this session alone
+    if getattr(context, "_tidemark_checkpoints", None) != own:
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        context._tidemark_checkpoints = own
     return df.checkpoint()
