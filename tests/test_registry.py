@@ -10,7 +10,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["flagship", "S3_inferred_records", "S6_fundamentals", "L8_long_series_coefficients", "P3_repair", "C16_regression", "C23_calc_waves", "J2_asof", "J5_align_asof", "T10_trades", "T13_summary", "G8_stacked", "O2_sorted_page", "L1_long_series_average"]
+SOME = ["flagship", "S3_inferred_records", "S6_fundamentals", "L8_long_series_coefficients", "C24_calc_grid", "J2_asof_known", "G1_pixel_line", "O3_page_by_number", "P3_repair", "C16_regression", "C23_calc_waves", "J2_asof", "J5_align_asof", "T10_trades", "T13_summary", "G8_stacked", "O2_sorted_page", "L1_long_series_average"]
 
 
 def same(a, b):

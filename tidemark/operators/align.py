@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.select import as_series, with_any, without_nulls
@@ -66,6 +66,46 @@ def asof_backward(master: DataFrame, other: DataFrame, columns: list[str], toler
     return seen.select("_row.*", *[F.col(f"_seen.{c}").alias(c) for c in columns])
 
 
+def as_known(versions: DataFrame, at, columns: list[str], period: str = "period", known: str = "known") -> DataFrame:
+    """``(symbol, period, known, columns)``: of every period the version that was known last at the time ``at`` (text, time or column).
+
+    Versions known later do not count, nor do rows without a period or a time; of versions of one time the greatest counts.  A
+    version whose figures are null takes the figures back.  One aggregate, so restatements are reduced before the shuffle.
+    """
+    at = at if isinstance(at, Column) else F.lit(at)
+    rows = versions.where(F.col(period).isNotNull() & (F.col(known) <= at.cast(versions.schema[known].dataType)))
+    last = rows.groupBy("symbol", period).agg(F.max(F.struct(known, *[c for c in columns if c not in (period, known)])).alias("_v"))
+    return last.select("symbol", period, F.col(f"_v.{known}").alias(known), *[F.col(f"_v.{c}").alias(c) for c in columns if c not in (period, known)])
+
+
+def asof_known(master: DataFrame, versions: DataFrame, columns: list[str], period: str = "period", known: str = "known", slice: timedelta | None = None) -> DataFrame:
+    """``master`` with the columns of the newest period that was known at its time, in the version known then; null before any was.
+
+    A restatement of an older period never hides a newer period, and no row sees a version that came after it.  Both sides
+    are stacked, and what is known is a running greatest (period, known, columns): one shuffle of each side, one sort, no range
+    join.  ``columns`` may name ``period`` and ``known``.  Rows of ``versions`` without a period or a time, and rows of
+    ``master`` without a time, see nothing and are not seen; of versions of one period and time the greatest counts.
+
+    ``slice`` cuts series by time, for symbols with very many rows: slices are tasks of their own, and what was known before
+    each comes from the greatest of every slice, a row for each.
+    """
+    value = F.struct(F.col(period).alias("_0"), F.col(known).alias("_1"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(columns, 2)])
+    right = versions.where(F.col(period).isNotNull() & F.col(known).isNotNull()).select("symbol", F.col(known).cast("timestamp").alias("_at"), F.lit(0).alias("_side"), value.alias("_value"))
+    left = master.select("symbol", F.col("ts").cast("timestamp").alias("_at"), F.lit(1).alias("_side"), F.struct(*master.columns).alias("_row"))
+    both, keys = left.unionByName(right, allowMissingColumns=True), ["symbol"]
+    if slice is not None:
+        both, keys = both.withColumn("_slice", F.floor(F.unix_micros("_at") / int(slice.total_seconds() * 1e6))), ["symbol", "_slice"]
+    order = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_seen", F.max("_value").over(order))
+    if slice is not None:
+        past = Window.partitionBy("symbol").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        ends = both.groupBy(*keys).agg(F.max("_value").alias("_end"))
+        slices = ends.select(F.col("symbol").alias("_s"), F.col("_slice").alias("_c"), F.max("_end").over(past).alias("_past"))
+        seen = seen.join(slices, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("_slice").eqNullSafe(F.col("_c")), "left").withColumn("_seen", F.greatest("_seen", "_past"))
+    at = F.when(F.col("_at").isNotNull(), F.col("_seen"))
+    return seen.where("_side = 1").select("_row.*", *[at[f"_{k}"].alias(c) for k, c in enumerate(columns, 2)])
+
+
 def median_steps(df: DataFrame) -> DataFrame:
     """``(symbol, step)``: the upper median of the positive steps between neighbouring times, in milliseconds."""
     w = Window.partitionBy("symbol").orderBy("ts")

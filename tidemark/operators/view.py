@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.operators.select import matching, shortened
 
@@ -41,6 +42,43 @@ def page_after(df: DataFrame, key: str, last, size: int = 50) -> DataFrame:
     return (df if last is None else df.where(F.col(key) > F.lit(last))).orderBy(key).limit(size)
 
 
+class Pages:
+    """A sorted frame on disk, in ranges whose numbers of rows are known: a page by its number reads the ranges it lies in, no others.
+
+    ``order`` are the sort columns, as ``orderBy`` takes them; they should settle all ties, or rows of equal keys may change
+    places between calls.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, order: list, size: int = 50) -> None:
+        if size not in PAGE_SIZES:
+            raise ValueError(f"page sizes are {PAGE_SIZES}")
+        self.order, self.size, self._columns = order, size, schema.names
+        self._rows = spark.read.schema(StructType([*schema.fields, StructField("_range", IntegerType())])).parquet(path)
+        ends = 0
+        self._ranges: list[tuple[int, int, int]] = []  # range, rows before it, rows up to its end; a few bytes for each range
+        for r in self._rows.groupBy("_range").count().orderBy("_range").collect():  # from the files' footers
+            self._ranges.append((r["_range"], ends, ends + r["count"]))
+            ends += r["count"]
+        self.n_rows = ends
+
+    @classmethod
+    def write(cls, df: DataFrame, path: str, order: list, size: int = 50, ranges: int | None = None) -> Pages:
+        """Sorts ``df`` once into ``ranges`` ranges (as many as shuffle partitions) under ``path``."""
+        ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+        dealt.sortWithinPartitions("_range", *order).write.mode("overwrite").partitionBy("_range").parquet(path)
+        return cls(df.sparkSession, path, df.schema, order, size)
+
+    def page(self, number: int) -> DataFrame:
+        """The rows of a page, which counts from 0, in order; none after the last page."""
+        first = number * self.size
+        if number < 0:
+            raise ValueError("pages count from 0")
+        met = [(r, start) for r, start, end in self._ranges if start < first + self.size and end > first]
+        rows = self._rows.where(F.col("_range").isin([r for r, _ in met])).orderBy("_range", *self.order)
+        return rows.offset(first - met[0][1] if met else 0).limit(self.size).select(*self._columns)
+
+
 def preview(df: DataFrame, rows: int = 40) -> DataFrame:
     return df.limit(rows)
 

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean, scalar
-from tidemark.operators import align, calc, charts, long_series, select, trades, view
+from tidemark.operators import align, calc, calc_sets, charts, long_series, select, trades, view
 from tidemark.plans import live
-from tidemark.plans.tables import BARS, EVENT_BARS, FUNDAMENTALS, GAPPED, INDEXED, event_bars, fundamentals, gapped_bars, supplier_bars, table
-from tidemark.sources import polled, sinks
+from tidemark.plans.tables import BARS, EVENT_BARS, FILINGS, FUNDAMENTALS, GAPPED, INDEXED, event_bars, filings, fundamentals, gapped_bars, supplier_bars, table
+from tidemark.sources import polled, sinks, text_index
 from tidemark.sources.bars import Source, Sources, ohlc_bars, records_from_json, records_without_schema
 
 QUERIES: dict = {}
@@ -257,6 +257,14 @@ def text_filter(spark, sf_dir):
     return select.matching(table(spark, sf_dir, "part"), "p_name", "Plate").select("p_partkey", "p_name")
 
 
+@query("P11_indexed_search", "SELECT doc_id, source FROM documents WHERE contains(lower(text), lower('Enlichst'))")
+def indexed_search(spark, sf_dir):
+    """Whole texts, written once with the files of every three letters; files that lack some of the needle's are not opened."""
+    path, docs = live.scratch(spark), table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    text_index.write_indexed(docs, "text", path, order=("source", "doc_id"))
+    return text_index.search(spark, path, "text", "Enlichst", docs.schema).select("doc_id", "source")
+
+
 @query("P12_rename", f'WITH {BARS} SELECT symbol, ts, close AS "E0" FROM bars')
 def rename(spark, sf_dir):
     return select.as_series(supplier_bars(spark, sf_dir), "close", "E0")
@@ -379,6 +387,25 @@ def calc_set(spark, sf_dir):
     return rounded(supplier_bars(spark, sf_dir).transform(spread_set, 5, 20).select("symbol", "ts", "spread"))
 
 
+def spread_sets() -> calc_sets.CalcSets:
+    """Distance of two averages, and three such distances by periods that grow."""
+    average, use = (lambda n, out: calc.Calc("SMA", ("$x", n), out)), calc_sets.Use
+    sets = calc_sets.CalcSets().add("spread", ("x", "fast", "slow"), average("$fast", "fast"), average("$slow", "slow"), calc.Calc("DIFFERENCE", ("fast", "slow"), "distance"))
+    steps = [use("spread", name, {"x": "$x", "fast": fast, "slow": slow}) for name, fast, slow in (("near", 5, 10), ("middle", 5, 20), ("far", 10, 20))]
+    return sets.add("fan", ("x",), *steps, calc.Calc("SUM", ("near_distance", "far_distance"), "path"))
+
+
+_GRID_AVERAGES = ", ".join(f"CASE WHEN idx >= {n - 1} THEN avg(close) {rows(n)} END AS m{n}" for n in (5, 10, 20))
+_GRID_FILLED = ", ".join(f"coalesce(m{n}, first_value(m{n} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS f{n}" for n in (5, 10, 20))
+
+
+@query("C24_calc_grid", f"WITH {BARS}, {INDEXED}, a AS (SELECT symbol, ts, {_GRID_AVERAGES} FROM ix), b AS (SELECT symbol, ts, {_GRID_FILLED} FROM a) SELECT symbol, ts, round(f5 - f10, 4) AS near, round(f5 - f20, 4) AS middle, round(f10 - f20, 4) AS far, round((f5 - f10) + (f10 - f20), 4) AS path FROM b")
+def calc_grid(spark, sf_dir):
+    """A set used by a set: six averages are named, three are computed, in one shuffle."""
+    out = calc_sets.run_sets(supplier_bars(spark, sf_dir), spread_sets(), calc_sets.Use("fan", "f", {"x": "close"}))
+    return rounded(out.select("symbol", "ts", *[F.col(f"f_{n}_distance").alias(n) for n in ("near", "middle", "far")], F.col("f_path").alias("path")))
+
+
 # ---- joins ----------------------------------------------------------------------------------------------------------
 
 
@@ -402,6 +429,28 @@ def asof(spark, sf_dir):
     return align.asof_backward(supplier_bars(spark, sf_dir).select("symbol", "ts", "close"), filed, ["eps"], timedelta(days=30))
 
 
+_KNOWN = f"""WITH {BARS}, {FILINGS}, seen AS (
+  SELECT b.symbol, b.ts, f.period, f.known, f.eps, row_number() OVER (PARTITION BY b.symbol, b.ts ORDER BY f.period DESC, f.known DESC) AS k
+  FROM bars b JOIN filings f ON f.symbol = b.symbol AND f.known <= b.ts
+) SELECT b.symbol, b.ts, b.close AS close, s.period, s.known, s.eps AS eps FROM bars b LEFT JOIN (SELECT * FROM seen WHERE k = 1) s ON s.symbol = b.symbol AND s.ts = b.ts"""
+
+
+@query("J2_asof_known", _KNOWN)
+def asof_known(spark, sf_dir):
+    """The newest month's earnings that were known at each bar, as filed or as restated by then."""
+    return align.asof_known(supplier_bars(spark, sf_dir).select("symbol", "ts", "close"), filings(spark, sf_dir), ["period", "known", "eps"])
+
+
+@query("L11_long_series_asof_known", _KNOWN)
+def long_asof_known(spark, sf_dir):
+    return align.asof_known(supplier_bars(spark, sf_dir).select("symbol", "ts", "close"), filings(spark, sf_dir), ["period", "known", "eps"], slice=timedelta(days=200))
+
+
+@query("S6_figures_as_known", f"WITH {FILINGS}, v AS (SELECT *, row_number() OVER (PARTITION BY symbol, period ORDER BY known DESC) AS k FROM filings WHERE known <= TIMESTAMP '1996-07-01') SELECT symbol, period, known, eps AS eps FROM v WHERE k = 1")
+def figures_as_known(spark, sf_dir):
+    return align.as_known(filings(spark, sf_dir), "1996-07-01 00:00:00", ["eps"])
+
+
 STEPS = "s AS (SELECT symbol, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY symbol ORDER BY ts) AS step FROM bars), p AS (SELECT symbol, step, row_number() OVER (PARTITION BY symbol ORDER BY step) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM s WHERE step > 0)"
 
 
@@ -672,6 +721,32 @@ def stacked(spark, sf_dir):
     return _chart(spark, sf_dir)
 
 
+def _pixels(frm: str, width: int) -> str:
+    """CTE ``px``: the rows of ``frm`` with their place, in SQL."""
+    return f"""w AS (SELECT *, epoch_us(ts) AS us, min(epoch_us(ts)) OVER (PARTITION BY symbol) AS t0, max(epoch_us(ts)) OVER (PARTITION BY symbol) AS t1 FROM {frm}),
+  px AS (SELECT *, (us - t0) // ((t1 - t0) // {width} + 1) AS p FROM w)"""
+
+
+_PIXEL_LINE = f"""WITH v AS (SELECT event_type AS symbol, ts, value AS y FROM events WHERE value IS NOT NULL AND NOT isnan(value)), {_pixels("v", 200)},
+  k AS (SELECT symbol, ts, y, row_number() OVER (q ORDER BY ts, y) AS a, row_number() OVER (q ORDER BY ts DESC, y DESC) AS b, row_number() OVER (q ORDER BY y, ts) AS c, row_number() OVER (q ORDER BY y DESC, ts DESC) AS d
+        FROM px WINDOW q AS (PARTITION BY symbol, p))
+  SELECT DISTINCT 'value' AS series, 'line' AS kind, symbol, ts, y AS y FROM k WHERE 1 IN (a, b, c, d)"""
+
+
+@query("G1_pixel_line", _PIXEL_LINE)
+def pixel_line(spark, sf_dir):
+    """Every event's value as a line of 200 pixels for each kind of event."""
+    return charts.pixel_line(table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "value"), "value", 200)
+
+
+_PIXEL_CANDLES = f"WITH {BARS}, {_pixels('bars', 40)} SELECT 'candles' AS series, 'candle' AS kind, symbol, min(ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close FROM px GROUP BY symbol, p"
+
+
+@query("G2_pixel_candles", _PIXEL_CANDLES)
+def pixel_candles(spark, sf_dir):
+    return charts.pixel_candles(supplier_bars(spark, sf_dir), 40)
+
+
 # ---- aggregates, sorting, paging, scalars ---------------------------------------------------------------------------
 
 
@@ -717,6 +792,13 @@ def page_after(spark, sf_dir):
     return view.page_after(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 1000, 100)
 
 
+@query("O3_page_by_number", f"WITH {BARS} SELECT symbol, ts, close AS close FROM bars ORDER BY bars.close DESC NULLS LAST, symbol, ts LIMIT 100 OFFSET 1700")
+def page_by_number(spark, sf_dir):
+    """Page 17 of all bars by close: bars are sorted once, then a page opens the ranges that it lies in."""
+    b = supplier_bars(spark, sf_dir).select("symbol", "ts", "close")
+    return view.Pages.write(b, live.scratch(spark), [F.col("close").desc_nulls_last(), "symbol", "ts"], 100).page(17)
+
+
 @query("O4_preview", f"WITH {EVENT_BARS} SELECT symbol, ts, close AS close FROM ebars ORDER BY symbol, ts LIMIT 40")
 def preview(spark, sf_dir):
     return view.preview(view.in_time_order(event_bars(spark, sf_dir).select("symbol", "ts", "close")))

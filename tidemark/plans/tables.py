@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.bars import ohlc_bars
@@ -39,6 +39,21 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.select("symbol", "filed_ts", "eps", "outstanding_shares")
 
 
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(symbol, period, known, eps)``: monthly earnings per unit as first filed, and as restated 45 days later without returned units."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    sold = lines.select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    kept = F.col("l_returnflag") != "R"
+
+    def per_unit(where: Column) -> Column:
+        return F.sum(F.when(where, F.col("l_extendedprice").cast("decimal(18,2)"))).cast("double") / F.sum(F.when(where, F.col("l_quantity")))
+
+    by = sold.groupBy(F.col("l_suppkey").alias("symbol"), F.date_trunc("month", "o_orderdate").alias("period"))
+    months = by.agg(F.date_trunc("day", F.max("o_orderdate")).alias("known"), per_unit(F.lit(True)).alias("eps"), per_unit(kept).alias("restated"))
+    later = F.col("known") + F.expr("INTERVAL 45 DAYS")
+    return months.select("symbol", "period", F.inline(F.array(F.struct("known", "eps"), F.struct(later.alias("known"), F.col("restated").alias("eps")))))
+
+
 BARS = """bars AS (
   SELECT l_suppkey AS symbol, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, arg_min(price, k) AS open, max(price) AS high, min(price) AS low,
          arg_max(price, k) AS close, sum(l_quantity)::DOUBLE AS volume
@@ -60,5 +75,12 @@ FUNDAMENTALS = """fundamentals AS (
   SELECT l_suppkey AS symbol, date_trunc('day', max(o_orderdate))::TIMESTAMP AS filed_ts, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / sum(l_quantity) AS eps, sum(l_quantity) AS outstanding_shares
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_suppkey, date_trunc('month', o_orderdate))"""
 
+FILINGS = """months AS (
+  SELECT l_suppkey AS symbol, date_trunc('month', o_orderdate)::TIMESTAMP AS period, date_trunc('day', max(o_orderdate))::TIMESTAMP AS known,
+         sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / sum(l_quantity) AS eps,
+         (sum(l_extendedprice::DECIMAL(18,2)) FILTER (l_returnflag <> 'R'))::DOUBLE / sum(l_quantity) FILTER (l_returnflag <> 'R') AS restated
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2), filings AS (
+  SELECT symbol, period, known, eps FROM months UNION ALL SELECT symbol, period, known + INTERVAL 45 DAY, restated FROM months)"""
+
 INDEXED = """ix AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY symbol) AS n FROM bars)"""
