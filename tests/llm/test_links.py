@@ -151,10 +151,11 @@ def texts(seed):
     return out + ["", None, "  ", "A b C d e", "a B c D e", out[9].upper()]
 
 
-@pytest.mark.parametrize(("k", "percent", "chunk", "repeated"), [(4, 85, 96, 3), (5, 80, 4, 2), (1, 60, 8, 10**6)])
-def test_ngram_join_by_brute_force(spark, monkeypatch, k, percent, chunk, repeated):
+@pytest.mark.parametrize(("k", "percent", "chunk", "repeated", "slice"), [(4, 85, 96, 3, 1024), (5, 80, 4, 2, 2), (1, 60, 8, 10**6, 1024), (1, 60, 8, 2, 4)])
+def test_ngram_join_by_brute_force(spark, monkeypatch, k, percent, chunk, repeated, slice):
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     monkeypatch.setattr(ngram_join, "REPEATED", repeated)
+    monkeypatch.setattr(ngram_join, "SLICE", slice)
     rows = [(3 * i + 1, t) for i, t in enumerate(texts(k))]
     rows.append(rows[20])
     sets = [shingles(t, k) for _, t in rows]
@@ -165,6 +166,15 @@ def test_ngram_join_by_brute_force(spark, monkeypatch, k, percent, chunk, repeat
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == wanted
 
 
+def test_postings_of_a_hot_token_are_cut_into_slices(spark):
+    heads = spark.createDataFrame([(i, 9, [7, 10_000 + i // 2, 20_000 + i], [50, 1, 1]) for i in range(2000)], "doc_id long, n long, prefix array<long>, slices array<int>")
+    found = ngram_join._postings(heads, 64).withColumn("part", F.spark_partition_id())
+    kept = [found.where(c).count() for c in ("token = 7", "token between 10000 and 19999", "token >= 20000")]
+    assert kept == [2000, 2000, 0]  # by all, by two each, by one each
+    hot = [r["count"] for r in found.where("token = 7").groupBy("part").count().collect()]
+    assert len(hot) > 20 and max(hot) < 400
+
+
 def test_ngram_join_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(empty).count() == 0

@@ -9,8 +9,8 @@ is a necessary condition, so no link between different texts is lost, however th
 1. Tokens are ordered by how often they repeat, rare ones first, ties by hash.  Repeats are counted over all documents
    in windows of ``WINDOW`` tokens; the order decides cost only, never results.
 2. Of sets that link, the first n - ceil(percent * n / 100) + l tokens of each have l in common at least, for l up to the
-   overlap that a link needs; here l is ``SLACK`` percent of n.  These prefix postings are shuffled by token, tokens of
-   one set only go, and so do documents with fewer shared prefix tokens than any link of theirs needs.  Just the
+   overlap that a link needs; here l is ``SLACK`` percent of n.  These prefix postings are shuffled by token, and
+   tokens that repeat often in slices, so none fills a task; tokens of one set only go, and so do documents with fewer shared prefix tokens than any link of theirs needs.  Just the
    documents that are left are read again, and have their whole sets made.
 3. Groups: rounds of min-hash bring similar sets together in chunks of ``CHUNK``; sets of a chunk that are alike by
    ``ALIKE`` percent become one group, and only its best connected member goes on to the next round.  A cluster of near
@@ -43,6 +43,7 @@ from tidemark.llm.shared import map_groups, partitions, skew_join, stored, table
 
 WINDOW, REPEATED, MAX_ORDERED = 2_000_000, 3, 200_000
 CHUNK, ROUNDS, SLACK, ALIKE = 96, 4, 3, 50
+SLICE = 1024  # postings of one token, as far as its repeats are known, that are dealt together
 FILTER_BITS, BITMAP_BITS = 1 << 25, 32_768
 
 
@@ -103,16 +104,17 @@ def repeated_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], n[order]
 
 
-def prefix(tokens: np.ndarray, percent: int, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first tokens in the common order: linked sets share ``common_prefix`` of them."""
+def prefix(tokens: np.ndarray, percent: int, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens in the common order: linked sets share ``common_prefix`` of them; and how often each repeats (0: rarely)."""
     n = len(tokens)
     size = n - at_least(n, percent) + common_prefix(n)
     if len(often):
         at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
         weight = np.where(often[at] == tokens, counts[at], 0)
         if weight.any():
-            return tokens[np.lexsort((tokens, weight))[:size]]
-    return tokens[:size]
+            order = np.lexsort((tokens, weight))[:size]
+            return tokens[order], weight[order]
+    return tokens[:size], np.zeros(min(n, size), np.int64)
 
 
 def min_hashes(tokens: np.ndarray) -> list[int]:
@@ -124,12 +126,26 @@ def _sketches(docs: DataFrame, k: int, percent: int, often: np.ndarray, counts:
         for batch in text_chunks(batches, 4 << 20):
             sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()], k)
             signature = [digest(s) if len(s) else None for s in sets]
-            first = [prefix(s, percent, often, counts).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signature, pa.binary()), lists], names=["doc_id", "n", "signature", "prefix"])
+            first = [prefix(s, percent, often, counts) if len(s) else (s, np.zeros(0, np.int64)) for s in sets]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f, _ in first])]).astype(np.int32))
+            flat = lambda parts, dtype: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*parts, np.zeros(0, dtype)])))
+            lists = [flat([f.view(np.int64) for f, _ in first], np.int64), flat([(w // SLICE + 1).astype(np.int32) for _, w in first], np.int32)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signature, pa.binary()), *lists], names=["doc_id", "n", "signature", "prefix", "slices"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, signature binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, signature binary, prefix array<long>, slices array<int>")
+
+
+def _postings(heads: DataFrame, n_parts: int) -> DataFrame:
+    """``(token, rep, n)``: prefix tokens of the sets ``(doc_id, n, prefix, slices)``, without those that one set alone holds.
+
+    One shuffle, by token and slice: a token that repeats often is cut into slices of about ``SLICE`` rows, so no task has
+    all sets of one.  Tokens in slices are kept unasked; to keep too many is only a cost.
+    """
+    marks = heads.select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("prefix", "slices")).alias("at"))
+    slice = F.when(F.col("at.slices") > 1, F.pmod(F.xxhash64("rep"), F.col("at.slices")).cast("int") + 1).otherwise(0)  # 0: not cut
+    marks = marks.select(F.col("at.prefix").alias("token"), slice.alias("slice"), "rep", "n").repartition(n_parts, "token", "slice")
+    shared = marks.groupBy("token", "slice").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("slice > 0 OR lo < hi").select("token", "slice")
+    return marks.join(shared, ["token", "slice"]).select("token", "rep", "n")
 
 
 def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -314,10 +330,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     often, counts = repeated_tokens(docs, k)
     sketch = stored(_sketches(docs, k, percent, often, counts), "sketches")
     reps = sketch.where("signature IS NOT NULL AND doc_id IS NOT NULL").groupBy("signature").agg(F.min("doc_id").alias("rep"))
-    heads = sketch.select("doc_id", "n", "prefix").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    marks = heads.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n")).repartition(n_parts, "token")
-    shared = marks.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token")
-    postings = stored(marks.join(shared, "token").select("token", "rep", "n"), "postings")
+    heads = sketch.select("doc_id", "n", "prefix", "slices").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    postings = stored(_postings(heads, n_parts), "postings")
     asked = postings.groupBy(F.col("rep").alias("doc_id")).agg(F.count("*").alias("shared"), F.min("n").alias("n")).where(F.col("shared") >= needed(F.col("n"), percent)).select("doc_id")
     sets = stored(_whole_sets(among(docs, asked), k), "sets")
     blocks = stored(_blocks(_grouping(sets)), "blocks")
