@@ -49,6 +49,28 @@ def test_trades_equal_a_plain_scan(frame, entry, exit, stop, hold):
     assert len({t.id for t in got}) == len(got)
 
 
+@pytest.mark.parametrize("batch", [1, 7])
+def test_the_last_pick_is_carried_over_batches(spark, frame, batch):
+    data = {s: rows_of(k, n) for k, (s, n) in enumerate([("a", 90), ("b", 1), ("c", 40), (None, 30), ("d", 33)])}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for entry, exit, stop, hold in RULES:
+            rule = trades.Rule(("p", "q"), entry, ("x", "y"), exit, stop, hold)
+            got = trades.find_trades(frame(data, ("p", "q", "x", "y")), rule).collect()
+            for symbol, rows in data.items():
+                own = sorted((t.entry_idx, t.close_idx) for t in got if t.symbol == symbol)
+                assert own == sorted((e, li if x is None else x) for e, x, li in scan(rows, rule)), symbol
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_the_walk_shuffles_rows_once(frame):
+    df = frame({"a": rows_of(1, 50), "b": rows_of(2, 50)}, ("p", "q", "x", "y"))
+    rows = trades.with_picks(trades.signals(df, trades.Rule(("p", "q"), 2.0, ("x", "y"), 1.0, 0.1, 5)).drop("n"), "entry", 5, ("idx", "ts", "e0"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+
+
 def test_doubling_gives_the_same_picks(spark):
     r = random.Random(4)
     rows = [(s, i) for s in "abc" for i in sorted(r.sample(range(400), 150))]

@@ -65,36 +65,52 @@ def signals(frame: DataFrame, rule: Rule, indexed: bool = False) -> DataFrame:
     )
 
 
-def with_picks(rows: DataFrame, wanted: str, step: int) -> DataFrame:
-    """``rows`` (with symbol and idx) and ``pick``: whether a row where ``wanted`` holds is taken, when each pick shuts out
-    the ``step`` - 1 rows after it.
+def with_picks(rows: DataFrame, wanted: str, step: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (with symbol and idx), ``pick``: whether a row where ``wanted`` holds is taken, when each pick shuts out the
+    ``step`` - 1 rows after it, and ``last_<column>``: the columns ``keep`` of the last pick before the row, null before the first.
 
-    A pick depends on the one before, so each symbol's wanted rows are walked in order; a task streams its sorted rows
-    and holds one number, however long a series is.
+    ``rows`` must come with each symbol in one partition, in order of idx, as a window over the series leaves them: they are
+    not shuffled again.  A pick depends on the one before, so a symbol's wanted rows are walked in order; all else works on
+    whole batches.  A task holds a batch and the last pick, however long a series is.
     """
-    schema = T.StructType([*rows.schema, T.StructField("pick", T.BooleanType())])
+    schema = T.StructType([*rows.schema, T.StructField("pick", T.BooleanType()), *[T.StructField(f"last_{c}", rows.schema[c].dataType) for c in keep]])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, free = None, 0
+        symbol, free, held = None, 0, None
         for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
             at = np.flatnonzero(batch.column(wanted).fill_null(False).to_numpy(zero_copy_only=False))
-            own = batch.filter(batch.column(wanted))
-            pick = np.zeros(batch.num_rows, dtype=bool)
+            own = batch.take(pa.array(at))
+            pick = np.zeros(n, dtype=bool)
             for k, s, i in zip(at.tolist(), own.column("symbol").to_pylist(), own.column("idx").to_pylist()):
                 if s != symbol:
                     symbol, free = s, i
                 if i >= free:
                     pick[k] = True
                     free = i + step
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pick)], names=[*batch.schema.names, "pick"])
-
-    return rows.repartition("symbol").sortWithinPartitions("symbol", "idx").mapInArrow(walk, schema)
+            columns = [*batch.columns, pa.array(pick)]
+            if keep:
+                place, code = np.arange(n), batch.column("symbol").dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                begin = np.maximum.accumulate(np.where(np.concatenate([[False], code[1:] != code[:-1]]), place, 0))
+                before = np.concatenate([[-1], np.maximum.accumulate(np.where(pick, place, -1))[:-1]])
+                goes_on = held is not None and held.column("symbol")[0].as_py() == batch.column("symbol")[0].as_py()
+                inside = before >= begin
+                source = pa.array(np.where(inside, before, n), mask=~(inside | (goes_on & (begin == 0))))
+                carried = batch.slice(0, 1) if held is None else held
+                columns += [pa.concat_arrays([batch.column(c), carried.column(c)]).take(source) for c in keep]
+                if pick.any():
+                    held = batch.take(pa.array(np.flatnonzero(pick)[-1:]))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(walk, schema)
 
 
 def greedy_picks(candidates: DataFrame, step: int) -> DataFrame:
     """Of rows ``(symbol, idx)``, those that are taken."""
     rows = candidates.select("symbol", F.col("idx").cast("long").alias("idx"), F.lit(True).alias("wanted"))
-    return with_picks(rows, "wanted", step).where("pick").select("symbol", "idx")
+    return with_picks(rows.repartition("symbol").sortWithinPartitions("symbol", "idx"), "wanted", step).where("pick").select("symbol", "idx")
 
 
 def greedy_picks_by_doubling(candidates: DataFrame, step: int) -> DataFrame:
@@ -194,7 +210,7 @@ def find_trades(frame: DataFrame, rule: Rule, drop_overwritten: bool = True, pic
     handed to the trade it can close and, if it is a pick, to its own; trades are then one aggregate over (symbol, pick).
     The frame is computed once.  Of exits on one row (the last of a series) the later trade's stays.
 
-    ``picks``: "walk" streams each symbol's rows through one task, for many symbols; "doubling" spreads the choice of entries
+    ``picks``: "walk" streams each symbol's rows through one task, for many symbols, by the one shuffle that numbers them; "doubling" spreads the choice of entries
     over all tasks, for few symbols with very long series; "transitions" spreads all work so: rows are numbered by ranges,
     entries chosen and trades closed in buckets, and no window is laid over a series.
     """
@@ -211,10 +227,12 @@ def find_trades(frame: DataFrame, rule: Rule, drop_overwritten: bool = True, pic
         taken = greedy_picks_by_doubling(rows.where("entry").select("symbol", "idx"), rule.step).withColumn("pick", F.lit(True))
         rows = rows.join(taken, ["symbol", "idx"], "left").withColumn("pick", F.coalesce("pick", F.lit(False)))
     elif picks == "walk":
-        rows = with_picks(signals(frame, rule).drop("n"), "entry", rule.step)
+        rows = with_picks(signals(frame, rule).drop("n"), "entry", rule.step, ("idx", "ts", "e0"))
+        given = F.struct(F.col("last_idx").alias("idx"), F.col("last_ts").alias("ts"), (F.col("last_e0") * (1 - F.lit(rule.stop))).alias("stop"))
+        held = rows.withColumn("last", F.when(F.col("last_idx").isNotNull(), given))
     else:
         raise ValueError(f"no way to pick entries: {picks}")
-    if picks != "transitions":
+    if picks == "doubling":
         before = Window.partitionBy("symbol").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
         held = rows.withColumn("last", last.over(before))
     closing = F.when(F.col("idx") <= F.col("last.idx") + rule.hold, F.struct(F.col("last").alias("own"), F.lit(True).alias("inside")))
