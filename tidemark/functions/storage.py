@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +33,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path.toString()
 
 
+def ship(spark: SparkSession, root: Path, *names: str) -> None:
+    """Hand Python code under ``root`` to the session's workers, on whatever machine they start: an archive in the shared folder, made once.
+
+    ``names`` are packages, with all their modules, and single files; those that are not there are left out.  Python that Spark
+    starts beside the driver, for data sources and streams, reads no archives: it gets ``root`` by its path.
+    """
+    context, done = spark.sparkContext, (root, names)
+    if done in getattr(context, "_tidemark_shipped", ()):
+        return
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context.environment["PYTHONPATH"] = os.pathsep.join([str(root), *(p for p in paths if p != str(root))])
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(f for n in names for f in ((root / n).rglob("*.py") if (root / n).is_dir() else root.glob(n))):
+            archive.write(file, file.relative_to(root))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'code')}/code-{uuid.uuid4().hex}.zip")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = files.create(path)
+    stream.write(bytearray(buffer.getvalue()))
+    stream.close()
+    context.addPyFile(files.makeQualified(path).toString())
+    context._tidemark_shipped = (*getattr(context, "_tidemark_shipped", ()), done)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back.  The session's own folder of checkpoints is deleted when it ends."""
     context = df.sparkSession.sparkContext
