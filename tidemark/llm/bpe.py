@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.pretokens import SPECIAL, Interner, gather, pre_tokens_with_special
-from tidemark.llm.shared import table, text_chunks
+from tidemark.llm.shared import lean, table, text_chunks
 
 NONE = np.int32(1 << 30)
 
@@ -204,7 +204,7 @@ def encode(docs: DataFrame, path: str, out: str = "ids", decoded: str | None = N
                 batch = _with_column(batch, decoded, pa.array((decode_ids(x, voc) for x in ids), pa.string()))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

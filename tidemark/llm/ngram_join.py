@@ -39,10 +39,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import digest, scramble, shingle_sets
-from tidemark.llm.shared import map_groups, partitions, skew_join, stored, table, text_chunks
+from tidemark.llm.shared import lean, map_groups, partitions, skew_join, stored, table, text_chunks
 
 WINDOW, REPEATED, MAX_ORDERED = 2_000_000, 3, 200_000
 CHUNK, ROUNDS, SLACK, ALIKE = 96, 4, 3, 50
+TEXTS = 1 << 20  # bytes of text hashed at once; their arrays take some 30 times that
 SLICE = 1024  # postings of one token, as far as its repeats are known, that are dealt together
 FILTER_BITS, BITMAP_BITS = 1 << 25, 32_768
 
@@ -77,7 +78,7 @@ def repeated_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             often = count >= REPEATED
             return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["token", "n"])
 
-        for batch in text_chunks(batches, 4 << 20):
+        for batch in text_chunks(batches, TEXTS):
             for tokens in shingle_sets([t or "" for t in batch.column("text").to_pylist()], k):
                 if len(tokens):
                     window[digest(tokens)] = tokens  # equal sets count once
@@ -88,7 +89,7 @@ def repeated_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 held = 0
         yield counted()
 
-    counts = stored(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "repeats")
+    counts = stored(docs.select("text").mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "repeats")
     by_size = counts.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("size")).count().orderBy(F.desc("size")).collect()  # a few hundred rows
     total, least = 0, None
     for r in by_size:
@@ -123,7 +124,7 @@ def min_hashes(tokens: np.ndarray) -> list[int]:
 
 def _sketches(docs: DataFrame, k: int, percent: int, often: np.ndarray, counts: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, 4 << 20):
+        for batch in text_chunks(batches, TEXTS):
             sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()], k)
             signature = [digest(s) if len(s) else None for s in sets]
             first = [prefix(s, percent, often, counts) if len(s) else (s, np.zeros(0, np.int64)) for s in sets]
@@ -132,7 +133,7 @@ def _sketches(docs: DataFrame, k: int, percent: int, often: np.ndarray, counts:
             lists = [flat([f.view(np.int64) for f, _ in first], np.int64), flat([(w // SLICE + 1).astype(np.int32) for _, w in first], np.int32)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signature, pa.binary()), *lists], names=["doc_id", "n", "signature", "prefix", "slices"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, signature binary, prefix array<long>, slices array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, signature binary, prefix array<long>, slices array<int>")
 
 
 def _postings(heads: DataFrame, n_parts: int) -> DataFrame:
@@ -167,13 +168,13 @@ def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
     names = ["rep", "n", *(f"m{r}" for r in range(ROUNDS)), "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, 4 << 20):
+        for batch in text_chunks(batches, TEXTS):
             sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()], k)
             hashes = np.array([min_hashes(s) if len(s) else [0] * ROUNDS for s in sets], dtype=np.int64).reshape(-1, ROUNDS)
             cols = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(hashes[:, r]) for r in range(ROUNDS)), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, "rep long, n long, " + "".join(f"m{r} long, " for r in range(ROUNDS)) + "tokens binary")
+    return docs.mapInArrow(lean(run), "rep long, n long, " + "".join(f"m{r} long, " for r in range(ROUNDS)) + "tokens binary")
 
 
 class Members:

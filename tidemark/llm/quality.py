@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import word_hashes, word_spans
-from tidemark.llm.shared import stored, table, text_chunks
+from tidemark.llm.shared import lean, stored, table, text_chunks
 
 WORDS = 64
 PER_CLASS, MAX_PASSAGES = 1000, 50_000
 BUCKETS = 32
+CHUNK = 1 << 20  # bytes of text taken apart at once; its arrays take some 40 times that
 FEATURES = (
     "letters", "upper", "digits", "stops", "symbols", "bars", "marks", "non_ascii", "newlines",
     "word_length", "distinct", "repeats", "capital_starts", "symbol_ends", "single", "words",
@@ -173,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_pa
     chosen = training_sample(labels, per_class)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, 4 << 20):
+        for batch in text_chunks(batches, CHUNK):
             x, owner = passage_vectors([t or "" for t in batch.column("text").to_pylist()])
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(cuts, cuts[1:])]
@@ -182,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_pa
 
     # the sample has 2 * per_class rows of two numbers at most, whatever the size of the tables
     few = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = stored(few.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(vectors, "doc_id long, quality int, n int, x binary"), "passages")
+    rows = stored(few.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(lean(vectors), "doc_id long, quality int, n int, x binary"), "passages")
     # both labels in turn, by hash; who does not fit any more is passed over
     turn = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", "x")
     place = rows.withColumn("turn", F.row_number().over(turn))
@@ -209,7 +210,7 @@ def with_scores(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
     names = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, 4 << 20):
+        for batch in text_chunks(batches, CHUNK):
             n = batch.num_rows
             if model is None:
                 score = np.full(n, 0.5)
@@ -218,7 +219,7 @@ def with_scores(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
                 score = model.score(x, owner, n)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(score, pa.float64())], names=[*names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
