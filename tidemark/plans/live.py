@@ -37,8 +37,10 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.live_source(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
 
 
-#: Rows of a micro-batch at most, where an operator takes a symbol's rows of a batch at once.
-BATCH_ROWS = 500_000
+#: Rows of a micro-batch at most, where an operator takes a symbol's rows of a batch at once; the same, about, where rows come late.
+BATCH_ROWS, LATE_ROWS = 500_000, 2_000_000
+#: Files of a large micro-batch, so that as many tasks read it.
+FILES = 8
 
 
 def ordered_stream(spark: SparkSession, sf_dir: str, rows: int = BATCH_ROWS) -> DataFrame:
@@ -58,15 +60,18 @@ def ordered_stream(spark: SparkSession, sf_dir: str, rows: int = BATCH_ROWS) ->
 
 
 def shuffled_stream(spark: SparkSession, sf_dir: str, batches: int = 8) -> DataFrame:
-    """The events as a stream in which each comes up to six hours too late, in batches, with a last row of no symbol far
-    ahead, behind which the watermark passes all others."""
+    """The events as a stream in which each comes up to six hours too late, with a last row of no symbol far ahead, behind
+    which the watermark passes all others; in ``batches`` batches, in more where these held more than ``LATE_ROWS`` rows."""
     events, folder = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), f"{scratch(spark)}/in"
-    end = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    total, last = events.agg(F.count(F.lit(1)), F.unix_micros(F.max("ts"))).first()
+    batches = max(batches, -(-total // LATE_ROWS))
+    files = max(1, min(FILES, total // batches // 50_000))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), (F.timestamp_micros(F.lit(last).cast("long")) + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
     arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(6 * 3600))
     rows = events.unionByName(end).withColumn("at", arrival)
-    rows.repartitionByRange(batches, "at").drop("at").write.parquet(folder)
+    rows.repartitionByRange(batches * files, "at").drop("at").write.parquet(folder)
     live.in_name_order(spark, folder)
-    return live.live_source(spark, folder, rows.drop("at").schema, maxFilesPerTrigger="1")
+    return live.live_source(spark, folder, rows.drop("at").schema, maxFilesPerTrigger=str(files))
 
 
 def _ticks(spark: SparkSession, sf_dir: str, stream=events_stream) -> DataFrame:
@@ -98,13 +103,15 @@ def st1_polled(spark: SparkSession, sf_dir: str, every: str = "500 milliseconds"
     return spark.read.schema(last.schema).parquet(f"{folder}/out").select(*last.columns)
 
 
+#: What orders events of one time.
+TIES = ("event_id",)
 LIVE_RULE = trades.Rule(("value", "level"), 2.0, ("value", "goal"), 0.5, 0.5, 25)
 
 
 def with_signals(ticks: DataFrame) -> DataFrame:
     """Rows that enter near 10 and leave near 20."""
     v = F.col("value")
-    return ticks.select("symbol", "ts", near([v, F.lit(10.0)], 2.0).alias("entry"), near([v, F.lit(20.0)], 0.5).alias("exit"), v.alias("e0"), v.alias("x0"))
+    return ticks.select("symbol", "ts", "event_id", near([v, F.lit(10.0)], 2.0).alias("entry"), near([v, F.lit(20.0)], 0.5).alias("exit"), v.alias("e0"), v.alias("x0"))
 
 
 def st1_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +130,13 @@ def st3_row_wise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st4_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.use_rocksdb(spark)
-    return replayed(live.live_rolling(_ticks(spark, sf_dir, ordered_stream), "value", 14)).select("symbol", "ts", "x", F.round("value", 4).alias("value"))
+    return replayed(live.live_rolling(_ticks(spark, sf_dir, ordered_stream), "value", 14, tiebreak=TIES)).select("symbol", "ts", "x", F.round("value", 4).alias("value"))
 
 
 def st4_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly volatility of log returns, row by row."""
     live.use_rocksdb(spark)
-    return replayed(live.live_rolling(_ticks(spark, sf_dir, ordered_stream), "value", 14, "return")).select("symbol", "ts", "x", F.round("value", 4).alias("value"))
+    return replayed(live.live_rolling(_ticks(spark, sf_dir, ordered_stream), "value", 14, "return", tiebreak=TIES)).select("symbol", "ts", "x", F.round("value", 4).alias("value"))
 
 
 LATE = timedelta(hours=7)
@@ -138,18 +145,18 @@ LATE = timedelta(hours=7)
 def st4_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rolling mean of rows that come in another order than that of their times."""
     live.use_rocksdb(spark)
-    out = live.live_rolling(_ticks(spark, sf_dir, shuffled_stream), "value", 14, late=LATE, idle=timedelta(days=20))
+    out = live.live_rolling(_ticks(spark, sf_dir, shuffled_stream), "value", 14, late=LATE, idle=timedelta(days=20), tiebreak=TIES)
     return replayed(out).where("symbol IS NOT NULL").select("symbol", "ts", "x", F.round("value", 4).alias("value"))
 
 
 def st5_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.use_rocksdb(spark)
-    return replayed(live.live_trades(with_signals(_ticks(spark, sf_dir, shuffled_stream)), LIVE_RULE, LATE)).where("symbol IS NOT NULL")
+    return replayed(live.live_trades(with_signals(_ticks(spark, sf_dir, shuffled_stream)), LIVE_RULE, LATE, tiebreak=TIES)).where("symbol IS NOT NULL")
 
 
 def st5_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.use_rocksdb(spark)
-    return replayed(live.live_trades(with_signals(_ticks(spark, sf_dir, ordered_stream)), LIVE_RULE))
+    return replayed(live.live_trades(with_signals(_ticks(spark, sf_dir, ordered_stream)), LIVE_RULE, tiebreak=TIES))
 
 
 def st6_newest(spark: SparkSession, sf_dir: str) -> DataFrame:

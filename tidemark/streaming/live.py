@@ -11,12 +11,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidemark.operators.calc import PERIOD
 from tidemark.operators.trades import Rule
-from tidemark.streaming.processors import InTime, OpenTrade, Rolling
+from tidemark.streaming.processors import InTime, OpenTrade, Packed, Rolling, pack
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -84,42 +85,59 @@ def live_bars(ticks: DataFrame, symbol: str, ts: str, price: str, every: str = "
     return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def _stateful(rows: DataFrame, processor, schema: str, late: timedelta | None, idle: timedelta | None) -> DataFrame:
-    """A processor over a symbol's rows: as they come, or in order of time behind a watermark."""
+#: Rows without a time come last.
+NO_TIME = (1 << 63) - 1
+
+
+def _time(c: str) -> Column:
+    return F.timestamp_micros(F.nullif(F.col(c), F.lit(NO_TIME)))
+
+
+def _stateful(rows: DataFrame, ties: tuple[str, ...], processor, schema: str, late: timedelta | None, idle: timedelta | None) -> DataFrame:
+    """A processor over packs of a symbol's rows: as they come, or in order of time behind a watermark."""
+    if late is None and idle is not None:
+        raise ValueError("symbols are forgotten by event time, which takes a watermark")
+    if late is not None:
+        rows = rows.where("ts IS NOT NULL").withWatermark("ts", f"{late.total_seconds()} seconds")
+    rows = rows.withColumn("at_us", F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME))).drop("ts")
+    held = to_arrow_schema(rows.drop("symbol").schema)
+    packs = rows.mapInArrow(pack, StructType([rows.schema["symbol"], StructField("pack", BinaryType())])).groupBy("symbol")
     if late is None:
-        if idle is not None:
-            raise ValueError("symbols are forgotten by event time, which takes a watermark")
-        return rows.groupBy("symbol").transformWithStateInPandas(processor, schema, "Append", "None")
-    columns = dict(rows.dtypes)
-    behind = rows.withWatermark("ts", f"{late.total_seconds()} seconds").withColumn("at_us", F.unix_micros("ts"))
-    inner = InTime(processor, columns, None if idle is None else int(idle.total_seconds() * 1000))
-    return behind.groupBy("symbol").transformWithStateInPandas(inner, schema, "Append", "EventTime")
+        return packs.transformWithStateInPandas(Packed(processor, held, ties), schema, "Append", "None")
+    inner = InTime(processor, held, ties, None if idle is None else int(idle.total_seconds() * 1000))
+    return packs.transformWithStateInPandas(inner, schema, "Append", "EventTime")
 
 
-def live_rolling(df: DataFrame, x: str, n: int = PERIOD, kind: str = "mean", late: timedelta | None = None, idle: timedelta | None = None) -> DataFrame:
+def live_rolling(df: DataFrame, x: str, n: int = PERIOD, kind: str = "mean", late: timedelta | None = None, idle: timedelta | None = None, tiebreak: tuple[str, ...] = ()) -> DataFrame:
     """``(symbol, ts, x, value)``, row by row: rolling mean ("mean"), sample deviation with 0 before n rows ("std"), log
     return ("log_return"), or yearly deviation of n log returns, null unless all are there ("return").
 
     Without ``late`` rows of a symbol must come in order of time from batch to batch; inside a batch they are sorted.  With
     it they may come in any order, as late as that behind the newest; they come out once the watermark has passed them, and
-    later ones are left out.  A symbol without rows for ``idle`` is forgotten.
+    rows that come after later ones of their symbol came out are left out.  A symbol without rows for ``idle`` is forgotten.
+    ``tiebreak`` names columns that order a symbol's rows of one time; rows without a time come last, with ``late`` not at all.
     """
     if kind not in ("mean", "std", "log_return", "return"):
         raise ValueError(f"no rolling calculation {kind}")
     symbol = df.schema["symbol"].dataType.simpleString()
-    rows = df.select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.col(x).cast("double").alias("x"))
-    return _stateful(rows, Rolling(n, kind), f"symbol {symbol}, ts timestamp, x double, value double", late, idle)
+    ties = [F.col(c).alias(f"_tie{i}") for i, c in enumerate(tiebreak)]
+    rows = df.select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.col(x).cast("double").alias("x"), *ties)
+    out = _stateful(rows, tuple(f"_tie{i}" for i in range(len(ties))), Rolling(n, kind), f"symbol {symbol}, at_us long, x double, value double", late, idle)
+    return out.select("symbol", _time("at_us").alias("ts"), "x", "value")
 
 
-def live_trades(signals: DataFrame, rule: Rule, late: timedelta | None = None, idle: timedelta | None = None) -> DataFrame:
+def live_trades(signals: DataFrame, rule: Rule, late: timedelta | None = None, idle: timedelta | None = None, tiebreak: tuple[str, ...] = ()) -> DataFrame:
     """``(symbol, entry_ts, exit_ts, limit_ts)`` when a trade closes, from rows ``(symbol, ts, entry, exit, e0, x0)``.
 
     The batch rule looks forward only as far as its hold, so a state machine gives the same trades; one that is still
-    open stays open, where a batch closes it on the last row.  ``late`` and ``idle`` as in ``live_rolling``.
+    open stays open, where a batch closes it on the last row.  ``late``, ``idle`` and ``tiebreak`` as in ``live_rolling``.
     """
     symbol = signals.schema["symbol"].dataType.simpleString()
-    rows = signals.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "entry", "exit", "e0", "x0")
-    return _stateful(rows, OpenTrade(rule.stop, rule.hold), f"symbol {symbol}, entry_ts timestamp, exit_ts timestamp, limit_ts timestamp", late, idle)
+    ties = [F.col(c).alias(f"_tie{i}") for i, c in enumerate(tiebreak)]
+    flags = [F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias(c) for c in ("entry", "exit")]
+    rows = signals.select("symbol", F.col("ts").cast("timestamp").alias("ts"), *flags, *[F.col(c).cast("double").alias(c) for c in ("e0", "x0")], *ties)
+    out = _stateful(rows, tuple(f"_tie{i}" for i in range(len(ties))), OpenTrade(rule.stop, rule.hold), f"symbol {symbol}, entry_us long, exit_us long, limit_us long", late, idle)
+    return out.select("symbol", *[_time(f"{c}_us").alias(f"{c}_ts") for c in ("entry", "exit", "limit")])
 
 
 def upsert_into(path: str, keys: list[str], notify: Callable[[int], None] | None = None, merge_every: int = 16) -> Callable[[DataFrame, int], None]:
