@@ -2,18 +2,23 @@
 
 ``idx`` comes from a range partitioning and per-partition counts, so no task sorts a whole series.  Rolling windows run
 inside buckets of ``size`` rows, into which the last rows of the bucket before are copied (halo) and dropped afterwards.
-Fills run inside buckets and are then carried over the small table of bucket ends.
+Fills run inside buckets and are then carried over the small table of bucket ends; ``repaired`` does so along range partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tidemark.functions.scalar import finite
-from tidemark.functions.storage import checkpointed
+from tidemark.functions.storage import checkpointed, scratch
 from tidemark.operators.select import without_nulls
 
 
@@ -183,15 +188,92 @@ def asof_backward(master: DataFrame, other: DataFrame, columns: list[str], toler
 
 
 def bucketed_repair(df: DataFrame, x: str, out: str, size: int) -> DataFrame:
-    """Null and non-finite values repaired as in whole series: inside buckets first, then from the buckets beside them."""
+    """Null and non-finite values repaired as in whole series: inside buckets first, then from the buckets before, or with
+    the first finite value of the series where none is before."""
     rows = df.withColumn("bucket", F.floor(F.col("idx") / size)).withColumn("_f", finite(F.col(x)))
     ends = rows.groupBy("symbol", "bucket").agg(F.max_by("_f", F.when(F.col("_f").isNotNull(), F.col("idx"))).alias("_end"), F.min_by("_f", F.when(F.col("_f").isNotNull(), F.col("idx"))).alias("_start"))
-    order = Window.partitionBy("symbol").orderBy("bucket")
-    ends = ends.select(
-        "symbol", "bucket", F.last("_end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_past"), F.first("_start", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_next")
-    )
-    inner = Window.partitionBy("symbol", "bucket").orderBy("idx")
-    back = F.last("_f", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_f", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing))
-    both = rows.withColumn("_back", back).withColumn("_ahead", ahead).join(ends, ["symbol", "bucket"])
-    return both.withColumn(out, F.coalesce("_back", "_past", "_ahead", "_next", F.lit(0.0))).drop("bucket", "_f", "_back", "_ahead", "_past", "_next")
+    back = F.last("_f", ignorenulls=True).over(Window.partitionBy("symbol", "bucket").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    both = rows.withColumn("_back", back).join(ends.select("symbol", "bucket", _before("bucket").alias("_past")), ["symbol", "bucket"])
+    return both.withColumn(out, F.coalesce("_back", "_past")).drop("bucket", "_f", "_back", "_past")
+
+
+def _before(place: str) -> Column:
+    """What comes into a part of a series: the last ``_end`` of the parts before, else the first ``_start`` of all, else 0."""
+    order = Window.partitionBy("symbol").orderBy(place)
+    past = F.last("_end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(past, F.first("_start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0))
+
+
+def ranges(df: DataFrame, rows: int = 2_000_000) -> int:
+    """Range partitions for ``df``: those of the session, more where they held more than ``rows`` rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
+def repaired(df: DataFrame, x: str, out: str, columns: list[str], parts: int | None = None) -> DataFrame:
+    """``columns`` and ``out``, the repaired ``x``, as ``bucketed_repair``, from rows ``(symbol, ts, ...)`` without ``idx``.
+
+    Rows are dealt by ranges of (symbol, ts) and sorted once.  A task carries the last finite value along its rows and tells
+    the first and the last one of every run of a symbol; they are written once, and rows before the first one of their run
+    are then completed from the runs before, a row each.
+    """
+    spark, folder = df.sparkSession, f"{scratch(df.sparkSession, 'repaired')}/rows"
+    kept = list(dict.fromkeys(["symbol", *columns]))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_f", finite(F.col(x))).select("ts", "_f", *kept).repartitionByRange(parts, "symbol", "ts").sortWithinPartitions("symbol", "ts")
+    dealt = dealt.select(*kept, "_f", F.spark_partition_id().alias("_part"))
+    fields = [StructField(f.name, f.dataType) for f in dealt.drop("_f").schema]
+    extra = [StructField("_out", DoubleType()), StructField("_start", DoubleType()), StructField("_end", DoubleType()), StructField("_run", BooleanType())]
+    dealt.mapInArrow(_carried, StructType([*fields, *extra])).write.parquet(folder)
+    written = spark.read.schema(StructType([*fields, *extra])).parquet(folder)
+    rows, runs = written.where("_run IS NULL"), written.where("_run").select("symbol", "_part", "_start", "_end")
+    into = runs.select(F.col("symbol").alias("_symbol"), F.col("_part").alias("_at"), _before("_part").alias("_into"))
+    done = rows.where("_out IS NOT NULL").select(*columns, F.col("_out").alias(out))
+    left = rows.where("_out IS NULL").join(into, (F.col("_part") == F.col("_at")) & F.col("symbol").eqNullSafe(F.col("_symbol")))
+    return done.unionByName(left.select(*columns, F.col("_into").alias(out)))
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with ``_out``, the last ``_f`` of their symbol at or before them, and a row ``_run`` for every run of a symbol."""
+    empty, run = None, None  # of the run at hand: symbol, part, first and last value
+    nan = float("nan")
+
+    def ends(runs: list[list]) -> pa.RecordBatch:
+        columns = {f.name: pa.nulls(len(runs), f.type) for f in empty.schema if f.name != "_f"}
+        symbols, numbers, starts, lasts = zip(*runs)
+        columns |= {"symbol": pa.array(symbols, empty.schema.field("symbol").type), "_part": pa.array(numbers, empty.schema.field("_part").type), "_out": pa.nulls(len(runs), pa.float64())}
+        known = lambda values: pa.array(values, pa.float64(), from_pandas=True)
+        return pa.RecordBatch.from_pydict(columns | {"_start": known(starts), "_end": known(lasts), "_run": pa.array([True] * len(runs))})
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        empty = batch.slice(0, 0)
+        symbols = pc.dictionary_encode(batch.column("symbol"), null_encoding="encode")
+        starts = np.flatnonzero(np.diff(symbols.indices.to_numpy(), prepend=-1))
+        names = symbols.dictionary.take(symbols.indices.take(pa.array(starts))).to_pylist()
+        part = batch.column("_part")[0].as_py()
+        f = batch.column("_f").to_numpy(zero_copy_only=False)
+        own = np.maximum.accumulate(np.where(np.isnan(f), -1, np.arange(n)))
+        filled = np.where(own >= np.repeat(starts, np.diff(starts, append=n)), f[own], nan)
+        over = []
+        for name, a, b in zip(names, starts.tolist(), [*starts[1:].tolist(), n]):
+            if run is None or a or name != run[0]:
+                if run is not None:
+                    over.append(run)
+                run = [name, part, nan, nan]
+            values = f[a:b]
+            missing = np.isnan(values)
+            if run[3] == run[3]:
+                filled[a:b] = np.where(np.isnan(filled[a:b]), run[3], filled[a:b])
+            if not missing.all():
+                if run[2] != run[2]:
+                    run[2] = float(values[missing.argmin()])
+                run[3] = float(values[b - a - 1 - missing[::-1].argmin()])
+        columns = {f.name: batch.column(f.name) for f in batch.schema if f.name != "_f"}
+        none = pa.nulls(n, pa.float64())
+        yield pa.RecordBatch.from_pydict(columns | {"_out": pa.array(filled, pa.float64(), from_pandas=True), "_start": none, "_end": none, "_run": pa.nulls(n, pa.bool_())})
+        if over:
+            yield ends(over)
+    if run is not None:
+        yield ends([run])

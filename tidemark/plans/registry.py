@@ -874,8 +874,11 @@ def no_trades(spark, sf_dir):
 
 def _one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines as one series, ordered by ship time, order and line."""
-    rows = table(spark, sf_dir, "lineitem").select(F.lit("all").alias("symbol"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("close"), "l_orderkey", "l_linenumber")
-    return long_series.with_index(rows)
+    return long_series.with_index(_lines(spark, sf_dir))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.lit("all").alias("symbol"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("close"), "l_orderkey", "l_linenumber")
 
 
 _ONE = "WITH s AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice / l_quantity AS close, row_number() OVER o - 1 AS idx, avg(l_extendedprice / l_quantity) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity ROWS 13 PRECEDING) AS m FROM lineitem WINDOW o AS (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity))"
@@ -900,8 +903,8 @@ def long_volatility(spark, sf_dir):
 
 @query("L3_long_series_repair", _ONE_GAPPED)
 def long_repair(spark, sf_dir):
-    rows = _one_series(spark, sf_dir).withColumn("x", F.when((F.col("l_orderkey") % 3 != 0) & (F.col("ts.l_partkey") % 7 != 0), F.col("close")))
-    return long_series.bucketed_repair(rows, "x", "value", 5000).select("l_orderkey", "l_linenumber", "value")
+    rows = _lines(spark, sf_dir).withColumn("x", F.when((F.col("l_orderkey") % 3 != 0) & (F.col("ts.l_partkey") % 7 != 0), F.col("close")))
+    return long_series.repaired(rows, "x", "value", ["l_orderkey", "l_linenumber"], long_series.ranges(rows))
 
 
 @query("L4_long_series_asof", f"WITH {BARS}, {FUNDAMENTALS} SELECT b.symbol, b.ts, b.close AS close, CASE WHEN b.ts - f.filed_ts <= INTERVAL 30 DAY THEN f.eps END AS eps FROM bars b ASOF LEFT JOIN fundamentals f ON b.symbol = f.symbol AND b.ts >= f.filed_ts")
