@@ -219,7 +219,9 @@ def repaired(df: DataFrame, x: str, out: str, columns: list[str], parts: int | N
     spark, folder = df.sparkSession, f"{scratch(df.sparkSession, 'repaired')}/rows"
     kept = list(dict.fromkeys(["symbol", *columns]))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_f", finite(F.col(x))).select("ts", "_f", *kept).repartitionByRange(parts, "symbol", "ts").sortWithinPartitions("symbol", "ts")
+    keys = [k.alias(f"_key{i}") for i, k in enumerate(_order(df))]
+    order = ["symbol", *(f"_key{i}" for i in range(len(keys)))]
+    dealt = df.select(*keys, finite(F.col(x)).alias("_f"), *kept).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt = dealt.select(*kept, "_f", F.spark_partition_id().alias("_part"))
     fields = [StructField(f.name, f.dataType) for f in dealt.drop("_f").schema]
     extra = [StructField("_out", DoubleType()), StructField("_start", DoubleType()), StructField("_end", DoubleType()), StructField("_run", BooleanType())]
@@ -232,6 +234,14 @@ def repaired(df: DataFrame, x: str, out: str, columns: list[str], parts: int | N
     return done.unionByName(left.select(*columns, F.col("_into").alias(out)))
 
 
+def _order(df: DataFrame) -> list[Column]:
+    """The order of ``ts`` by its fields, if it has some, as a struct is slow to compare as a whole."""
+    ts, kind = F.col("ts"), df.schema["ts"]
+    if not isinstance(kind.dataType, StructType):
+        return [ts]
+    return [*(ts.getField(f.name) for f in kind.dataType), *([ts.isNotNull()] if kind.nullable else [])]
+
+
 def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows with ``_out``, the last ``_f`` of their symbol at or before them, and a row ``_run`` for every run of a symbol."""
     empty, run = None, None  # of the run at hand: symbol, part, first and last value
