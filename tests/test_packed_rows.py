@@ -3,10 +3,14 @@
 import random
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from test_registry import DATA
 
 from tidemark.operators.trades import Rule
+from tidemark.plans import live as plans
 from tidemark.streaming import live
 
 LATE, SECONDS = timedelta(seconds=60), 300
@@ -59,3 +63,27 @@ def test_late_trades_wait_in_packs(spark, tmp_path, hold, stop):
         ordered = [(t, *rest) for _, t, _, *rest in sorted((row for row in rows if row[0] == s), key=lambda row: (row[1], row[2]))]
         assert sorted([(seconds(t.entry_ts), seconds(t.exit_ts), seconds(t.limit_ts)) for t in out if t.symbol == s], key=str) == sorted(walk(ordered, stop, hold), key=str)
     assert len(out) > (0 if hold > 100 else 100) and held <= 40
+
+
+@pytest.mark.parametrize("kind", ["mean", "std", "return"])
+def test_late_rolling_waits_in_packs(spark, tmp_path, kind):
+    live.use_rocksdb(spark)
+    r = random.Random(3)
+    rows = [(s, r.randrange(SECONDS), i, r.uniform(1, 9)) for i, s in enumerate(["a"] * 1500 + ["b"] * 300 + ["c"] * 4)]
+    stream = streamed(spark, tmp_path, rows, 4, "symbol string, ts long, id long, x double")
+    out, held = ran(live.live_rolling(stream, "x", 5, kind, LATE, timedelta(seconds=290), ("id",)), tmp_path)
+    plain = lambda v: None if v is None or v != v else round(v, 6)
+    for s in "abc":
+        x = pd.Series([x for _, _, _, x in sorted((row for row in rows if row[0] == s), key=lambda row: (row[1], row[2]))])
+        wanted = {"mean": x.rolling(5).mean(), "std": x.rolling(5).std().fillna(0.0), "return": np.log(x / x.shift()).rolling(5).std() * np.sqrt(252)}[kind]
+        key = lambda rows: sorted([(x, plain(v)) for x, v in rows], key=str)
+        assert key((v.x, v.value) for v in out if v.symbol == s) == key(zip(x, wanted))
+    assert held <= 40
+
+
+def test_late_batches_grow_in_number(spark, tmp_path, monkeypatch):
+    """Of a larger table more batches are made, not larger ones."""
+    monkeypatch.setattr(plans, "LATE_ROWS", 40)
+    total, sizes = spark.read.parquet(f"{DATA}/events.parquet").count(), []
+    live.run_live(plans.shuffled_stream(spark, DATA), lambda batch, _: sizes.append(batch.count()), f"{tmp_path}/state")
+    assert sum(sizes) == total + 1 and len(sizes) > 20 and max(sizes) <= 80
