@@ -87,3 +87,13 @@ def test_late_batches_grow_in_number(spark, tmp_path, monkeypatch):
     total, sizes = spark.read.parquet(f"{DATA}/events.parquet").count(), []
     live.run_live(plans.shuffled_stream(spark, DATA), lambda batch, _: sizes.append(batch.count()), f"{tmp_path}/state")
     assert sum(sizes) == total + 1 and len(sizes) > 20 and max(sizes) <= 80
+
+
+def test_ordered_batches_are_even_and_narrow(spark, tmp_path):
+    """Batches are as many as their bound asks for, of several files each, with the columns that are used."""
+    total, rows, sizes = spark.read.parquet(f"{DATA}/events.parquet").count(), 160, []
+    stream = plans.ordered_stream(spark, DATA, rows)
+    assert set(stream.columns) == {"event_id", "ts", "event_type", "value"}
+    live.run_live(stream, lambda batch, _: sizes.append((batch.count(), batch.select(F.input_file_name()).distinct().count())), f"{tmp_path}/state")
+    assert sum(n for n, _ in sizes) == total and max(n for n, _ in sizes) <= rows
+    assert len(sizes) <= -(-total // rows) and max(files for _, files in sizes) == plans.FILES

@@ -41,6 +41,8 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCH_ROWS, LATE_ROWS = 500_000, 2_000_000
 #: Files of a large micro-batch, so that as many tasks read it.
 FILES = 8
+#: What the live queries take of an event.
+EVENT = ("event_id", "ts", "event_type", "value")
 
 
 def ordered_stream(spark: SparkSession, sf_dir: str, rows: int = BATCH_ROWS) -> DataFrame:
@@ -49,10 +51,11 @@ def ordered_stream(spark: SparkSession, sf_dir: str, rows: int = BATCH_ROWS) ->
     The rows are dealt by ranges of time and written as files whose names are in order of time; a batch takes as many
     files as hold ``rows`` rows if each were as large as the largest.
     """
-    events, folder = spark.read.parquet(f"{sf_dir}/events.parquet"), f"{scratch(spark)}/in"
+    events, folder = spark.read.parquet(f"{sf_dir}/events.parquet").select(*EVENT), f"{scratch(spark)}/in"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(parts, -(-events.count() // rows)))
-    events.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.option("maxRecordsPerFile", rows).parquet(folder)
+    dealt = events.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id")
+    dealt.write.option("maxRecordsPerFile", max(1, rows // FILES)).parquet(folder)
     live.in_name_order(spark, folder)
     files = spark.read.schema(events.schema).parquet(folder).groupBy(F.col("_metadata.file_name")).count()
     largest = files.agg(F.max("count")).first()[0] or rows
