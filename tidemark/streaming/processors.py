@@ -185,7 +185,7 @@ class InTime(Packed):
 
     Rows that come in any order inside the watermark give what ordered rows give.  A row is left out if its symbol was handed
     on up to a later time.  A symbol without rows for ``idle`` milliseconds of event time is forgotten, and starts anew if it
-    comes back, whichever batch its rows are in; of a symbol that is not known, rows behind the watermark are left out then.
+    comes back, whichever batch its rows are in; of a symbol that has no state, rows behind the watermark are left out then.
 
     Waiting rows are kept as packs in order of time, with the first time of each pack, so a pack is read when the watermark
     reaches it, and only the packs that it cuts are written again.
@@ -222,7 +222,9 @@ class InTime(Packed):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = self._in_order(p for frame in rows for p in frame["pack"])
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        passed = self.handed_on.get()[1] if self.handed_on.exists() else watermark if self.idle is not None and watermark > 0 else None
+        passed = self.handed_on.get()[1] if self.handed_on.exists() else None
+        if passed is None and self.idle is not None and watermark > 0 and not self.firsts.exists():
+            passed = watermark  # the symbol may have been handed on and forgotten
         if passed is not None:
             new = new.slice(int(np.searchsorted(new["at_us"].to_numpy(), passed, "right")))
         if new.num_rows:
@@ -246,7 +248,8 @@ class InTime(Packed):
             newest = self.handed_on.get()[0]
             if passed - newest >= self.idle * 1000:
                 self.inner.forget()
-                self.handed_on.clear()
+                if not len(index):
+                    self.handed_on.clear()
             elif not len(index):
                 self.handle.registerTimer(newest // 1000 + self.idle + 1)
         if len(index):
